@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import arrow_rows
+
 NAME = "word_bpe_49k.json"
 #: Entries of a worker's pre-token cache; it is emptied when full.
 CACHE = 250_000
@@ -239,7 +241,7 @@ def bpe_digests(docs: DataFrame, name: str = NAME) -> DataFrame:
                 back.append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, DIGEST)
+    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, DIGEST)
 
 
 def encode_documents(docs: DataFrame, name: str = NAME) -> DataFrame:
@@ -251,4 +253,4 @@ def encode_documents(docs: DataFrame, name: str = NAME) -> DataFrame:
             ids = [code.encode(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(code.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, "doc_id bigint, ids array<int>, decoded string")

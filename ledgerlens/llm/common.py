@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +67,23 @@ def parts(spark: SparkSession, size: int, each: int) -> int:
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark context, wherever they run."""
+    context = spark.sparkContext
+    if not getattr(context, "_ledgerlens_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as d:
+            made = Path(d, "build", package.name)
+            shutil.copytree(package, made, ignore=shutil.ignore_patterns("__pycache__"))
+            # The file server keeps its own copy only where it is told to; so the zip stays for the session.
+            out = tempfile.mkdtemp(prefix="ledgerlens-package-")
+            context.addPyFile(shutil.make_archive(f"{out}/{package.name}", "zip", made.parent))
+        context._ledgerlens_shipped = True
+
+
+def arrow_rows(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import arrow_rows, ship
+
 PIECE, LEVEL, DICT_BYTES = 2048, 3, 112_640
 DICT_ROWS, FIT_ROWS, SAMPLE_BYTES = 1_500, 5_000, 16_384
 PIECES = 5_000
@@ -119,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             x = [measure(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "q", "x"])
 
-    rows = sorted(_texts(docs, ids).mapInArrow(run, "doc_id bigint, q int, x array<double>").collect())
+    rows = sorted(arrow_rows(_texts(docs, ids), run, "doc_id bigint, q int, x array<double>").collect())
     y = np.array([r["q"] for r in rows], float)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -138,6 +140,8 @@ def probabilities(model: dict | None, raws: list[bytes]) -> list[float]:
 def scored(docs: DataFrame, model: dict | None, column: str = "score") -> DataFrame:
     """``docs`` with the score of each text as one more column."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(raw):
         import pandas as pd

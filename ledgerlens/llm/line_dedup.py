@@ -63,18 +63,21 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("none", "d", "th", "ln", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), "n", *keys)
 
 
-def scan_xor(values: Column) -> Column:
-    """Inclusive running XORs of an array, in chunks of about its length's square root, so
-    that a line of n tokens costs n^1.5 small steps rather than n^2."""
-    size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
-    empty = F.array().cast("array<bigint>")
+def with_runs(rows: DataFrame, values: str, runs: str) -> DataFrame:
+    """``rows`` with the inclusive running XORs of an array, made in chunks of about its
+    length's square root, so that n tokens cost n^1.5 small steps rather than n^2.  Steps are
+    columns: inside a lambda, an expression would be computed anew for each element."""
+    zero = F.lit(0).cast("bigint")
 
     def running(x: Column) -> Column:
-        return F.aggregate(x, empty, lambda a, v: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint")).bitwiseXOR(v)))
+        return F.aggregate(x, F.array().cast("array<bigint>"), lambda a, v: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), zero).bitwiseXOR(v)))
 
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / size).cast("int") - 1, F.lit(0))), lambda c: running(F.slice(values, c * size + 1, size)))
-    ends = running(F.transform(chunks, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0).cast("bigint"))))
-    return F.flatten(F.transform(chunks, lambda c, i: F.transform(c, lambda v: v.bitwiseXOR(F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, i - 1))))))
+    rows = rows.withColumn("width", F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1)))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / F.col("width")).cast("int") - 1, F.lit(0))), lambda c: running(F.slice(values, c * F.col("width") + 1, F.col("width"))))
+    rows = rows.withColumn("chunks", chunks)
+    rows = rows.withColumn("ends", running(F.transform("chunks", lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), zero))))
+    flat = F.flatten(F.transform("chunks", lambda c, i: F.transform(c, lambda v: v.bitwiseXOR(F.coalesce(F.get("ends", i - 1), zero)))))
+    return rows.withColumn(runs, flat).drop("width", "chunks", "ends")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def variants(lines: DataFrame) -> DataFrame:
     here = F.transform("tok", lambda t, i: F.xxhash64(t, i))
     left = F.transform("tok", lambda t, i: F.xxhash64(t, i).bitwiseXOR(F.xxhash64(t, i - 1)))
     step = toks.select("rank", "n", "by_prefix", "by_suffix", here.alias("here"), left.alias("moved"))
-    step = step.withColumn("runs", scan_xor(F.col("moved")))
+    step = with_runs(step, "moved", "runs")
     zero = F.lit(0).cast("bigint")
     step = step.withColumn("all", F.aggregate("here", zero, lambda a, v: a.bitwiseXOR(v))).withColumn("end", F.coalesce(F.try_element_at("runs", F.lit(-1)), zero))
     n = F.col("n")

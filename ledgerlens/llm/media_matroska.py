@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import arrow_rows
+
 EBML, SEGMENT, SEEKHEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC, FRAME_NS = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
@@ -290,7 +292,7 @@ def packets(files: DataFrame, key: str, content: str) -> DataFrame:
             cols = zip(*rows) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
-    return files.select(F.col(key).cast("bigint").alias("key"), F.col(content).alias("content")).mapInArrow(read, PACKETS)
+    return arrow_rows(files.select(F.col(key).cast("bigint").alias("key"), F.col(content).alias("content")), read, PACKETS)
 
 
 def padded(raw: bytes) -> bytes:
@@ -327,4 +329,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(list(c), t) for c, t in zip(cols, types[1:])]], names)
 
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")
-    return docs.select(F.col("doc_id").cast("bigint"), raw).mapInArrow(run, DIGEST)
+    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), raw), run, DIGEST)

@@ -38,22 +38,20 @@ RISK, DELTA = 0.05, 0.05
 SMALL_STRATA = 20_000
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words covered by windows that occur twice or more; ``hashes`` has one entry a window.
+def repeated_words(hashed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``hashed`` with n_repeat_words: words covered by windows that occur twice or more.
 
-    Sorting (hash, position) brings equal windows together; the union of the intervals
-    [p, p + window) over the sorted positions p is the sum of min(window, gap to the next p).
+    ``hashes`` has one entry a window, or is null where none repeats.  Sorting (hash, position)
+    brings equal windows together; the union of the intervals [p, p + window) over the sorted
+    positions p is the sum of min(window, gap to the next p).  The sorted pairs are a column
+    of their own: inside a lambda, an expression would be computed anew for each element.
     """
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    hit = F.transform(
-        F.filter(
-            F.transform(pairs, lambda p, i: F.struct(p["i"].alias("i"), (F.coalesce(F.get(pairs, i - 1)["h"] == p["h"], F.lit(False)) | F.coalesce(F.get(pairs, i + 1)["h"] == p["h"], F.lit(False))).alias("twice"))),
-            lambda p: p["twice"],
-        ),
-        lambda p: p["i"],
-    )
+    pairs = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    beside = lambda p, i: F.coalesce(F.get("pairs", i)["h"] == p["h"], F.lit(False))
+    hit = F.sort_array(F.array_compact(F.transform("pairs", lambda p, i: F.when(beside(p, i - 1) | beside(p, i + 1), p["i"]))))
     start = F.struct(F.lit(-window).alias("last"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(F.sort_array(hit), start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(window), p - a["last"])).alias("n")), lambda a: a["n"])
+    covered = F.aggregate("hit", start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(window), p - a["last"])).alias("n")), lambda a: a["n"])
+    return hashed.withColumn("pairs", pairs).withColumn("hit", hit).withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("hashes", "pairs", "hit")
 
 
 def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
@@ -73,9 +71,8 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang")) -> Dat
         windows.alias("hashes"),
     )
     third = second.withColumn("hashes", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.col("hashes")))
-    repeats = F.when(F.col("hashes").isNull(), F.lit(0).cast("long")).otherwise(repeated_words(F.col("hashes")))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return third.withColumn("n_repeat_words", repeats).drop("hashes").withColumn("base_failed", base)
+    return repeated_words(third).withColumn("base_failed", base)
 
 
 def critical(n: Column, p: float, alpha: Column) -> Column:

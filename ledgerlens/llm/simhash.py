@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import settle
+from ledgerlens.llm.common import arrow_rows, settle
 from ledgerlens.llm.graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "t", "fp"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("t"), text.cast("binary").alias("raw")).mapInArrow(run, "doc_id bigint, t bigint, fp bigint")
+    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("t"), text.cast("binary").alias("raw")), run, "doc_id bigint, t bigint, fp bigint")
 
 
 def links(fps: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import parts, text_bytes
+from ledgerlens.llm.common import parts, ship, text_bytes
 
 WINDOW = 13
 #: Text bytes of a block, and windows of a bucket.
@@ -160,12 +160,13 @@ def _blocks(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, n_words, removed intervals (first and end word), and the kept text, for each row."""
+    ship(docs.sparkSession)
     size = text_bytes(docs, "text")
     rows, _ = _blocks(docs, size)
     # A word and its blank have six bytes or so; two at least.
     buckets = max(1, -(-size // (6 * BUCKET)))
 
-    def ship(pdf: pd.DataFrame) -> pd.DataFrame:
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
         distinct = prepared(pdf["id"].tolist(), pdf["raw"].tolist(), window)[3]
         at = cuts(distinct, buckets)
         found = [(int(pdf["block"].iloc[0]), b, pack(distinct[x:y])) for b, (x, y) in enumerate(zip(at, at[1:])) if y > x]
@@ -205,7 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out.append((ids[i], len(start), int(mask.sum()), spots, b" ".join(kept).decode("utf-8")))
         return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "spans", "kept"])
 
-    pieces = rows.groupBy("block").applyInPandas(ship, "block bigint, bucket bigint, piece binary")
+    pieces = rows.groupBy("block").applyInPandas(send, "block bigint, bucket bigint, piece binary")
     answers = pieces.groupBy("bucket").applyInPandas(judge, "block bigint, bucket bigint, bits binary")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, "id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept string")
 

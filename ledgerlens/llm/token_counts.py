@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.bpe import BYTES, END, NAME, Cache, Coder, coder
+from ledgerlens.llm.common import arrow_rows
 
 LIMIT = 2048
 
@@ -68,4 +69,4 @@ def token_counts(docs: DataFrame, name: str = NAME, limit: int = LIMIT) -> DataF
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    return arrow_rows(rows, run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import settle
+from ledgerlens.llm.common import arrow_rows, settle
 
 ARCHIVE, CHUNK, LEVEL = 8 << 20, 1 << 16, 6
 #: Repeated payloads up to this many (some 60 bytes each) are sent to every task; more are joined by shuffle.
@@ -132,7 +132,7 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
                 fixed = [fixed[0], fixed[1], fixed[2], fixed[3], fixed[4], fixed[5]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fixed, types)], names)
 
-    return archives.select(content).mapInArrow(run, RECORDS)
+    return arrow_rows(archives.select(content), run, RECORDS)
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
         if held:
             yield archive()
 
-    return pages.select("page_id", "url", "payload", "target", "revisit").mapInArrow(run, "name string, content binary")
+    return arrow_rows(pages.select("page_id", "url", "payload", "target", "revisit"), run, "name string, content binary")
 
 
 def with_targets(pages: DataFrame, least: int = 0) -> DataFrame:
