@@ -34,7 +34,7 @@ from ledgerlens.llm.common import parts, ship, text_bytes
 
 WINDOW = 13
 #: Text bytes of a block, and windows of a bucket.
-BLOCK, BUCKET = 24 << 20, 2 << 20
+BLOCK, BUCKET = 8 << 20, 2 << 20
 MAX_ID = (1 << 63) - 1
 
 _RNG = np.random.default_rng(13)
