@@ -1,5 +1,70 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others have none: media files, zstandard, XXH64, tokenizers and the mix's hash order are
+out of SQL's reach.  Tests hold those against brute force, the libraries or round trips.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from ledgerlens.llm.line_dedup import MIN_TOKENS
+from ledgerlens.llm.quality_rules import DELTA, GRID, RISK, RULES
+
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+RULES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+spots AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM d),
+grams AS (SELECT r, p, count(*) OVER (PARTITION BY r, array_to_string(w[p:p + 7], ' ')) AS n FROM spots),
+repeats AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM grams WHERE n > 1) GROUP BY r),
+c AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN repeats USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT f.* FROM f JOIN good USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
+facts AS ({" UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {a} AS top, {b} AS below FROM held" for r, (a, b) in RULES.items())}),
+lost AS (SELECT lang, rule, cut, count(*) FILTER (top * 1000 > below * cut) AS k FROM facts, (SELECT unnest({list(GRID)}) AS cut) GROUP BY ALL),
+tested AS (SELECT lost.lang, rule, cut, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln({1 - RISK / len(RULES)})))) AS p FROM lost JOIN strata ON lost.lang IS NOT DISTINCT FROM strata.lang),
+cuts AS (SELECT lang, {", ".join(f"min(cut) FILTER (rule = '{r}' AND p <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)})) AS cut_{r}" for r in RULES)} FROM tested GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({" OR ".join(f"coalesce({a} * 1000 > {b} * cut_{r}, false)" for r, (a, b) in RULES.items())}) AS kept, {", ".join(f"cut_{r}" for r in RULES)}
+FROM f LEFT JOIN cuts ON f.lang IS NOT DISTINCT FROM cuts.lang"""
+
+LINES_SQL = f"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS ln FROM documents),
+shown AS (SELECT doc_id, ln, line, min((doc_id, ln)) OVER (PARTITION BY line) AS first FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+uniq AS (SELECT line, first, string_split(line, ' ') AS tok FROM (SELECT DISTINCT line, first FROM shown)),
+long AS (SELECT *, len(tok) AS n FROM uniq WHERE len(tok) >= {MIN_TOKENS}),
+keys AS (SELECT DISTINCT line, first, tok, n, key FROM (SELECT *, unnest([
+    'p' || array_to_string(tok[1:(n - 1) // 2], ' '), 'p' || array_to_string(tok[1:(n + 1) // 2], ' '),
+    's' || array_to_string(tok[n - (n - 1 - (n - 1) // 2) + 1:n], ' '), 's' || array_to_string(tok[n - (n + 1 - (n + 1) // 2) + 1:n], ' ')]) AS key FROM long)),
+pairs AS (SELECT DISTINCT x.line, x.tok AS a, y.tok AS b FROM keys x JOIN keys y ON x.key = y.key AND y.first < x.first AND abs(x.n - y.n) <= 1),
+met AS (SELECT line, greatest(len(a), len(b)) AS most,
+    coalesce(nullif(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false), 0), least(len(a), len(b)) + 1) - 1 AS head,
+    coalesce(nullif(list_position(list_transform(range(0, least(len(a), len(b))), lambda i: a[len(a) - i] = b[len(b) - i]), false), 0), least(len(a), len(b)) + 1) - 1 AS tail FROM pairs),
+near AS (SELECT DISTINCT line FROM met WHERE head + tail >= most - 1),
+marked AS (SELECT l.doc_id, l.ln, l.line, s.line IS NOT NULL AND (l.doc_id, l.ln) <> s.first AS same, s.line IS NOT NULL AND (l.doc_id, l.ln) = s.first AND near.line IS NOT NULL AS close
+  FROM l LEFT JOIN shown s ON l.doc_id = s.doc_id AND l.ln = s.ln LEFT JOIN near ON l.line = near.line),
+told AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (same) AS n_equal_removed, count(*) FILTER (close) AS n_near_removed, string_agg(line, chr(10) ORDER BY ln) FILTER (NOT same AND NOT close) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal_removed, 0) AS n_equal_removed, coalesce(n_near_removed, 0) AS n_near_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN told USING (doc_id)"""
+
+SUBSTRINGS_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+spots AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d),
+grams AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM spots),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first FROM grams) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM hit),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (SELECT e.doc_id, count(*) FILTER (g.q IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY e.q) FILTER (g.q IS NULL) AS t FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.q = g.q GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM q"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": RULES_SQL, "op3_line_dedup": LINES_SQL, "op4_substring_dedup": SUBSTRINGS_SQL, "op9_warc": WARC_SQL}
