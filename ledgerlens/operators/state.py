@@ -56,6 +56,17 @@ def latest_info(events: DataFrame) -> DataFrame:
     return latest(events.filter((F.col("kind") == INFO) & (F.col("d") == F.col("pubkey"))), "pubkey")
 
 
+def facts(events: DataFrame, as_of: int | Column) -> DataFrame:
+    """The latest state of every key of every kind, by one scan and one shuffle.
+
+    Orders and disputes are keyed by d, info events by d as well, dev-fees by their id; an
+    order or dispute without d stands alone (it shows that the node exists, no more).  The
+    functions above give the same rows on this table as on all events.
+    """
+    key = F.when(F.col("kind") == DEV_FEE, F.col("id")).otherwise(F.coalesce("d", F.concat(F.lit("id:"), "id")))
+    return latest(not_future(events, as_of).withColumn("__key", key), "pubkey", "kind", "__key").drop("__key", "relay", "z", "y")
+
+
 def dev_fees(events: DataFrame) -> DataFrame:
     return events.filter(F.col("kind") == DEV_FEE)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.median import exact_medians
 from ledgerlens.functions.scalars import gap_warning, legacy_trust_score, relative_time, status_label, to_btc
 from ledgerlens.operators import metrics, state
+from ledgerlens.sources.storage import settle
 
 SCHEMA_VERSION = 1
 
@@ -45,10 +46,12 @@ COUNTS = ("total_successful_trades", "total_volume_sats", "trades_last_7d", "tra
 def node_metrics(events: DataFrame, as_of: int) -> DataFrame:
     """One row per node with every metric.  ``events`` are typed, in scope and distinct.
 
-    Each group of facts is reduced to one row a node before groups meet, so the joins below
-    are over nodes and keep nodes that lack a group.
+    The latest states are written once and then read by columns, so the events are scanned
+    and shuffled once, however many groups of metrics follow.  Each group is reduced to one
+    row a node before groups meet, so the joins below are over nodes and keep nodes that
+    lack a group.
     """
-    events = state.not_future(events, as_of)
+    events = settle(state.facts(events, as_of), "latest-states")
     trades = state.successes(state.latest_orders(events))
     disputes = metrics.disputes_split(state.latest_disputes(events))
     nodes = events.select("pubkey").distinct()
