@@ -5,47 +5,18 @@ from __future__ import annotations
 import gc
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of anything but ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
+from ledgerlens.sources.storage import forget, settle, shared_dir
 
+__all__ = ["arrow_rows", "forget", "parts", "release", "settle", "shared_dir", "ship", "text_bytes", "words"]
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
-
-    Every executor must see that folder.  Only where the setting is missing (tests on one
-    machine) a temporary folder is made and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later steps neither
-    recompute it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete the files of a settled table that no later step reads."""
-    if df is None:
-        return
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A word is a run of anything but ASCII white space.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def release(spark: SparkSession) -> None:

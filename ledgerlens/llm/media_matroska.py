@@ -181,14 +181,15 @@ def parse(data: bytes) -> dict:
 
 
 def _parse(data: bytes, out: dict) -> None:
-    top = children(data, 0, len(data))
-    for tag, start, end, _ in top:
+    segments = 0
+    for tag, start, end, _ in children(data, 0, len(data)):
         if tag == EBML:
             out["doctype"] = next((data[a:b].decode("latin-1") for t, a, b, _ in children(data, start, end) if t == 0x4282), "")
         elif tag == SEGMENT:
+            segments += 1
             _segment(data, start, end, out)
-    if out["doctype"] not in ("matroska", "webm"):
-        raise ValueError("not a Matroska file")
+    if out["doctype"] not in ("matroska", "webm") or not segments:
+        raise ValueError("not a Matroska file, or one without a segment")
 
 
 def _segment(data: bytes, start: int, end: int, out: dict) -> None:

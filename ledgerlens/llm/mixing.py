@@ -45,7 +45,8 @@ def invert(q: Column, knots: tuple) -> Column:
         rest = F.greatest(q * whole - before, F.lit(0.0))
         slope = (h1 - h0) / (t1 - t0)
         # h0 * x + slope * x^2 / 2 = rest, in the form that stays exact for small slopes
-        x = 2 * rest / (h0 + F.sqrt(F.greatest(F.lit(h0 * h0) + 2 * slope * rest, F.lit(0.0))))
+        below = h0 + F.sqrt(F.greatest(F.lit(h0 * h0) + 2 * slope * rest, F.lit(0.0)))
+        x = F.coalesce(2 * rest / F.nullif(below, F.lit(0.0)), F.lit(0.0))
         before += part
         pieces.append((before, t0 + x))
     for upto, t in reversed(pieces):

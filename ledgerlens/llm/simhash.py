@@ -71,6 +71,8 @@ def links(fps: DataFrame) -> DataFrame:
     probes = probes.select("a", "at.seg", "at.key", ((F.col("at.seg") == 1) | (F.col("at.key") == F.col("h"))).alias("same"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
     once = (F.col("a") < F.col("b")) | (~F.col("same") & (F.col("a") != F.col("b")))
+    # A pair that agrees in the low segment is that segment's alone.
+    once = once & ((F.col("p.seg") == 1) | (F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(0xFFFFFFFF)) != 0))
     on = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key")) & near & once
     return probes.alias("p").join(table.alias("t"), on).select("a", "b")
 

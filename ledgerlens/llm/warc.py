@@ -127,10 +127,8 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
                         rows.append((*understood(headers, block), None))
                 except (ValueError, KeyError, zlib.error) as e:
                     rows.append((None, None, None, None, None, str(e) or "damaged"))
-                cols = zip(*rows) if rows else [[]] * 6
-                fixed = list(map(list, cols))
-                fixed = [fixed[0], fixed[1], fixed[2], fixed[3], fixed[4], fixed[5]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(fixed, types)], names)
+                cols = zip(*rows) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
     return arrow_rows(archives.select(content), run, RECORDS)
 

