@@ -23,6 +23,7 @@ from ledgerlens.sources.events import read_relays, typed
 
 VERSION = "0.1.0"
 ENV_KEY, ENV_RELAYS, ENV_MARKER = "LEDGERLENS_PUBKEY", "LEDGERLENS_RELAYS", "LEDGERLENS_MARKER"
+ENV_LOG = "LEDGERLENS_LOG"  # Spark's log level
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--init-config", action="store_true", help="write a starter config.toml and exit")
     p.add_argument("--force", action="store_true", help="with --init-config: overwrite")
     p.add_argument("--as-of", type=int, help="the report's instant in epoch seconds (now)")
+    p.add_argument("--legacy", action="store_true", help="add the older score, activity label and age in words")
     p.add_argument("-V", "--version", action="version", version=VERSION)
     return p
 
@@ -99,6 +101,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     if not args.quiet and tty:
         print("Reading events...", file=err)
     spark = spark or SparkSession.builder.appName("ledgerlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if os.environ.get(ENV_LOG):
+        spark.sparkContext.setLogLevel(os.environ[ENV_LOG].upper())
     events, said = read_relays(spark, relays, args.input_format)
     statuses = [vars(s) for s in said]
     for s in said:
@@ -109,7 +113,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     # One node's events are few against the sources: they are kept while the report is made.
     mine = state.unique_events(state.in_scope(typed(events), marker, pubkey)).persist()
     try:
-        made, warning = node_report(mine, as_of, wanted, today)
+        made, warning = node_report(mine, as_of, wanted, today, args.legacy)
     finally:
         mine.unpersist()
     if made is None:
@@ -126,7 +130,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     return params.OK
 
 
-def node_report(events, as_of: int, wanted: params.Range, today: date) -> tuple[dict | None, str | None]:
+def node_report(events, as_of: int, wanted: params.Range, today: date, legacy: bool = False) -> tuple[dict | None, str | None]:
     """The nested report of the only node in ``events`` and a warning about its grid."""
     past = state.not_future(events, as_of)
     trades, fees = state.successes(state.latest_orders(past)), state.dev_fees(past)
@@ -135,9 +139,13 @@ def node_report(events, as_of: int, wanted: params.Range, today: date) -> tuple[
     warning = params.wide_warning(*resolved) if resolved else None
     view, since, until = resolved or ("daily", date(1970, 1, 2), date(1970, 1, 1))
     buckets = grid.activity_grid(fees, trades, as_of, view, since, until)
-    whole = report.nested(report.node_metrics(events, as_of), metrics.fetch_summary(past), metrics.fiat_shares(trades), metrics.payment_shares(trades), buckets)
+    figures = report.node_metrics(events, as_of)
+    whole = report.nested(figures, metrics.fetch_summary(past), metrics.fiat_shares(trades), metrics.payment_shares(trades), buckets)
     row = report.as_json(whole).first()
-    return (json.loads(row["json"]) if row else None), warning
+    made = json.loads(row["json"]) if row else None
+    if made and legacy:
+        made["legacy"] = report.legacy_columns(figures, as_of).select(*report.LEGACY).first().asDict()
+    return made, warning
 
 
 if __name__ == "__main__":

@@ -53,6 +53,8 @@ def _lines(report: dict, relays: Sequence[dict], sections: Sequence[str]) -> lis
             out += [("stats", f"{label} {r[key]}", f"{r['mentions']:,} ({100 * r['share']:.1f} % of mentions)", False) for r in sorted(rows, key=lambda r: (-r["mentions"], r[key]))]
             if not rows:
                 out.append(("stats", label, "not applicable", False))
+        for name, value in report.get("legacy", {}).items():
+            out.append(("stats", name.replace("_", " ").capitalize(), shown(name, value) + ("/100 (older formula: age, volume and number of trades)" if name == "legacy_trust_score" else ""), False))
     if "recommendations" in sections:
         out += [("recommendations", "", x, False) for x in report["recommendations"]]
     return out

@@ -73,6 +73,9 @@ def node_metrics(events: DataFrame, as_of: int) -> DataFrame:
     return out.select("pubkey", *MEANING)
 
 
+LEGACY = ("legacy_trust_score", "legacy_status", "last_trade_age", "volume_btc")
+
+
 def legacy_columns(report: DataFrame, as_of: int) -> DataFrame:
     """The report with the older score, activity label and age in words."""
     return report.withColumns({

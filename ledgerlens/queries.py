@@ -338,6 +338,29 @@ def activity_status_label(spark, sf_dir):
     return metrics.liveness(trades(spark, sf_dir), AS_OF).select("pubkey", scalars.status_label(F.col("days_since_last_trade")).alias("status"))
 
 
+@query("report_labels", f"""WITH {ORDERS_SQL}, nodes AS (SELECT DISTINCT pubkey FROM past_orders), {GAP_SQL}, v AS (SELECT pubkey, CAST(coalesce(sum(amt), 0) AS BIGINT) AS sats, count(*) AS n FROM trades GROUP BY pubkey)
+  SELECT pubkey, round(sats / 1e8, 4) AS volume_btc, format('{{:,}}', sats) AS volume_text, CASE WHEN n >= 70 THEN 'green' WHEN n >= 40 THEN 'yellow' ELSE 'red' END AS band, CASE WHEN gap > 7 THEN 'no trade for ' || gap || ' days in a row' END AS gap_note FROM v JOIN gaps USING (pubkey)""")
+def report_labels(spark, sf_dir):
+    """Volume in bitcoin and with separators, a score's colour band, and the gap warning."""
+    t = trades(spark, sf_dir)
+    gaps = metrics.filled_activity(t.select("pubkey").distinct(), t, AS_OF)
+    df = metrics.cumulative(t).join(gaps, "pubkey")
+    sats = F.col("total_volume_sats").cast("bigint")
+    return df.select("pubkey", F.round(scalars.to_btc(sats), 4).alias("volume_btc"), F.format_number(sats, 0).alias("volume_text"), scalars.score_band(F.col("total_successful_trades")).alias("band"), scalars.gap_warning(F.col("max_consecutive_inactive_days_last_30d")).alias("gap_note"))
+
+
+@query("oldest_dev_fee", f"WITH {FEES_SQL} SELECT pubkey, min(created_at) AS first_seen_at, count(*) AS dev_fee_events FROM fees GROUP BY pubkey")
+def oldest_dev_fee(spark, sf_dir):
+    return fees(spark, sf_dir).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
+
+
+@query("one_node_scan", f"WITH {ORDERS_SQL} SELECT id, created_at, s FROM past_orders WHERE pubkey = lpad('7', 64, '0')")
+def one_node_scan(spark, sf_dir):
+    """One author's events: the same plan, filtered."""
+    events = state.in_scope(typed(A.order_events(spark, sf_dir)), A.MARKER, "7".rjust(64, "0"))
+    return state.not_future(state.unique_events(events), AS_OF).select("id", "created_at", "s")
+
+
 @query("epoch_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S UTC') AS at, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
 def epoch_text(spark, sf_dir):
     at = A.epoch("o_orderdate")

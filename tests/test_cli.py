@@ -30,7 +30,7 @@ def run(spark, tmp_path, monkeypatch):
 
 
 def test_json_report(run):
-    code, out, err = run("--format", "json", relays=None if False else run.path + ",/no/such/file.json")
+    code, out, err = run("--format", "json", relays=run.path + ",/no/such/file.json")
     doc = json.loads(out)
     assert code == P.OK and doc["schema_version"] == 1 and [r["ok"] for r in doc["relays"]] == [True, False] and "/no/such/file.json" in err
     assert doc["stats"]["cumulative"] == {"total_successful_trades": 2, "total_volume_sats": 4000000}
@@ -49,6 +49,12 @@ def test_plain_and_console(run):
     assert "\x1b[" not in out and "RECOMMENDATIONS" in out
 
 
+def test_legacy_lines(run):
+    code, out, _ = run("--legacy", "--format", "plain")
+    assert code == 0 and "Legacy trust score: 5/100" in out and "Legacy status: INACTIVE" in out and "Last trade age: 1 month ago" in out
+    assert "legacy" in json.loads(run("--legacy", "--format", "json")[1])
+
+
 def test_exit_codes(run, tmp_path):
     assert run(key=None)[0] == P.USAGE
     assert run("--sections", "nope")[0] == P.USAGE
