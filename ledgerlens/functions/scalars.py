@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from ledgerlens.schema import DAY
 
+# Activity labels with the most days since the last trade that each allows.
+INACTIVE, LOW_ACTIVITY, ACTIVE = "INACTIVE", "LOW ACTIVITY", "ACTIVE"
+ACTIVE_DAYS, LOW_ACTIVITY_DAYS = 7, 30
+# The older score's points and what earns them in full (a year, 1 BTC, 100 trades),
+# and the least scores of its colour bands.
+AGE_POINTS, VOLUME_POINTS, TRADE_POINTS = 30.0, 40.0, 30.0
+FULL_DAYS, FULL_BTC, FULL_TRADES = 365.0, 1.0, 100.0
+GREEN, YELLOW = 70, 40
+# Satoshis in a bitcoin, and the idle days beyond which a gap is marked.
+SATS, LONG_GAP = 1e8, 7
+
 
 def timestamp(epoch: Column) -> Column:
     return F.timestamp_seconds(epoch)
@@ -26,7 +37,7 @@ def whole(a: Column, b: int) -> Column:
 
 
 def relative_time(epoch: Column, now: Column) -> Column:
-    """Age in words.  Ages of 365 to 729 days read "1 years ago"."""
+    """Age in words (fixed wording).  Ages of 365 to 729 days read "1 years ago"."""
     age = now - epoch
     days = whole(age, DAY)
 
@@ -49,28 +60,31 @@ def relative_time(epoch: Column, now: Column) -> Column:
 
 
 def status_label(days_since_last: Column) -> Column:
-    return F.when(days_since_last > 30, "INACTIVE").when(days_since_last > 7, "LOW ACTIVITY").when(days_since_last.isNotNull(), "ACTIVE")
+    label = F.when(days_since_last > LOW_ACTIVITY_DAYS, INACTIVE).when(days_since_last > ACTIVE_DAYS, LOW_ACTIVITY)
+    return label.when(days_since_last.isNotNull(), ACTIVE)
 
 
 def to_btc(sats: Column) -> Column:
-    return sats.cast("double") / 1e8
+    return sats.cast("double") / SATS
 
 
 def legacy_trust_score(days: Column, sats: Column, trades: Column) -> Column:
-    """0..100: 30 for a year of age, 40 for one bitcoin of volume, 30 for a hundred trades."""
-    one = F.lit(1.0)
-    age = F.least(F.coalesce(days, F.lit(0.0)) / 365.0, one) * 30.0
-    size = F.least(to_btc(F.coalesce(sats, F.lit(0))), one) * 40.0
-    count = F.least(F.coalesce(trades, F.lit(0)).cast("double") / 100.0, one) * 30.0
-    return F.greatest((age + size + count).cast("bigint"), F.lit(0).cast("bigint"))
+    """0..100: points for age, volume and trades, each in full from a limit on; null counts as 0."""
+    parts = (
+        (days.cast("double") / FULL_DAYS, AGE_POINTS),
+        (to_btc(sats) / FULL_BTC, VOLUME_POINTS),
+        (trades.cast("double") / FULL_TRADES, TRADE_POINTS),
+    )
+    points = [F.least(F.coalesce(share, F.lit(0.0)), F.lit(1.0)) * most for share, most in parts]
+    return F.greatest((points[0] + points[1] + points[2]).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score >= 70, "green").when(score >= 40, "yellow").otherwise("red")
+    return F.when(score >= GREEN, "green").when(score >= YELLOW, "yellow").otherwise("red")
 
 
 def gap_warning(days: Column) -> Column:
-    return F.when(days > 7, F.format_string("no trade for %d days in a row", days))
+    return F.when(days > LONG_GAP, F.format_string("no trade for %d days in a row", days))
 
 
 def bucket(epoch: Column, view: str) -> Column:
