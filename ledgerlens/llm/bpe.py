@@ -21,9 +21,12 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import arrow_rows
 
 NAME = "word_bpe_49k.json"
-#: Entries of a worker's pre-token cache; it is emptied when full.
-CACHE = 250_000
+#: Entries of one generation of a worker's pre-token cache; two are kept.
+CACHE = 150_000
+#: Documents whose ids are gathered before they leave as an Arrow batch.
+ROWS = 256
 END = "</w>"
 NEVER = 1 << 62
 
@@ -121,7 +126,8 @@ class Coder:
             raise ValueError("only BPE vocabularies with word ends and no decoder")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
+        self.ids = {**self.vocab, **self.special}
+        self.names = {i: s for s, i in self.ids.items()}
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in reversed(list(enumerate(model["merges"])))}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._path, self._library = path, None
@@ -158,6 +164,16 @@ class Coder:
             text = unicodedata.normalize("NFC", text)
         return FAST.findall(text.lower()), False
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """Tokens joined by spaces, as for vocabularies without a decoder; unknown ids vanish."""
+        return " ".join([s for i in ids if (s := self.names.get(i)) is not None])
+
+    def restore(self, ids: Iterable[int]) -> str:
+        """The normalised text's pre-tokens joined by spaces: bytes and word ends undone."""
+        found = [s for i in ids if (s := self.names.get(i)) is not None]
+        marked = "".join([s + END if s in self.special else s for s in found])
+        return " ".join(w if w in self.special else bytes([BYTES[c] for c in w]).decode("utf-8", "replace") for w in marked.split(END) if w)
+
 
 @lru_cache(1)
 def coder(path: str) -> Coder:
@@ -165,59 +181,64 @@ def coder(path: str) -> Coder:
 
 
 class Cache(dict):
-    """Results by pre-token, at most ``CACHE`` besides those it starts with."""
+    """Results by pre-token, besides those it starts with, in two generations of ``CACHE``.
+
+    When the young generation is full it becomes the old one, whose entries return as they
+    are asked for again; so frequent pre-tokens stay and rare ones go.
+    """
 
     def __init__(self, make: Callable, start: dict | None = None) -> None:
         super().__init__(start or {})
-        self.make, self.start = make, start or {}
+        self.make, self.start, self.old = make, start or {}, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE + len(self.start):
+            self.old = dict(self)
             self.clear()
             self.update(self.start)
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
 class Encoder:
-    """Texts to ids and back, with caches of (count, ids, tokens) as joined strings."""
+    """Texts to what ``entry`` makes of each pre-token's tokens, by way of the caches."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entry: Callable[[Coder, list[str]], tuple]) -> None:
         self.coder = c = coder(path)
+        self.special = {s: entry(c, [s]) for s in c.special}
+        self.mapped = Cache(lambda m: entry(c, c.tokens(m)))
+        self.plain = Cache(lambda w: entry(c, c.tokens(c.alphabet(w))))
 
-        def entry(mapped: str) -> tuple[int, str, str]:
-            found = c.tokens(mapped)
-            return len(found), " ".join([str(c.vocab[t]) for t in found]), " ".join(found)
-
-        self.mapped = Cache(entry)
-        self.plain = Cache(lambda w: entry(c.alphabet(w)))
-
-    def entries(self, text: str) -> list[tuple[int, str, str]]:
-        out: list[tuple[int, str, str]] = []
+    def entries(self, text: str) -> list[tuple]:
+        out: list[tuple] = []
         for part, special in self.coder.pieces(text):
             if special:
-                out.append((1, str(self.coder.special[part]), part))
+                out.append(self.special[part])
             else:
                 found, mapped = self.coder.split(part)
                 out += map((self.mapped if mapped else self.plain).__getitem__, found)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.entries(text) for i in ids.split(" ")]
 
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as for vocabularies without a decoder; unknown ids vanish."""
-        return " ".join([s for i in ids if (s := self.coder.names.get(i)) is not None])
+def as_text(c: Coder, tokens: list[str]) -> tuple[int, str, str]:
+    """Count, ids joined by spaces, and tokens joined by spaces."""
+    return len(tokens), " ".join([str(c.ids[t]) for t in tokens]), " ".join(tokens)
 
-    def restore(self, ids: list[int]) -> str:
-        """The normalised text's pre-tokens joined by spaces: bytes and word ends undone."""
-        marked = "".join([s + END if i in self.coder.special.values() else s for i in ids if (s := self.coder.names.get(i)) is not None])
-        return " ".join(bytes([BYTES[c] for c in w]).decode("utf-8", "replace") for w in marked.split(END) if w)
 
+def as_ids(c: Coder, tokens: list[str]) -> tuple[int, ...]:
+    return tuple([c.ids[t] for t in tokens])
 
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+
+@lru_cache(2)
+def encoder(path: str, entry: Callable = as_ids) -> Encoder:
+    return Encoder(path, entry)
+
+
+def encode(path: str, text: str) -> list[int]:
+    return [*chain.from_iterable(encoder(path).entries(text))]
 
 
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -226,31 +247,39 @@ DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 def bpe_digests(docs: DataFrame, name: str = NAME) -> DataFrame:
     """One row per document: token count, and digests of its ids and of their decoding.
 
-    Decoding maps each id back through the vocabulary's names; the ids that come out of the
-    encoder are looked up once per cached pre-token.
+    Decoding joins the vocabulary's names of the ids; names are looked up once per cached
+    pre-token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(public_tokenizers.path(name))
+        code = encoder(public_tokenizers.path(name), as_text)
+        sha = lambda found, k: hashlib.sha256(" ".join([e[k] for e in found]).encode()).hexdigest()
         for batch in batches:
-            n, ids, back = [], [], []
+            rows = []
             for x in batch.column(1):
                 found = code.entries(x.as_py())
-                n.append(sum([e[0] for e in found]))
-                ids.append(hashlib.sha256(" ".join([e[1] for e in found]).encode()).hexdigest())
-                back.append(hashlib.sha256(" ".join([e[2] for e in found]).encode()).hexdigest())
+                rows.append((sum([e[0] for e in found]), sha(found, 1), sha(found, 2)))
+            n, ids, back = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, DIGEST)
 
 
 def encode_documents(docs: DataFrame, name: str = NAME) -> DataFrame:
-    """The general form: doc_id, the ids, and the text that decoding them gives."""
+    """The general form: doc_id, the ids, and the text that decoding them gives.  Ids are
+    gathered as 32-bit numbers, ``ROWS`` documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(public_tokenizers.path(name))
+        decode = code.coder.decode
         for batch in batches:
-            ids = [code.encode(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(code.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, len(batch), ROWS):
+                part, ids, ends, back = batch.slice(at, ROWS), array("i"), [0], []
+                for x in part.column(1):
+                    ids.extend(chain.from_iterable(code.entries(x.as_py())))
+                    back.append(decode(ids[ends[-1] :]))
+                    ends.append(len(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
     return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, "doc_id bigint, ids array<int>, decoded string")

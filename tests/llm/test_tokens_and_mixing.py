@@ -36,14 +36,15 @@ def test_digests_equal_the_library(spark, library):
 
 
 def test_random_texts(library):
-    code, count = bpe.encoder(public_tokenizers.path(bpe.NAME)), token_counts.counter(public_tokenizers.path(bpe.NAME))
+    path = public_tokenizers.path(bpe.NAME)
+    code, count = bpe.coder(path), token_counts.counter(public_tokenizers.path(bpe.NAME))
     rnd = random.Random(11)
     near = [chr(c) for c in range(0x180)] + list("abcdefghrstlmv' ") * 20
     wide = near + [chr(c) for c in (0x300, 0x301, 0x3A3, 0x130, 0x1100, 0x1161, 0x200B, 0x1F600, 0xFEFF, 0x2028, 0x1E9E, 0xAC00)] * 6
     for n in range(3000):
         s = "".join(rnd.choice(wide if n % 2 else near) for _ in range(rnd.randrange(50)))
         ids = library.encode(s, add_special_tokens=False).ids
-        assert code.encode(s) == ids and count.count(s) == len(ids), s
+        assert bpe.encode(path, s) == ids and count.count(s) == len(ids), s
         assert code.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
@@ -78,7 +79,15 @@ def test_proven_tokens_are_whole(library):
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 3)
     c = bpe.Cache(len, {"k": 9})
-    assert [c[x] for x in ("k", "a", "bb", "ccc", "dddd", "k", "a")] == [9, 1, 2, 3, 4, 9, 1] and len(c) <= 4
+    assert [c[x] for x in ("k", "a", "bb", "ccc", "dddd", "k", "a")] == [9, 1, 2, 3, 4, 9, 1]
+    for i in range(40):
+        assert c["x" * i] == i and len(c) <= 4 and len(c.old) <= 4
+
+
+def test_restoring_undoes_bytes_and_word_ends():
+    path = public_tokenizers.path(bpe.NAME)
+    for text, want in (("Hello wörld 你好!", "hello wörld 你好 !"), ("a<|endoftext|>b", "a <|endoftext|> b"), ("", "")):
+        assert bpe.coder(path).restore(bpe.encode(path, text)) == want
 
 
 def plan_by_hand(sizes):
