@@ -117,6 +117,9 @@ def within_one(a: Column, b: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(none, d, th, ln, near): each line that goes; near is false for equal lines."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    if _repeats(docs):
+        docs = docs.distinct()
     seen = settle(occurrences(docs), "lines")
     place = F.struct("none", "d", "th", "ln")
     name = ["a", "b", "n"]
@@ -132,10 +135,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     ranked = settle(possible.orderBy("none", "d", "th", "ln").withColumn("rank", F.monotonically_increasing_id()), "possible-lines")
     release(spark)
     wanted = ranked.groupBy("none", "d", "th").agg(F.collect_list(F.struct("ln", "rank", "n", "by_prefix", "by_suffix")).alias("want"))
-    texts = _keyed(docs).dropDuplicates(["none", "d", "th"]) if _repeats(docs) else _keyed(docs)
-    got = texts.join(wanted, ["none", "d", "th"]).select(F.explode(F.transform("want", lambda w: F.struct(w["rank"].alias("rank"), w["n"].alias("n"), w["by_prefix"].alias("by_prefix"), w["by_suffix"].alias("by_suffix"), F.get("lines", w["ln"]).alias("line")))).alias("l")).select("l.*")
+    got = _keyed(docs).join(wanted, ["none", "d", "th"]).select(F.explode(F.transform("want", lambda w: F.struct(w["rank"].alias("rank"), w["n"].alias("n"), w["by_prefix"].alias("by_prefix"), w["by_suffix"].alias("by_suffix"), F.get("lines", w["ln"]).alias("line")))).alias("l")).select("l.*")
     lines = settle(got, "possible-texts")
-    del got, texts
+    del got
     release(spark)
     emitted = variants(lines)
     least = emitted.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("rank"))).alias(f"m{r}") for r in (WHOLE, DELETED, REPLACED)], F.max("rank").alias("top"))
@@ -151,7 +153,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rows = seen.select("none", "d", "th", "ln", *name).join(first.select(*name, "first"), name)
     rows = rows.join(near.withColumn("hit", F.lit(True)), name, "left")
     same = F.struct("none", "d", "th", "ln") != F.col("first")
-    return settle(rows.filter(same | F.col("hit")).select("none", "d", "th", "ln", (~same).alias("near")), "removed-lines")
+    gone = settle(rows.filter(same | F.col("hit")).select("none", "d", "th", "ln", (~same).alias("near")), "removed-lines")
+    for table in (seen, first, near):
+        forget(spark, table)
+    release(spark)
+    return gone
 
 
 def _repeats(docs: DataFrame) -> bool:
