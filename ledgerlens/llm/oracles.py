@@ -21,13 +21,14 @@ c AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN repeats USING (r)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT f.* FROM f JOIN good USING (doc_id) WHERE NOT base_failed),
-strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
-facts AS ({" UNION ALL ".join(f"SELECT lang, '{r}' AS rule, {a} AS top, {b} AS below FROM held" for r, (a, b) in RULES.items())}),
-lost AS (SELECT lang, rule, cut, count(*) FILTER (top * 1000 > below * cut) AS k FROM facts, (SELECT unnest({list(GRID)}) AS cut) GROUP BY ALL),
-tested AS (SELECT lost.lang, rule, cut, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln({1 - RISK / len(RULES)})))) AS p FROM lost JOIN strata ON lost.lang IS NOT DISTINCT FROM strata.lang),
-cuts AS (SELECT lang, {", ".join(f"min(cut) FILTER (rule = '{r}' AND p <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)})) AS cut_{r}" for r in RULES)} FROM tested GROUP BY lang)
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT f.*, good FROM f JOIN known USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT lang, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad FROM held GROUP BY lang HAVING count(*) FILTER (good) > 0),
+facts AS ({" UNION ALL ".join(f"SELECT lang, good, '{r}' AS rule, {a} AS top, {b} AS below FROM held" for r, (a, b) in RULES.items())}),
+lost AS (SELECT lang, rule, cut, count(*) FILTER (good AND top * 1000 > below * cut) AS k, count(*) FILTER (NOT good AND top * 1000 > below * cut) AS k_bad FROM facts, (SELECT unnest({list(GRID)}) AS cut) GROUP BY ALL),
+tested AS (SELECT lost.lang, rule, cut, k_bad * n - k * n_bad AS gain, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln({1 - RISK / len(RULES)})))) AS p FROM lost JOIN strata ON lost.lang IS NOT DISTINCT FROM strata.lang),
+safe AS (SELECT * FROM tested WHERE gain > 0 AND p <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)})),
+cuts AS (SELECT lang, {", ".join(f"arg_max(cut, (gain, cut)) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM safe GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({" OR ".join(f"coalesce({a} * 1000 > {b} * cut_{r}, false)" for r, (a, b) in RULES.items())}) AS kept, {", ".join(f"cut_{r}" for r in RULES)}
 FROM f LEFT JOIN cuts ON f.lang IS NOT DISTINCT FROM cuts.lang"""

@@ -7,8 +7,10 @@ the text is rejected where the ratio lies above the cutoff.  Cutoffs are chosen
 ``delta / (rules * strata)`` (Bonferroni over rules and strata).  Within a rule the grid is
 tested from the mildest cutoff to the strictest and stops at the first failure (fixed
 sequence testing), which needs no further correction.  So with probability 1 - delta, no
-stratum loses more than ``risk`` of its good texts.  Strata with too few labels get no
-cutoff and reject nothing.
+stratum loses more than ``risk`` of its good texts, whichever safe cutoff is then chosen:
+the one with the largest difference between the shares of bad and of good texts that it
+rejects, of equal ones the mildest.  Strata with too few labels get no cutoff and reject
+nothing.
 
 Cases: a null text has no words and fails the base rules; a null language is a stratum of
 its own; a document with several labels counts as good only if all say so; repeated rows are
@@ -99,14 +101,22 @@ def over(rule: str, cutoff: Column | int) -> Column:
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with labels: the strictest safe cutoff of each rule, or null."""
-    good = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select(F.col("doc_id").alias("__id"))
-    held = counted.filter(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("__id"))
-    lost = [F.count_if(over(r, c)).alias(f"{r}_{c}") for r in RULES for c in GRID]
-    tested = settle(held.groupBy(F.col(stratum).alias("__stratum")).agg(F.count("*").alias("n"), *lost), "quality-strata")
+    """One row per stratum with good labels: the best safe cutoff of each rule, or null."""
+    known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good")).select(F.col("doc_id").alias("__id"), "good")
+    held = counted.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("__id"))
+    good = F.col("good") == 1
+    lost = [F.count_if(over(r, c) & (good if q else ~good)).alias(f"{r}_{c}_{q}") for r in RULES for c in GRID for q in (1, 0)]
+    tested = settle(held.groupBy(F.col(stratum).alias("__stratum")).agg(F.count_if(good).alias("n"), F.count_if(~good).alias("n_bad"), *lost).filter("n > 0"), "quality-strata")
     most = critical(F.col("n"), risk / len(RULES), F.lit(delta / (max(tested.count(), 1) * len(RULES))))
-    safe = [F.array_min(F.array(*[F.when(F.col(f"{r}_{c}") <= F.col("most"), F.lit(c)) for c in GRID])).alias(f"cut_{r}") for r in RULES]
-    return tested.withColumn("most", most).select("__stratum", *safe)
+
+    def best(rule: str) -> Column:
+        made = []
+        for c in GRID:
+            gain = F.col(f"{rule}_{c}_0") * F.col("n") - F.col(f"{rule}_{c}_1") * F.col("n_bad")  # times n * n_bad
+            made.append(F.when((F.col(f"{rule}_{c}_1") <= F.col("most")) & (gain > 0), F.struct(gain.alias("gain"), F.lit(c).alias("cut"))))
+        return F.array_max(F.array(*made))["cut"]
+
+    return tested.withColumn("most", most).select("__stratum", *[best(r).alias(f"cut_{r}") for r in RULES])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
