@@ -29,7 +29,7 @@ ENV_LOG = "LEDGERLENS_LOG"  # Spark's log level
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="ledgerlens", description="Reputation report of one node from its signed events.")
     p.add_argument("-p", "--pubkey", help=f"the node, as 64 hex digits or npub (or {ENV_KEY})")
-    p.add_argument("-r", "--relays", help=f"comma-separated sources of events (or {ENV_RELAYS}, or the configuration file)")
+    p.add_argument("-r", "--relays", help=f"comma-separated sources of events: paths, or ws:// and wss:// addresses (or {ENV_RELAYS}, or the configuration file)")
     p.add_argument("-m", "--marker", help=f"first value of the y tag of events in scope (or {ENV_MARKER}, or the configuration file)")
     p.add_argument("--input-format", default="json", help="format of the sources, as Spark names it")
     p.add_argument("--since", help="first day of the activity grid: YYYY-MM-DD, 30d, 6mo, 1y")
@@ -103,7 +103,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     spark = spark or SparkSession.builder.appName("ledgerlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if os.environ.get(ENV_LOG):
         spark.sparkContext.setLogLevel(os.environ[ENV_LOG].upper())
-    events, said = read_relays(spark, relays, args.input_format)
+    events, said = read_relays(spark, relays, args.input_format, pubkey)
     statuses = [vars(s) for s in said]
     for s in said:
         if not s.ok:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.tags import parse_amount, parse_premium, tag, tag_values
-from ledgerlens.schema import EVENT, TYPED
+from ledgerlens.schema import EVENT, SUBTYPE, TYPED
+from ledgerlens.sources.relay import read_live
 
 
 @dataclass(frozen=True)
@@ -22,14 +23,23 @@ class RelayStatus:
     message: str = ""
 
 
-def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json") -> tuple[DataFrame | None, list[RelayStatus]]:
-    """The events of every readable source, and each source's status.
+def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json", author: str | None = None) -> tuple[DataFrame | None, list[RelayStatus]]:
+    """The events of every readable source (a path, or a ws:// or wss:// address), and each
+    source's status.
 
     A source that fails is reported and left out; the frame is None only if all fail.  The
-    schema is given, never inferred, so a malformed line is null instead of an error.
+    schema is given, never inferred, so a malformed line is null instead of an error.  Live
+    relays are asked once, for one author's events if given; what they send is kept.
     """
     frames, said = [], []
-    for relay in relays:
+    live = [r for r in relays if r.startswith(("ws://", "wss://"))]
+    if live:
+        got = read_live(spark, live, [author] if author else None, list(SUBTYPE)).persist()
+        failed = {r["relay"]: r["tags"][0][1] for r in got.filter("id is null").collect()}
+        said += [RelayStatus(r, r not in failed, failed.get(r, "")) for r in live]
+        if len(failed) < len(live):
+            frames.append(got)
+    for relay in [r for r in relays if r not in live]:
         try:
             frame = spark.read.schema(EVENT).format(form).load(relay)
             frame.schema  # noqa: B018  resolves the path
