@@ -234,3 +234,19 @@ def test_facts_give_the_same_latest_states(events):
     for f in (state.latest_orders, state.latest_disputes, state.latest_info, state.dev_fees):
         assert sorted(r.id for r in f(past).collect()) == sorted(r.id for r in f(facts).collect())
     assert facts.filter("id = 'n'").count() == 1
+
+
+def test_nested_reports_hold_the_flat_figures(spark, sf_dir):
+    from ledgerlens.queries import QUERIES
+
+    flat = {r.pubkey: r.asDict() for r in QUERIES["node_report"](spark, sf_dir).collect()}
+    docs = {r.pubkey: json.loads(r.json) for r in QUERIES["report_json"](spark, sf_dir).collect()}
+    assert docs.keys() == flat.keys()
+    for pubkey, doc in docs.items():
+        for group, names in report.SECTIONS.items():
+            for n in names:
+                a, b = doc["stats"][group][n], flat[pubkey][n]
+                assert a == b or float(a) == pytest.approx(float(b), abs=1e-3), (pubkey, n)
+        assert doc["stats"]["bond_policy"]["bond_enabled"] == flat[pubkey]["bond_enabled"]
+        assert sum(b["trades"] for b in doc["activity"]) == flat[pubkey]["total_successful_trades"]
+        assert doc["stats"]["fiat"] == [] or sum(f["share"] for f in doc["stats"]["fiat"]) == pytest.approx(1)
