@@ -43,25 +43,39 @@ def latest(events: DataFrame, *keys: str) -> DataFrame:
     return events.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
 
 
+def order_states(rows: DataFrame) -> DataFrame:
+    return rows.filter((F.col("kind") == ORDER) & F.col("d").isNotNull())
+
+
+def dispute_states(rows: DataFrame) -> DataFrame:
+    return rows.filter((F.col("kind") == DISPUTE) & F.col("d").isNotNull())
+
+
+def own_info(rows: DataFrame) -> DataFrame:
+    """Info events of nodes about themselves."""
+    return rows.filter((F.col("kind") == INFO) & (F.col("d") == F.col("pubkey")))
+
+
 def latest_orders(events: DataFrame) -> DataFrame:
-    return latest(events.filter((F.col("kind") == ORDER) & F.col("d").isNotNull()), "pubkey", "d")
+    return latest(order_states(events), "pubkey", "d")
 
 
 def latest_disputes(events: DataFrame) -> DataFrame:
-    return latest(events.filter((F.col("kind") == DISPUTE) & F.col("d").isNotNull()), "pubkey", "d")
+    return latest(dispute_states(events), "pubkey", "d")
 
 
 def latest_info(events: DataFrame) -> DataFrame:
-    """Each node's last info event about itself."""
-    return latest(events.filter((F.col("kind") == INFO) & (F.col("d") == F.col("pubkey"))), "pubkey")
+    return latest(own_info(events), "pubkey")
 
 
 def facts(events: DataFrame, as_of: int | Column) -> DataFrame:
     """The latest state of every key of every kind, by one scan and one shuffle.
 
     Orders and disputes are keyed by d, info events by d as well, dev-fees by their id; an
-    order or dispute without d stands alone (it shows that the node exists, no more).  The
-    functions above give the same rows on this table as on all events.
+    order or dispute without d stands alone (it shows that the node exists, no more).  Events
+    need not be distinct: of several with one id, one is the latest.  ``order_states``,
+    ``dispute_states``, ``own_info`` and ``dev_fees`` of this table are what the ``latest_``
+    functions give on distinct events, without another window.
     """
     key = F.when(F.col("kind") == DEV_FEE, F.col("id")).otherwise(F.coalesce("d", F.concat(F.lit("id:"), "id")))
     return latest(not_future(events, as_of).withColumn("__key", key), "pubkey", "kind", "__key").drop("__key", "relay", "z", "y")

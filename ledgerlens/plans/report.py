@@ -44,7 +44,7 @@ COUNTS = ("total_successful_trades", "total_volume_sats", "trades_last_7d", "tra
 
 
 def node_metrics(events: DataFrame, as_of: int) -> DataFrame:
-    """One row per node with every metric.  ``events`` are typed, in scope and distinct.
+    """One row per node with every metric.  ``events`` are typed and in scope.
 
     The latest states are written once and then read by columns, so the events are scanned
     and shuffled once, however many groups of metrics follow.  Each group is reduced to one
@@ -52,15 +52,15 @@ def node_metrics(events: DataFrame, as_of: int) -> DataFrame:
     lack a group.
     """
     events = settle(state.facts(events, as_of), "latest-states")
-    trades = state.successes(state.latest_orders(events))
-    disputes = metrics.disputes_split(state.latest_disputes(events))
+    trades = state.successes(state.order_states(events))
+    disputes = metrics.disputes_split(state.dispute_states(events))
     nodes = events.select("pubkey").distinct()
     out = nodes.join(metrics.longevity(state.dev_fees(events), trades, as_of), "pubkey", "left")
     out = out.join(metrics.trade_summary(trades, as_of), "pubkey", "left")
     out = out.join(exact_medians(trades, ["pubkey"], "amt", "median_trade_sats"), "pubkey", "left")
     out = out.join(metrics.activity_days(trades, as_of), "pubkey", "left")
     out = out.join(disputes, "pubkey", "left")
-    out = out.join(metrics.bond_policy(state.latest_info(events)), "pubkey", "left")
+    out = out.join(metrics.bond_policy(state.own_info(events)), "pubkey", "left")
     out = metrics.with_variation(out)
     enough = F.col("n_premiums") >= 2
     out = out.withColumns({

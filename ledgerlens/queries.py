@@ -389,12 +389,7 @@ def node_report(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    # One id may name a dev-fee and a dispute of the tables; a kind at a time keeps both.
-    parts = [scoped(make(spark, sf_dir)) for make in (A.order_events, A.dispute_events, A.fee_events, A.info_events)]
-    events = parts[0]
-    for p in parts[1:]:
-        events = events.unionByName(p)
-    return report.node_metrics(events, AS_OF)
+    return report.node_metrics(state.in_scope(typed(A.all_events(spark, sf_dir)), A.MARKER), AS_OF)
 
 
 @query("legacy_trust_score", REPORT_SQL + " SELECT pubkey, CAST(greatest(0, trunc(least(coalesce(days, 0) / 365.0, 1) * 30.0 + least(coalesce(volume, 0) / 1e8, 1) * 40.0 + least(coalesce(total_successful_trades, 0) / 100.0, 1) * 30.0)) AS BIGINT) AS legacy_trust_score FROM r")

@@ -231,8 +231,9 @@ def test_tag_filter_reaches_the_scan(spark, tmp_path):
 def test_facts_give_the_same_latest_states(events):
     df = events(order("a", 1, d="o"), order("b", 2, "canceled", d="o"), order("c", AS_OF + 5, d="o"), event("n", 38383, 3, ("s", "success")), dispute("x", "initiated", "o", 1), dispute("y", "settled", "o", 2), info("i", 1, "true"), info("j", 2, "false"), info("k", 3, "true", "other"), event("f", 8383, 1), event("g", 8383, 2))
     past, facts = state.not_future(df, AS_OF), state.facts(df, AS_OF)
-    for f in (state.latest_orders, state.latest_disputes, state.latest_info, state.dev_fees):
-        assert sorted(r.id for r in f(past).collect()) == sorted(r.id for r in f(facts).collect())
+    pairs = ((state.latest_orders, state.order_states), (state.latest_disputes, state.dispute_states), (state.latest_info, state.own_info), (state.dev_fees, state.dev_fees))
+    for f, g in pairs:
+        assert sorted(r.id for r in f(past).collect()) == sorted(r.id for r in g(facts).collect())
     assert facts.filter("id = 'n'").count() == 1
 
 
