@@ -35,6 +35,7 @@ from ledgerlens.llm.common import forget, release, settle
 
 MIN_TOKENS, BOUND = 8, 1
 WHOLE, DELETED, REPLACED = 0, 1, 2
+FILTER_BITS = 1 << 26
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,6 +115,21 @@ def within_one(a: Column, b: Column) -> Column:
     return (longest - shortest <= BOUND) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - BOUND)
 
 
+def likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The ``rows`` whose keys may be among those of ``wanted``, so that texts that no join
+    needs are not shuffled.
+
+    The filter is a table of ``FILTER_BITS`` hashed bits in words of 64: at most 2^20 rows of
+    16 bytes, whatever the size of ``wanted``, so it may be broadcast.  It lets no key go; with
+    far more keys than bits it lets all rows pass.
+    """
+    at = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    masks = wanted.select(word.alias("__word"), one.alias("one")).groupBy("__word").agg(F.bit_or("one").alias("__mask"))
+    return rows.join(F.broadcast(masks), word == F.col("__word")).filter(F.getbit("__mask", bit) == 1).select(*rows.columns)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(none, d, th, ln, near): each line that goes; near is false for equal lines."""
     spark = docs.sparkSession
@@ -135,7 +151,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     ranked = settle(possible.orderBy("none", "d", "th", "ln").withColumn("rank", F.monotonically_increasing_id()), "possible-lines")
     release(spark)
     wanted = ranked.groupBy("none", "d", "th").agg(F.collect_list(F.struct("ln", "rank", "n", "by_prefix", "by_suffix")).alias("want"))
-    got = _keyed(docs).join(wanted, ["none", "d", "th"]).select(F.explode(F.transform("want", lambda w: F.struct(w["rank"].alias("rank"), w["n"].alias("n"), w["by_prefix"].alias("by_prefix"), w["by_suffix"].alias("by_suffix"), F.get("lines", w["ln"]).alias("line")))).alias("l")).select("l.*")
+    got = likely(_keyed(docs), wanted, "none", "d", "th").join(wanted, ["none", "d", "th"]).select(F.explode(F.transform("want", lambda w: F.struct(w["rank"].alias("rank"), w["n"].alias("n"), w["by_prefix"].alias("by_prefix"), w["by_suffix"].alias("by_suffix"), F.get("lines", w["ln"]).alias("line")))).alias("l")).select("l.*")
     lines = settle(got, "possible-texts")
     del got
     release(spark)

@@ -84,6 +84,16 @@ def test_running_xors_of_long_arrays(spark):
         assert L.with_runs(df, "v", "r").first().r == want
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_prefilter_lets_no_key_go(spark, monkeypatch, bits):
+    monkeypatch.setattr(L, "FILTER_BITS", bits)
+    rows = spark.range(2000).withColumn("text", F.lit("t"))
+    wanted = spark.createDataFrame([(i,) for i in range(0, 2000, 37)], "id bigint")
+    got = {r.id for r in L.likely(rows, wanted, "id").collect()}
+    assert set(range(0, 2000, 37)) <= got and (bits == 64 or len(got) < 100)
+    assert L.likely(rows, wanted.limit(0), "id").count() == 0
+
+
 def substrings_by_brute_force(rows, window=13):
     first = {}
     for i, t in rows:
