@@ -155,7 +155,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = settle(got, "possible-texts")
     del got
     release(spark)
-    emitted = variants(lines)
+    emitted = settle(variants(lines), "variants")  # read twice below
     least = emitted.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("rank"))).alias(f"m{r}") for r in (WHOLE, DELETED, REPLACED)], F.max("rank").alias("top"))
     least = least.filter("(m0 is not null and m1 is not null) or m2 < top").select("key", "m0", "m1", "m2")
     partner = F.when(F.col("role") == WHOLE, F.col("m1")).when(F.col("role") == DELETED, F.col("m0")).otherwise(F.col("m2"))
@@ -163,8 +163,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     mine, theirs = lines.select("rank", F.split("line", " ").alias("x")), lines.select(F.col("rank").alias("to"), F.split("line", " ").alias("y"))
     near = linked.join(mine, "rank").join(theirs, "to").filter(within_one(F.col("x"), F.col("y"))).select("rank")
     near = settle(ranked.join(near, "rank").select("a", "b", "n"), "near-lines")
-    forget(spark, lines)
-    forget(spark, ranked)
+    for table in (emitted, lines, ranked):
+        forget(spark, table)
     release(spark)
     rows = seen.select("none", "d", "th", "ln", *name).join(first.select(*name, "first"), name)
     rows = rows.join(near.withColumn("hit", F.lit(True)), name, "left")
