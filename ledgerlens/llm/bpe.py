@@ -3,7 +3,7 @@
 A pre-token's symbols are merged by a segment tree over the ranks of adjacent pairs: its root
 holds the leftmost pair of the lowest rank; a merge changes two neighbouring pairs and one
 vanishing pair, three point updates of logarithmic cost each; it ends when no pair can merge.
-Pre-tokens repeat, so each worker keeps the results of those seen last, in a bounded cache.
+Nodes have sixteen children.  Pre-tokens repeat, so each worker keeps the results of those seen last, in a bounded cache.
 
 Splitting a text follows the vocabulary file: special tokens first, then normalisation
 (NFC, white space, lower case), then the split pattern and the byte alphabet.  Texts made of
@@ -24,7 +24,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +36,7 @@ from ledgerlens.llm.common import arrow_rows
 
 NAME = "word_bpe_49k.json"
 #: Entries of one generation of a worker's pre-token cache; two are kept.
-CACHE = 150_000
+CACHE = 250_000
 #: Documents whose ids are gathered before they leave as an Arrow batch.
 ROWS = 256
 END = "</w>"
@@ -53,6 +53,13 @@ def byte_alphabet() -> list[str]:
 
 ALPHABET = byte_alphabet()
 BYTES = {c: b for b, c in enumerate(ALPHABET)}
+
+
+def unmapped(text: str) -> bytes:
+    """The bytes that stand behind text in the byte alphabet."""
+    return bytes([BYTES[c] for c in text])
+
+
 #: Characters that the fast split takes: below U+0180, without U+0130 (its lower case has two).
 OTHER = re.compile("[^\\x00-įı-ſ]")
 
@@ -65,54 +72,61 @@ _LETTERS, _NUMBERS, _BLANKS = _class("L"), _class("N"), "\\t-\\r \x85\xa0"
 FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """The symbols after all merges, always the leftmost pair of the lowest rank first."""
+#: A pair of ids is one number, so that looking up its rank hashes no text.
+PAIR = 32
+#: Children of a node of the tree: one comparison of so many is one step of the interpreter.
+FAN = 16
+
+
+def merge(symbols: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The ids after all merges, always the leftmost pair of the lowest rank first.
+
+    ``ranks`` has the rank of each mergeable pair (left << PAIR | right), ``made`` the id that
+    the merge of each rank gives.
+    """
     n = len(symbols)
     if n < 2:
         return symbols
-    symbols = list(symbols)
-    leaves = 1 << (n - 2).bit_length()
-    # A node holds rank * n + position, so the least is the leftmost of the lowest rank.
-    tree = [NEVER] * (2 * leaves)
-    for i in range(n - 1):
-        if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None:
-            tree[leaves + i] = r * n + i
-    for k in range(leaves - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    if tree[1] == NEVER:
+    find = ranks.get
+    # A leaf holds rank * n + position, so the least is the leftmost of the lowest rank.
+    leaf = [NEVER if (r := find(a << PAIR | b)) is None else r * n + i for i, (a, b) in enumerate(pairwise(symbols))]
+    if min(leaf) == NEVER:
         return symbols
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        k = leaves + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a < b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-
-    while (least := tree[1]) != NEVER:
-        i = least % n
+    levels = [leaf]
+    while len(levels[-1]) > 1 or len(levels) == 1:
+        below = levels[-1]
+        levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    top, flat = levels[-1], len(levels) == 2
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    while (least := top[0]) != NEVER:
+        r, i = divmod(least, n)
         j = after[i]
-        symbols[i] += symbols[j]
-        symbols[j] = ""
+        symbols[i] = new = made[r]
+        symbols[j] = -1
         after[i] = k = after[j]
-        if j < n - 1:
-            put(j, NEVER)  # the pair that began with the right symbol
         if k < n:
             before[k] = i
-            r = ranks.get((symbols[i], symbols[k]))
-            put(i, NEVER if r is None else r * n + i)
+            leaf[j] = NEVER  # the pair that began with the right symbol
+            r = find(new << PAIR | symbols[k])
+            leaf[i] = NEVER if r is None else r * n + i
         else:
-            put(i, NEVER)
+            leaf[i] = NEVER
         if (h := before[i]) >= 0:
-            r = ranks.get((symbols[h], symbols[i]))
-            put(h, NEVER if r is None else r * n + h)
-    return [s for s in symbols if s]
+            r = find(symbols[h] << PAIR | new)
+            leaf[h] = NEVER if r is None else r * n + h
+        if flat:  # all three leaves are below the root
+            top[0] = min(leaf)
+            continue
+        for at in (j, i, h):
+            for below, above in pairwise(levels):
+                if at < 0 or at >= len(below):
+                    break
+                at //= FAN
+                least = min(below[at * FAN : at * FAN + FAN])
+                if above[at] == least:
+                    break
+                above[at] = least
+    return [s for s in symbols if s >= 0]
 
 
 class Coder:
@@ -126,9 +140,14 @@ class Coder:
             raise ValueError("only BPE vocabularies with word ends and no decoder")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.ids = {**self.vocab, **self.special}
-        self.names = {i: s for s, i in self.ids.items()}
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in reversed(list(enumerate(model["merges"])))}
+        self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
+        self.ranks, self.made = {}, []
+        for r, m in enumerate(model["merges"]):
+            a, b = m if isinstance(m, list) else m.split(" ")
+            self.ranks.setdefault(self.vocab[a] << PAIR | self.vocab[b], r)
+            self.made.append(self.vocab[a + b])
+        self.inner = [self.vocab[c] for c in ALPHABET]
+        self.last = [self.vocab[c + END] for c in ALPHABET]
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._path, self._library = path, None
 
@@ -139,12 +158,14 @@ class Coder:
             self._library = Tokenizer.from_file(self._path)
         return self._library
 
-    def alphabet(self, pre_token: str) -> str:
-        return "".join([ALPHABET[b] for b in pre_token.encode("utf-8")])
-
-    def tokens(self, mapped: str) -> list[str]:
-        """The tokens of a pre-token that is already in the byte alphabet."""
-        return merge([*mapped[:-1], mapped[-1] + END], self.ranks) if mapped else []
+    def tokens(self, raw: bytes) -> list[int]:
+        """The ids of a pre-token's UTF-8 bytes."""
+        if not raw:
+            return []
+        inner = self.inner
+        symbols = [inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return merge(symbols, self.ranks, self.made)
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of a text, and whether each is a special token."""
@@ -172,7 +193,7 @@ class Coder:
         """The normalised text's pre-tokens joined by spaces: bytes and word ends undone."""
         found = [s for i in ids if (s := self.names.get(i)) is not None]
         marked = "".join([s + END if s in self.special else s for s in found])
-        return " ".join(w if w in self.special else bytes([BYTES[c] for c in w]).decode("utf-8", "replace") for w in marked.split(END) if w)
+        return " ".join(w if w in self.special else unmapped(w).decode("utf-8", "replace") for w in marked.split(END) if w)
 
 
 @lru_cache(1)
@@ -208,9 +229,9 @@ class Encoder:
 
     def __init__(self, path: str, entry: Callable[[Coder, list[str]], tuple]) -> None:
         self.coder = c = coder(path)
-        self.special = {s: entry(c, [s]) for s in c.special}
-        self.mapped = Cache(lambda m: entry(c, c.tokens(m)))
-        self.plain = Cache(lambda w: entry(c, c.tokens(c.alphabet(w))))
+        self.special = {s: entry(c, [i]) for s, i in c.special.items()}
+        self.mapped = Cache(lambda m: entry(c, c.tokens(unmapped(m))))
+        self.plain = Cache(lambda w: entry(c, c.tokens(w.encode("utf-8"))))
 
     def entries(self, text: str) -> list[tuple]:
         out: list[tuple] = []
@@ -223,13 +244,13 @@ class Encoder:
         return out
 
 
-def as_text(c: Coder, tokens: list[str]) -> tuple[int, str, str]:
+def as_text(c: Coder, ids: list[int]) -> tuple[int, str, str]:
     """Count, ids joined by spaces, and tokens joined by spaces."""
-    return len(tokens), " ".join([str(c.ids[t]) for t in tokens]), " ".join(tokens)
+    return len(ids), " ".join(map(str, ids)), " ".join([c.names[i] for i in ids])
 
 
-def as_ids(c: Coder, tokens: list[str]) -> tuple[int, ...]:
-    return tuple([c.ids[t] for t in tokens])
+def as_ids(c: Coder, ids: list[int]) -> tuple[int, ...]:
+    return tuple(ids)
 
 
 @lru_cache(2)

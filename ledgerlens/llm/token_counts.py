@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.bpe import BYTES, END, NAME, Cache, Coder, coder
+from ledgerlens.llm.bpe import BYTES, END, NAME, Cache, Coder, coder, unmapped
 from ledgerlens.llm.common import arrow_rows
 
 LIMIT = 2048
@@ -28,9 +28,9 @@ def whole_tokens(code: Coder) -> dict[str, int]:
     for s in code.vocab:
         if s.endswith(END) and len(s) > len(END):
             mapped = s[: -len(END)]
-            if all(c in BYTES for c in mapped) and code.tokens(mapped) == [s]:
+            if set(mapped) <= BYTES.keys() and code.tokens(raw := unmapped(mapped)) == [code.vocab[s]]:
                 try:
-                    out[bytes([BYTES[c] for c in mapped]).decode("utf-8")] = 1
+                    out[raw.decode("utf-8")] = 1
                 except UnicodeDecodeError:  # part of a character: no pre-token is that
                     continue
     return out
@@ -40,8 +40,8 @@ class Counter:
     def __init__(self, path: str) -> None:
         self.coder = c = coder(path)
         whole = whole_tokens(c)
-        self.plain = Cache(lambda w: len(c.tokens(c.alphabet(w))), whole)
-        self.mapped = Cache(lambda m: len(c.tokens(m)), {c.alphabet(w): 1 for w in whole})
+        self.plain = Cache(lambda w: len(c.tokens(w.encode("utf-8"))), whole)
+        self.mapped = Cache(lambda m: len(c.tokens(unmapped(m))))
 
     def count(self, text: str) -> int:
         n = 0
