@@ -36,7 +36,7 @@ from ledgerlens.llm.common import arrow_rows
 
 NAME = "word_bpe_49k.json"
 #: Entries of one generation of a worker's pre-token cache; two are kept.
-CACHE = 250_000
+CACHE = 150_000
 #: Documents whose ids are gathered before they leave as an Arrow batch.
 ROWS = 256
 END = "</w>"
