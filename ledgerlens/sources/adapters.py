@@ -60,9 +60,12 @@ def state_events(spark: SparkSession, sf_dir: str, day_ties: bool = False) -> Da
     return events_frame(df, ORDER, padded(F.col("event_id")), padded(F.col("user_id") % 16), at, tagged)
 
 
-def dispute_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line in 40 as a dispute; its flags name five known statuses and an unknown one."""
-    df = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 40 == 0)
+def dispute_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Each line as a dispute (those of every 40th order, if not ``whole``); its flags name five
+    known statuses and an unknown one."""
+    df = table(spark, sf_dir, "lineitem")
+    if not whole:
+        df = df.filter(F.col("l_orderkey") % 40 == 0)
     pair = F.concat("l_returnflag", "l_linestatus")
     known = {"AF": "settled", "AO": "seller-refunded", "NF": "released", "NO": "initiated", "RF": "in-progress"}
     status = F.lit("other")
@@ -89,8 +92,8 @@ def info_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_frame(df, INFO, padded(k), node, F.lit(900_000_000) + k % 100, tags(INFO, ("d", about), ("bond_enabled", bond)))
 
 
-def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = order_events(spark, sf_dir)
-    for make in (dispute_events, fee_events, info_events):
+def all_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    out = order_events(spark, sf_dir).unionByName(dispute_events(spark, sf_dir, whole))
+    for make in (fee_events, info_events):
         out = out.unionByName(make(spark, sf_dir))
     return out
