@@ -70,7 +70,7 @@ MEDIAN = "CAST(floor(quantile_cont(CAST(amt AS DOUBLE), 0.5)) AS BIGINT)"
 
 
 #: What the plain queries leave out of a table by their SQL, and the ``_whole`` queries read.
-CUTS = (" WHERE l_orderkey % 40 = 0",)
+CUTS = (" WHERE l_orderkey % 40 = 0", " WHERE l_suppkey % 2 = 0 AND l_orderkey % 50 = 0")
 
 
 def uncut(sql: str) -> str:
@@ -114,8 +114,8 @@ def disputes(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
     return state.latest_disputes(state.not_future(scoped(A.dispute_events(spark, sf_dir, whole)), AS_OF))
 
 
-def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.dev_fees(state.not_future(scoped(A.fee_events(spark, sf_dir)), AS_OF))
+def fees(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    return state.dev_fees(state.not_future(scoped(A.fee_events(spark, sf_dir, whole)), AS_OF))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -152,10 +152,10 @@ def event_id_dedup(spark, sf_dir):
     return state.unique_events(events.unionByName(events.withColumn("relay", F.lit("second")))).groupBy("pubkey").agg(F.count("*").alias("events"))
 
 
-@query("event_classifier", f"WITH {ORDERS_SQL}, {FEES_SQL} SELECT 'order' AS event_type, count(*) AS n_events FROM raw_orders UNION ALL SELECT 'dev-fee', (SELECT count(*) FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey % 50 = 0)")
-def event_classifier(spark, sf_dir):
+@query("event_classifier", f"WITH {ORDERS_SQL}, {FEES_SQL} SELECT 'order' AS event_type, count(*) AS n_events FROM raw_orders UNION ALL SELECT 'dev-fee', (SELECT count(*) FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey % 50 = 0)", whole=True)
+def event_classifier(spark, sf_dir, whole=False):
     """The union of two sources, split again by tags alone."""
-    events = typed(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir)).unionByName(A.info_events(spark, sf_dir)))
+    events = typed(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir, whole)).unionByName(A.info_events(spark, sf_dir)))
     return state.classified(events, A.MARKER).groupBy("event_type").agg(F.count("*").alias("n_events"))
 
 
@@ -209,15 +209,15 @@ def status_histogram(spark, sf_dir):
     return metrics.status_histogram(scoped(A.state_events(spark, sf_dir)))
 
 
-@query("event_totals", f"WITH {ORDERS_SQL}, {FEES_SQL}, n AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM fees) SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, count(o.id) AS order_events, count(DISTINCT o.d) AS unique_orders, min(o.created_at) AS first_order_at, max(o.created_at) AS last_order_at FROM n LEFT JOIN past_orders o USING (pubkey) GROUP BY pubkey")
-def event_totals(spark, sf_dir):
-    events = scoped(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir)))
+@query("event_totals", f"WITH {ORDERS_SQL}, {FEES_SQL}, n AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM fees) SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, count(o.id) AS order_events, count(DISTINCT o.d) AS unique_orders, min(o.created_at) AS first_order_at, max(o.created_at) AS last_order_at FROM n LEFT JOIN past_orders o USING (pubkey) GROUP BY pubkey", whole=True)
+def event_totals(spark, sf_dir, whole=False):
+    events = scoped(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir, whole)))
     return metrics.event_totals(state.not_future(events, AS_OF))
 
 
-@query("first_seen_longevity", f"WITH {ORDERS_SQL}, {FEES_SQL}, a AS (SELECT pubkey, created_at AS fee, NULL AS trade FROM fees UNION ALL SELECT pubkey, NULL, created_at FROM trades) SELECT pubkey, min(fee) AS first_seen_at, round(({AS_OF} - coalesce(min(fee), min(trade))) / 86400.0, 6) AS days_active FROM a GROUP BY pubkey")
-def first_seen_longevity(spark, sf_dir):
-    return rounded(metrics.longevity(fees(spark, sf_dir), trades(spark, sf_dir), AS_OF), "days_active")
+@query("first_seen_longevity", f"WITH {ORDERS_SQL}, {FEES_SQL}, a AS (SELECT pubkey, created_at AS fee, NULL AS trade FROM fees UNION ALL SELECT pubkey, NULL, created_at FROM trades) SELECT pubkey, min(fee) AS first_seen_at, round(({AS_OF} - coalesce(min(fee), min(trade))) / 86400.0, 6) AS days_active FROM a GROUP BY pubkey", whole=True)
+def first_seen_longevity(spark, sf_dir, whole=False):
+    return rounded(metrics.longevity(fees(spark, sf_dir, whole), trades(spark, sf_dir), AS_OF), "days_active")
 
 
 @query("cumulative_performance", f"WITH {ORDERS_SQL} SELECT pubkey, count(*) AS total_successful_trades, CAST(coalesce(sum(amt), 0) AS BIGINT) AS total_volume_sats FROM trades GROUP BY pubkey")
@@ -306,7 +306,7 @@ def fetch_summary(spark, sf_dir, whole=False):
 @query("usable_events", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL} SELECT pubkey, count(*) AS usable_events FROM (SELECT pubkey FROM past_orders UNION ALL SELECT pubkey FROM raw_disputes WHERE created_at <= {AS_OF} UNION ALL SELECT pubkey FROM fees UNION ALL SELECT pubkey FROM raw_info WHERE created_at <= {AS_OF}) GROUP BY pubkey", whole=True)
 def usable_events(spark, sf_dir, whole=False):
     # Dev-fees and disputes may share a line's id, so ids are distinct within a kind here.
-    made = [A.order_events(spark, sf_dir), A.dispute_events(spark, sf_dir, whole), A.fee_events(spark, sf_dir), A.info_events(spark, sf_dir)]
+    made = [A.order_events(spark, sf_dir), A.dispute_events(spark, sf_dir, whole), A.fee_events(spark, sf_dir, whole), A.info_events(spark, sf_dir)]
     parts = [scoped(events) for events in made]
     events = parts[0]
     for p in parts[1:]:
@@ -327,9 +327,9 @@ def _grid(view: str, since: str | None = None, until: str | None = None):
       sums AS (SELECT pubkey, CAST(date_trunc('{unit}', to_timestamp(created_at)::timestamp) AS DATE) AS bucket, count(*) AS trades, CAST(coalesce(sum(amt), 0) AS BIGINT) AS volume_sats, {MEDIAN} AS median_trade_sats FROM trades GROUP BY ALL)
       SELECT pubkey, CAST(bucket AS VARCHAR) AS bucket, coalesce(trades, 0) AS trades, coalesce(volume_sats, 0) AS volume_sats, median_trade_sats FROM spine LEFT JOIN sums USING (pubkey, bucket)"""
 
-    def run(spark, sf_dir):
+    def run(spark, sf_dir, whole=False):
         day = lambda x: date.fromisoformat(x) if x else None
-        out = grid.activity_grid(fees(spark, sf_dir), trades(spark, sf_dir), AS_OF, view, day(since), day(until))
+        out = grid.activity_grid(fees(spark, sf_dir, whole), trades(spark, sf_dir), AS_OF, view, day(since), day(until))
         return longs(out, "volume_sats", "median_trade_sats").withColumn("bucket", F.col("bucket").cast("string"))
 
     return run, sql
@@ -337,7 +337,7 @@ def _grid(view: str, since: str | None = None, until: str | None = None):
 
 for _view, _since, _until in (("daily", "2000-01-01", "2000-03-31"), ("monthly", None, None), ("yearly", None, None)):
     _run, _sql = _grid(_view, _since, _until)
-    query(f"activity_grid_{_view}", _sql)(_run)
+    query(f"activity_grid_{_view}", _sql, whole=True)(_run)
 
 
 # ---------------------------------------------------------------- scalars
@@ -369,9 +369,9 @@ def report_labels(spark, sf_dir):
     return df.select("pubkey", F.round(scalars.to_btc(sats), 4).alias("volume_btc"), F.format_number(sats, 0).alias("volume_text"), scalars.score_band(F.col("total_successful_trades")).alias("band"), scalars.gap_warning(F.col("max_consecutive_inactive_days_last_30d")).alias("gap_note"))
 
 
-@query("oldest_dev_fee", f"WITH {FEES_SQL} SELECT pubkey, min(created_at) AS first_seen_at, count(*) AS dev_fee_events FROM fees GROUP BY pubkey")
-def oldest_dev_fee(spark, sf_dir):
-    return fees(spark, sf_dir).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
+@query("oldest_dev_fee", f"WITH {FEES_SQL} SELECT pubkey, min(created_at) AS first_seen_at, count(*) AS dev_fee_events FROM fees GROUP BY pubkey", whole=True)
+def oldest_dev_fee(spark, sf_dir, whole=False):
+    return fees(spark, sf_dir, whole).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
 
 
 @query("one_node_scan", f"WITH {ORDERS_SQL} SELECT id, created_at, s FROM past_orders WHERE pubkey = lpad('7', 64, '0')")
@@ -430,5 +430,5 @@ def report_json(spark, sf_dir, whole=False):
     """The nested report of every node as JSON (held against the flat report in the tests)."""
     t = trades(spark, sf_dir)
     fetch = metrics.fetch_summary(state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir, whole)), A.MARKER), AS_OF))
-    buckets = grid.activity_grid(fees(spark, sf_dir), t, AS_OF, "yearly")
+    buckets = grid.activity_grid(fees(spark, sf_dir, whole), t, AS_OF, "yearly")
     return report.as_json(report.nested(_report(spark, sf_dir, whole), fetch, metrics.fiat_shares(t), metrics.payment_shares(t), buckets))

@@ -75,9 +75,12 @@ def dispute_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> Data
     return events_frame(df, DISPUTE, id_, padded(F.col("l_suppkey") % 50), epoch("l_shipdate"), tags(DISPUTE, ("d", padded(F.col("l_orderkey"))), ("s", status)))
 
 
-def fee_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th order's lines as dev-fee payments, of the even nodes only."""
-    df = table(spark, sf_dir, "lineitem").filter((F.col("l_suppkey") % 2 == 0) & (F.col("l_orderkey") % 50 == 0))
+def fee_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Each line as a dev-fee payment (those of every 50th order and the even nodes, if not
+    ``whole``)."""
+    df = table(spark, sf_dir, "lineitem")
+    if not whole:
+        df = df.filter((F.col("l_suppkey") % 2 == 0) & (F.col("l_orderkey") % 50 == 0))
     id_ = F.concat(padded(F.col("l_orderkey"), 20), padded(F.col("l_linenumber"), 8), padded(F.col("l_suppkey"), 16), padded(epoch("l_shipdate"), 20))
     return events_frame(df, DEV_FEE, id_, padded(F.col("l_suppkey") % 50), epoch("l_shipdate"), tags(DEV_FEE))
 
@@ -93,7 +96,7 @@ def info_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    out = order_events(spark, sf_dir).unionByName(dispute_events(spark, sf_dir, whole))
-    for make in (fee_events, info_events):
-        out = out.unionByName(make(spark, sf_dir))
+    out = order_events(spark, sf_dir)
+    for made in (dispute_events(spark, sf_dir, whole), fee_events(spark, sf_dir, whole), info_events(spark, sf_dir)):
+        out = out.unionByName(made)
     return out
