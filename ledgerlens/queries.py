@@ -335,9 +335,9 @@ def _grid(view: str, since: str | None = None, until: str | None = None):
     return run, sql
 
 
-for _view, _since, _until in (("daily", "2000-01-01", "2000-03-31"), ("monthly", None, None), ("yearly", None, None)):
+for _name, _view, _since, _until in (("daily", "daily", "2000-01-01", "2000-03-31"), ("daily_full", "daily", None, None), ("monthly", "monthly", None, None), ("yearly", "yearly", None, None)):
     _run, _sql = _grid(_view, _since, _until)
-    query(f"activity_grid_{_view}", _sql, whole=True)(_run)
+    query(f"activity_grid_{_name}", _sql, whole=True)(_run)
 
 
 # ---------------------------------------------------------------- scalars
