@@ -2,8 +2,8 @@
 
 Offline, every vocabulary string that ends a word is put through the merges by itself; those
 that come out as one token are proven whole.  A pre-token whose bytes are such a string counts
-as one token by a single lookup; only the others are merged (see ``bpe`` for splitting,
-merging and the cases of null, empty, long and repeated texts).
+as one token by a single lookup, be it plain text or in the byte alphabet; only the others are
+merged (see ``bpe`` for splitting, merging and the cases of null, empty, long and repeated texts).
 """
 
 from __future__ import annotations
@@ -36,12 +36,18 @@ def whole_tokens(code: Coder) -> dict[str, int]:
     return out
 
 
+def byte_form(whole: dict[str, int]) -> dict[str, int]:
+    """The same table by the byte alphabet's form of each pre-token."""
+    letters = {b: c for c, b in BYTES.items()}
+    return {"".join([letters[b] for b in w.encode("utf-8")]): n for w, n in whole.items()}
+
+
 class Counter:
     def __init__(self, path: str) -> None:
         self.coder = c = coder(path)
         whole = whole_tokens(c)
         self.plain = Cache(lambda w: len(c.tokens(w.encode("utf-8"))), whole)
-        self.mapped = Cache(lambda m: len(c.tokens(unmapped(m))))
+        self.mapped = Cache(lambda m: len(c.tokens(unmapped(m))), byte_form(whole))
 
     def count(self, text: str) -> int:
         n = 0

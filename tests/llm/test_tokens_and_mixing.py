@@ -170,3 +170,13 @@ def test_training_sequence(spark):
         whole.setdefault(i, []).append(words(t))
     assert all(any(words(t) == w[: len(words(t))] for w in whole[i]) for i, t in ids_and_texts(out))
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_whole_tokens_are_looked_up_in_any_stretch():
+    counter = token_counts.Counter(public_tokenizers.path(bpe.NAME))
+    merged = []
+    tokens = counter.coder.tokens
+    counter.mapped.make = lambda m: merged.append(m) or len(tokens(bpe.unmapped(m)))
+    assert counter.count("the house “stands” at the river — and the water") > 8
+    assert not {"the", "house", "stands", "at", "river", "and", "water"} & set(merged)
+    assert all(len(tokens(bpe.unmapped(m))) == 1 for m in random.Random(2).sample(sorted(counter.mapped.start), 300))
