@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,6 @@ from ledgerlens.sources.events import typed
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Queries over whole tables that have no SQL, as the query of the plain name has none.
-WHOLE: dict[str, Query] = {}
 AS_OF, AS_OF_EVENTS = A.AS_OF_ORDERS, A.AS_OF_EVENTS
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -44,11 +41,11 @@ raw_disputes AS (
   SELECT DISTINCT {LINE_ID} AS id, lpad(CAST(l_suppkey % 50 AS VARCHAR), 64, '0') AS pubkey, CAST(epoch(l_shipdate) AS BIGINT) AS created_at,
     lpad(CAST(l_orderkey AS VARCHAR), 64, '0') AS d,
     CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'settled' WHEN 'AO' THEN 'seller-refunded' WHEN 'NF' THEN 'released' WHEN 'NO' THEN 'initiated' WHEN 'RF' THEN 'in-progress' ELSE 'other' END AS s
-  FROM lineitem WHERE l_orderkey % 40 = 0),
+  FROM lineitem),
 disputes AS (SELECT * FROM raw_disputes WHERE created_at <= {AS_OF} QUALIFY row_number() OVER (PARTITION BY pubkey, d ORDER BY created_at DESC, id DESC, s) = 1)"""
 FEES_SQL = f"""
 raw_fees AS (SELECT DISTINCT {LINE_ID} AS id, lpad(CAST(l_suppkey % 50 AS VARCHAR), 64, '0') AS pubkey, CAST(epoch(l_shipdate) AS BIGINT) AS created_at
-  FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey % 50 = 0),
+  FROM lineitem),
 fees AS (SELECT * FROM raw_fees WHERE created_at <= {AS_OF})"""
 INFO_SQL = f"""
 raw_info AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 64, '0') AS id, lpad(CAST(c_custkey % 50 AS VARCHAR), 64, '0') AS pubkey, 900000000 + c_custkey % 100 AS created_at,
@@ -69,27 +66,11 @@ TODAY = AS_OF // 86_400
 MEDIAN = "CAST(floor(quantile_cont(CAST(amt AS DOUBLE), 0.5)) AS BIGINT)"
 
 
-#: What the plain queries leave out of a table by their SQL, and the ``_whole`` queries read.
-CUTS = (" WHERE l_orderkey % 40 = 0", " WHERE l_suppkey % 2 = 0 AND l_orderkey % 50 = 0")
-
-
-def uncut(sql: str) -> str:
-    for cut in CUTS:
-        sql = sql.replace(cut, "")
-    return sql
-
-
-def query(name: str, sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
-    """Registers a query; with ``whole`` also as ``name_whole``, over all rows of its tables."""
-
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
             SQL[name] = sql
-        if whole:
-            (QUERIES if sql else WHOLE)[f"{name}_whole"] = partial(f, whole=True)
-            if sql:
-                SQL[f"{name}_whole"] = uncut(sql)
         return f
 
     return add
@@ -110,12 +91,12 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.successes(state.latest_orders(orders(spark, sf_dir)))
 
 
-def disputes(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    return state.latest_disputes(state.not_future(scoped(A.dispute_events(spark, sf_dir, whole)), AS_OF))
+def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.latest_disputes(state.not_future(scoped(A.dispute_events(spark, sf_dir)), AS_OF))
 
 
-def fees(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
-    return state.dev_fees(state.not_future(scoped(A.fee_events(spark, sf_dir, whole)), AS_OF))
+def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.dev_fees(state.not_future(scoped(A.fee_events(spark, sf_dir)), AS_OF))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -135,9 +116,9 @@ def latest_order_state(spark, sf_dir):
     return state.latest_orders(events).select("pubkey", "d", "id", "created_at", "s")
 
 
-@query("latest_dispute_state", f"WITH {DISPUTES_SQL} SELECT pubkey, d, id, created_at FROM disputes", whole=True)
-def latest_dispute_state(spark, sf_dir, whole=False):
-    return disputes(spark, sf_dir, whole).select("pubkey", "d", "id", "created_at")
+@query("latest_dispute_state", f"WITH {DISPUTES_SQL} SELECT pubkey, d, id, created_at FROM disputes")
+def latest_dispute_state(spark, sf_dir):
+    return disputes(spark, sf_dir).select("pubkey", "d", "id", "created_at")
 
 
 @query("future_event_exclusion", f"WITH {EVENTS_PLAIN}, latest AS (SELECT * FROM state_events WHERE created_at <= {AS_OF_EVENTS} QUALIFY row_number() OVER (PARTITION BY pubkey, d ORDER BY created_at DESC, id DESC) = 1) SELECT pubkey, count(*) AS orders, count(*) FILTER (s = 'success') AS successes FROM latest GROUP BY pubkey")
@@ -152,10 +133,10 @@ def event_id_dedup(spark, sf_dir):
     return state.unique_events(events.unionByName(events.withColumn("relay", F.lit("second")))).groupBy("pubkey").agg(F.count("*").alias("events"))
 
 
-@query("event_classifier", f"WITH {ORDERS_SQL}, {FEES_SQL} SELECT 'order' AS event_type, count(*) AS n_events FROM raw_orders UNION ALL SELECT 'dev-fee', (SELECT count(*) FROM lineitem WHERE l_suppkey % 2 = 0 AND l_orderkey % 50 = 0)", whole=True)
-def event_classifier(spark, sf_dir, whole=False):
+@query("event_classifier", f"WITH {ORDERS_SQL}, {FEES_SQL} SELECT 'order' AS event_type, count(*) AS n_events FROM raw_orders UNION ALL SELECT 'dev-fee', (SELECT count(*) FROM lineitem)")
+def event_classifier(spark, sf_dir):
     """The union of two sources, split again by tags alone."""
-    events = typed(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir, whole)).unionByName(A.info_events(spark, sf_dir)))
+    events = typed(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir)).unionByName(A.info_events(spark, sf_dir)))
     return state.classified(events, A.MARKER).groupBy("event_type").agg(F.count("*").alias("n_events"))
 
 
@@ -209,15 +190,15 @@ def status_histogram(spark, sf_dir):
     return metrics.status_histogram(scoped(A.state_events(spark, sf_dir)))
 
 
-@query("event_totals", f"WITH {ORDERS_SQL}, {FEES_SQL}, n AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM fees) SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, count(o.id) AS order_events, count(DISTINCT o.d) AS unique_orders, min(o.created_at) AS first_order_at, max(o.created_at) AS last_order_at FROM n LEFT JOIN past_orders o USING (pubkey) GROUP BY pubkey", whole=True)
-def event_totals(spark, sf_dir, whole=False):
-    events = scoped(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir, whole)))
+@query("event_totals", f"WITH {ORDERS_SQL}, {FEES_SQL}, n AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM fees) SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, count(o.id) AS order_events, count(DISTINCT o.d) AS unique_orders, min(o.created_at) AS first_order_at, max(o.created_at) AS last_order_at FROM n LEFT JOIN past_orders o USING (pubkey) GROUP BY pubkey")
+def event_totals(spark, sf_dir):
+    events = scoped(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir)))
     return metrics.event_totals(state.not_future(events, AS_OF))
 
 
-@query("first_seen_longevity", f"WITH {ORDERS_SQL}, {FEES_SQL}, a AS (SELECT pubkey, created_at AS fee, NULL AS trade FROM fees UNION ALL SELECT pubkey, NULL, created_at FROM trades) SELECT pubkey, min(fee) AS first_seen_at, round(({AS_OF} - coalesce(min(fee), min(trade))) / 86400.0, 6) AS days_active FROM a GROUP BY pubkey", whole=True)
-def first_seen_longevity(spark, sf_dir, whole=False):
-    return rounded(metrics.longevity(fees(spark, sf_dir, whole), trades(spark, sf_dir), AS_OF), "days_active")
+@query("first_seen_longevity", f"WITH {ORDERS_SQL}, {FEES_SQL}, a AS (SELECT pubkey, created_at AS fee, NULL AS trade FROM fees UNION ALL SELECT pubkey, NULL, created_at FROM trades) SELECT pubkey, min(fee) AS first_seen_at, round(({AS_OF} - coalesce(min(fee), min(trade))) / 86400.0, 6) AS days_active FROM a GROUP BY pubkey")
+def first_seen_longevity(spark, sf_dir):
+    return rounded(metrics.longevity(fees(spark, sf_dir), trades(spark, sf_dir), AS_OF), "days_active")
 
 
 @query("cumulative_performance", f"WITH {ORDERS_SQL} SELECT pubkey, count(*) AS total_successful_trades, CAST(coalesce(sum(amt), 0) AS BIGINT) AS total_volume_sats FROM trades GROUP BY pubkey")
@@ -265,16 +246,16 @@ def max_inactive_gap_30d(spark, sf_dir):
     return metrics.filled_activity(nodes, trades(spark, sf_dir), AS_OF).select("pubkey", "max_consecutive_inactive_days_last_30d")
 
 
-@query("dispute_ratio", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, n AS (SELECT pubkey, count(*) AS n FROM trades GROUP BY 1), d AS (SELECT pubkey, count(*) AS d FROM disputes GROUP BY 1), nodes AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM disputes) SELECT pubkey, round(100.0 * coalesce(d, 0) / nullif(n, 0), 6) AS disputes_per_100_trades FROM nodes LEFT JOIN n USING (pubkey) LEFT JOIN d USING (pubkey)", whole=True)
-def dispute_ratio(spark, sf_dir, whole=False):
-    d = disputes(spark, sf_dir, whole)
+@query("dispute_ratio", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, n AS (SELECT pubkey, count(*) AS n FROM trades GROUP BY 1), d AS (SELECT pubkey, count(*) AS d FROM disputes GROUP BY 1), nodes AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM disputes) SELECT pubkey, round(100.0 * coalesce(d, 0) / nullif(n, 0), 6) AS disputes_per_100_trades FROM nodes LEFT JOIN n USING (pubkey) LEFT JOIN d USING (pubkey)")
+def dispute_ratio(spark, sf_dir):
+    d = disputes(spark, sf_dir)
     nodes = orders(spark, sf_dir).select("pubkey").union(d.select("pubkey")).distinct()
     return rounded(metrics.dispute_ratio(nodes, d, trades(spark, sf_dir)), "disputes_per_100_trades")
 
 
-@query("dispute_breakdown", f"WITH {DISPUTES_SQL} SELECT pubkey, count(*) AS total_disputes, count(*) FILTER (s IN ('settled', 'seller-refunded', 'released')) AS resolved_disputes, count(*) FILTER (s IN ('initiated', 'in-progress')) AS active_disputes, count(*) FILTER (s = 'other') AS unknown_disputes FROM disputes GROUP BY pubkey", whole=True)
-def dispute_breakdown(spark, sf_dir, whole=False):
-    return metrics.disputes_split(disputes(spark, sf_dir, whole))
+@query("dispute_breakdown", f"WITH {DISPUTES_SQL} SELECT pubkey, count(*) AS total_disputes, count(*) FILTER (s IN ('settled', 'seller-refunded', 'released')) AS resolved_disputes, count(*) FILTER (s IN ('initiated', 'in-progress')) AS active_disputes, count(*) FILTER (s = 'other') AS unknown_disputes FROM disputes GROUP BY pubkey")
+def dispute_breakdown(spark, sf_dir):
+    return metrics.disputes_split(disputes(spark, sf_dir))
 
 
 @query("fiat_distribution", f"WITH {ORDERS_SQL} SELECT pubkey, f, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (PARTITION BY pubkey), 6) AS share FROM trades WHERE f <> '' GROUP BY pubkey, f")
@@ -297,16 +278,16 @@ def bond_policy(spark, sf_dir):
     return metrics.bond_policy(state.latest_info(state.not_future(scoped(A.info_events(spark, sf_dir)), AS_OF)))
 
 
-@query("fetch_summary", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {NODES_SQL} SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, (SELECT count(*) FROM past_orders x WHERE x.pubkey = n.pubkey) AS order_events, (SELECT count(DISTINCT d) FROM past_orders x WHERE x.pubkey = n.pubkey) AS unique_orders, (SELECT count(DISTINCT d) FROM disputes x WHERE x.pubkey = n.pubkey) AS unique_disputes, EXISTS (SELECT 1 FROM info x WHERE x.pubkey = n.pubkey) AS info_found FROM nodes n", whole=True)
-def fetch_summary(spark, sf_dir, whole=False):
-    events = state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir, whole)), A.MARKER), AS_OF)
+@query("fetch_summary", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {NODES_SQL} SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, (SELECT count(*) FROM past_orders x WHERE x.pubkey = n.pubkey) AS order_events, (SELECT count(DISTINCT d) FROM past_orders x WHERE x.pubkey = n.pubkey) AS unique_orders, (SELECT count(DISTINCT d) FROM disputes x WHERE x.pubkey = n.pubkey) AS unique_disputes, EXISTS (SELECT 1 FROM info x WHERE x.pubkey = n.pubkey) AS info_found FROM nodes n")
+def fetch_summary(spark, sf_dir):
+    events = state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir)), A.MARKER), AS_OF)
     return metrics.fetch_summary(events.unionByName(events.withColumn("relay", F.lit("second"))))
 
 
-@query("usable_events", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL} SELECT pubkey, count(*) AS usable_events FROM (SELECT pubkey FROM past_orders UNION ALL SELECT pubkey FROM raw_disputes WHERE created_at <= {AS_OF} UNION ALL SELECT pubkey FROM fees UNION ALL SELECT pubkey FROM raw_info WHERE created_at <= {AS_OF}) GROUP BY pubkey", whole=True)
-def usable_events(spark, sf_dir, whole=False):
+@query("usable_events", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL} SELECT pubkey, count(*) AS usable_events FROM (SELECT pubkey FROM past_orders UNION ALL SELECT pubkey FROM raw_disputes WHERE created_at <= {AS_OF} UNION ALL SELECT pubkey FROM fees UNION ALL SELECT pubkey FROM raw_info WHERE created_at <= {AS_OF}) GROUP BY pubkey")
+def usable_events(spark, sf_dir):
     # Dev-fees and disputes may share a line's id, so ids are distinct within a kind here.
-    made = [A.order_events(spark, sf_dir), A.dispute_events(spark, sf_dir, whole), A.fee_events(spark, sf_dir, whole), A.info_events(spark, sf_dir)]
+    made = [A.order_events(spark, sf_dir), A.dispute_events(spark, sf_dir), A.fee_events(spark, sf_dir), A.info_events(spark, sf_dir)]
     parts = [scoped(events) for events in made]
     events = parts[0]
     for p in parts[1:]:
@@ -327,9 +308,9 @@ def _grid(view: str, since: str | None = None, until: str | None = None):
       sums AS (SELECT pubkey, CAST(date_trunc('{unit}', to_timestamp(created_at)::timestamp) AS DATE) AS bucket, count(*) AS trades, CAST(coalesce(sum(amt), 0) AS BIGINT) AS volume_sats, {MEDIAN} AS median_trade_sats FROM trades GROUP BY ALL)
       SELECT pubkey, CAST(bucket AS VARCHAR) AS bucket, coalesce(trades, 0) AS trades, coalesce(volume_sats, 0) AS volume_sats, median_trade_sats FROM spine LEFT JOIN sums USING (pubkey, bucket)"""
 
-    def run(spark, sf_dir, whole=False):
+    def run(spark, sf_dir):
         day = lambda x: date.fromisoformat(x) if x else None
-        out = grid.activity_grid(fees(spark, sf_dir, whole), trades(spark, sf_dir), AS_OF, view, day(since), day(until))
+        out = grid.activity_grid(fees(spark, sf_dir), trades(spark, sf_dir), AS_OF, view, day(since), day(until))
         return longs(out, "volume_sats", "median_trade_sats").withColumn("bucket", F.col("bucket").cast("string"))
 
     return run, sql
@@ -337,7 +318,7 @@ def _grid(view: str, since: str | None = None, until: str | None = None):
 
 for _name, _view, _since, _until in (("daily", "daily", "2000-01-01", "2000-03-31"), ("daily_full", "daily", None, None), ("monthly", "monthly", None, None), ("yearly", "yearly", None, None)):
     _run, _sql = _grid(_view, _since, _until)
-    query(f"activity_grid_{_name}", _sql, whole=True)(_run)
+    query(f"activity_grid_{_name}", _sql)(_run)
 
 
 # ---------------------------------------------------------------- scalars
@@ -369,9 +350,9 @@ def report_labels(spark, sf_dir):
     return df.select("pubkey", F.round(scalars.to_btc(sats), 4).alias("volume_btc"), F.format_number(sats, 0).alias("volume_text"), scalars.score_band(F.col("total_successful_trades")).alias("band"), scalars.gap_warning(F.col("max_consecutive_inactive_days_last_30d")).alias("gap_note"))
 
 
-@query("oldest_dev_fee", f"WITH {FEES_SQL} SELECT pubkey, min(created_at) AS first_seen_at, count(*) AS dev_fee_events FROM fees GROUP BY pubkey", whole=True)
-def oldest_dev_fee(spark, sf_dir, whole=False):
-    return fees(spark, sf_dir, whole).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
+@query("oldest_dev_fee", f"WITH {FEES_SQL} SELECT pubkey, min(created_at) AS first_seen_at, count(*) AS dev_fee_events FROM fees GROUP BY pubkey")
+def oldest_dev_fee(spark, sf_dir):
+    return fees(spark, sf_dir).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
 
 
 @query("one_node_scan", f"WITH {ORDERS_SQL} SELECT id, created_at, s FROM past_orders WHERE pubkey = lpad('7', 64, '0')")
@@ -396,39 +377,49 @@ REPORT_SQL = f"""WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {NOD
   r AS (SELECT *, ({AS_OF} - coalesce(first_seen_at, first_trade)) / 86400.0 AS days FROM nodes LEFT JOIN t USING (pubkey) LEFT JOIN ff USING (pubkey) LEFT JOIN dd USING (pubkey) LEFT JOIN gaps USING (pubkey) LEFT JOIN info USING (pubkey))"""
 
 
-@query("node_report", REPORT_SQL + f"""
+NODE_REPORT_SQL = REPORT_SQL + f"""
   SELECT pubkey, first_seen_at, round(days, 6) AS days_active, coalesce(total_successful_trades, 0) AS total_successful_trades, CAST(coalesce(volume, 0) AS BIGINT) AS total_volume_sats, last_successful_trade_at, ({AS_OF} - last_successful_trade_at) // 86400 AS days_since_last_trade,
     coalesce(trades_last_7d, 0) AS trades_last_7d, coalesce(trades_last_30d, 0) AS trades_last_30d, coalesce(trades_last_90d, 0) AS trades_last_90d, coalesce(active_days_last_30d, 0) AS active_days_last_30d, coalesce(gap, 0) AS max_consecutive_inactive_days_last_30d,
     min_trade_sats, max_trade_sats, round(mean, 6) AS mean_trade_sats, median_trade_sats, round(sd, 4) AS std_dev_trade_sats, CASE WHEN n_amt >= 2 THEN round(sd / nullif(median_trade_sats, 0), 6) END AS coefficient_of_variation,
     round(100.0 * coalesce(total_disputes, 0) / nullif(total_successful_trades, 0), 6) AS disputes_per_100_trades, coalesce(total_disputes, 0) AS total_disputes, coalesce(resolved_disputes, 0) AS resolved_disputes, coalesce(active_disputes, 0) AS active_disputes, coalesce(unknown_disputes, 0) AS unknown_disputes,
-    CASE WHEN n_p >= 2 THEN pm_ END AS premium_baseline, CASE WHEN n_p >= 2 THEN round(ps, 6) END AS premium_dispersion, bond_enabled FROM r""", whole=True)
-def node_report(spark, sf_dir, whole=False):
-    out = _report(spark, sf_dir, whole)
+    CASE WHEN n_p >= 2 THEN pm_ END AS premium_baseline, CASE WHEN n_p >= 2 THEN round(ps, 6) END AS premium_dispersion, bond_enabled FROM r"""
+
+
+@query("node_report", NODE_REPORT_SQL)
+def node_report(spark, sf_dir, nodes=A.NODES):
+    out = _report(spark, sf_dir, nodes)
     out = longs(out, "total_volume_sats", "min_trade_sats", "max_trade_sats", "median_trade_sats")
     return rounded(out, "days_active", "mean_trade_sats", "coefficient_of_variation", "disputes_per_100_trades", "premium_dispersion").withColumn("std_dev_trade_sats", F.round("std_dev_trade_sats", 4))
 
 
-def _report(spark, sf_dir, whole):
-    return report.node_metrics(state.in_scope(typed(A.all_events(spark, sf_dir, whole)), A.MARKER), AS_OF)
+@query("node_report_every_key", NODE_REPORT_SQL.replace(f" % {A.NODES}", ""))
+def node_report_every_key(spark, sf_dir):
+    """Every customer and supplier number a node of its own: many small nodes, most without a
+    dev-fee, so that the first trade stands in for it."""
+    return node_report(spark, sf_dir, None)
+
+
+def _report(spark, sf_dir, nodes=A.NODES):
+    return report.node_metrics(state.in_scope(typed(A.all_events(spark, sf_dir, nodes)), A.MARKER), AS_OF)
 
 
-@query("legacy_trust_score", REPORT_SQL + " SELECT pubkey, CAST(greatest(0, trunc(least(coalesce(days, 0) / 365.0, 1) * 30.0 + least(coalesce(volume, 0) / 1e8, 1) * 40.0 + least(coalesce(total_successful_trades, 0) / 100.0, 1) * 30.0)) AS BIGINT) AS legacy_trust_score FROM r", whole=True)
-def legacy_trust_score(spark, sf_dir, whole=False):
-    return report.legacy_columns(_report(spark, sf_dir, whole), AS_OF).select("pubkey", "legacy_trust_score")
+@query("legacy_trust_score", REPORT_SQL + " SELECT pubkey, CAST(greatest(0, trunc(least(coalesce(days, 0) / 365.0, 1) * 30.0 + least(coalesce(volume, 0) / 1e8, 1) * 40.0 + least(coalesce(total_successful_trades, 0) / 100.0, 1) * 30.0)) AS BIGINT) AS legacy_trust_score FROM r")
+def legacy_trust_score(spark, sf_dir):
+    return report.legacy_columns(_report(spark, sf_dir), AS_OF).select("pubkey", "legacy_trust_score")
 
 
 @query("recommendations", REPORT_SQL + f""", q AS (SELECT *, ({AS_OF} - last_successful_trade_at) // 86400 AS since, coalesce(total_successful_trades, 0) AS n, coalesce(total_disputes, 0) AS dn, coalesce(active_disputes, 0) AS da, coalesce(gap, 0) AS g, CASE WHEN n_amt >= 2 THEN sd / nullif(median_trade_sats, 0) END AS cv FROM r),
   l AS (SELECT pubkey, list_filter([CASE WHEN n = 0 THEN 'No successful trade is recorded: nothing here tells how this node completes trades.' END, CASE WHEN n > 0 AND since > 30 THEN 'The last successful trade was ' || since || ' days ago; check that the node still answers.' END, CASE WHEN da > 0 THEN da || ' dispute(s) still open, of ' || dn || ' in all.' END,
     CASE WHEN n > 0 AND dn > 0 THEN dn || ' dispute(s) against ' || n || ' successful trade(s).' END, CASE WHEN n > 0 AND n < 10 THEN 'Only ' || n || ' successful trade(s): the figures rest on a small sample.' END, CASE WHEN n > 0 AND g > 7 THEN 'no trade for ' || g || ' days in a row' END, CASE WHEN cv > 1 THEN 'Trade sizes vary by more than the node''s own median trade.' END], lambda x: x IS NOT NULL) AS notes FROM q)
-  SELECT pubkey, CASE WHEN len(notes) = 0 THEN 'Nothing notable to flag.' ELSE array_to_string(notes, ' / ') END AS notes FROM l""", whole=True)
-def recommendations(spark, sf_dir, whole=False):
-    return _report(spark, sf_dir, whole).select("pubkey", F.array_join(report.recommendations(), " / ").alias("notes"))
+  SELECT pubkey, CASE WHEN len(notes) = 0 THEN 'Nothing notable to flag.' ELSE array_to_string(notes, ' / ') END AS notes FROM l""")
+def recommendations(spark, sf_dir):
+    return _report(spark, sf_dir).select("pubkey", F.array_join(report.recommendations(), " / ").alias("notes"))
 
 
-@query("report_json", whole=True)
-def report_json(spark, sf_dir, whole=False):
+@query("report_json")
+def report_json(spark, sf_dir):
     """The nested report of every node as JSON (held against the flat report in the tests)."""
     t = trades(spark, sf_dir)
-    fetch = metrics.fetch_summary(state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir, whole)), A.MARKER), AS_OF))
-    buckets = grid.activity_grid(fees(spark, sf_dir, whole), t, AS_OF, "yearly")
-    return report.as_json(report.nested(_report(spark, sf_dir, whole), fetch, metrics.fiat_shares(t), metrics.payment_shares(t), buckets))
+    fetch = metrics.fetch_summary(state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir)), A.MARKER), AS_OF))
+    buckets = grid.activity_grid(fees(spark, sf_dir), t, AS_OF, "yearly")
+    return report.as_json(report.nested(_report(spark, sf_dir), fetch, metrics.fiat_shares(t), metrics.payment_shares(t), buckets))

@@ -12,11 +12,19 @@ MARKER = "demo"
 AS_OF_ORDERS, AS_OF_EVENTS = 962_409_600, 1_706_184_000
 
 
+#: Nodes that keys are folded to, so that each node has many events; None keeps every key.
+NODES = 50
+
+
 def padded(c: Column, n: int = 64) -> Column:
     """Numbers as text whose order is that of the numbers."""
     return F.lpad(c.cast("string"), n, "0")
 
 
+def node(key: str, nodes: int | None) -> Column:
+    return padded(F.col(key) % nodes if nodes else F.col(key))
+
+
 def epoch(c: str) -> Column:
     return F.unix_seconds(F.col(c).cast("timestamp"))
 
@@ -35,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_events(spark: SparkSession, sf_dir: str, nodes: int | None = NODES) -> DataFrame:
     """Orders as order events; some amounts and premiums are malformed or missing on purpose."""
     k = F.col("o_orderkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_mktsegment")).alias("fiat"))
@@ -45,7 +53,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     premium = F.when(k % 13 == 0, "1.5").when(k % 7 != 0, (k % 11 - 5).cast("string"))
     methods = F.concat(F.array(F.lit("pm")), F.split("o_orderpriority", "-"))
     tagged = tags(ORDER, ("d", padded(k)), ("s", status), ("amt", amount), ("f", F.col("fiat")), ("premium", premium), extra=methods)
-    return events_frame(df, ORDER, padded(k), padded(F.col("o_custkey") % 50), epoch("o_orderdate"), tagged)
+    return events_frame(df, ORDER, padded(k), node("o_custkey", nodes), epoch("o_orderdate"), tagged)
 
 
 def state_events(spark: SparkSession, sf_dir: str, day_ties: bool = False) -> DataFrame:
@@ -60,43 +68,37 @@ def state_events(spark: SparkSession, sf_dir: str, day_ties: bool = False) -> Da
     return events_frame(df, ORDER, padded(F.col("event_id")), padded(F.col("user_id") % 16), at, tagged)
 
 
-def dispute_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """Each line as a dispute (those of every 40th order, if not ``whole``); its flags name five
-    known statuses and an unknown one."""
+def dispute_events(spark: SparkSession, sf_dir: str, nodes: int | None = NODES) -> DataFrame:
+    """Each line as a dispute; its flags name five known statuses and an unknown one."""
     df = table(spark, sf_dir, "lineitem")
-    if not whole:
-        df = df.filter(F.col("l_orderkey") % 40 == 0)
     pair = F.concat("l_returnflag", "l_linestatus")
     known = {"AF": "settled", "AO": "seller-refunded", "NF": "released", "NO": "initiated", "RF": "in-progress"}
     status = F.lit("other")
     for flags, s in known.items():
         status = F.when(pair == flags, s).otherwise(status)
     id_ = F.concat(padded(F.col("l_orderkey"), 20), padded(F.col("l_linenumber"), 8), padded(F.col("l_suppkey"), 16), padded(epoch("l_shipdate"), 20))
-    return events_frame(df, DISPUTE, id_, padded(F.col("l_suppkey") % 50), epoch("l_shipdate"), tags(DISPUTE, ("d", padded(F.col("l_orderkey"))), ("s", status)))
+    return events_frame(df, DISPUTE, id_, node("l_suppkey", nodes), epoch("l_shipdate"), tags(DISPUTE, ("d", padded(F.col("l_orderkey"))), ("s", status)))
 
 
-def fee_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """Each line as a dev-fee payment (those of every 50th order and the even nodes, if not
-    ``whole``)."""
+def fee_events(spark: SparkSession, sf_dir: str, nodes: int | None = NODES) -> DataFrame:
+    """Each line as a dev-fee payment."""
     df = table(spark, sf_dir, "lineitem")
-    if not whole:
-        df = df.filter((F.col("l_suppkey") % 2 == 0) & (F.col("l_orderkey") % 50 == 0))
     id_ = F.concat(padded(F.col("l_orderkey"), 20), padded(F.col("l_linenumber"), 8), padded(F.col("l_suppkey"), 16), padded(epoch("l_shipdate"), 20))
-    return events_frame(df, DEV_FEE, id_, padded(F.col("l_suppkey") % 50), epoch("l_shipdate"), tags(DEV_FEE))
+    return events_frame(df, DEV_FEE, id_, node("l_suppkey", nodes), epoch("l_shipdate"), tags(DEV_FEE))
 
 
-def info_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def info_events(spark: SparkSession, sf_dir: str, nodes: int | None = NODES) -> DataFrame:
     """Customers as info events; every third is about another node and so never chosen."""
     k = F.col("c_custkey")
     df = table(spark, sf_dir, "customer")
-    node = padded(k % 50)
-    about = F.when(k % 3 == 0, F.lit("other")).otherwise(node)
+    own = node("c_custkey", nodes)
+    about = F.when(k % 3 == 0, F.lit("other")).otherwise(own)
     bond = F.when(F.col("c_acctbal") > 5000, "true").when(F.col("c_acctbal") > 0, "false").otherwise("yes")
-    return events_frame(df, INFO, padded(k), node, F.lit(900_000_000) + k % 100, tags(INFO, ("d", about), ("bond_enabled", bond)))
+    return events_frame(df, INFO, padded(k), own, F.lit(900_000_000) + k % 100, tags(INFO, ("d", about), ("bond_enabled", bond)))
 
 
-def all_events(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    out = order_events(spark, sf_dir)
-    for made in (dispute_events(spark, sf_dir, whole), fee_events(spark, sf_dir, whole), info_events(spark, sf_dir)):
-        out = out.unionByName(made)
+def all_events(spark: SparkSession, sf_dir: str, nodes: int | None = NODES) -> DataFrame:
+    out = order_events(spark, sf_dir, nodes)
+    for made in (dispute_events, fee_events, info_events):
+        out = out.unionByName(made(spark, sf_dir, nodes))
     return out

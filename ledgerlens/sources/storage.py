@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
+def shared_dir(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh path in ``base``, or else in the folder that ``spark.checkpoint.dir`` names.
 
-    Every executor must see that folder.  Only where the setting is missing (tests on one
-    machine) a temporary folder is made and set for the session.
+    Every executor must see that folder.  Where there is neither, a temporary folder serves if
+    executors are threads of this process; on a cluster that would lose rows, so it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = getattr(spark, "_ledgerlens_dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+        spark._ledgerlens_dir = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's switch for dropping a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps neither
-    recompute it nor depend on the executors that made it."""
+    recompute it nor depend on the executors that made it.  The write's shuffle files, which
+    nothing reads after it, go at once."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
 
 
 def forget(spark: SparkSession, df: DataFrame | None) -> None:
-    """Delete the files of a settled table that no later step reads."""
-    if df is None:
+    """Delete the files of a table that ``settle`` gave and no later step reads."""
+    at = getattr(df, "_settled_at", None)
+    if at is None:
         return
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
