@@ -2,7 +2,8 @@
 
 A line's tokens are what stands between single spaces.  A line goes if an earlier line of
 the corpus (by doc_id, then text hash, then line number) is equal, or, where both have at
-least ``MIN_TOKENS`` tokens, within an edit distance of ``BOUND`` = 1 token (one replaced,
+least ``least`` tokens (a parameter, ``MIN_TOKENS`` by default: in shorter lines one token is
+too much of the meaning), within an edit distance of ``BOUND`` = 1 token (one replaced,
 inserted or deleted).  Whether that earlier line is itself removed does not matter.  Lines
 without a visible character stay.
 
@@ -19,9 +20,11 @@ without a visible character stay.
    another's deletion is within one edit of it.
 5. The edit distance of each line to its earliest neighbour is verified on the tokens.
 
-Hot lines, prefixes and variants are reduced by partial aggregation before they are shuffled.
+Hot lines, prefixes and variants are reduced by partial aggregation before they are shuffled;
+the one join back to the lines may be split where a line is in most documents.
 
-Cases: a null text has no lines and stays null; empty texts stay empty; repeated rows (equal
+Cases: a null text has no lines and stays null; empty texts stay empty; texts and lines of any
+length are treated whole; repeated rows (equal
 doc_id and text) count as one document and are treated alike; rows without a doc_id come
 last; an empty table stays empty; other columns pass through the stage unchanged.
 """
@@ -31,11 +34,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import forget, release, settle
+from ledgerlens.llm.common import forget, settle
 
 MIN_TOKENS, BOUND = 8, 1
 WHOLE, DELETED, REPLACED = 0, 1, 2
-FILTER_BITS = 1 << 26
+#: Bits of the filter of texts for each wanted one, and at most (2^20 words of 64 bits).
+BITS_EACH, FILTER_BITS = 16, 1 << 26
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def with_runs(rows: DataFrame, values: str, runs: str) -> DataFrame:
     return rows.withColumn(runs, flat).drop("width", "chunks", "ends")
 
 
-def variants(lines: DataFrame) -> DataFrame:
+def variants(lines: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """(key, role, rank) of the possible lines (rank, line, n, by_prefix, by_suffix)."""
     toks = lines.select("rank", "n", "by_prefix", "by_suffix", F.split("line", " ").alias("tok"))
     here = F.transform("tok", lambda t, i: F.xxhash64(t, i))
@@ -99,7 +103,7 @@ def variants(lines: DataFrame) -> DataFrame:
     deleted = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit("w"), n - 1, less(i).bitwiseXOR(F.col("end")).bitwiseXOR(F.get("runs", i))).alias("key"), F.lit(DELETED).alias("role")))
     replaced = F.transform(places, lambda i: F.struct(F.xxhash64(F.lit("r"), n, i, less(i)).alias("key"), F.lit(REPLACED).alias("role")))
     whole = F.array(F.struct(F.xxhash64(F.lit("w"), n, F.col("all")).alias("key"), F.lit(WHOLE).alias("role")))
-    deleted = F.when(n > MIN_TOKENS, deleted).otherwise(F.slice(deleted, 1, 0))  # its neighbour would be too short
+    deleted = F.when(n > least, deleted).otherwise(F.slice(deleted, 1, 0))  # its neighbour would be too short
     return step.select("rank", F.explode(F.concat(whole, deleted, replaced)).alias("v")).select("v.key", "v.role", "rank")
 
 
@@ -119,19 +123,24 @@ def likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     """The ``rows`` whose keys may be among those of ``wanted``, so that texts that no join
     needs are not shuffled.
 
-    The filter is a table of ``FILTER_BITS`` hashed bits in words of 64: at most 2^20 rows of
-    16 bytes, whatever the size of ``wanted``, so it may be broadcast.  It lets no key go; with
-    far more keys than bits it lets all rows pass.
+    The filter is a table of hashed bits in words of 64, ``BITS_EACH`` a wanted row: at most
+    2^20 rows of 16 bytes, so it may be broadcast.  It lets no key go.  Where ``wanted`` needs
+    more than that, all rows pass and the join alone decides.
     """
-    at = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    n = wanted.count()
+    if n * BITS_EACH > FILTER_BITS:
+        return rows
+    bits = max(64, 1 << (n * BITS_EACH).bit_length())
+    at = F.pmod(F.xxhash64(*keys), F.lit(min(bits, FILTER_BITS)))
     word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
     masks = wanted.select(word.alias("__word"), one.alias("one")).groupBy("__word").agg(F.bit_or("one").alias("__mask"))
     return rows.join(F.broadcast(masks), word == F.col("__word")).filter(F.getbit("__mask", bit) == 1).select(*rows.columns)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(none, d, th, ln, near): each line that goes; near is false for equal lines."""
+def removed_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+    """(none, d, th, ln, near): each line that goes; near is false for equal lines.  Lines of
+    fewer than ``least`` tokens are near none."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     if _repeats(docs):
@@ -140,39 +149,37 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("none", "d", "th", "ln")
     name = ["a", "b", "n"]
     halves = ["p0", "p1", "s0", "s1"]
-    first = seen.groupBy(*name).agg(F.min(place).alias("first"), *[F.first(h).alias(h) for h in halves])
+    first = seen.groupBy(*name).agg(F.min(place).alias("first"), F.count("*").alias("times"), *[F.first(h).alias(h) for h in halves])
     first = settle(first, "distinct-lines")
-    long = first.filter(F.col("n") >= MIN_TOKENS)
+    long = first.filter(F.col("n") >= least)
     keys = long.select("a", F.explode(F.array(*[F.struct(F.col(h).alias("key"), F.lit(h[0] == "p").alias("prefix")) for h in halves])).alias("k")).select("a", "k.*").distinct()
     shared = keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").select("key")
     hit = keys.join(shared, "key").groupBy("a").agg(F.bool_or("prefix").alias("by_prefix"), F.bool_or(~F.col("prefix")).alias("by_suffix"))
     possible = long.select("a", "b", "n", "first.*").join(hit, "a")
     # Sorted by place, ids that only grow are ranks in the order of the corpus.
     ranked = settle(possible.orderBy("none", "d", "th", "ln").withColumn("rank", F.monotonically_increasing_id()), "possible-lines")
-    release(spark)
     wanted = ranked.groupBy("none", "d", "th").agg(F.collect_list(F.struct("ln", "rank", "n", "by_prefix", "by_suffix")).alias("want"))
-    got = likely(_keyed(docs), wanted, "none", "d", "th").join(wanted, ["none", "d", "th"]).select(F.explode(F.transform("want", lambda w: F.struct(w["rank"].alias("rank"), w["n"].alias("n"), w["by_prefix"].alias("by_prefix"), w["by_suffix"].alias("by_suffix"), F.get("lines", w["ln"]).alias("line")))).alias("l")).select("l.*")
+    got = likely(_keyed(docs), ranked.select("none", "d", "th").distinct(), "none", "d", "th").join(wanted, ["none", "d", "th"]).select(F.explode(F.transform("want", lambda w: F.struct(w["rank"].alias("rank"), w["n"].alias("n"), w["by_prefix"].alias("by_prefix"), w["by_suffix"].alias("by_suffix"), F.get("lines", w["ln"]).alias("line")))).alias("l")).select("l.*")
     lines = settle(got, "possible-texts")
-    del got
-    release(spark)
-    emitted = settle(variants(lines), "variants")  # read twice below
-    least = emitted.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("rank"))).alias(f"m{r}") for r in (WHOLE, DELETED, REPLACED)], F.max("rank").alias("top"))
-    least = least.filter("(m0 is not null and m1 is not null) or m2 < top").select("key", "m0", "m1", "m2")
+    emitted = settle(variants(lines, least), "variants")  # read twice below
+    firsts = emitted.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("rank"))).alias(f"m{r}") for r in (WHOLE, DELETED, REPLACED)], F.max("rank").alias("top"))
+    firsts = firsts.filter("(m0 is not null and m1 is not null) or m2 < top").select("key", "m0", "m1", "m2")
     partner = F.when(F.col("role") == WHOLE, F.col("m1")).when(F.col("role") == DELETED, F.col("m0")).otherwise(F.col("m2"))
-    linked = emitted.join(least, "key").select("rank", partner.alias("to")).filter("to < rank").groupBy("rank").agg(F.min("to").alias("to"))
+    linked = emitted.join(firsts, "key").select("rank", partner.alias("to")).filter("to < rank").groupBy("rank").agg(F.min("to").alias("to"))
     mine, theirs = lines.select("rank", F.split("line", " ").alias("x")), lines.select(F.col("rank").alias("to"), F.split("line", " ").alias("y"))
     near = linked.join(mine, "rank").join(theirs, "to").filter(within_one(F.col("x"), F.col("y"))).select("rank")
     near = settle(ranked.join(near, "rank").select("a", "b", "n"), "near-lines")
     for table in (emitted, lines, ranked):
         forget(spark, table)
-    release(spark)
-    rows = seen.select("none", "d", "th", "ln", *name).join(first.select(*name, "first"), name)
-    rows = rows.join(near.withColumn("hit", F.lit(True)), name, "left")
+    # Distinct lines that lose anything, with their verdict, meet the lines in one join: two on
+    # the same key would be one stage, in which a line that most documents have is not split.
+    marked = first.join(near.withColumn("hit", F.lit(True)), name, "left").filter("times > 1 or hit")
+    marked = settle(marked.select(*name, "first", "hit"), "marked-lines")
+    rows = seen.select("none", "d", "th", "ln", *name).join(marked, name)
     same = F.struct("none", "d", "th", "ln") != F.col("first")
     gone = settle(rows.filter(same | F.col("hit")).select("none", "d", "th", "ln", (~same).alias("near")), "removed-lines")
-    for table in (seen, first, near):
+    for table in (seen, first, near, marked):
         forget(spark, table)
-    release(spark)
     return gone
 
 
@@ -181,9 +188,9 @@ def _repeats(docs: DataFrame) -> bool:
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
 
 
-def dedup_lines(docs: DataFrame, *carried: Column) -> DataFrame:
+def dedup_lines(docs: DataFrame, *carried: Column, least: int = MIN_TOKENS) -> DataFrame:
     """The carried columns of each row, its number of lines, those removed, and the kept text."""
-    gone = removed_lines(docs).groupBy("none", "d", "th").agg(F.collect_list("ln").alias("gone"), F.count_if("near").alias("n_near"))
+    gone = removed_lines(docs, least).groupBy("none", "d", "th").agg(F.collect_list("ln").alias("gone"), F.count_if("near").alias("n_near"))
     rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("d"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"), *carried)
     rows = rows.join(gone, ["none", "d", "th"], "left").withColumn("__lines", F.split("__text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
@@ -191,16 +198,16 @@ def dedup_lines(docs: DataFrame, *carried: Column) -> DataFrame:
     return rows.withColumn("__kept", kept)
 
 
-def line_digests(docs: DataFrame) -> DataFrame:
+def line_digests(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """doc_id, lines, lines removed as equal and as near ones, and the kept text's SHA-256."""
-    out = dedup_lines(docs, F.col("doc_id").cast("bigint").alias("doc_id"))
+    out = dedup_lines(docs, F.col("doc_id").cast("bigint").alias("doc_id"), least=least)
     removed = F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")
     near = F.coalesce("n_near", F.lit(0)).cast("bigint")
     lines = F.when(F.col("__text").isNull(), 0).otherwise(F.size("__lines")).cast("bigint")
     return out.select("doc_id", lines.alias("n_lines"), (removed - near).alias("n_equal_removed"), near.alias("n_near_removed"), F.sha2(F.coalesce("__kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the kept text (and n_chars, where there is such a column)."""
-    out = dedup_lines(docs, F.struct("*").alias("row"))
+    out = dedup_lines(docs, F.struct("*").alias("row"), least=least)
     return out.select(*[(F.col("__kept") if c == "text" else F.length("__kept").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
