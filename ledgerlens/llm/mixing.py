@@ -15,12 +15,16 @@ Its integral, scaled to the target, is the cumulative demand for the source's wo
 inverse at the middle of a document's stretch of words is the document's position.  Documents
 are then range-sorted by position.
 
-How it scales: running sums are two-level.  Every source is dealt into ``BUCKETS`` by hash;
-sums run within a bucket and over the few bucket totals, so no task holds a source.
-
-Cases: a null text has size 0 and takes 0; sources of size 0 have target 0; repeated rows are
-separate documents, and ties in the order are between equal rows; an empty table stays empty;
-other columns pass through the stage unchanged.
+How it scales: running sums are two-level, over documents and over sources alike.  A source's
+documents are dealt by hash into buckets whose number follows from the number of documents
+(about ``BUCKET`` each, were they one source's); sums run within a bucket and over the bucket
+totals, so no task holds a source.  Only ids, hashes and sizes take part; the stage then meets
+its rows once, by document.
+
+Cases: a null text has size 0 and takes 0; sources of size 0 have target 0; rows of equal
+doc_id, source and text stand side by side in the order and share their place in it; texts of
+any length count whole; an empty table stays empty; other columns, whatever their names, pass
+through the stage unchanged.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACE, settle, words
+from ledgerlens.llm.common import SPACE, forget, settle, words
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-BUCKETS = 1024
+#: Documents of a bucket, about.
+BUCKET = 50_000
 #: Weight schedules as (time, height) knots, one for each of ``WEIGHTS``: early, late, and peaking midway.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.75), (0.5, 1.25), (1.0, 0.75)))
 
@@ -54,48 +59,81 @@ def invert(q: Column, knots: tuple) -> Column:
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
+def running(rows: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """``rows`` with the sum of each column over all rows that stand before in ``order``, which
+    must be total.  Sorted partitions are summed first, then each within itself, so no task
+    holds all rows; the totals are one row a partition."""
+    ranked = settle(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered").withColumn("__part", F.shiftright("__at", 33))
+    total = ranked.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__part", *[F.coalesce(F.sum(f"__{n}").over(ahead), F.lit(0)).alias(f"__{n}") for n in sums])
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranked.join(F.broadcast(total), "__part")
+    return out.select(*rows.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__{n}")).alias(n) for n, c in sums.items()])
+
+
 def targets(totals: DataFrame) -> DataFrame:
-    """Of sources (source, source_size): their rank, weight and target.  One row a source, so
-    the two orderings below are over sources, not documents."""
-    ordered = totals.withColumn("kind", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS))
+    """Of sources (source, source_size): their rank modulo the weights, and their target.
+
+    The capped sources come first in the order of cap over weight: those whose cap lies within
+    what the earlier ones leave to their weight.
+    """
+    name = [F.col("source").asc_nulls_last()]
+    ordered = running(totals.withColumn("one", F.lit(1)), name, place="one").drop("one")
+    ordered = ordered.withColumn("kind", (F.col("place") % len(WEIGHTS)).cast("int")).drop("place")
     ordered = ordered.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("kind") + 1))
     ordered = ordered.withColumn("cap", CAP * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, every = by.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = SHARE * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    weight = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    ordered = ordered.withColumn("level", left / weight).withColumn("capped", F.col("level") >= F.col("ratio"))
-    level = F.min(F.when(~F.col("capped"), F.struct("ratio", (-F.col("level")).alias("down")))).over(every)["down"] * -1
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("w"))
-    return ordered.withColumn("target", target).select("source", "kind", "source_size", "target")
-
-
-def planned(docs: DataFrame, *carried: Column) -> DataFrame:
-    """Each document with its size, its place among its source's words, and what the mix takes."""
-    t = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    base = docs.select(
-        F.col("doc_id").cast("bigint"),
-        F.col("source").cast("string").alias("source"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE.replace("[", "[^", 1))).cast("bigint").alias("size"),
-        t.alias("t"),
-        F.xxhash64(F.coalesce("doc_id", F.lit(-1)), t, F.lit("mix")).alias("h"),
-        *carried,
-    ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
-    slim = settle(base.select("source", "bucket", "size").groupBy("source", "bucket").agg(F.sum("size").alias("s")), "bucket-sizes")
-    source = targets(slim.groupBy("source").agg(F.sum("s").alias("source_size")))
-    ahead = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = slim.select("source", "bucket", ahead.alias("ahead")).join(source.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    starts = settle(starts.withColumnsRenamed({"source": "__s", "bucket": "__b"}), "bucket-starts")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
-    placed = placed.withColumn("begin", F.col("ahead") + F.col("inner"))
+    ordered = settle(running(ordered, [F.col("ratio"), *name], caps="cap", weights="w"), "sources")
+    every = ordered.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    level = (SHARE * every["size"] - F.col("caps")) / (every["w"] - F.col("weights"))
+    ordered = ordered.withColumn("level", level).withColumn("capped", F.col("level") >= F.col("ratio"))
+    free = ordered.filter(~F.col("capped")).agg(F.min_by("level", F.struct("ratio", -F.col("level")))).first()[0]
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.lit(free).cast("double") * F.col("w"))
+    return ordered.select("source", "kind", "source_size", target.alias("target"))
+
+
+#: A document's key, without nulls, so that equal keys meet by plain equality.
+KEY = ("i", "no_id", "s", "no_source", "t")
+
+
+def keyed(docs: DataFrame, *carried: Column) -> DataFrame:
+    """``KEY`` (i: doc_id, s: source, t: a hash of the text), the order h, the size, and the
+    carried columns."""
+    text, doc_id, source = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("bigint"), F.col("source").cast("string")
+    t = F.xxhash64(text)
+    size = F.regexp_count(text, F.lit(SPACE.replace("[", "[^", 1))).cast("bigint")
+    h = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), t, F.lit("mix"))
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("i"), doc_id.isNull().alias("no_id"), F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("no_source"), t.alias("t"), h.alias("h"), size.alias("size"), *carried)
+
+
+def planned(docs: DataFrame) -> DataFrame:
+    """Each distinct ``KEY`` with its rows (many), their size, source, and where they begin
+    among the source's words."""
+    slim = keyed(docs).groupBy(*KEY, "h", "size").agg(F.count("*").alias("many"))
+    slim = settle(slim, "sizes")
+    buckets = max(1, -(-slim.count() // BUCKET))
+    slim = slim.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    at = ["s", "no_source", "bucket"]
+    sums = settle(slim.groupBy(*at).agg(F.sum(F.col("size") * F.col("many")).alias("words")), "bucket-sizes")
+    source = sums.groupBy("s", "no_source").agg(F.sum("words").alias("source_size"))
+    source = targets(source.select(F.when(~F.col("no_source"), F.col("s")).alias("source"), "source_size"))
+    source = source.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), "kind", "source_size", "target")
+    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("s", "no_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = settle(sums.select(*at, ahead.alias("ahead")).join(source, ["s", "no_source"]), "bucket-starts")
+    forget(docs.sparkSession, sums)
+    within = Window.partitionBy(*at).orderBy("h", "i", "no_id", "t").rowsBetween(Window.unboundedPreceding, -1)
+    placed = slim.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("many")).over(within), F.lit(0))).join(starts, at)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0)
-    placed = placed.withColumn("rounds", rounds.cast("int"))
+    return placed.select(*KEY, "size", "many", "kind", "source_size", "target", (F.col("ahead") + F.col("inner")).alias("begin"), rounds.cast("int").alias("rounds"))
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """What the mix takes of each row: its ``begin`` becomes that of the ``nth`` of its key."""
+    rows = rows.withColumn("begin", F.col("begin") + F.col("nth") * F.col("size"))
     rest = F.round("target").cast("bigint") - F.col("rounds") * F.col("source_size")
     extra = F.least(F.greatest(rest - F.col("begin"), F.lit(0)), F.col("size"))
-    placed = placed.withColumn("extra", extra.cast("bigint"))
-    return placed.withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
+    rows = rows.withColumn("extra", extra.cast("bigint"))
+    return rows.withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
 
 
 def position(start: Column, length: Column) -> Column:
@@ -109,21 +147,27 @@ def position(start: Column, length: Column) -> Column:
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the position of the first copy (null if
     none is taken), range-sorted by it."""
-    rows = planned(docs)
+    rows = shared(planned(docs).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("many") - 1))))
     first = F.when(F.col("rounds") > 0, F.col("size")).otherwise(F.col("extra"))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(F.col("begin"), first)))
+    rows = rows.withColumn("doc_id", F.when(~F.col("no_id"), F.col("i")))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The training sequence: a row for each copy taken, in the order of positions, with the
     columns of ``docs``; a copy taken in part has its first words only."""
-    rows = planned(docs, F.struct("*").alias("row"))
+    plan = settle(planned(docs), "mix-plan")
+    rows = keyed(docs, F.struct("*").alias("row"))
+    # Rows of one key differ in other columns at most; a hash of these tells their order.
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.xxhash64("row"))) - 1
+    rows = rows.select(*KEY, "row", nth.alias("nth"))
+    rows = shared(rows.join(plan, [*KEY]))
     whole = F.when((F.col("rounds") > 0) & (F.col("size") > 0), F.sequence(F.lit(0), F.col("rounds") - 1)).otherwise(F.array().cast("array<int>"))
     copies = F.concat(F.transform(whole, lambda c: F.struct(c.alias("n"), F.col("size").alias("words"))), F.when(F.col("extra") > 0, F.array(F.struct(F.col("rounds").alias("n"), F.col("extra").alias("words")))).otherwise(F.array().cast("array<struct<n:int,words:bigint>>")))
     rows = rows.withColumn("copy", F.explode(copies))
     rows = rows.withColumn("position", position(F.col("copy.n") * F.col("source_size") + F.col("begin"), F.col("copy.words")))
     part = F.array_join(F.slice(words(F.col("row.text")), 1, F.col("copy.words").cast("int")), " ")
     text = F.when(F.col("copy.words") == F.col("size"), F.col("row.text")).otherwise(part)
-    out = rows.withColumn("new", text).orderBy("position", "doc_id", "t", "copy.n")
+    out = rows.withColumn("new", text).orderBy("position", "no_id", "i", "t", "nth", "copy.n")
     return out.select(*[(F.col("new") if c == "text" else F.length("new").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
