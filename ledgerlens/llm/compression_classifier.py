@@ -2,26 +2,28 @@
 
 Two zstandard dictionaries are built, from good and from bad labelled texts.  A text is cut
 into pieces of ``PIECE`` bytes (all of it; long texts would otherwise outgrow the
-dictionaries) and compressed with either and with none.  The difference of the two sizes over
-the text's length is the raw score; a logistic curve over it, the plain compression ratio and
-the length turns it into the probability of label 1.
+dictionaries) and compressed with either.  The difference of the two sizes over the text's
+length is the only input of the score: a logistic curve, fitted on other labelled texts,
+turns it into the probability of label 1.
 
 Learning uses labelled rows only where crc32(doc_id as text) mod 4 is not 2: remainders 0
-and 1 build the dictionaries (at most ``DICT_ROWS`` of each class), remainder 3 fits the
-curve (at most ``FIT_ROWS``); rows are taken in the order of a hash, texts above
-``SAMPLE_BYTES`` are left out of the samples alone.  Scores never see labels, lang, source or
-doc_id.
-
-Cases: null and empty texts are scored as texts of no bytes; a document with several labels
-counts as good only if all say so; without labelled rows of both classes every score is 1,
-so that nothing is rejected; repeated rows get equal scores; an empty table stays empty.
+and 1 build the dictionaries, remainder 3 fits the curve.  Samples are bounded by numbers of
+labelled rows, whatever their length: ``DICT_ROWS`` texts of each class, of whose pieces
+``DICT_PIECES`` are trained on, and ``FIT_ROWS`` texts for the curve, all taken in the order
+of a hash.  Scores never see labels, lang, source or doc_id.
+
+Cases: null and empty texts are scored as texts of no bytes (difference 0); texts of any
+length are measured whole, and take part in samples like any other; a document with several
+labels counts as good only if all say so; without labelled rows of both classes in both
+samples every score is 1, so that nothing is rejected; repeated rows get equal scores; an
+empty table stays empty; ``keep_good`` returns every column of ``docs``, whatever its name.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +31,20 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import arrow_rows, ship
+from ledgerlens.llm.common import arrow_rows, forget, held, settle, ship
 
 PIECE, LEVEL, DICT_BYTES = 2048, 3, 112_640
-DICT_ROWS, FIT_ROWS, SAMPLE_BYTES = 1_500, 5_000, 16_384
-PIECES = 5_000
+#: Bounds of the samples, in labelled rows and in pieces of them.
+DICT_ROWS, DICT_PIECES, FIT_ROWS = 1_500, 5_000, 5_000
 CUT = 0.7
 
 
-def pieces(raw: bytes) -> list[bytes]:
+def pieces(raw: bytes | memoryview) -> list:
     return [raw[i : i + PIECE] for i in range(0, max(len(raw), 1), PIECE)]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
+def dictionary(found: list[bytes]) -> bytes:
     """A dictionary's bytes; small samples, which the trainer refuses, serve as they are."""
-    found = [p for t in texts for p in pieces(t)]
-    found = found[:: max(1, len(found) // PIECES)]
     size = min(DICT_BYTES, sum(map(len, found)) // 8)
     try:
         return zstandard.train_dictionary(max(size, 512), found).as_bytes()
@@ -52,42 +52,41 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(found)[:DICT_BYTES]
 
 
-@lru_cache(2)
-def measurer(good: bytes, bad: bytes) -> Callable[[bytes], tuple[float, float, float, float]]:
-    """The function from a text to (difference, plain ratio, log length, smaller ratio)."""
-    options = {"level": LEVEL, "write_content_size": False, "write_checksum": False}
+def measurer(good: bytes, bad: bytes) -> Callable[[bytes], float]:
+    """The function from a text to its normalised difference of compressed sizes."""
     made = []
     for d in (bad, good):
         known = zstandard.ZstdCompressionDict(d)
         known.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(dict_data=known, write_dict_id=False, **options))
-    made.append(zstandard.ZstdCompressor(**options))
+        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_dict_id=False, write_content_size=False, write_checksum=False))
 
-    def measure(raw: bytes) -> tuple[float, float, float, float]:
-        cut, n = pieces(raw), max(len(raw), 1)
-        b, g, plain = (sum([len(c.compress(p)) for p in cut]) for c in made)
-        return (b - g) / n, plain / n, math.log(n + 1), min(b, g) / n
+    def measure(raw: bytes) -> float:
+        cut = pieces(raw)
+        b, g = (sum([len(c.compress(p)) for p in cut]) for c in made)
+        return (b - g) / max(len(raw), 1)
 
     return measure
 
 
-def terms(x: np.ndarray) -> np.ndarray:
-    d, r, size, m = x.T
-    return np.column_stack([np.ones(len(x)), d, r, d * r, d * d, r * r, m, m * m, size / 10, d * size / 10, r * size / 10])
+def kept_measurer(good: bytes, bad: bytes) -> Callable[[bytes], float]:
+    return held(("zstd", good, bad), partial(measurer, good, bad))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> list[list[float]]:
-    """Centre, scale and weights of a ridge logistic regression (Newton steps)."""
-    t = terms(x)
-    mid, scale = t.mean(0), t.std(0) + 1e-9
-    mid[0], scale[0] = 0, 1
-    t = (t - mid) / scale
-    w = np.zeros(t.shape[1])
-    keep = ridge * len(y) * np.eye(len(w))
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Offset and slope of a ridge logistic regression on the standardised difference (Newton
+    steps), in terms of the difference itself."""
+    mid, scale = x.mean(), x.std() + 1e-9
+    t = np.column_stack([np.ones(len(x)), (x - mid) / scale])
+    w = np.zeros(2)
+    keep = ridge * len(y) * np.diag([0.0, 1.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))
-        w -= np.linalg.solve((t * (p * (1 - p))[:, None]).T @ t + keep + 1e-6 * np.eye(len(w)), t.T @ (p - y) + keep @ w)
-    return [mid.tolist(), scale.tolist(), w.tolist()]
+        w -= np.linalg.solve((t * (p * (1 - p))[:, None]).T @ t + keep + 1e-6 * np.eye(2), t.T @ (p - y) + keep @ w)
+    return float(w[0] - w[1] * mid / scale), float(w[1] / scale)
+
+
+def probability(curve: tuple[float, float], difference: float) -> float:
+    return 1 / (1 + math.exp(-min(max(curve[0] + curve[1] * difference, -30.0), 30.0)))
 
 
 def remainder(doc_id: str | Column = "doc_id") -> Column:
@@ -95,58 +94,63 @@ def remainder(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Labelled texts for a bounded table of ids: it is small by its limit, so it is broadcast."""
-    rows = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw")).filter(F.octet_length("raw") <= SAMPLE_BYTES)
-    return rows.join(F.broadcast(ids), F.col("__id") == F.col("doc_id")).select("doc_id", "q", "raw")
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Dictionaries and curve as plain values; None without both classes in both samples."""
+def samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, doc_id, q, raw): labelled texts whose part is "dict" or "fit", by one scan of the
+    texts.  The table of ids is bounded by the samples' sizes, so it is broadcast."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("r", remainder()).filter("r <> 2")
+    known = settle(known, "labelled-ids")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    samples = []
+    taken = known.filter("r = 3").orderBy(*order).limit(FIT_ROWS).withColumn("part", F.lit("fit"))
     for q in (1, 0):
-        ids = known.filter((F.col("r") < 2) & (F.col("q") == q)).orderBy(*order).limit(DICT_ROWS)
-        samples.append([bytes(r["raw"]) for r in sorted(_texts(docs, ids).collect(), key=lambda r: (r["doc_id"], bytes(r["raw"])))])
-    if not all(any(s) for s in samples):
-        return None
-    good, bad = map(dictionary, samples)
-    ids = known.filter("r = 3").orderBy(*order).limit(FIT_ROWS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = measurer(good, bad)
-        for batch in batches:
-            x = [measure(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "q", "x"])
-
-    rows = sorted(arrow_rows(_texts(docs, ids), run, "doc_id bigint, q int, x array<double>").collect())
-    y = np.array([r["q"] for r in rows], float)
-    if len(y) == 0 or y.min() == y.max():
-        return None
-    return {"good": good, "bad": bad, "curve": fit_curve(np.array([r["x"] for r in rows]), y)}
-
-
-def probabilities(model: dict | None, raws: list[bytes]) -> list[float]:
-    if model is None or not raws:
-        return [1.0] * len(raws)
-    measure = measurer(model["good"], model["bad"])
-    mid, scale, w = map(np.array, model["curve"])
-    t = (terms(np.array([measure(r) for r in raws])) - mid) / scale
-    return (1 / (1 + np.exp(-np.clip(t @ w, -30, 30)))).tolist()
+        taken = taken.union(known.filter((F.col("r") < 2) & (F.col("q") == q)).orderBy(*order).limit(DICT_ROWS).withColumn("part", F.lit("dict")))
+    ids = taken.select(F.col("doc_id").alias("__id"), "q", "part")
+    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    out = settle(texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("part", "doc_id", "q", "raw"), "labelled-texts")
+    forget(docs.sparkSession, known)
+    return out
+
+
+def sampled_pieces(sample: DataFrame, q: int) -> list[bytes]:
+    """Pieces of a class's sampled texts, ``DICT_PIECES`` at most, in the order of a hash."""
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("raw") / PIECE).cast("int") - 1, F.lit(0))), lambda i: F.substring("raw", i * PIECE + 1, F.lit(PIECE)))
+    rows = sample.filter((F.col("part") == "dict") & (F.col("q") == q)).select("doc_id", F.posexplode(cut).alias("at", "piece"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "at")).orderBy("h", "doc_id", "at", "piece").limit(DICT_PIECES)
+    return [bytes(r["piece"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["at"], bytes(r["piece"])))]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
+    """Dictionaries and curve as plain values; None without both classes in both samples."""
+    sample = samples(docs, labels)
+    good, bad = (sampled_pieces(sample, q) for q in (1, 0))
+    model = None
+    if any(good) and any(bad):
+        good, bad = dictionary(good), dictionary(bad)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            measure = kept_measurer(good, bad)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([measure(t.as_py()) for t in batch.column(1)], pa.float64())], ["q", "x"])
+
+        rows = sorted(arrow_rows(sample.filter("part = 'fit'").select("q", "raw"), run, "q int, x double", keeps=True).collect())
+        y = np.array([r["q"] for r in rows], float)
+        if len(y) and y.min() < y.max():
+            model = {"good": good, "bad": bad, "curve": fit_curve(np.array([r["x"] for r in rows]), y)}
+    forget(docs.sparkSession, sample)
+    return model
 
 
 def scored(docs: DataFrame, model: dict | None, column: str = "score") -> DataFrame:
     """``docs`` with the score of each text as one more column."""
-
+    if model is None:
+        return docs.withColumn(column, F.lit(1.0))
     ship(docs.sparkSession)
+    good, bad, curve = model["good"], model["bad"], model["curve"]
 
-    @F.pandas_udf("double")
-    def score(raw):
-        import pandas as pd
-
-        return pd.Series(probabilities(model, [bytes(r) for r in raw]), dtype="float64")
+    @F.arrow_udf("double")
+    def score(raw: pa.Array) -> pa.Array:
+        measure = kept_measurer(good, bad)
+        return pa.array([probability(curve, measure(memoryview(r.as_buffer()))) for r in raw], pa.float64())
 
     return docs.withColumn(column, score(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
