@@ -3,16 +3,20 @@
 A pre-token's symbols are merged by a segment tree over the ranks of adjacent pairs: its root
 holds the leftmost pair of the lowest rank; a merge changes two neighbouring pairs and one
 vanishing pair, three point updates of logarithmic cost each; it ends when no pair can merge.
-Nodes have sixteen children.  Pre-tokens repeat, so each worker keeps the results of those seen last, in a bounded cache.
+Nodes have sixteen children.  Pre-tokens repeat, so each worker keeps the results of those seen
+last while its stage lasts, in caches bounded by bytes.
 
 Splitting a text follows the vocabulary file: special tokens first, then normalisation
 (NFC, white space, lower case), then the split pattern and the byte alphabet.  Texts made of
 characters below U+0180, on which Python and the library agree, are split by one compiled
-pattern; all others by the library's own normalizer and pre-tokenizer.
+pattern; all others by the library's own normalizer and pre-tokenizer.  A vocabulary file with
+other rules than these is an error, never counted by the wrong ones.
 
 Cases: a null text is an empty one: no tokens, the digest of the empty string, and an empty
-text back; pre-tokens of any length are merged whole; repeated rows give equal rows; columns
-other than doc_id and text are never read.
+text back; texts and pre-tokens of any length are encoded whole (a pre-token too long for the
+cache is merged anew each time); repeated rows and ties give equal rows; an empty table stays
+empty; columns other than doc_id and text are never read, so that of ``docs`` with clashing
+names none reaches the result, which has its own columns alone.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-from itertools import chain, pairwise
+from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -32,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import arrow_rows
+from ledgerlens.llm.common import arrow_rows, held
 
 NAME = "word_bpe_49k.json"
-#: Entries of one generation of a worker's pre-token cache; two are kept.
-CACHE = 150_000
+#: Bytes of the young generation of a worker's pre-token caches; as many may be old.
+CACHE_BYTES = 24 << 20
+#: What an entry takes of a dictionary's own table, about.
+ENTRY = 56
 #: Documents whose ids are gathered before they leave as an Arrow batch.
 ROWS = 256
 END = "</w>"
@@ -60,6 +66,24 @@ def unmapped(text: str) -> bytes:
     return bytes([BYTES[c] for c in text])
 
 
+# The rules of a vocabulary file that this module follows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check_rules(spec: dict) -> None:
+    """Raises where a vocabulary file asks for other rules than those above."""
+    model = spec["model"]
+    unlike = [k for k, v in MODEL.items() if model.get(k, v) != v]
+    unlike += [k for k, v in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("decoder", None)) if spec.get(k) != v]
+    unlike += [t["content"] for t in spec["added_tokens"] if any(t.get(k, v) != v for k, v in ADDED.items())]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != END or unlike:
+        raise ValueError(f"vocabulary file with other rules than BPE with word ends: {', '.join(unlike) or 'model'}")
+
+
 #: Characters that the fast split takes: below U+0180, without U+0130 (its lower case has two).
 OTHER = re.compile("[^\\x00-įı-ſ]")
 
@@ -135,12 +159,12 @@ class Coder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_rules(spec)
         model = spec["model"]
-        if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or spec["decoder"] or model.get("dropout"):
-            raise ValueError("only BPE vocabularies with word ends and no decoder")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: s for s, i in {**self.vocab, **self.special}.items()}
+        self.digits = {i: str(i) for i in self.names}
         self.ranks, self.made = {}, []
         for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -169,7 +193,7 @@ class Coder:
 
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of a text, and whether each is a special token."""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or not any(s in text for s in self.special):
             yield text, False
             return
         for i, part in enumerate(self.cut.split(text)):
@@ -196,111 +220,122 @@ class Coder:
         return " ".join(w if w in self.special else unmapped(w).decode("utf-8", "replace") for w in marked.split(END) if w)
 
 
-@lru_cache(1)
-def coder(path: str) -> Coder:
-    return Coder(path)
+class Room:
+    """The bytes that the young generations of several caches may take together.
+
+    When they are used up, every young generation becomes the old one, whose entries return as
+    they are asked for again; so frequent pre-tokens stay and rare ones go.
+    """
 
+    def __init__(self, limit: int) -> None:
+        self.limit, self.used, self.caches = limit, 0, []
 
-class Cache(dict):
-    """Results by pre-token, besides those it starts with, in two generations of ``CACHE``.
+    def take(self, size: int) -> None:
+        if self.used + size > self.limit:
+            for c in self.caches:
+                c.turn()
+            self.used = 0
+        self.used += size
 
-    When the young generation is full it becomes the old one, whose entries return as they
-    are asked for again; so frequent pre-tokens stay and rare ones go.
-    """
 
-    def __init__(self, make: Callable, start: dict | None = None) -> None:
+class Cache(dict):
+    """Results by pre-token, besides those it starts with, within a ``Room``."""
+
+    def __init__(self, make: Callable, room: Room, start: dict | None = None) -> None:
         super().__init__(start or {})
-        self.make, self.start, self.old = make, start or {}, {}
+        self.make, self.room, self.start, self.old = make, room, start or {}, {}
+        room.caches.append(self)
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE + len(self.start):
-            self.old = dict(self)
-            self.clear()
-            self.update(self.start)
-        self[key] = value
+        size = ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+        if size <= self.room.limit >> 4:
+            self.room.take(size)
+            self[key] = value
         return value
 
+    def turn(self) -> None:
+        self.old = {}  # before the copy, so that three generations never stand together
+        self.old = dict(self)
+        self.clear()
+        self.update(self.start)
 
-class Encoder:
-    """Texts to what ``entry`` makes of each pre-token's tokens, by way of the caches."""
 
-    def __init__(self, path: str, entry: Callable[[Coder, list[str]], tuple]) -> None:
-        self.coder = c = coder(path)
-        self.special = {s: entry(c, [i]) for s, i in c.special.items()}
-        self.mapped = Cache(lambda m: entry(c, c.tokens(unmapped(m))))
-        self.plain = Cache(lambda w: entry(c, c.tokens(w.encode("utf-8"))))
+class Encoder:
+    """Texts to their ids, as 32-bit numbers in native order, by way of the caches."""
 
-    def entries(self, text: str) -> list[tuple]:
-        out: list[tuple] = []
+    def __init__(self, path: str) -> None:
+        self.coder = c = Coder(path)
+        c.vocab = {}  # merging and decoding need it no more
+        room = Room(CACHE_BYTES)
+        pack = lambda ids: np.array(ids, np.int32).tobytes()
+        self.special = {s: pack([i]) for s, i in c.special.items()}
+        self.mapped = Cache(lambda m: pack(c.tokens(unmapped(m))), room)
+        self.plain = Cache(lambda w: pack(c.tokens(w.encode("utf-8"))), room)
+
+    def packed(self, text: str) -> bytes:
+        out: list[bytes] = []
         for part, special in self.coder.pieces(text):
             if special:
                 out.append(self.special[part])
             else:
                 found, mapped = self.coder.split(part)
                 out += map((self.mapped if mapped else self.plain).__getitem__, found)
-        return out
-
-
-def as_text(c: Coder, ids: list[int]) -> tuple[int, str, str]:
-    """Count, ids joined by spaces, and tokens joined by spaces."""
-    return len(ids), " ".join(map(str, ids)), " ".join([c.names[i] for i in ids])
+        return b"".join(out)
 
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-def as_ids(c: Coder, ids: list[int]) -> tuple[int, ...]:
-    return tuple(ids)
 
-
-@lru_cache(2)
-def encoder(path: str, entry: Callable = as_ids) -> Encoder:
-    return Encoder(path, entry)
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, kept while one stage after the other asks for it."""
+    return held(("bpe", path), partial(Encoder, path))
 
 
 def encode(path: str, text: str) -> list[int]:
-    return [*chain.from_iterable(encoder(path).entries(text))]
+    return encoder(path).ids(text)
 
 
 DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def bpe_digests(docs: DataFrame, name: str = NAME) -> DataFrame:
-    """One row per document: token count, and digests of its ids and of their decoding.
-
-    Decoding joins the vocabulary's names of the ids; names are looked up once per cached
-    pre-token.
-    """
+    """One row per document: token count, and digests of its ids and of what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(public_tokenizers.path(name), as_text)
-        sha = lambda found, k: hashlib.sha256(" ".join([e[k] for e in found]).encode()).hexdigest()
+        code = encoder(public_tokenizers.path(name))
+        digits, decode = code.coder.digits, code.coder.decode
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
-            rows = []
+            n, shown, back = [], [], []
             for x in batch.column(1):
-                found = code.entries(x.as_py())
-                rows.append((sum([e[0] for e in found]), sha(found, 1), sha(found, 2)))
-            n, ids, back = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = code.ids(x.as_py())
+                n.append(len(ids))
+                shown.append(sha(" ".join([digits[i] for i in ids])))
+                back.append(sha(decode(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, DIGEST)
+    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, DIGEST, keeps=True)
 
 
 def encode_documents(docs: DataFrame, name: str = NAME) -> DataFrame:
-    """The general form: doc_id, the ids, and the text that decoding them gives.  Ids are
-    gathered as 32-bit numbers, ``ROWS`` documents at a time."""
+    """The general form: doc_id, the ids, and the text that decoding them gives; no other
+    column.  Ids leave ``ROWS`` documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(public_tokenizers.path(name))
         decode = code.coder.decode
         for batch in batches:
             for at in range(0, len(batch), ROWS):
-                part, ids, ends, back = batch.slice(at, ROWS), array("i"), [0], []
+                part, packed, ends, back = batch.slice(at, ROWS), bytearray(), [0], []
                 for x in part.column(1):
-                    ids.extend(chain.from_iterable(code.entries(x.as_py())))
-                    back.append(decode(ids[ends[-1] :]))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                    ids = code.packed(x.as_py())
+                    packed += ids
+                    back.append(decode(np.frombuffer(ids, np.int32).tolist()))
+                    ends.append(len(packed) // 4)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(packed, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, "doc_id bigint, ids array<int>, decoded string")
+    return arrow_rows(docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text")), run, "doc_id bigint, ids array<int>, decoded string", keeps=True)

@@ -34,12 +34,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import forget, settle
+from ledgerlens.llm.common import forget, likely, settle
 
 MIN_TOKENS, BOUND = 8, 1
 WHOLE, DELETED, REPLACED = 0, 1, 2
-#: Bits of the filter of texts for each wanted one, and at most (2^20 words of 64 bits).
-BITS_EACH, FILTER_BITS = 16, 1 << 26
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -119,25 +117,6 @@ def within_one(a: Column, b: Column) -> Column:
     return (longest - shortest <= BOUND) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - BOUND)
 
 
-def likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """The ``rows`` whose keys may be among those of ``wanted``, so that texts that no join
-    needs are not shuffled.
-
-    The filter is a table of hashed bits in words of 64, ``BITS_EACH`` a wanted row: at most
-    2^20 rows of 16 bytes, so it may be broadcast.  It lets no key go.  Where ``wanted`` needs
-    more than that, all rows pass and the join alone decides.
-    """
-    n = wanted.count()
-    if n * BITS_EACH > FILTER_BITS:
-        return rows
-    bits = max(64, 1 << (n * BITS_EACH).bit_length())
-    at = F.pmod(F.xxhash64(*keys), F.lit(min(bits, FILTER_BITS)))
-    word, bit = F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-    masks = wanted.select(word.alias("__word"), one.alias("one")).groupBy("__word").agg(F.bit_or("one").alias("__mask"))
-    return rows.join(F.broadcast(masks), word == F.col("__word")).filter(F.getbit("__mask", bit) == 1).select(*rows.columns)
-
-
 def removed_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """(none, d, th, ln, near): each line that goes; near is false for equal lines.  Lines of
     fewer than ``least`` tokens are near none."""
@@ -175,14 +154,19 @@ def removed_lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     # the same key would be one stage, in which a line that most documents have is not split.
     marked = first.join(near.withColumn("hit", F.lit(True)), name, "left").filter("times > 1 or hit")
     marked = settle(marked.select(*name, "first", "hit"), "marked-lines")
-    rows = seen.select("none", "d", "th", "ln", *name).join(marked, name)
-    same = F.struct("none", "d", "th", "ln") != F.col("first")
-    gone = settle(rows.filter(same | F.col("hit")).select("none", "d", "th", "ln", (~same).alias("near")), "removed-lines")
+    gone = settle(met(seen, marked), "removed-lines")
     for table in (seen, first, near, marked):
         forget(spark, table)
     return gone
 
 
+def met(seen: DataFrame, marked: DataFrame) -> DataFrame:
+    """The lines that go: of the ``marked`` ones all but the first, and near ones altogether."""
+    rows = seen.select("none", "d", "th", "ln", "a", "b", "n").join(marked, ["a", "b", "n"])
+    same = F.struct("none", "d", "th", "ln") != F.col("first")
+    return rows.filter(same | F.col("hit")).select("none", "d", "th", "ln", (~same).alias("near"))
+
+
 def _repeats(docs: DataFrame) -> bool:
     """Whether any doc_id occurs twice (a count over ids alone)."""
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
