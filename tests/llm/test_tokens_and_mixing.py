@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
+import sys
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerlens.llm import bpe, mixing, token_counts
+from ledgerlens.llm import bpe, common, mixing, token_counts
 from tests.llm.cases import documents, ids_and_texts, words
 
 
@@ -37,7 +40,7 @@ def test_digests_equal_the_library(spark, library):
 
 def test_random_texts(library):
     path = public_tokenizers.path(bpe.NAME)
-    code, count = bpe.coder(path), token_counts.counter(public_tokenizers.path(bpe.NAME))
+    code, count = bpe.Coder(path), token_counts.Counter(path, token_counts.proven(path))
     rnd = random.Random(11)
     near = [chr(c) for c in range(0x180)] + list("abcdefghrstlmv' ") * 20
     wide = near + [chr(c) for c in (0x300, 0x301, 0x3A3, 0x130, 0x1100, 0x1161, 0x200B, 0x1F600, 0xFEFF, 0x2028, 0x1E9E, 0xAC00)] * 6
@@ -66,29 +69,71 @@ def test_segment_tree_takes_the_leftmost_lowest_rank():
     for _ in range(3000):
         s = [rnd.randrange(8) for _ in range(rnd.randrange(24))]
         assert bpe.merge(list(s), ranks, made) == slow_merge(s, pairs)
+    for _ in range(60):  # more than one level of nodes
+        s = [rnd.randrange(8) for _ in range(rnd.randrange(17, 700))]
+        assert bpe.merge(list(s), ranks, made) == slow_merge(s, pairs)
     assert bpe.merge([1, 2] * 20_000, {1 << bpe.PAIR | 2: 0}, [3]) == [3] * 20_000
 
 
 def test_proven_tokens_are_whole(library):
-    code = bpe.coder(public_tokenizers.path(bpe.NAME))
+    code = bpe.Coder(public_tokenizers.path(bpe.NAME))
     whole = token_counts.whole_tokens(code)
     assert len(whole) > 30_000
     for w in random.Random(1).sample(sorted(whole), 500):
         assert len(code.tokens(w.encode())) == 1
 
 
-def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
-    c = bpe.Cache(len, {"k": 9})
-    assert [c[x] for x in ("k", "a", "bb", "ccc", "dddd", "k", "a")] == [9, 1, 2, 3, 4, 9, 1]
-    for i in range(40):
-        assert c["x" * i] == i and len(c) <= 4 and len(c.old) <= 4
+def test_caches_are_bounded_in_bytes_together():
+    room = bpe.Room(4000)
+    a, b = bpe.Cache(len, room, {"k": 9}), bpe.Cache(len, room)
+    assert [a[x] for x in ("k", "a", "bb", "ccc", "dddd", "k", "a")] == [9, 1, 2, 3, 4, 9, 1]
+    weigh = lambda c: sum(bpe.ENTRY + sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items())
+    for i in range(300):
+        assert a["x" * (i % 90)] == b["y" * (i % 70)] + i % 90 - i % 70
+        assert weigh(a) + weigh(b) <= 4500 and weigh(a.old) + weigh(b.old) <= 4500
+    assert a["z" * 10_000] == 10_000 and "z" * 10_000 not in a  # too long to keep
+
+
+def test_a_worker_keeps_one_stage_at_a_time():
+    made = []
+    assert common.held("a", lambda: made.append("a") or 1) == 1 and common.held("a", lambda: made.append("a")) == 1
+    assert common.held("b", lambda: 2) == 2 and list(common._HELD) == ["b"]
+    assert common.held("a", lambda: made.append("again") or 3) == 3 and made == ["a", "again"]
+
+
+def test_other_vocabulary_rules_are_errors(tmp_path):
+    spec = json.loads(open(public_tokenizers.path(bpe.NAME), encoding="utf-8").read())
+    bpe.check_rules(spec)
+    changes = [("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("decoder", {"type": "ByteLevel"}), ("added_tokens", [{"id": 1, "content": "x", "lstrip": True}])]
+    for key, value in changes:
+        with pytest.raises(ValueError):
+            bpe.check_rules({**spec, key: value})
+    for key, value in (("ignore_merges", True), ("dropout", 0.1), ("end_of_word_suffix", None), ("type", "Unigram")):
+        with pytest.raises(ValueError):
+            bpe.check_rules({**spec, "model": {**spec["model"], key: value}})
+    with pytest.raises((ValueError, KeyError)):
+        bpe.Coder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_very_long_texts(spark, library):
+    """More than a megabyte of words, and one pre-token of many thousand letters."""
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 12))) for _ in range(170_000)), "".join(rnd.choice("abcdefgh") for _ in range(60_000)), "“" + "ünd " * 3000]
+    assert len(texts[0]) > 1 << 20
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in bpe.bpe_digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    counted = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+        assert counted[i] == len(ids)
 
 
 def test_restoring_undoes_bytes_and_word_ends():
     path = public_tokenizers.path(bpe.NAME)
     for text, want in (("Hello wörld 你好!", "hello wörld 你好 !"), ("a<|endoftext|>b", "a <|endoftext|> b"), ("", "")):
-        assert bpe.coder(path).restore(bpe.encode(path, text)) == want
+        assert bpe.Coder(path).restore(bpe.encode(path, text)) == want
 
 
 def plan_by_hand(sizes):
@@ -133,6 +178,56 @@ def test_targets_and_taken_words(spark):
     assert empty and all((r["size"], r.target, r.taken, r.position) == (0, 0.0, 0, None) for r in empty)
 
 
+def place_by_hand(q, knots):
+    """Where the schedule's integral reaches the share q of its whole, by bisection."""
+    def area(t):
+        return sum((min(t, b[0]) - a[0]) * (2 * a[1] + (b[1] - a[1]) * (min(t, b[0]) - a[0]) / (b[0] - a[0])) / 2 for a, b in zip(knots, knots[1:]) if t > a[0])
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if area(mid) < q * area(1.0) else (low, mid)
+    return low
+
+
+@pytest.mark.parametrize("bucket, least", [(mixing.BUCKET, mixing.BUCKETS), (7, 1), (1000, 1)])
+def test_every_taken_and_position_by_brute_force(spark, monkeypatch, bucket, least):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    monkeypatch.setattr(mixing, "BUCKETS", least)
+    docs = documents(spark)
+    rows = mixing.keyed(docs, F.col("source").alias("__s"), F.col("doc_id").alias("__d")).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["__s"]] = sizes.get(r["__s"], 0) + r["size"]
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = plan_by_hand(sizes)
+    buckets = max(mixing.BUCKETS, -(-len({(r.i, r.no_id, r.s, r.no_source, r.t) for r in rows}) // bucket))
+    want = []
+    for n, s in enumerate(names):
+        mine = sorted((r for r in rows if r["__s"] == s), key=lambda r: (r.h % buckets, r.h, r.i, r.no_id, r.t))
+        begin, rounds = 0, int(round(target[s]) // sizes[s]) if sizes[s] else 0
+        rest = round(target[s]) - rounds * sizes[s]
+        for r in mine:
+            extra = min(max(rest - begin, 0), r["size"])
+            taken = rounds * r["size"] + extra
+            q = (begin + (r["size"] if rounds else extra) / 2) / target[s] if taken else None
+            want.append((r["__d"], r["size"], sizes[s], taken, None if q is None else round(place_by_hand(q, mixing.SCHEDULES[n % 3]), 6)))
+            begin += r["size"]
+    got = [(r.doc_id, r["size"], r.source_size, r.taken, None if r.position is None else round(r.position, 6)) for r in mixing.mixture(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_running_sums_are_two_level(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v bigint").repartition(5)
+    got = {r.k: (r.before, r.n) for r in mixing.running(df.withColumn("one", F.lit(1)), [F.col("k")], before="v", n="one").collect()}
+    at, want = 0, {}
+    for n, (k, v) in enumerate(sorted(rows)):
+        want[k] = (at, n)
+        at += v
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_targets_of_random_sources(spark, seed):
     rnd = random.Random(seed)
@@ -144,8 +239,6 @@ def test_targets_of_random_sources(spark, seed):
 
 
 def test_inverse_of_schedules(spark):
-    from pyspark.sql import functions as F
-
     for knots in (*mixing.SCHEDULES, ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (0.25, 2.0), (1.0, 0.0))):
         area = lambda t: sum((min(t, b[0]) - a[0]) * (a[1] + a[1] + (b[1] - a[1]) * (min(t, b[0]) - a[0]) / (b[0] - a[0])) / 2 for a, b in zip(knots, knots[1:]) if t > a[0])
         qs = [i / 40 for i in range(41)]
@@ -173,7 +266,7 @@ def test_training_sequence(spark):
 
 
 def test_whole_tokens_are_looked_up_in_any_stretch():
-    counter = token_counts.Counter(public_tokenizers.path(bpe.NAME))
+    counter = token_counts.Counter(public_tokenizers.path(bpe.NAME), token_counts.proven(public_tokenizers.path(bpe.NAME)))
     merged = []
     tokens = counter.coder.tokens
     counter.mapped.make = lambda m: merged.append(m) or len(tokens(bpe.unmapped(m)))
