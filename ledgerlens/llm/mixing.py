@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import SPACE, forget, settle, words
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-#: Documents of a bucket, about.
-BUCKET = 50_000
+#: Documents of a bucket, about, and the least number of buckets, so that a hot source is always dealt out.
+BUCKET, BUCKETS = 4_096, 64
 #: Weight schedules as (time, height) knots, one for each of ``WEIGHTS``: early, late, and peaking midway.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.75), (0.5, 1.25), (1.0, 0.75)))
 
@@ -111,7 +111,7 @@ def planned(docs: DataFrame) -> DataFrame:
     among the source's words."""
     slim = keyed(docs).groupBy(*KEY, "h", "size").agg(F.count("*").alias("many"))
     slim = settle(slim, "sizes")
-    buckets = max(1, -(-slim.count() // BUCKET))
+    buckets = max(BUCKETS, -(-slim.count() // BUCKET))
     slim = slim.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     at = ["s", "no_source", "bucket"]
     sums = settle(slim.groupBy(*at).agg(F.sum(F.col("size") * F.col("many")).alias("words")), "bucket-sizes")
