@@ -7,7 +7,7 @@ out of SQL's reach.  Tests hold those against brute force, the libraries or roun
 from __future__ import annotations
 
 from ledgerlens.llm.line_dedup import MIN_TOKENS
-from ledgerlens.llm.quality_rules import DELTA, GRID, RISK, RULES
+from ledgerlens.llm.quality_rules import DELTA, RISK, RULES, STEPS
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -24,13 +24,15 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 held AS (SELECT f.*, good FROM f JOIN known USING (doc_id) WHERE NOT base_failed),
 strata AS (SELECT lang, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad FROM held GROUP BY lang HAVING count(*) FILTER (good) > 0),
-facts AS ({" UNION ALL ".join(f"SELECT lang, good, '{r}' AS rule, {a} AS top, {b} AS below FROM held" for r, (a, b) in RULES.items())}),
-lost AS (SELECT lang, rule, cut, count(*) FILTER (good AND top * 1000 > below * cut) AS k, count(*) FILTER (NOT good AND top * 1000 > below * cut) AS k_bad FROM facts, (SELECT unnest({list(GRID)}) AS cut) GROUP BY ALL),
-tested AS (SELECT lost.lang, rule, cut, k_bad * n - k * n_bad AS gain, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln({1 - RISK / len(RULES)})))) AS p FROM lost JOIN strata ON lost.lang IS NOT DISTINCT FROM strata.lang),
-safe AS (SELECT * FROM tested WHERE gain > 0 AND p <= {DELTA} / ((SELECT count(*) FROM strata) * {len(RULES)})),
-cuts AS (SELECT lang, {", ".join(f"arg_max(cut, (gain, cut)) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM safe GROUP BY lang)
+steps AS (SELECT unnest(range(0, {STEPS})) AS step),
+lost AS (SELECT lang, step, count(*) FILTER (good AND bad_now) AS k, count(*) FILTER (NOT good AND bad_now) AS k_bad FROM (
+    SELECT lang, step, good, {" OR ".join(f"{a} * 1000 > {b} * {list(path)}[step + 1]" for a, b, path in RULES.values())} AS bad_now FROM held, steps) GROUP BY ALL),
+tested AS (SELECT lost.lang, step, k_bad * n - k * n_bad AS gain, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln({1 - RISK})))) AS p FROM lost JOIN strata ON lost.lang IS NOT DISTINCT FROM strata.lang),
+safe AS (SELECT * FROM tested WHERE gain > 0 AND p <= {DELTA} / (SELECT count(*) FROM strata)),
+best AS (SELECT lang, arg_max(step, (gain, -step)) AS step FROM safe GROUP BY lang),
+cuts AS (SELECT lang, {", ".join(f"{list(path)}[step + 1] AS cut_{r}" for r, (_, _, path) in RULES.items())} FROM best)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({" OR ".join(f"coalesce({a} * 1000 > {b} * cut_{r}, false)" for r, (a, b) in RULES.items())}) AS kept, {", ".join(f"cut_{r}" for r in RULES)}
+  NOT base_failed AND NOT ({" OR ".join(f"coalesce({a} * 1000 > {b} * cut_{r}, false)" for r, (a, b, _) in RULES.items())}) AS kept, {", ".join(f"cut_{r}" for r in RULES)}
 FROM f LEFT JOIN cuts ON f.lang IS NOT DISTINCT FROM cuts.lang"""
 
 LINES_SQL = f"""

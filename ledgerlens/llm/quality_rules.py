@@ -1,40 +1,44 @@
-"""Quality rules with risk-controlled cutoffs (native: DataFrame functions only).
-
-Every rule is a ratio of two counts of a text, compared with a cutoff from a fixed grid:
-the text is rejected where the ratio lies above the cutoff.  Cutoffs are chosen per stratum
-(language) from labelled rows.  A cutoff is safe when the hypothesis "it rejects more than
-``risk / rules`` of the stratum's good texts" falls to the exact binomial test at level
-``delta / (rules * strata)`` (Bonferroni over rules and strata).  Within a rule the grid is
-tested from the mildest cutoff to the strictest and stops at the first failure (fixed
-sequence testing), which needs no further correction.  So with probability 1 - delta, no
-stratum loses more than ``risk`` of its good texts, whichever safe cutoff is then chosen:
-the one with the largest difference between the shares of bad and of good texts that it
-rejects, of equal ones the mildest.  Strata with too few labels get no cutoff and reject
-nothing.
-
-Cases: a null text has no words and fails the base rules; a null language is a stratum of
-its own; a document with several labels counts as good only if all say so; repeated rows are
-judged one by one, alike; an empty table gives an empty result.
+"""Quality rules with risk-controlled thresholds (native: DataFrame functions only).
+
+Every rule is a ratio of two counts of a text, compared with a cutoff: the text is rejected
+where a ratio lies above its cutoff.  All rules move together along one path of ``STEPS``
+steps, from the mildest cutoffs to the strictest, so that a step is one decision about all
+rules.  The step is chosen per stratum (language) from labelled rows.  A step is safe when the
+hypothesis "its rules together reject more than ``risk`` of the stratum's good texts" falls
+to the exact binomial test at level ``delta / strata`` (Bonferroni over strata).  Within a
+stratum the steps are tested along the path up to the first failure (fixed sequence testing),
+which needs no further correction; and since the hypotheses are about the rules' joint
+rejections, neither risk nor level is divided among rules.  So with probability 1 - delta, no
+stratum loses more than ``risk`` of its good texts, whichever safe step is then chosen: the
+one with the largest difference between the shares of bad and of good texts that it rejects,
+of equal ones the mildest.  A stratum can be tested from log(delta / strata) / log(1 - risk)
+good texts on (86 for four strata); one with fewer gets no cutoffs and rejects nothing.
+
+Cases: a null text has no words and fails the base rules; texts of any length are counted
+whole; a null language is a stratum of its own; a document with several labels counts as good
+only if all say so; repeated rows and ties are judged one by one, alike; an empty table gives
+an empty result; other columns of ``docs``, whatever their names, are never read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import settle, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
-#: rule -> (numerator, denominator); ratios are compared in thousandths, with whole numbers.
+STEPS = 20
+#: rule -> (numerator, denominator, cutoffs of the steps in thousandths, mildest first).
 RULES = {
-    "symbols": ("n_symbols", "word_chars"),
-    "upper": ("n_upper", "word_chars"),
-    "dup_lines": ("n_dup_lines", "n_lines"),
-    "repeats": ("n_repeat_words", "n_words"),
+    "symbols": ("n_symbols", "word_chars", (900, 800, 700, 600, 500, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)),
+    "upper": ("n_upper", "word_chars", (900, 800, 700, 600, 500, 450, 400, 350, 300, 280, 260, 240, 220, 200, 180, 160, 150, 140, 120, 100)),
+    "dup_lines": ("n_dup_lines", "n_lines", (950, 900, 850, 800, 750, 700, 650, 600, 560, 530, 500, 470, 440, 420, 400, 380, 360, 340, 320, 300)),
+    "repeats": ("n_repeat_words", "n_words", tuple(range(300, 200, -5))),
 }
-#: Cutoffs in thousandths, from the mildest to the strictest.
-GRID = (900, 800, 700, 600, 500, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)
 RISK, DELTA = 0.05, 0.05
 #: Strata up to this many are sent to every task (some 100 bytes each); more are joined by shuffle.
 SMALL_STRATA = 20_000
@@ -81,42 +85,65 @@ def critical(n: Column, p: float, alpha: Column) -> Column:
     """The largest k with P(Binomial(n, p) <= k) <= alpha, or -1.
 
     Terms are carried as logarithms, so that (1 - p)^n may be smaller than any double.  From
-    k = n * p on the sum is beyond any useful alpha, so the sequence stops there.
+    k = n * p on the sum is beyond any useful alpha, so the sequence stops there; with a mean
+    above 10,000 it begins 40 deviations below the mean, before which no double is left.
     """
-    odds = F.log(F.lit(p / (1 - p)))
-    top = F.greatest(F.ceil(n * p), F.lit(0))
-    zero = F.struct((n * F.log(F.lit(1 - p))).alias("term"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("k"))
+    mean, odds = n * p, F.log(F.lit(p / (1 - p)))
+    begin = F.when(mean > 10_000, F.floor(mean - 40 * F.sqrt(mean * (1 - p)))).otherwise(0).cast("long")
+    top = F.greatest(F.ceil(mean).cast("long"), F.lit(0).cast("long"))
+
+    def log_factorial(x: Column) -> Column:  # Stirling's series; x is in the thousands
+        return x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+    b = begin.cast("double")
+    far = log_factorial(n.cast("double")) - log_factorial(b) - log_factorial(n - b) + b * F.log(F.lit(p)) + (n - b) * F.log(F.lit(1 - p))
+    term = F.when(begin > 0, far).otherwise(n * F.log(F.lit(1 - p)))
+    zero = F.struct(term.alias("term"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("k"))
 
     def step(a: Column, i: Column) -> Column:
         total = a["sum"] + F.exp(a["term"])
         after = a["term"] + F.log(F.greatest(n - i, F.lit(1)).cast("double") / (i + 1)) + odds
         return F.struct(after.alias("term"), total.alias("sum"), F.when(total <= alpha, i).otherwise(a["k"]).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), top.cast("long")), zero, step, lambda a: a["k"])
+    return F.aggregate(F.sequence(begin, top), zero, step, lambda a: a["k"])
 
 
 def over(rule: str, cutoff: Column | int) -> Column:
-    top, below = RULES[rule]
+    top, below, _ = RULES[rule]
     return F.col(top) * 1000 > F.col(below) * cutoff
 
 
+def first_step(rule: str) -> Column:
+    """The first step, from 0 on, at which the rule rejects a text; ``STEPS`` if none does."""
+    out = F.lit(STEPS)
+    for k, c in reversed([*enumerate(RULES[rule][2])]):
+        out = F.when(over(rule, c), k).otherwise(out)
+    return out
+
+
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with good labels: the best safe cutoff of each rule, or null."""
+    """One row per stratum with good labels: the best safe step's cutoffs, or nulls.
+
+    What a step rejects are the texts whose first rejecting step is not later, so counts of a
+    stratum's texts by that step, and running sums over its 20 steps, tell all.  A step that
+    rejects no other texts than the one before is never better, so it needs no row.
+    """
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good")).select(F.col("doc_id").alias("__id"), "good")
     held = counted.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("__id"))
     good = F.col("good") == 1
-    lost = [F.count_if(over(r, c) & (good if q else ~good)).alias(f"{r}_{c}_{q}") for r in RULES for c in GRID for q in (1, 0)]
-    tested = settle(held.groupBy(F.col(stratum).alias("__stratum")).agg(F.count_if(good).alias("n"), F.count_if(~good).alias("n_bad"), *lost).filter("n > 0"), "quality-strata")
-    most = critical(F.col("n"), risk / len(RULES), F.lit(delta / (max(tested.count(), 1) * len(RULES))))
-
-    def best(rule: str) -> Column:
-        made = []
-        for c in GRID:
-            gain = F.col(f"{rule}_{c}_0") * F.col("n") - F.col(f"{rule}_{c}_1") * F.col("n_bad")  # times n * n_bad
-            made.append(F.when((F.col(f"{rule}_{c}_1") <= F.col("most")) & (gain > 0), F.struct(gain.alias("gain"), F.lit(c).alias("cut"))))
-        return F.array_max(F.array(*made))["cut"]
-
-    return tested.withColumn("most", most).select("__stratum", *[best(r).alias(f"cut_{r}") for r in RULES])
+    step = F.least(*[first_step(r) for r in RULES])
+    found = held.groupBy(F.col(stratum).alias("__stratum"), step.alias("step")).agg(F.count_if(good).alias("g"), F.count_if(~good).alias("b"))
+    found = settle(found, "quality-steps")
+    whole = Window.partitionBy("__stratum")
+    upto = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    lost = found.select("__stratum", "step", F.sum("g").over(upto).alias("k"), F.sum("b").over(upto).alias("kb"), F.sum("g").over(whole).alias("n"), F.sum("b").over(whole).alias("nb")).filter("n > 0")
+    strata = lost.select("__stratum").distinct().count()
+    # k never falls along the path, so all steps up to a safe one are safe.
+    most = critical(F.col("n"), risk, F.lit(delta / max(strata, 1)))
+    gain = F.col("kb") * F.col("n") - F.col("k") * F.col("nb")  # times n * nb
+    best = F.max(F.when((F.col("step") < STEPS) & (F.col("k") <= most) & (gain > 0), F.struct(gain.alias("gain"), (-F.col("step")).alias("mild"))))
+    chosen = lost.groupBy("__stratum").agg((-best["mild"]).alias("step"))
+    return chosen.select("__stratum", *[F.get(F.array(*map(F.lit, path)), F.col("step")).alias(f"cut_{r}") for r, (_, _, path) in RULES.items()])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
