@@ -3,45 +3,50 @@
 A word goes if a window that covers it also starts in a document of smaller doc_id; windows
 are judged on the input.  Overlapping and adjoining windows merge into maximal intervals.
 
-How it scales.  Documents are dealt into blocks by ranges of doc_id, so that "a smaller
-doc_id" means "an earlier block", or an earlier document of the same block.  A block computes
-the rolling hashes of all its windows with numpy, keeps its distinct ones in sorted order,
-and ships them as packed, delta-coded pieces, one per range of hash values (a bucket); that
-is about six bytes a window, and nothing else, since a piece's order identifies its windows.
-A bucket's task merges its pieces and answers each with one bit a window: does an earlier
-block have it?  Back at the block the same order is rebuilt, answers are laid on it, and the
-words are removed.  A passage shared by any number of documents appears once a block, so hot
-passages make no hot bucket.  Hashes have 64 bits, of which 2 WINDOW-word sequences agree by
-accident with probability 2^-64 a pair.
+How it scales.  Documents are dealt into blocks by ranges of doc_id, cut so that blocks have
+about equal bytes; so "a smaller doc_id" means "an earlier block", or an earlier document of
+the same block.  A block computes the rolling hashes of all its windows with numpy, keeps its
+distinct ones in sorted order, and ships them as packed runs, one for each range of hash
+values (a bucket) that it has any of; that is about ten bytes a window, nothing else, and
+never more runs than windows, as a run's order identifies its windows.  Spark gathers a
+bucket's runs in one task, which merges and counts them and answers each with one bit a
+window: does an earlier block have it?  Back at the block the same order is rebuilt, answers
+are laid on it, and the words are removed.  A passage shared by any number of documents
+appears once a block, so hot passages make no hot bucket.  Blocks and buckets are fixed by
+the memory of a task; their numbers follow the input.  The driver holds one number a block.
+
+Hashes have 96 bits: a rolling one of 64, and a second one of 32 with another multiplier, so
+that 10^13 windows meet by accident less than once.
 
 Cases: a null text has no words, and keeps the digest of the empty string; texts shorter than
-a window keep everything; rows without doc_id count as larger than all others, and rows that
-share a doc_id are one document's parts, which never remove words from each other; an empty
-table stays empty; columns other than doc_id and text are never read.
+a window keep everything; texts of any length are one document of one block; rows without
+doc_id count as larger than all others, and rows that share a doc_id are one document's
+parts, which never remove words from each other; an empty table stays empty; columns other
+than doc_id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import parts, ship, text_bytes
+from ledgerlens.llm.common import held, parts, ship, text_bytes
 
 WINDOW = 13
 #: Text bytes of a block, and windows of a bucket.
 BLOCK, BUCKET = 8 << 20, 2 << 20
-MAX_ID = (1 << 63) - 1
+#: Bytes that count as one row where blocks are cut.
+GRAIN = 4096
 
 _RNG = np.random.default_rng(13)
 #: A random 64-bit value a byte; odd multipliers, which have inverses modulo 2^64.
 BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 MULTIPLIER = np.uint64(int(_RNG.integers(1 << 40, 1 << 62)) * 2 + 1)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
+SECOND_MULTIPLIER = np.uint32(int(_RNG.integers(1 << 20, 1 << 30)) * 2 + 1)
 WORD_MULTIPLIER = np.uint64(int(_RNG.integers(1 << 40, 1 << 62)) * 2 + 1)
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -75,56 +80,80 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, mixed(value + (end - start).astype(np.uint64))
 
 
-def window_hashes(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Rolling hash of each run of ``window`` words: one multiplication and addition a step."""
+def window_hashes(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling hashes of each run of ``window`` words, of 64 and of 32 bits: a multiplication
+    and an addition a step each."""
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    value = words[:n].copy()
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    low = (words >> np.uint64(32)).astype(np.uint32)
+    value, second = words[:n].copy(), low[:n].copy()
     for i in range(1, window):
         value *= WORD_MULTIPLIER
         value += words[i : i + n]
-    return mixed(value)
-
-
-def prepared(ids: list[int], raws: list[bytes], window: int) -> tuple:
-    """A block's documents in the order of doc_id: (order, spans, owner of each window by rank
-    of doc_id, hashes of all windows, distinct hashes, index of each window among these)."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], raws[i]))
-    spans, hashes, owner, rank, last = {}, [], [], -1, None
+        second *= SECOND_MULTIPLIER
+        second += low[i : i + n]
+    return mixed(value), second
+
+
+def in_order(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by (h, x), equal ones as they stand, and where in it a value begins."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], x[order]
+    same, differ = a[1:] == a[:-1], b[1:] != b[:-1]
+    if (same & differ).any():  # equal in 64 bits, not in 96: next to never
+        order = np.lexsort((x, h))
+        a, b = h[order], x[order]
+        same, differ = a[1:] == a[:-1], b[1:] != b[:-1]
+    return order, np.concatenate((np.ones(min(len(h), 1), bool), ~same | differ))
+
+
+def prepared(ids: list, raws: list[bytes], window: int) -> tuple:
+    """A block's documents in the order of doc_id (null last): (order, spans, owner of each
+    window by rank of doc_id, distinct hashes in two arrays, index of each window in these)."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, raws[i]))
+    spans, first, second, owner, rank, last = {}, [], [], [], -1, ()
     for i in order:
         if ids[i] != last:
             rank, last = rank + 1, ids[i]
-        start, end, h = word_hashes(raws[i])
-        w = window_hashes(h, window)
-        spans[i] = (start, end, len(w))
-        hashes.append(w)
-        owner.append(np.full(len(w), rank, np.int64))
-    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    distinct, index = np.unique(every, return_inverse=True)
-    return order, spans, np.concatenate(owner) if owner else np.zeros(0, np.int64), distinct, index
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as a width and the planes of their differences' bytes."""
-    delta = np.diff(values, prepend=np.uint64(0))
+        start, end, words = word_hashes(raws[i])
+        h, x = window_hashes(words, window)
+        spans[i] = (start, end, len(h))
+        first.append(h)
+        second.append(x)
+        owner.append(np.full(len(h), rank, np.int32))
+    h, x = np.concatenate(first), np.concatenate(second)
+    by, new = in_order(h, x)
+    index = np.empty(len(h), np.int64)
+    index[by] = np.cumsum(new) - 1
+    return order, spans, np.concatenate(owner), h[by][new], x[by][new], index
+
+
+def pack(h: np.ndarray, x: np.ndarray) -> bytes:
+    """Sorted 64-bit values as a width and the planes of their differences' bytes, and the 32
+    further bits of each."""
+    delta = np.diff(h, prepend=np.uint64(0))
     width = max(1, (int(delta.max()).bit_length() + 7) // 8)
     planes = delta.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes() + x.astype("<u4").tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    n = (len(data) - 1) // (width + 4)
+    planes = np.frombuffer(data, np.uint8, n * width, 1).reshape(width, n)
+    wide = np.zeros((n, 8), np.uint8)
     wide[:, :width] = planes.T
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64), np.frombuffer(data, "<u4", n, 1 + n * width)
 
 
-def cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hash values begins among sorted hashes."""
-    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(distinct, bounds), [len(distinct)])).astype(np.int64)
+def runs(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of each bucket that sorted hashes have any of."""
+    if not len(h):
+        return []
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)]))
+    return list(zip(bucket[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist()))
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -135,63 +164,69 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _blocks(docs: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """``docs`` as (block, id, raw), partitioned by block; blocks are ranges of ids.
+def _blocks(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` as (block, none, id, raw), partitioned by block; blocks are ranges of ids that have
+    about ``BLOCK`` bytes each, since a document weighs in their cutting by its bytes.
 
     Only the bounds, one number a block, come to the driver.
     """
     spark = docs.sparkSession
     count = max(1, -(-size // BLOCK))
-    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(MAX_ID))
-    bounds = [-(1 << 63)]
+    # Ids without nulls, which pandas would turn into floats.
+    id_ = F.col("doc_id").cast("bigint")
+    rows = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    block = F.lit(0).cast("bigint")
     if count > 1:
-        dealt = docs.select(id_.alias("id")).repartitionByRange(count, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
-        bounds = sorted(r["low"] for r in dealt.collect())
-    inner = np.array(bounds[1:], np.int64)
+        grains = F.sequence(F.lit(0), F.floor(F.octet_length("raw") / GRAIN).cast("int"))
+        dealt = rows.filter("not none").select("id", F.explode(grains).alias("g")).select("id")
+        dealt = dealt.repartitionByRange(count, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
+        bounds = spark.sparkContext.broadcast(np.array(sorted(r["low"] for r in dealt.collect())[1:], np.int64))
 
-    @F.pandas_udf("bigint")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(inner, ids.to_numpy(np.int64), side="right"))
+        @F.arrow_udf("bigint")
+        def block_of(ids: pa.Array) -> pa.Array:
+            held(None, lambda: None)
+            return pa.array(np.searchsorted(bounds.value, ids.to_numpy(zero_copy_only=False), side="right").astype(np.int64))
 
-    rows = docs.select(id_.alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    n = parts(spark, size, BLOCK)
-    return rows.select(block_of("id").alias("block"), "id", "raw").repartition(n, "block"), count
+        # Rows without an id come last, in a block of their own.
+        block = F.when(F.col("none"), F.lit(count)).otherwise(block_of("id"))
+    return rows.select(block.alias("block"), "none", "id", "raw").repartition(parts(spark, size, BLOCK), "block")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, n_words, removed intervals (first and end word), and the kept text, for each row."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     size = text_bytes(docs, "text")
-    rows, _ = _blocks(docs, size)
-    # A word and its blank have six bytes or so; two at least.
+    rows = _blocks(docs, size)
+    # A word and its blank have six bytes or so.
     buckets = max(1, -(-size // (6 * BUCKET)))
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        distinct = prepared(pdf["id"].tolist(), pdf["raw"].tolist(), window)[3]
-        at = cuts(distinct, buckets)
-        found = [(int(pdf["block"].iloc[0]), b, pack(distinct[x:y])) for b, (x, y) in enumerate(zip(at, at[1:])) if y > x]
+        held(None, lambda: None)
+        h, x = prepared(_ids(pdf), pdf["raw"].tolist(), window)[3:5]
+        found = [(int(pdf["block"].iloc[0]), b, pack(h[i:j], x[i:j])) for b, i, j in runs(h, buckets)]
         return pd.DataFrame(found, columns=["block", "bucket", "piece"])
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        held(None, lambda: None)
         pdf = pdf.sort_values("block")
         pieces = [unpack(p) for p in pdf["piece"]]
-        ends = np.cumsum([len(p) for p in pieces])
-        every = np.concatenate(pieces)
-        order = np.argsort(every, kind="stable")  # equal hashes stay in the order of blocks
-        ranked = every[order]
-        seen = np.zeros(len(every), bool)
-        seen[order[1:]] = ranked[1:] == ranked[:-1]
-        bits = [np.packbits(x).tobytes() if x.any() else None for x in np.split(seen, ends[:-1])]
+        ends = np.cumsum([len(h) for h, _ in pieces])
+        order, new = in_order(np.concatenate([h for h, _ in pieces]), np.concatenate([x for _, x in pieces]))
+        seen = np.zeros(len(order), bool)
+        seen[order] = ~new  # equal hashes stand in the order of blocks, each block's once
+        bits = [np.packbits(s).tobytes() if s.any() else None for s in np.split(seen, ends[:-1])]
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits}).dropna()
 
     def cut(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids, raws = pdf["id"].tolist(), pdf["raw"].tolist()
-        order, spans, owner, distinct, index = prepared(ids, raws, window)
-        seen, at = np.zeros(len(distinct), bool), cuts(distinct, buckets)
+        held(None, lambda: None)
+        ids, raws = _ids(pdf), pdf["raw"].tolist()
+        order, spans, owner, h, _, index = prepared(ids, raws, window)
+        seen, at = np.zeros(len(h), bool), {b: (i, j) for b, i, j in runs(h, buckets)}
         for b, bits in zip(answers["bucket"], answers["bits"]):
-            n = at[b + 1] - at[b]
-            seen[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        first = np.full(len(distinct), np.iinfo(np.int64).max)
+            i, j = at[b]
+            seen[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i)
+        first = np.full(len(h), np.iinfo(np.int32).max, np.int32)
         np.minimum.at(first, index, owner)
         gone, begin, out = seen[index] | (owner > first[index]), 0, []
         for i in order:
@@ -203,16 +238,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             raw = raws[i]
             kept = [raw[a:b] for a, b in zip(start[~mask].tolist(), end[~mask].tolist())] if len(starts) else raw.split()
             spots = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
-            out.append((ids[i], len(start), int(mask.sum()), spots, b" ".join(kept).decode("utf-8")))
-        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "spans", "kept"])
+            out.append((ids[i] is None, ids[i] or 0, len(start), int(mask.sum()), spots, b" ".join(kept).decode("utf-8")))
+        return pd.DataFrame(out, columns=["none", "id", "n_words", "n_removed", "spans", "kept"])
 
     pieces = rows.groupBy("block").applyInPandas(send, "block bigint, bucket bigint, piece binary")
+    pieces = pieces.repartition(parts(spark, buckets, 1), "bucket")
     answers = pieces.groupBy("bucket").applyInPandas(judge, "block bigint, bucket bigint, bits binary")
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, "id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept string")
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, "none boolean, id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept string")
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("id"), "n_words", "n_removed", "spans", "kept")
+
+
+def _ids(pdf: pd.DataFrame) -> list:
+    return [None if none else i for none, i in zip(pdf["none"].tolist(), pdf["id"].tolist())]
 
 
 def substring_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, and the SHA-256 of the kept words joined by single spaces."""
     out = remove_repeats(docs, window)
-    doc_id = F.when(F.col("id") != MAX_ID, F.col("id"))
-    return out.select(doc_id.alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
