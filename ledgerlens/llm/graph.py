@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     neighbours are hung below the least node it sees, until no link changes.  Every round is
     written to the shared folder, so a lost executor costs one round at most.  The least
     neighbour is a partial aggregate and the join back may be split where a node has very
-    many links, so no task needs all links of a node.
+    many links, so no task needs all links of a node.  Links with a null end and links of a
+    node to itself are none; repeated ones count once.
     """
     spark = links.sparkSession
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")

@@ -6,7 +6,9 @@ included), clusters, simple blocks and block groups, the three kinds of lacing,
 
 Cases: a null file gives no packets and the error "null"; a damaged file gives the packets
 up to the damage and an error; an empty payload has no packets; rows are treated one by one,
-so ties and repeated rows give equal results; other columns are never read.
+so ties and repeated rows give equal results; texts of any length are stored and read whole,
+in as many clusters as they need; an empty table stays empty; other columns, whatever their
+names, are never read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import graph
+from ledgerlens.llm import common, graph
 from ledgerlens.llm import line_dedup as L
 from ledgerlens.llm import simhash as S
 from ledgerlens.llm import substring_dedup as D
@@ -86,12 +86,36 @@ def test_running_xors_of_long_arrays(spark):
 
 @pytest.mark.parametrize("bits", [64, 1 << 26])
 def test_prefilter_lets_no_key_go(spark, monkeypatch, bits):
-    monkeypatch.setattr(L, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     rows = spark.range(2000).withColumn("text", F.lit("t"))
     wanted = spark.createDataFrame([(i,) for i in range(0, 2000, 37)], "id bigint")
-    got = {r.id for r in L.likely(rows, wanted, "id").collect()}
-    assert set(range(0, 2000, 37)) <= got and (bits == 64 or len(got) < 100)
-    assert L.likely(rows, wanted.limit(0), "id").count() == 0
+    got = {r.id for r in common.likely(rows, wanted, "id").collect()}
+    assert set(range(0, 2000, 37)) <= got and (bits == 64 or len(got) < 200)
+    told = common.likely(rows.withColumn("hit", F.lit(None).cast("boolean")), wanted, "id", flag="hit").collect()
+    assert len(told) == 2000 and {r.id for r in told if r.hit} == got
+    assert common.likely(rows, wanted.limit(0), "id").count() == 0
+
+
+def test_a_line_in_most_documents_is_split(spark):
+    """The join back to the lines is the only one of its stage, so AQE may split a hot line."""
+    rows = [(i, "a line that most documents have, word for word\n" + " ".join(f"w{i}x{j}" for j in range(9))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        seen = L.occurrences(docs)
+        marked = seen.groupBy("a", "b", "n").agg(F.min(F.struct("none", "d", "th", "ln")).alias("first"), F.count("*").alias("times")).filter("times > 1")
+        met = L.met(seen, common.settle(marked.withColumn("hit", F.lit(None).cast("boolean")), "marked"))
+        met.write.format("noop").mode("overwrite").save()
+        assert met.count() == 3000 - 1
+        met.collect()
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def substrings_by_brute_force(rows, window=13):
@@ -130,8 +154,30 @@ def test_substrings_equal_brute_force(spark, monkeypatch, block, bucket):
 
 def test_packing():
     rnd = np.random.default_rng(1)
-    for x in (np.sort(rnd.integers(0, 1 << 64, 999, np.uint64)), np.array([0], np.uint64), np.array([(1 << 64) - 1], np.uint64), np.arange(5, dtype=np.uint64)):
-        assert (D.unpack(D.pack(x)) == x).all()
+    for h in (np.sort(rnd.integers(0, 1 << 64, 999, np.uint64)), np.array([0], np.uint64), np.array([(1 << 64) - 1], np.uint64), np.arange(5, dtype=np.uint64)):
+        x = rnd.integers(0, 1 << 32, len(h), np.uint32)
+        a, b = D.unpack(D.pack(h, x))
+        assert (a == h).all() and (b == x).all()
+        for buckets in (1, 3, 1000):
+            found = D.runs(h, buckets)
+            assert len(found) <= len(h) and [k for _, i, j in found for k in range(i, j)] == [*range(len(h))]
+            assert all((int(v) >> 32) * buckets >> 32 == b for b, i, j in found for v in h[i:j])
+
+
+def test_windows_that_agree_in_64_bits_only_are_told_apart():
+    h, x = np.array([5, 5, 5, 3, 5], np.uint64), np.array([1, 2, 1, 7, 2], np.uint32)
+    order, new = D.in_order(h, x)
+    assert order.tolist() == [3, 0, 2, 1, 4] and new.tolist() == [True, True, False, True, False]
+
+
+def test_blocks_have_about_equal_bytes(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 40_000)
+    rows = [(i, "word " * (4000 if i < 20 else 20)) for i in range(4000)] + [(None, "x"), ((1 << 63) - 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    blocks = D._blocks(docs, 20 * 20_000 + 3980 * 100).groupBy("block").agg(F.sum(F.octet_length("raw")).alias("b"), F.count("*").alias("n")).collect()
+    assert max(r.b for r in blocks) <= 4 * 40_000 and len(blocks) > 10
+    got = {r.doc_id: r.n_words for r in D.substring_digests(docs).collect()}
+    assert got[None] == 1 and got[(1 << 63) - 1] == 1 and len(got) == len(rows)
 
 
 def brute_fingerprint(text):

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
 from collections import Counter
 from math import comb
@@ -53,6 +55,50 @@ def test_critical_value_is_exact(spark, n, p, alpha):
         assert 0 < got < n * p
 
 
+def test_critical_value_of_very_many(spark):
+    n, p, alpha = 5_000_000, 0.01, 0.001
+    total, k = 0.0, int(n * p) - 3000
+    while True:
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
+        if total > alpha:
+            break
+        k += 1
+    got = spark.range(1).select(Q.critical(F.lit(n).cast("bigint"), p, F.lit(alpha)).alias("k")).first().k
+    assert got == k - 1
+
+
+def test_false_rejections_stay_within_the_risk(spark):
+    """Many strata, each a replicate with the same true loss at each step, tested at the level
+    that one stratum alone would have: a safe step beyond the risk is rare."""
+    rnd, m, n = random.Random(9), 300, 250
+    rows = []
+    for lang in range(m):
+        for _ in range(n):  # P(ratio > c) = 1 - c^(1/16): 4 % at the cutoff 500, 5.6 % at 400
+            rows.append((len(rows), str(lang), 1, int(1000 * rnd.random() ** 16)))
+        rows += [(len(rows) + j, str(lang), 0, rnd.randrange(1000)) for j in range(30)]  # stricter is always better
+    frame = spark.createDataFrame(rows, "doc_id bigint, lang string, quality int, n_symbols bigint")
+    counted = frame.withColumns({"base_failed": F.lit(False), "word_chars": F.lit(1000), **{c: F.lit(0) for c in ("n_upper", "n_dup_lines", "n_repeat_words")}, **{c: F.lit(1) for c in ("n_lines", "n_words")}})
+    got = [r.cut_symbols for r in Q.cutoffs(counted.drop("quality"), frame.select("doc_id", "quality"), "lang", 0.05, 0.05 * m).collect()]
+    true_loss = lambda c: 1 - ((c + 1) / 1000) ** (1 / 16)
+    wrong = sum(c is not None and true_loss(c) > 0.05 for c in got)
+    assert len(got) == m and sum(c is not None for c in got) > 250
+    assert 0 <= wrong <= 0.05 * m + 3 * math.sqrt(m * 0.05 * 0.95)
+
+
+def test_rules_act_on_the_tables(real):
+    out = Q.apply_rules(*real)
+    assert out.filter("cut_symbols is not null").count() > 0
+    assert out.filter("not kept and not base_failed").count() > 0
+    lost = out.filter("not base_failed").join(real[1].filter("quality = 1"), "doc_id").agg(F.avg(F.when(F.col("kept"), 0).otherwise(1))).first()[0]
+    assert lost < Q.RISK
+
+
+def test_longest_text_and_longest_line(spark):
+    docs = spark.createDataFrame([(1, "word " * 250_000, "en"), (2, "\n".join(["same line of words"] * 60_000), "en"), (3, "x" * 1_200_000, "en")], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in Q.features(docs).collect()}
+    assert got == {1: (250_000, 1_000_000, 0, 0, 250_000), 2: (240_000, 900_000, 0, 59_999, 240_000), 3: (1, 1_200_000, 0, 0, 0)}
+
+
 def test_cutoffs_hold_their_risk_and_catch_junk(spark):
     good = [(i, " ".join(f"word{j}x{i}" for j in range(40)), "en") for i in range(3000)]
     bad = [(5000 + i, " ".join(f"word{j}***" for j in range(40)), "en") for i in range(50)]
@@ -71,6 +117,32 @@ def real(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
 
 
+def test_scores_follow_from_dictionaries_and_curve(spark, real):
+    """Brute force: each text cut and compressed with the model's two dictionaries, by hand."""
+    import zstandard
+
+    docs, known = real
+    model = C.fit(docs, known)
+    got = {r.doc_id: r.score for r in C.scored(docs, model).select("doc_id", "score").collect()}
+    tools = [zstandard.ZstdCompressor(level=C.LEVEL, dict_data=zstandard.ZstdCompressionDict(model[k]), write_dict_id=False, write_content_size=False, write_checksum=False) for k in ("bad", "good")]
+    offset, slope = model["curve"]
+    for i, t in ids_and_texts(docs):
+        raw = (t or "").encode()
+        b, g = (sum(len(z.compress(raw[a : a + C.PIECE])) for a in range(0, max(len(raw), 1), C.PIECE)) for z in tools)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-offset - slope * (b - g) / max(len(raw), 1))), abs=1e-9)
+    assert slope > 0
+
+
+def test_samples_leave_no_text_out_for_its_length(spark):
+    rows = [(i, ("good words stand here " if i % 2 else "b#d w*rds st$nd th%re ") * (4000 if i < 8 else 20)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"q": F.lit("x"), "part": F.lit("y"), "raw": F.lit("z")})
+    known = labels(spark, [(i, i % 2, 0) for i in range(400)])
+    taken = {r.doc_id for r in C.samples(docs, known).collect()}
+    assert taken == {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2}
+    model = C.fit(docs, known)
+    assert model and all(p.predicted == p.doc_id % 2 for p in C.classify(docs, known).collect())
+
+
 def test_classifier_is_accurate_on_held_out_rows(real):
     docs, known = real
     out = C.classify(docs, known)
