@@ -10,8 +10,10 @@ import json
 import os
 import shutil
 import sys
+import threading
 import time
 from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -44,7 +46,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--init-config", action="store_true", help="write a starter config.toml and exit")
     p.add_argument("--force", action="store_true", help="with --init-config: overwrite")
     p.add_argument("--as-of", type=int, help="the report's instant in epoch seconds (now)")
-    p.add_argument("--legacy", action="store_true", help="add the older score, activity label and age in words")
+    p.add_argument("--legacy", action="store_true", help="add the older score, its band, activity label and age in words")
+    p.add_argument("--samples", type=int, default=0, metavar="N", help="add the node's first N events with their tags")
     p.add_argument("-V", "--version", action="version", version=VERSION)
     return p
 
@@ -98,22 +101,25 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
         return fail(params.USAGE, str(e))
     except params.KeyFormatError as e:
         return fail(params.BAD_KEY, str(e))
-    if not args.quiet and tty:
-        print("Reading events...", file=err)
+    progress = Progress(err, shown=tty and not args.quiet)
     spark = spark or SparkSession.builder.appName("ledgerlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if os.environ.get(ENV_LOG):
         spark.sparkContext.setLogLevel(os.environ[ENV_LOG].upper())
-    events, said = read_relays(spark, relays, args.input_format, pubkey)
+    with progress.stage(f"Reading events from {len(relays)} source(s)"):
+        events, said = read_relays(spark, relays, args.input_format, pubkey, marker)
     statuses = [vars(s) for s in said]
     for s in said:
-        if not s.ok:
+        if s.message:
             print(f"warning: {s.relay}: {s.message}", file=err)
     if events is None:
         return fail(params.NO_RELAY, "no source could be read", statuses)
     # One node's events are few against the sources: they are kept while the report is made.
     mine = state.unique_events(state.in_scope(typed(events), marker, pubkey)).persist()
     try:
-        made, warning = node_report(mine, as_of, wanted, today, args.legacy)
+        with progress.stage("Computing the report"):
+            made, warning = node_report(mine, as_of, wanted, today, args.legacy)
+            if made and args.samples > 0:
+                made["samples"] = sample_events(events.filter(F.col("pubkey") == pubkey), args.samples)
     finally:
         mine.unpersist()
     if made is None:
@@ -130,16 +136,51 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     return params.OK
 
 
+class Progress:
+    """A line on the terminal that tells what goes on, once it has taken ``after`` seconds."""
+
+    def __init__(self, err, shown: bool, after: float = 2.0) -> None:
+        self.err, self.shown, self.after = err, shown, after
+
+    @contextmanager
+    def stage(self, what: str):
+        done = threading.Event()
+
+        def tell() -> None:
+            began, wait = time.monotonic(), self.after
+            while not done.wait(wait):
+                wait = 0.5
+                print(f"\r{what}... {time.monotonic() - began:.0f} s", end="", file=self.err, flush=True)
+            if wait != self.after:
+                print("\r" + " " * (len(what) + 12) + "\r", end="", file=self.err, flush=True)
+
+        teller = threading.Thread(target=tell, daemon=True)
+        if self.shown:
+            teller.start()
+        try:
+            yield
+        finally:
+            done.set()
+            if self.shown:
+                teller.join()
+
+
+def sample_events(events, n: int) -> list[dict]:
+    """The first ``n`` events by time, with their tags."""
+    rows = events.dropDuplicates(["id"]).orderBy("created_at", "id").limit(n).select("id", "kind", "created_at", "tags").collect()
+    return [r.asDict() for r in rows]
+
+
 def node_report(events, as_of: int, wanted: params.Range, today: date, legacy: bool = False) -> tuple[dict | None, str | None]:
     """The nested report of the only node in ``events`` and a warning about its grid."""
-    past = state.not_future(events, as_of)
-    trades, fees = state.successes(state.latest_orders(past)), state.dev_fees(past)
+    past, facts = state.not_future(events, as_of), report.latest_states(events, as_of)
+    trades, fees = state.successes(state.order_states(facts)), state.dev_fees(facts)
     first = fees.select("created_at").union(trades.select("created_at")).agg(F.min("created_at")).first()[0]
     resolved = wanted.resolved(params.utc_today(first) if first is not None else None, today)
     warning = params.wide_warning(*resolved) if resolved else None
     view, since, until = resolved or ("daily", date(1970, 1, 2), date(1970, 1, 1))
     buckets = grid.activity_grid(fees, trades, as_of, view, since, until)
-    figures = report.node_metrics(events, as_of)
+    figures = report.metrics_of(facts, as_of)
     whole = report.nested(figures, metrics.fetch_summary(past), metrics.fiat_shares(trades), metrics.payment_shares(trades), buckets)
     row = report.as_json(whole).first()
     made = json.loads(row["json"]) if row else None

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """``keys`` and the median of non-negative ``value``: the middle one, or the rounded-down
-    middle of the two middle ones.
+def exact_medians(df: DataFrame, keys: list[str], value: str, out: str, whole: bool = True) -> DataFrame:
+    """``keys`` and the median of whole numbers: the middle one, or the middle of the two middle
+    ones, rounded down if ``whole``.
 
     ``percentile`` keeps a group's distinct values in one task's memory.  Here values are
     counted first (partial aggregation), then ranked in two steps: over at most some 4,200
-    logarithmic bins a group, then within the bins that hold the middle ranks.
+    logarithmic bins of either sign a group, then within the bins that hold the middle ranks.
     """
-    bin_ = F.floor(F.log2(F.col(value).cast("double") + 1) * 64).cast("int")
+    number = F.col(value).cast("double")
+    bin_ = (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * 64)).cast("int")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")).withColumn("__bin", bin_)
     bins = counts.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__n"))
     by = Window.partitionBy(*keys)
@@ -27,4 +28,5 @@ def exact_medians(df: DataFrame, keys: list[str], value: str, out: str) -> DataF
     within = F.sum("__n").over(Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
     found = found.withColumn("__to", within).withColumn("__from", F.col("__to") - F.col("__n"))
     hit = lambda r: F.when((F.col("__from") < F.col(r)) & (F.col(r) <= F.col("__to")), F.col(value))
-    return found.groupBy(*keys).agg(F.floor((F.max(hit("__low")) + F.max(hit("__high"))) / 2).alias(out))
+    middle = (F.max(hit("__low")) + F.max(hit("__high"))) / 2
+    return found.groupBy(*keys).agg((F.floor(middle) if whole else middle.cast("double")).alias(out))

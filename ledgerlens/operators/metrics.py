@@ -45,8 +45,6 @@ def trade_summary(trades: DataFrame, as_of: int) -> DataFrame:
         *rolling,
         F.count("premium").alias("n_premiums"),
         F.stddev_pop("premium").alias("premium_spread"),
-        # Premiums are small whole percentages: few distinct values, so the state is small.
-        F.percentile("premium", 0.5).alias("premium_middle"),
     )
     return out.withColumn("days_since_last_trade", whole(F.lit(as_of) - F.col("last_successful_trade_at"), DAY))
 
@@ -160,8 +158,15 @@ def payment_shares(trades: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("pubkey").orderBy(F.col("mentions").desc(), "method")))
 
 
+def premium_medians(trades: DataFrame, out: str) -> DataFrame:
+    """Premiums are any 64-bit numbers that an event may hold, so their median must not need
+    all distinct ones in one place."""
+    return exact_medians(trades.withColumn("premium", F.col("premium").cast("decimal(20,0)")), ["pubkey"], "premium", out, whole=False)
+
+
 def premium_signal(trades: DataFrame) -> DataFrame:
-    out = trades.groupBy("pubkey").agg(F.count("premium").alias("n_premiums"), F.percentile("premium", 0.5).alias("m"), F.stddev_pop("premium").alias("s"))
+    out = trades.groupBy("pubkey").agg(F.count("premium").alias("n_premiums"), F.stddev_pop("premium").alias("s"))
+    out = out.join(premium_medians(trades, "m"), "pubkey", "left")
     enough = F.col("n_premiums") >= 2
     return out.select("pubkey", "n_premiums", F.when(enough, F.col("m")).alias("premium_baseline"), F.when(enough, F.col("s")).alias("premium_dispersion"))
 

@@ -10,9 +10,10 @@ from datetime import datetime, timezone
 from ledgerlens.plans.params import CODES, to_npub
 from ledgerlens.plans.report import MEANING, SCHEMA_VERSION, SECTIONS as GROUPS
 
-TITLES = {"fetch": "SOURCES", "activity": "ACTIVITY", "stats": "STATISTICS", "recommendations": "RECOMMENDATIONS"}
+TITLES = {"fetch": "SOURCES", "activity": "ACTIVITY", "stats": "STATISTICS", "samples": "SAMPLE EVENTS", "recommendations": "RECOMMENDATIONS"}
 TIMES = ("first_seen_at", "last_successful_trade_at")
-BOLD, RED, YELLOW, CYAN, PLAIN = "\x1b[1m", "\x1b[31m", "\x1b[33m", "\x1b[36m", "\x1b[0m"
+BOLD, RED, GREEN, YELLOW, CYAN, PLAIN = "\x1b[1m", "\x1b[31m", "\x1b[32m", "\x1b[33m", "\x1b[36m", "\x1b[0m"
+BANDS = {"green": GREEN, "yellow": YELLOW, "red": RED}
 
 
 def shown(name: str, value) -> str:
@@ -31,11 +32,12 @@ def risky(name: str, value) -> bool:
     return value is not None and (name in ("disputes_per_100_trades", "active_disputes") and value > 0 or name == "days_since_last_trade" and value > 30 or name == "max_consecutive_inactive_days_last_30d" and value > 7)
 
 
-def _lines(report: dict, relays: Sequence[dict], sections: Sequence[str]) -> list[tuple[str, str, str, bool]]:
-    """(section, label, text, risk) in order; labels are empty for free text."""
+def _lines(report: dict, relays: Sequence[dict], sections: Sequence[str]) -> list[tuple[str, str, str, bool | str]]:
+    """(section, label, text, risk or the name of a band) in order; labels are empty for free
+    text.  A colour only repeats what the text says."""
     out = [("identity", "Node", to_npub(report["pubkey"]), False), ("identity", "Key", report["pubkey"], False)]
     if "fetch" in sections:
-        out += [("fetch", f"Source {r['relay']}", "ok" if r["ok"] else f"failed: {r['message']}", not r["ok"]) for r in relays]
+        out += [("fetch", f"Source {r['relay']}", ("ok" if r["ok"] else "failed") + (f": {r['message']}" if r["message"] else ""), not r["ok"]) for r in relays]
         out += [("fetch", k.replace("_", " "), shown(k, v), False) for k, v in (report["fetch"] or {}).items()]
     if "activity" in sections:
         for row in report["activity"]:
@@ -53,8 +55,15 @@ def _lines(report: dict, relays: Sequence[dict], sections: Sequence[str]) -> lis
             out += [("stats", f"{label} {r[key]}", f"{r['mentions']:,} ({100 * r['share']:.1f} % of mentions)", False) for r in sorted(rows, key=lambda r: (-r["mentions"], r[key]))]
             if not rows:
                 out.append(("stats", label, "not applicable", False))
-        for name, value in report.get("legacy", {}).items():
-            out.append(("stats", name.replace("_", " ").capitalize(), shown(name, value) + ("/100 (older formula: age, volume and number of trades)" if name == "legacy_trust_score" else ""), False))
+        legacy = report.get("legacy", {})
+        band = legacy.get("score_band", False)
+        for name, value in legacy.items():
+            if name == "legacy_trust_score":
+                out.append(("stats", "Legacy trust score", f"{shown(name, value)}/100, {band} (older formula: age, volume and number of trades)", band))
+            elif name != "score_band":
+                out.append(("stats", name.replace("_", " ").capitalize(), shown(name, value), False))
+    if "fetch" in sections:
+        out += [("samples", f"Event {e['id'][:16]}", f"kind {e['kind']}, {shown('first_seen_at', e['created_at'])}, tags {json.dumps(e['tags'], ensure_ascii=False)}", False) for e in report.get("samples", [])]
     if "recommendations" in sections:
         out += [("recommendations", "", x, False) for x in report["recommendations"]]
     return out
@@ -76,7 +85,7 @@ def console(report: dict, relays: Sequence[dict], sections: Sequence[str], width
         head = f"  {label:<{wide}}  " if label else "  - "
         body = textwrap.wrap(text, max(width - len(head), 20)) or [""]
         lines = [head + body[0], *[" " * len(head) + x for x in body[1:]]]
-        out += [paint(YELLOW, x) if risk else x for x in lines]
+        out += [paint(BANDS.get(risk, YELLOW), x) if risk else x for x in lines]
     return "\n".join(out) + "\n"
 
 

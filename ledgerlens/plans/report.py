@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.median import exact_medians
-from ledgerlens.functions.scalars import gap_warning, legacy_trust_score, relative_time, status_label, to_btc
+from ledgerlens.functions.scalars import gap_warning, legacy_trust_score, relative_time, score_band, status_label, to_btc
 from ledgerlens.operators import metrics, state
 from ledgerlens.sources.storage import settle
 
@@ -43,21 +43,30 @@ MEANING = {
 COUNTS = ("total_successful_trades", "total_volume_sats", "trades_last_7d", "trades_last_30d", "trades_last_90d", "active_days_last_30d", "total_disputes", "resolved_disputes", "active_disputes", "unknown_disputes")
 
 
+def latest_states(events: DataFrame, as_of: int) -> DataFrame:
+    """The latest states of typed events in scope, written once and then read by columns, so
+    that events are scanned and shuffled once, however many groups of metrics follow."""
+    return settle(state.facts(events, as_of), "latest-states")
+
+
 def node_metrics(events: DataFrame, as_of: int) -> DataFrame:
-    """One row per node with every metric.  ``events`` are typed and in scope.
+    """One row per node with every metric.  ``events`` are typed and in scope."""
+    return metrics_of(latest_states(events, as_of), as_of)
+
+
+def metrics_of(events: DataFrame, as_of: int) -> DataFrame:
+    """One row per node with every metric, of its ``latest_states``.
 
-    The latest states are written once and then read by columns, so the events are scanned
-    and shuffled once, however many groups of metrics follow.  Each group is reduced to one
-    row a node before groups meet, so the joins below are over nodes and keep nodes that
-    lack a group.
+    Each group of metrics is reduced to one row a node before groups meet, so the joins below
+    are over nodes and keep nodes that lack a group.
     """
-    events = settle(state.facts(events, as_of), "latest-states")
     trades = state.successes(state.order_states(events))
     disputes = metrics.disputes_split(state.dispute_states(events))
     nodes = events.select("pubkey").distinct()
     out = nodes.join(metrics.longevity(state.dev_fees(events), trades, as_of), "pubkey", "left")
     out = out.join(metrics.trade_summary(trades, as_of), "pubkey", "left")
     out = out.join(exact_medians(trades, ["pubkey"], "amt", "median_trade_sats"), "pubkey", "left")
+    out = out.join(metrics.premium_medians(trades, "premium_middle"), "pubkey", "left")
     out = out.join(metrics.activity_days(trades, as_of), "pubkey", "left")
     out = out.join(disputes, "pubkey", "left")
     out = out.join(metrics.bond_policy(state.own_info(events)), "pubkey", "left")
@@ -73,13 +82,15 @@ def node_metrics(events: DataFrame, as_of: int) -> DataFrame:
     return out.select("pubkey", *MEANING)
 
 
-LEGACY = ("legacy_trust_score", "legacy_status", "last_trade_age", "volume_btc")
+LEGACY = ("legacy_trust_score", "score_band", "legacy_status", "last_trade_age", "volume_btc")
 
 
 def legacy_columns(report: DataFrame, as_of: int) -> DataFrame:
     """The report with the older score, activity label and age in words."""
+    score = legacy_trust_score(F.col("days_active"), F.col("total_volume_sats"), F.col("total_successful_trades"))
     return report.withColumns({
-        "legacy_trust_score": legacy_trust_score(F.col("days_active"), F.col("total_volume_sats"), F.col("total_successful_trades")),
+        "legacy_trust_score": score,
+        "score_band": score_band(score),
         "legacy_status": status_label(F.col("days_since_last_trade")),
         "last_trade_age": relative_time(F.col("last_successful_trade_at"), F.lit(as_of)),
         "volume_btc": to_btc(F.col("total_volume_sats")),

@@ -14,6 +14,7 @@ from ledgerlens.operators import grid, metrics, state
 from ledgerlens.plans import report
 from ledgerlens.sources import adapters as A
 from ledgerlens.sources.events import typed
+from ledgerlens.sources.storage import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,24 +80,35 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 # ---------------------------------------------------------------- shared frames
 
 
-def scoped(events: DataFrame) -> DataFrame:
-    return state.unique_events(state.in_scope(typed(events), A.MARKER))
+def scoped(events: DataFrame, as_of: int = AS_OF) -> DataFrame:
+    """Typed events in scope up to the instant; a latest state needs no distinct ids."""
+    return state.not_future(state.in_scope(typed(events), A.MARKER), as_of)
+
+
+def distinct(events: DataFrame, as_of: int = AS_OF) -> DataFrame:
+    """The same, one row an id, for whatever counts events."""
+    return state.unique_events(scoped(events, as_of))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.not_future(scoped(A.order_events(spark, sf_dir)), AS_OF)
+    return scoped(A.order_events(spark, sf_dir))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.successes(state.latest_orders(orders(spark, sf_dir)))
 
 
+def kept_trades(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Trades that several parts of a plan read, found once."""
+    return settle(trades(spark, sf_dir).select("pubkey", *columns), "trades")
+
+
 def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.latest_disputes(state.not_future(scoped(A.dispute_events(spark, sf_dir)), AS_OF))
+    return state.latest_disputes(scoped(A.dispute_events(spark, sf_dir)))
 
 
 def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.dev_fees(state.not_future(scoped(A.fee_events(spark, sf_dir)), AS_OF))
+    return state.dev_fees(scoped(A.fee_events(spark, sf_dir)))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -112,7 +124,7 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("latest_order_state", f"WITH {EVENTS_TIES} SELECT pubkey, d, id, created_at, s FROM state_events WHERE created_at <= {AS_OF_EVENTS} QUALIFY row_number() OVER (PARTITION BY pubkey, d ORDER BY created_at DESC, id DESC) = 1")
 def latest_order_state(spark, sf_dir):
-    events = state.not_future(scoped(A.state_events(spark, sf_dir, day_ties=True)), AS_OF_EVENTS)
+    events = scoped(A.state_events(spark, sf_dir, day_ties=True), AS_OF_EVENTS)
     return state.latest_orders(events).select("pubkey", "d", "id", "created_at", "s")
 
 
@@ -123,7 +135,7 @@ def latest_dispute_state(spark, sf_dir):
 
 @query("future_event_exclusion", f"WITH {EVENTS_PLAIN}, latest AS (SELECT * FROM state_events WHERE created_at <= {AS_OF_EVENTS} QUALIFY row_number() OVER (PARTITION BY pubkey, d ORDER BY created_at DESC, id DESC) = 1) SELECT pubkey, count(*) AS orders, count(*) FILTER (s = 'success') AS successes FROM latest GROUP BY pubkey")
 def future_event_exclusion(spark, sf_dir):
-    events = state.not_future(scoped(A.state_events(spark, sf_dir)), AS_OF_EVENTS)
+    events = scoped(A.state_events(spark, sf_dir), AS_OF_EVENTS)
     return state.latest_orders(events).groupBy("pubkey").agg(F.count("*").alias("orders"), F.count_if(F.col("s") == "success").alias("successes"))
 
 
@@ -148,9 +160,17 @@ def scope_filter(spark, sf_dir):
     return state.in_scope(typed(events), A.MARKER).agg(F.count("*").alias("kept"))
 
 
-@query("sample_events", f"WITH {ORDERS_SQL} SELECT id, created_at FROM raw_orders ORDER BY created_at, id LIMIT 3")
+SAMPLE_TAGS = f"""list_filter([['z', 'order'], ['y', '{A.MARKER}', 'x'], ['d', d], ['s', s],
+    CASE WHEN o_orderkey % 17 = 0 THEN ['amt', '5.7'] WHEN o_orderkey % 19 <> 0 THEN ['amt', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)] END,
+    CASE WHEN f IS NOT NULL THEN ['f', f] END,
+    CASE WHEN o_orderkey % 13 = 0 THEN ['premium', '1.5'] WHEN o_orderkey % 7 <> 0 THEN ['premium', CAST(o_orderkey % 11 - 5 AS VARCHAR)] END,
+    list_prepend('pm', string_split(o_orderpriority, '-'))], lambda t: t IS NOT NULL)"""
+
+
+@query("sample_events", f"WITH {ORDERS_SQL} SELECT id, created_at, CAST(to_json({SAMPLE_TAGS}) AS VARCHAR) AS tags FROM raw_orders JOIN orders ON id = lpad(CAST(o_orderkey AS VARCHAR), 64, '0') ORDER BY created_at, id LIMIT 3")
 def sample_events(spark, sf_dir):
-    return typed(A.order_events(spark, sf_dir)).orderBy("created_at", "id").limit(3).select("id", "created_at")
+    """The first events with their tags, as JSON."""
+    return A.order_events(spark, sf_dir).orderBy("created_at", "id").limit(3).select("id", "created_at", F.to_json("tags").alias("tags"))
 
 
 # ---------------------------------------------------------------- parsing
@@ -187,13 +207,12 @@ def strict_parsers(spark, sf_dir):
 
 @query("status_histogram", f"WITH {EVENTS_PLAIN} SELECT pubkey, coalesce(s, '(missing)') AS status, count(*) AS n_events FROM state_events GROUP BY ALL")
 def status_histogram(spark, sf_dir):
-    return metrics.status_histogram(scoped(A.state_events(spark, sf_dir)))
+    return metrics.status_histogram(state.unique_events(state.in_scope(typed(A.state_events(spark, sf_dir)), A.MARKER)))
 
 
 @query("event_totals", f"WITH {ORDERS_SQL}, {FEES_SQL}, n AS (SELECT pubkey FROM past_orders UNION SELECT pubkey FROM fees) SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, count(o.id) AS order_events, count(DISTINCT o.d) AS unique_orders, min(o.created_at) AS first_order_at, max(o.created_at) AS last_order_at FROM n LEFT JOIN past_orders o USING (pubkey) GROUP BY pubkey")
 def event_totals(spark, sf_dir):
-    events = scoped(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir)))
-    return metrics.event_totals(state.not_future(events, AS_OF))
+    return metrics.event_totals(distinct(A.order_events(spark, sf_dir).unionByName(A.fee_events(spark, sf_dir))))
 
 
 @query("first_seen_longevity", f"WITH {ORDERS_SQL}, {FEES_SQL}, a AS (SELECT pubkey, created_at AS fee, NULL AS trade FROM fees UNION ALL SELECT pubkey, NULL, created_at FROM trades) SELECT pubkey, min(fee) AS first_seen_at, round(({AS_OF} - coalesce(min(fee), min(trade))) / 86400.0, 6) AS days_active FROM a GROUP BY pubkey")
@@ -208,12 +227,12 @@ def cumulative_performance(spark, sf_dir):
 
 @query("trade_stats", f"WITH {ORDERS_SQL} SELECT pubkey, min(amt) AS min_trade_sats, max(amt) AS max_trade_sats, round(avg(amt), 6) AS mean_trade_sats, {MEDIAN} AS median_trade_sats FROM trades GROUP BY pubkey")
 def trade_stats(spark, sf_dir):
-    return rounded(longs(metrics.trade_stats(trades(spark, sf_dir)), "min_trade_sats", "max_trade_sats", "median_trade_sats"), "mean_trade_sats")
+    return rounded(longs(metrics.trade_stats(kept_trades(spark, sf_dir, "amt")), "min_trade_sats", "max_trade_sats", "median_trade_sats"), "mean_trade_sats")
 
 
 @query("trade_size_consistency", f"WITH {ORDERS_SQL} SELECT pubkey, round(stddev_pop(amt), 4) AS std_dev_trade_sats, CASE WHEN count(amt) >= 2 THEN round(stddev_pop(amt) / nullif({MEDIAN}, 0), 6) END AS coefficient_of_variation FROM trades GROUP BY pubkey")
 def trade_size_consistency(spark, sf_dir):
-    out = metrics.size_consistency(trades(spark, sf_dir))
+    out = metrics.size_consistency(kept_trades(spark, sf_dir, "amt"))
     return out.select("pubkey", F.round("std_dev_trade_sats", 4).alias("std_dev_trade_sats"), F.round("coefficient_of_variation", 6).alias("coefficient_of_variation"))
 
 
@@ -258,27 +277,37 @@ def dispute_breakdown(spark, sf_dir):
     return metrics.disputes_split(disputes(spark, sf_dir))
 
 
-@query("fiat_distribution", f"WITH {ORDERS_SQL} SELECT pubkey, f, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (PARTITION BY pubkey), 6) AS share FROM trades WHERE f <> '' GROUP BY pubkey, f")
+FIAT_SELECT = "SELECT pubkey, f, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (PARTITION BY pubkey), 6) AS share FROM trades WHERE f <> '' GROUP BY pubkey, f"
+
+
+@query("fiat_distribution", f"WITH {ORDERS_SQL} {FIAT_SELECT}")
 def fiat_distribution(spark, sf_dir):
     return rounded(metrics.fiat_shares(trades(spark, sf_dir)), "share")
 
 
-@query("payment_method_ranking", f"WITH {ORDERS_SQL}, m AS (SELECT pubkey, unnest(pm) AS method FROM trades), c AS (SELECT pubkey, method, count(*) AS mentions FROM m GROUP BY ALL) SELECT *, round(mentions / sum(mentions) OVER (PARTITION BY pubkey), 6) AS share, CAST(row_number() OVER (PARTITION BY pubkey ORDER BY mentions DESC, method) AS INTEGER) AS rank FROM c")
+PAYMENT_CTES = "m AS (SELECT pubkey, unnest(pm) AS method FROM trades), c AS (SELECT pubkey, method, count(*) AS mentions FROM m GROUP BY ALL)"
+PAYMENT_SELECT = "SELECT *, round(mentions / sum(mentions) OVER (PARTITION BY pubkey), 6) AS share, CAST(row_number() OVER (PARTITION BY pubkey ORDER BY mentions DESC, method) AS INTEGER) AS rank FROM c"
+
+
+@query("payment_method_ranking", f"WITH {ORDERS_SQL}, {PAYMENT_CTES} {PAYMENT_SELECT}")
 def payment_method_ranking(spark, sf_dir):
     return rounded(metrics.payment_shares(trades(spark, sf_dir)), "share")
 
 
 @query("premium_signal", f"WITH {ORDERS_SQL} SELECT pubkey, count(premium) AS n_premiums, CASE WHEN count(premium) >= 2 THEN quantile_cont(CAST(premium AS DOUBLE), 0.5) END AS premium_baseline, CASE WHEN count(premium) >= 2 THEN round(stddev_pop(premium), 6) END AS premium_dispersion FROM trades GROUP BY pubkey")
 def premium_signal(spark, sf_dir):
-    return rounded(metrics.premium_signal(trades(spark, sf_dir)), "premium_dispersion")
+    return rounded(metrics.premium_signal(kept_trades(spark, sf_dir, "premium")), "premium_dispersion")
 
 
 @query("bond_policy", f"WITH {INFO_SQL} SELECT pubkey, bond_enabled FROM info")
 def bond_policy(spark, sf_dir):
-    return metrics.bond_policy(state.latest_info(state.not_future(scoped(A.info_events(spark, sf_dir)), AS_OF)))
+    return metrics.bond_policy(state.latest_info(scoped(A.info_events(spark, sf_dir))))
+
+
+FETCH_SELECT = "SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, (SELECT count(*) FROM past_orders x WHERE x.pubkey = n.pubkey) AS order_events, (SELECT count(DISTINCT d) FROM past_orders x WHERE x.pubkey = n.pubkey) AS unique_orders, (SELECT count(DISTINCT d) FROM disputes x WHERE x.pubkey = n.pubkey) AS unique_disputes, EXISTS (SELECT 1 FROM info x WHERE x.pubkey = n.pubkey) AS info_found FROM nodes n"
 
 
-@query("fetch_summary", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {NODES_SQL} SELECT pubkey, (SELECT count(*) FROM fees x WHERE x.pubkey = n.pubkey) AS dev_fee_events, (SELECT count(*) FROM past_orders x WHERE x.pubkey = n.pubkey) AS order_events, (SELECT count(DISTINCT d) FROM past_orders x WHERE x.pubkey = n.pubkey) AS unique_orders, (SELECT count(DISTINCT d) FROM disputes x WHERE x.pubkey = n.pubkey) AS unique_disputes, EXISTS (SELECT 1 FROM info x WHERE x.pubkey = n.pubkey) AS info_found FROM nodes n")
+@query("fetch_summary", f"WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {NODES_SQL} {FETCH_SELECT}")
 def fetch_summary(spark, sf_dir):
     events = state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir)), A.MARKER), AS_OF)
     return metrics.fetch_summary(events.unionByName(events.withColumn("relay", F.lit("second"))))
@@ -288,29 +317,33 @@ def fetch_summary(spark, sf_dir):
 def usable_events(spark, sf_dir):
     # Dev-fees and disputes may share a line's id, so ids are distinct within a kind here.
     made = [A.order_events(spark, sf_dir), A.dispute_events(spark, sf_dir), A.fee_events(spark, sf_dir), A.info_events(spark, sf_dir)]
-    parts = [scoped(events) for events in made]
+    parts = [distinct(events) for events in made]
     events = parts[0]
     for p in parts[1:]:
         events = events.unionByName(p)
-    return metrics.usable_events(state.not_future(events, AS_OF))
+    return metrics.usable_events(events)
 
 
 # ---------------------------------------------------------------- grid
 
 
-def _grid(view: str, since: str | None = None, until: str | None = None):
+def grid_ctes(view: str, since: str | None = None, until: str | None = None) -> str:
     unit = {"daily": "day", "monthly": "month", "yearly": "year"}[view]
     begin = f"date '{since}'" if since else "to_timestamp(min(created_at))::timestamp"
     end = f"date '{until}'" if until else f"to_timestamp({AS_OF})::timestamp"
-    sql = f"""WITH {ORDERS_SQL}, {FEES_SQL},
+    return f"""
       firsts AS (SELECT pubkey, CAST(date_trunc('{unit}', {begin}) AS TIMESTAMP) AS b, CAST(date_trunc('{unit}', {end}) AS TIMESTAMP) AS e FROM (SELECT pubkey, created_at FROM trades UNION ALL SELECT pubkey, created_at FROM fees) GROUP BY pubkey),
-      spine AS (SELECT pubkey, CAST(unnest(generate_series(b, e, interval 1 {unit})) AS DATE) AS bucket FROM firsts),
-      sums AS (SELECT pubkey, CAST(date_trunc('{unit}', to_timestamp(created_at)::timestamp) AS DATE) AS bucket, count(*) AS trades, CAST(coalesce(sum(amt), 0) AS BIGINT) AS volume_sats, {MEDIAN} AS median_trade_sats FROM trades GROUP BY ALL)
-      SELECT pubkey, CAST(bucket AS VARCHAR) AS bucket, coalesce(trades, 0) AS trades, coalesce(volume_sats, 0) AS volume_sats, median_trade_sats FROM spine LEFT JOIN sums USING (pubkey, bucket)"""
+      buckets AS (SELECT pubkey, CAST(unnest(generate_series(b, e, interval 1 {unit})) AS DATE) AS bucket FROM firsts),
+      sums AS (SELECT pubkey, CAST(date_trunc('{unit}', to_timestamp(created_at)::timestamp) AS DATE) AS bucket, count(*) AS trades, CAST(coalesce(sum(amt), 0) AS BIGINT) AS volume_sats, {MEDIAN} AS median_trade_sats FROM trades GROUP BY ALL),
+      filled AS (SELECT pubkey, CAST(bucket AS VARCHAR) AS bucket, coalesce(trades, 0) AS trades, coalesce(volume_sats, 0) AS volume_sats, median_trade_sats FROM buckets LEFT JOIN sums USING (pubkey, bucket))"""
+
+
+def _grid(view: str, since: str | None = None, until: str | None = None):
+    sql = f"WITH {ORDERS_SQL}, {FEES_SQL}, {grid_ctes(view, since, until)} SELECT * FROM filled"
 
     def run(spark, sf_dir):
         day = lambda x: date.fromisoformat(x) if x else None
-        out = grid.activity_grid(fees(spark, sf_dir), trades(spark, sf_dir), AS_OF, view, day(since), day(until))
+        out = grid.activity_grid(fees(spark, sf_dir), kept_trades(spark, sf_dir, "created_at", "amt"), AS_OF, view, day(since), day(until))
         return longs(out, "volume_sats", "median_trade_sats").withColumn("bucket", F.col("bucket").cast("string"))
 
     return run, sql
@@ -352,14 +385,14 @@ def report_labels(spark, sf_dir):
 
 @query("oldest_dev_fee", f"WITH {FEES_SQL} SELECT pubkey, min(created_at) AS first_seen_at, count(*) AS dev_fee_events FROM fees GROUP BY pubkey")
 def oldest_dev_fee(spark, sf_dir):
-    return fees(spark, sf_dir).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
+    return state.unique_events(fees(spark, sf_dir)).groupBy("pubkey").agg(F.min("created_at").alias("first_seen_at"), F.count("*").alias("dev_fee_events"))
 
 
 @query("one_node_scan", f"WITH {ORDERS_SQL} SELECT id, created_at, s FROM past_orders WHERE pubkey = lpad('7', 64, '0')")
 def one_node_scan(spark, sf_dir):
     """One author's events: the same plan, filtered."""
     events = state.in_scope(typed(A.order_events(spark, sf_dir)), A.MARKER, "7".rjust(64, "0"))
-    return state.not_future(state.unique_events(events), AS_OF).select("id", "created_at", "s")
+    return state.unique_events(state.not_future(events, AS_OF)).select("id", "created_at", "s")
 
 
 @query("epoch_text", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S UTC') AS at, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
@@ -377,7 +410,7 @@ REPORT_SQL = f"""WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {NOD
   r AS (SELECT *, ({AS_OF} - coalesce(first_seen_at, first_trade)) / 86400.0 AS days FROM nodes LEFT JOIN t USING (pubkey) LEFT JOIN ff USING (pubkey) LEFT JOIN dd USING (pubkey) LEFT JOIN gaps USING (pubkey) LEFT JOIN info USING (pubkey))"""
 
 
-NODE_REPORT_SQL = REPORT_SQL + f"""
+NODE_SELECT = f"""
   SELECT pubkey, first_seen_at, round(days, 6) AS days_active, coalesce(total_successful_trades, 0) AS total_successful_trades, CAST(coalesce(volume, 0) AS BIGINT) AS total_volume_sats, last_successful_trade_at, ({AS_OF} - last_successful_trade_at) // 86400 AS days_since_last_trade,
     coalesce(trades_last_7d, 0) AS trades_last_7d, coalesce(trades_last_30d, 0) AS trades_last_30d, coalesce(trades_last_90d, 0) AS trades_last_90d, coalesce(active_days_last_30d, 0) AS active_days_last_30d, coalesce(gap, 0) AS max_consecutive_inactive_days_last_30d,
     min_trade_sats, max_trade_sats, round(mean, 6) AS mean_trade_sats, median_trade_sats, round(sd, 4) AS std_dev_trade_sats, CASE WHEN n_amt >= 2 THEN round(sd / nullif(median_trade_sats, 0), 6) END AS coefficient_of_variation,
@@ -385,9 +418,15 @@ NODE_REPORT_SQL = REPORT_SQL + f"""
     CASE WHEN n_p >= 2 THEN pm_ END AS premium_baseline, CASE WHEN n_p >= 2 THEN round(ps, 6) END AS premium_dispersion, bond_enabled FROM r"""
 
 
+NODE_REPORT_SQL = REPORT_SQL + NODE_SELECT
+
+
 @query("node_report", NODE_REPORT_SQL)
 def node_report(spark, sf_dir, nodes=A.NODES):
-    out = _report(spark, sf_dir, nodes)
+    return shown(_report(spark, sf_dir, nodes))
+
+
+def shown(out: DataFrame) -> DataFrame:
     out = longs(out, "total_volume_sats", "min_trade_sats", "max_trade_sats", "median_trade_sats")
     return rounded(out, "days_active", "mean_trade_sats", "coefficient_of_variation", "disputes_per_100_trades", "premium_dispersion").withColumn("std_dev_trade_sats", F.round("std_dev_trade_sats", 4))
 
@@ -399,8 +438,12 @@ def node_report_every_key(spark, sf_dir):
     return node_report(spark, sf_dir, None)
 
 
+def _facts(spark, sf_dir, nodes=A.NODES):
+    return report.latest_states(state.in_scope(typed(A.all_events(spark, sf_dir, nodes)), A.MARKER), AS_OF)
+
+
 def _report(spark, sf_dir, nodes=A.NODES):
-    return report.node_metrics(state.in_scope(typed(A.all_events(spark, sf_dir, nodes)), A.MARKER), AS_OF)
+    return report.metrics_of(_facts(spark, sf_dir, nodes), AS_OF)
 
 
 @query("legacy_trust_score", REPORT_SQL + " SELECT pubkey, CAST(greatest(0, trunc(least(coalesce(days, 0) / 365.0, 1) * 30.0 + least(coalesce(volume, 0) / 1e8, 1) * 40.0 + least(coalesce(total_successful_trades, 0) / 100.0, 1) * 30.0)) AS BIGINT) AS legacy_trust_score FROM r")
@@ -408,18 +451,37 @@ def legacy_trust_score(spark, sf_dir):
     return report.legacy_columns(_report(spark, sf_dir), AS_OF).select("pubkey", "legacy_trust_score")
 
 
-@query("recommendations", REPORT_SQL + f""", q AS (SELECT *, ({AS_OF} - last_successful_trade_at) // 86400 AS since, coalesce(total_successful_trades, 0) AS n, coalesce(total_disputes, 0) AS dn, coalesce(active_disputes, 0) AS da, coalesce(gap, 0) AS g, CASE WHEN n_amt >= 2 THEN sd / nullif(median_trade_sats, 0) END AS cv FROM r),
+NOTES_CTES = f"""q AS (SELECT *, ({AS_OF} - last_successful_trade_at) // 86400 AS since, coalesce(total_successful_trades, 0) AS n, coalesce(total_disputes, 0) AS dn, coalesce(active_disputes, 0) AS da, coalesce(gap, 0) AS g, CASE WHEN n_amt >= 2 THEN sd / nullif(median_trade_sats, 0) END AS cv FROM r),
   l AS (SELECT pubkey, list_filter([CASE WHEN n = 0 THEN 'No successful trade is recorded: nothing here tells how this node completes trades.' END, CASE WHEN n > 0 AND since > 30 THEN 'The last successful trade was ' || since || ' days ago; check that the node still answers.' END, CASE WHEN da > 0 THEN da || ' dispute(s) still open, of ' || dn || ' in all.' END,
-    CASE WHEN n > 0 AND dn > 0 THEN dn || ' dispute(s) against ' || n || ' successful trade(s).' END, CASE WHEN n > 0 AND n < 10 THEN 'Only ' || n || ' successful trade(s): the figures rest on a small sample.' END, CASE WHEN n > 0 AND g > 7 THEN 'no trade for ' || g || ' days in a row' END, CASE WHEN cv > 1 THEN 'Trade sizes vary by more than the node''s own median trade.' END], lambda x: x IS NOT NULL) AS notes FROM q)
+    CASE WHEN n > 0 AND dn > 0 THEN dn || ' dispute(s) against ' || n || ' successful trade(s).' END, CASE WHEN n > 0 AND n < 10 THEN 'Only ' || n || ' successful trade(s): the figures rest on a small sample.' END, CASE WHEN n > 0 AND g > 7 THEN 'no trade for ' || g || ' days in a row' END, CASE WHEN cv > 1 THEN 'Trade sizes vary by more than the node''s own median trade.' END], lambda x: x IS NOT NULL) AS notes FROM q)"""
+
+
+@query("recommendations", f"""{REPORT_SQL}, {NOTES_CTES}
   SELECT pubkey, CASE WHEN len(notes) = 0 THEN 'Nothing notable to flag.' ELSE array_to_string(notes, ' / ') END AS notes FROM l""")
 def recommendations(spark, sf_dir):
     return _report(spark, sf_dir).select("pubkey", F.array_join(report.recommendations(), " / ").alias("notes"))
 
 
-@query("report_json")
+def _json_group(names) -> str:
+    return "{" + ", ".join(f"'{n}': {n}" for n in names) + "}"
+
+
+REPORT_JSON_SQL = f"""{REPORT_SQL}, {NOTES_CTES}, {grid_ctes("yearly")}, rep AS ({NODE_SELECT}), fet AS ({FETCH_SELECT}), fi AS ({FIAT_SELECT}), {PAYMENT_CTES}, pay AS ({PAYMENT_SELECT}),
+  act_list AS (SELECT pubkey, list({{'bucket': bucket, 'trades': trades, 'volume_sats': volume_sats, 'median_trade_sats': median_trade_sats}} ORDER BY bucket) AS activity FROM filled GROUP BY pubkey),
+  fi_list AS (SELECT pubkey, list({{'f': f, 'mentions': mentions, 'share': share}} ORDER BY f) AS fiat FROM fi GROUP BY pubkey),
+  pay_list AS (SELECT pubkey, list({{'rank': rank, 'method': method, 'mentions': mentions, 'share': share}} ORDER BY rank) AS payment_methods FROM pay GROUP BY pubkey)
+  SELECT pubkey, CAST(to_json({{'pubkey': pubkey, 'schema_version': {report.SCHEMA_VERSION}, 'fetch': {_json_group(("dev_fee_events", "order_events", "unique_orders", "unique_disputes", "info_found"))}, 'activity': coalesce(activity, []),
+    'stats': {{{", ".join(f"'{n}': {_json_group(cols)}" for n, cols in report.SECTIONS.items())}, 'bond_policy': {{'bond_enabled': bond_enabled}}, 'fiat': coalesce(fiat, []), 'payment_methods': coalesce(payment_methods, [])}},
+    'recommendations': CASE WHEN len(notes) = 0 THEN ['Nothing notable to flag.'] ELSE notes END}}) AS VARCHAR) AS json
+  FROM rep JOIN fet USING (pubkey) JOIN l USING (pubkey) LEFT JOIN act_list USING (pubkey) LEFT JOIN fi_list USING (pubkey) LEFT JOIN pay_list USING (pubkey)"""
+
+
+@query("report_json", REPORT_JSON_SQL)
 def report_json(spark, sf_dir):
-    """The nested report of every node as JSON (held against the flat report in the tests)."""
-    t = trades(spark, sf_dir)
-    fetch = metrics.fetch_summary(state.not_future(state.in_scope(typed(A.all_events(spark, sf_dir)), A.MARKER), AS_OF))
-    buckets = grid.activity_grid(fees(spark, sf_dir), t, AS_OF, "yearly")
-    return report.as_json(report.nested(_report(spark, sf_dir), fetch, metrics.fiat_shares(t), metrics.payment_shares(t), buckets))
+    """The nested report of every node as JSON."""
+    facts = _facts(spark, sf_dir)
+    t = state.successes(state.order_states(facts))
+    fetch = metrics.fetch_summary(scoped(A.all_events(spark, sf_dir)))
+    buckets = longs(grid.activity_grid(state.dev_fees(facts), t, AS_OF, "yearly"), "volume_sats", "median_trade_sats")
+    shares = [rounded(f(t), "share") for f in (metrics.fiat_shares, metrics.payment_shares)]
+    return report.as_json(report.nested(shown(report.metrics_of(facts, AS_OF)), fetch, *shares, buckets))

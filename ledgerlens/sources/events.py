@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.tags import parse_amount, parse_premium, tag, tag_values
@@ -23,30 +24,38 @@ class RelayStatus:
     message: str = ""
 
 
-def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json", author: str | None = None) -> tuple[DataFrame | None, list[RelayStatus]]:
+def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json", author: str | None = None, marker: str | None = None) -> tuple[DataFrame | None, list[RelayStatus]]:
     """The events of every readable source (a path, or a ws:// or wss:// address), and each
     source's status.
 
     A source that fails is reported and left out; the frame is None only if all fail.  The
     schema is given, never inferred, so a malformed line is null instead of an error.  Live
-    relays are asked once, for one author's events if given; what they send is kept.
+    relays are asked for one author's events and one marker's, if given; what they send is
+    kept.  With an author, paths are read here and now, each by itself, and that author's
+    events are kept, so that a file that cannot be read to its end is a failed source too;
+    without one, only missing paths are found here.
     """
     frames, said = [], []
     live = [r for r in relays if r.startswith(("ws://", "wss://"))]
     if live:
-        got = read_live(spark, live, [author] if author else None, list(SUBTYPE)).persist()
+        tags = {"z": ",".join(SUBTYPE.values()), **({"y": marker} if marker else {})}
+        got = read_live(spark, live, [author] if author else None, list(SUBTYPE), **tags).persist()
         failed = {r["relay"]: r["tags"][0][1] for r in got.filter("id is null").collect()}
         said += [RelayStatus(r, r not in failed, failed.get(r, "")) for r in live]
         if len(failed) < len(live):
             frames.append(got)
     for relay in [r for r in relays if r not in live]:
         try:
-            frame = spark.read.schema(EVENT).format(form).load(relay)
-            frame.schema  # noqa: B018  resolves the path
+            frame, message = spark.read.schema(EVENT).format(form).load(relay), ""
+            if author:
+                frame, message = _kept(frame, author)
             frames.append(frame.withColumn("relay", F.lit(relay)))
-            said.append(RelayStatus(relay, True))
-        except PySparkException as e:
-            said.append(RelayStatus(relay, False, str(e).splitlines()[0]))
+            said.append(RelayStatus(relay, True, message))
+        except (PySparkException, Py4JJavaError) as e:
+            java = getattr(e, "java_exception", None)
+            said.append(RelayStatus(relay, False, (str(java) if java is not None else str(e)).splitlines()[0]))
+        except ValueError as e:
+            said.append(RelayStatus(relay, False, str(e)))
     if not frames:
         return None, said
     out = frames[0]
@@ -55,6 +64,22 @@ def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json",
     return out.filter("id is not null"), said
 
 
+def _kept(frame: DataFrame, author: str) -> tuple[DataFrame, str]:
+    """One author's events, read to the end in one scan, and what to say of malformed lines."""
+    seen = Observation()
+    mine = frame.observe(seen, F.count(F.lit(1)).alias("lines"), F.count("id").alias("events")).filter(F.col("pubkey") == author).persist()
+    try:
+        mine.count()
+    except Exception:
+        mine.unpersist()
+        raise
+    lines, events = seen.get["lines"], seen.get["events"]
+    if lines and not events:
+        mine.unpersist()
+        raise ValueError(f"none of {lines} lines is an event")
+    return mine, f"{lines - events} of {lines} lines are malformed" if lines > events else ""
+
+
 def typed(events: DataFrame) -> DataFrame:
     """Events with their tags as flat columns, strictly parsed."""
     flat = events.select(

@@ -1,13 +1,15 @@
 """Live sources: event relays over WebSocket, as a Spark data source named "relay".
 
-One partition per relay; each opens a connection, asks once with the filter of the options
-(the relay evaluates it), and reads until the relay says that all stored events were sent.
-A relay that fails gives one row without an id whose only tag is ["error", message], beside
+One partition per relay; each opens a connection, asks with the filter of the options (the
+relay evaluates it), and reads until the relay says that all stored events were sent.  As
+relays cap an answer, it then asks for what is as old as the oldest event or older, until
+nothing new comes.  A relay that fails gives one row without an id whose only tag is ["error", message], beside
 whatever it sent before; so a failing relay never fails the query.
 
 Options: relays (comma-separated ws:// or wss:// addresses), authors, kinds (comma-separated),
-tag.<name> (comma-separated values of that tag), timeout (seconds for a whole fetch, 10).
-Events whose id is not the SHA-256 of their content are left out; signatures are not checked.
+tag.<name> (comma-separated values of that tag), timeout (seconds for a whole fetch, 10),
+verify (true).  Events whose id is not the SHA-256 of their content are left out, and, unless
+verify is false, those whose signature is not their author's.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ledgerlens.sources.schnorr import verified
+
 SCHEMA = "id string, pubkey string, kind int, created_at bigint, tags array<array<string>>, relay string"
 TIMEOUT, MAX_MESSAGE = 10.0, 32 << 20
 # Fixed value of the WebSocket protocol (RFC 6455).
@@ -111,34 +115,61 @@ def event_id(e: dict) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-def row(e: dict, relay: str) -> tuple | None:
-    """An event as a row; None if it is malformed or its id is not its own."""
+def row(e: dict, relay: str, verify: bool = True) -> tuple | None:
+    """An event as a row; None if it is malformed, its id is not its own, or it is not signed
+    by its author."""
     try:
         if e["id"] != event_id(e):
             return None
+        if verify and not verified(bytes.fromhex(e["pubkey"]), bytes.fromhex(e["id"]), bytes.fromhex(e["sig"])):
+            return None
         return str(e["id"]), str(e["pubkey"]), int(e["kind"]), int(e["created_at"]), [[str(x) for x in t] for t in e["tags"]], relay
     except (KeyError, TypeError, ValueError):
         return None
 
 
-def fetch(url: str, query: dict, timeout: float = TIMEOUT) -> Iterator[tuple]:
+def page(connection: Connection, query: dict) -> Iterator[dict]:
+    """What the relay sends for one request, up to its mark of the end."""
+    connection.send(json.dumps(["REQ", "q", query]).encode())
+    for text in connection.messages():
+        said = json.loads(text)
+        if not isinstance(said, list) or len(said) < 2:
+            continue
+        if said[0] == "EVENT" and len(said) > 2 and isinstance(said[2], dict):
+            yield said[2]
+        elif said[0] == "EOSE":
+            connection.send(b'["CLOSE","q"]')
+            return
+        elif said[0] == "CLOSED":
+            raise ConnectionError(f"refused: {said[-1]}")
+    raise ConnectionError("closed before all events were sent")
+
+
+def fetch(url: str, query: dict, timeout: float = TIMEOUT, verify: bool = True) -> Iterator[tuple]:
     """The stored events of one relay that match ``query``, then an error row if it failed."""
-    connection = None
+    connection, until, known = None, None, set()
     try:
         connection = Connection(url, timeout)
-        connection.send(json.dumps(["REQ", "q", query]).encode())
-        for text in connection.messages():
-            said = json.loads(text)
-            if not isinstance(said, list) or len(said) < 2:
-                continue
-            if said[0] == "EVENT" and len(said) > 2 and (made := row(said[2], url)):
-                yield made
-            elif said[0] == "EOSE":
-                connection.send(b'["CLOSE","q"]')
+        while True:
+            fresh, oldest, edge = 0, until, set(known)
+            try:
+                for e in page(connection, query if until is None else {**query, "until": until}):
+                    made = row(e, url, verify)
+                    if made is None or until is not None and made[3] > until or made[0] in known:
+                        continue
+                    fresh += 1
+                    if oldest is None or made[3] < oldest:
+                        oldest, edge = made[3], set()
+                    if made[3] == oldest:
+                        edge.add(made[0])
+                    yield made
+            except ConnectionError:
+                if until is None:
+                    raise
+                return  # the first answer was whole, and the relay does not wait for more requests
+            if not fresh:
                 return
-            elif said[0] == "CLOSED":
-                raise ConnectionError(f"refused: {said[-1]}")
-        raise ConnectionError("closed before all events were sent")
+            until, known = oldest, edge
     except (OSError, ValueError) as e:
         yield None, None, None, None, [["error", str(e) or type(e).__name__]], url
     finally:
@@ -159,6 +190,7 @@ class RelayReader(DataSourceReader):
         if not self.relays:
             raise ValueError('option "relays" names no relay')
         self.timeout = float(given.get("timeout", TIMEOUT))
+        self.verify = given.get("verify", "true").lower() != "false"
         self.query: dict = {f"#{k[4:]}": split(v) for k, v in given.items() if k.startswith("tag.")}
         if "authors" in given:
             self.query["authors"] = split(given["authors"])
@@ -169,7 +201,7 @@ class RelayReader(DataSourceReader):
         return [Relay(r) for r in self.relays]
 
     def read(self, partition: Relay) -> Iterator[tuple]:
-        return fetch(partition.url, self.query, self.timeout)
+        return fetch(partition.url, self.query, self.timeout, self.verify)
 
 
 class RelaySource(DataSource):
@@ -184,10 +216,10 @@ class RelaySource(DataSource):
         return RelayReader(dict(self.options))
 
 
-def read_live(spark: SparkSession, relays: list[str], authors: list[str] | None = None, kinds: list[int] | None = None, timeout: float = TIMEOUT, **tags: str) -> DataFrame:
+def read_live(spark: SparkSession, relays: list[str], authors: list[str] | None = None, kinds: list[int] | None = None, timeout: float = TIMEOUT, verify: bool = True, **tags: str) -> DataFrame:
     """Events of live relays, filtered there; error rows included (``id`` is null)."""
     spark.dataSource.register(RelaySource)
-    reader = spark.read.format("relay").option("relays", ",".join(relays)).option("timeout", str(timeout))
+    reader = spark.read.format("relay").option("relays", ",".join(relays)).option("timeout", str(timeout)).option("verify", str(verify))
     if authors:
         reader = reader.option("authors", ",".join(authors))
     if kinds:

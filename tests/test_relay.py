@@ -13,14 +13,77 @@ import time
 import pytest
 
 from ledgerlens.sources import relay as R
+from ledgerlens.sources import schnorr as S
 from ledgerlens.sources.events import read_relays
 
-KEY = "ab" * 32
+SECRET = 0xB7E151628AED2A6ABF7158809CF4F3C762E7160F38B4DA56A784D9045190CFEF
+
+
+def sign(secret, message, nonce=12345):
+    """A BIP-340 signature with a fixed nonce: for tests only."""
+    x, y = S.affine(S.combined(secret, S.G, 0, S.G))
+    d = secret if y % 2 == 0 else S.N - secret
+    r, ry = S.affine(S.combined(nonce, S.G, 0, S.G))
+    k = nonce if ry % 2 == 0 else S.N - nonce
+    key, rb = x.to_bytes(32, "big"), r.to_bytes(32, "big")
+    return key, rb + ((k + S.challenge(rb, key, message) * d) % S.N).to_bytes(32, "big")
+
+
+KEY = sign(SECRET, b"")[0].hex()
 
 
 def event(n, **more):
     e = {"pubkey": KEY, "created_at": 100 + n, "kind": 38383, "tags": [["z", "order"], ["d", f"ö{n}"]], "content": 'a "quoted"\nline', **more}
-    return {**e, "id": R.event_id(e)}
+    e["id"] = R.event_id(e)
+    return {**e, "sig": sign(SECRET, bytes.fromhex(e["id"]))[1].hex()}
+
+
+def test_published_vectors():
+    """Of BIP-340: a valid signature, and a key that is on no curve point."""
+    key, sig = bytes.fromhex("F9308A019258C31049344F85F89D5229B531C845836F99B08601F113BCE036F9"), bytes.fromhex("E907831F80848D1069A5371B402410364BDF1C5F8307B0084C55F1CE2DCA821525F66A4A85EA8B71E482A74F382D2CE5EBEEE8FDB2172F477DF4900D310536C0")
+    assert S.verified(key, bytes(32), sig) and not S.verified(key, bytes(31) + b"\1", sig) and not S.verified(key, bytes(32), sig[:63] + b"\0")
+    assert not S.verified(bytes.fromhex("EEFDEA4CDB677750A420FEE807EACF21EB9898AE79B9768766E4FAA04A2D4A34"), bytes(32), sig)
+    assert not S.verified(key, bytes(32), sig[:32] + S.N.to_bytes(32, "big")) and not S.verified(key, bytes(32), S.P.to_bytes(32, "big") + sig[32:]) and not S.verified(b"", bytes(32), sig)
+    for secret in (1, 2, 3, S.N - 1, SECRET):
+        k, made = sign(secret, b"m" * 32, secret + 7)
+        assert S.verified(k, b"m" * 32, made) and not S.verified(k, b"n" * 32, made)
+
+
+def test_events_of_another_hand_are_left_out(serve):
+    stolen = {**event(1), "sig": sign(SECRET + 1, bytes.fromhex(event(1)["id"]))[1].hex()}
+    bare = {k: v for k, v in event(2).items() if k != "sig"}
+    answer = [frame(said("EVENT", "q", e)) for e in (stolen, bare, event(3), {**event(4), "sig": "zz"})]
+    assert [g[0] for g in R.fetch(serve(*answer, frame(said("EOSE", "q")), wait=0.2), {})] == [event(3)["id"]]
+    assert len([*R.fetch(serve(*answer, frame(said("EOSE", "q")), wait=0.2), {}, verify=False)]) == 4
+
+
+class Capped:
+    """Stands for a connection to a relay that sends its newest events, so many at most."""
+
+    def __init__(self, events, most, deaf=False):
+        self.events, self.most, self.deaf, self.asked = sorted(events, key=lambda e: -e["created_at"]), most, deaf, []
+
+    def send(self, payload, opcode=1):
+        if json.loads(payload)[0] == "REQ":
+            self.asked.append(json.loads(payload)[2])
+
+    def messages(self):
+        until = self.asked[-1].get("until", 1 << 60) if not self.deaf else 1 << 60
+        for e in [e for e in self.events if e["created_at"] <= until][: self.most]:
+            yield said("EVENT", "q", e)
+        yield said("EOSE", "q")
+
+    def close(self):
+        pass
+
+
+def test_capped_answers_are_asked_for_again(monkeypatch):
+    events = [event(n, created_at=100 + n // 3) for n in range(40)]
+    for most, deaf, want in ((7, False, 40), (100, False, 40), (7, True, 7)):
+        relay = Capped(events, most, deaf)
+        monkeypatch.setattr(R, "Connection", lambda url, timeout: relay)  # noqa: B023
+        got = [g[0] for g in R.fetch("ws://x", {"kinds": [1]}, verify=False)]
+        assert len(got) == len(set(got)) == want and relay.asked[0] == {"kinds": [1]} and all(q["kinds"] == [1] for q in relay.asked)
 
 
 def frame(text, opcode=1, final=True):
@@ -105,8 +168,22 @@ def test_spark_reads_relays_and_paths_together(spark, serve, tmp_path):
     good = serve(frame(said("EVENT", "q", event(1))), frame(said("EOSE", "q")), wait=0.2)
     bad = serve(shake=False)
     (tmp_path / "e.json").write_text(json.dumps({k: event(7)[k] for k in ("id", "pubkey", "kind", "created_at", "tags")}))
-    events, statuses = read_relays(spark, [good, bad, str(tmp_path / "e.json")], author=KEY)
+    events, statuses = read_relays(spark, [good, bad, str(tmp_path / "e.json")], author=KEY, marker="demo")
     assert sorted(r.created_at for r in events.collect()) == [101, 107]
     assert {s.relay: s.ok for s in statuses} == {good: True, bad: False, str(tmp_path / "e.json"): True}
-    assert serve.asked[0][2] == {"authors": [KEY], "kinds": [8383, 38383, 38385, 38386]}
+    assert serve.asked[0][2] == {"#z": ["dev-fee-payment", "order", "info", "dispute"], "#y": ["demo"], "authors": [KEY], "kinds": [8383, 38383, 38385, 38386]}
     assert read_relays(spark, [bad])[0] is None
+
+
+def test_unreadable_files_are_failed_sources(spark, tmp_path):
+    line = json.dumps({k: event(7)[k] for k in ("id", "pubkey", "kind", "created_at", "tags")})
+    (tmp_path / "good.json").write_text(line + "\n{half\n" + line)
+    (tmp_path / "garbage.json").write_text("this is\nno event")
+    (tmp_path / "bad.json.gz").write_bytes(b"\x1f\x8b\x08\0\0\0\0\0\0\0 no gzip at all")
+    (tmp_path / "empty.json").write_text("")
+    names = [str(tmp_path / n) for n in ("good.json", "garbage.json", "bad.json.gz", "empty.json", "none.json")]
+    events, statuses = read_relays(spark, names, author=KEY)
+    assert events.count() == 2 and [s.ok for s in statuses] == [True, False, False, True, False]
+    assert "1 of 3 lines" in statuses[0].message and "none of 2 lines" in statuses[1].message and all(s.message for s in statuses if not s.ok)
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not really PAR1")
+    assert read_relays(spark, [str(tmp_path / "bad.parquet")], "parquet", KEY)[0] is None
