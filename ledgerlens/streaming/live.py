@@ -18,23 +18,44 @@ from ledgerlens.sources.events import typed
 
 
 def event_stream(spark: SparkSession, path: str, form: str = "json", marker: str = "", delay: str | None = None) -> DataFrame:
-    """Typed events in scope, one row an id (within ``delay`` of each other, if given)."""
+    """Typed events in scope.  With ``delay``, one row an id among events that come within it of
+    each other, for whatever counts events; latest states need none, so without ``delay`` no
+    state is kept for ids, which would grow for ever."""
     events = state.in_scope(typed(spark.readStream.schema(EVENT).format(form).load(path)), marker)
     if delay is None:
-        return events.dropDuplicates(["id"])
+        return events
     return events.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["id"]).drop("at")
 
 
+NEWEST = ("id", "created_at", "s", "amt", "f", "pm", "premium")
+
+
 def latest_orders_stream(events: DataFrame) -> DataFrame:
-    """The latest state of each order so far (update mode); late arrivals change nothing."""
+    """The latest state of each order so far (update mode); late and repeated arrivals change
+    nothing.  The state is one row an order."""
     orders = events.filter((F.col("kind") == ORDER) & F.col("d").isNotNull())
-    newest = F.max_by(F.struct("id", "created_at", "s", "amt", "f", "pm", "premium"), F.struct("created_at", "id"))
+    newest = F.max_by(F.struct(*NEWEST), F.struct("created_at", "id"))
     return orders.groupBy("pubkey", "d").agg(newest.alias("o")).select("pubkey", "d", "o.*")
 
 
-def follow(states: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Run the state stream: into a memory table, or into ``each(batch, number)``."""
-    writer = states.writeStream.outputMode("update").trigger(availableNow=True)
-    if each:
-        return writer.foreachBatch(each).start()
-    return states.writeStream.outputMode("complete").trigger(availableNow=True).format("memory").queryName(name).start()
+def into(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``follow``: each batch's changed states as files of their own below ``path``, so that
+    nothing passes the driver and a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
+def states(spark: SparkSession, path: str) -> DataFrame:
+    """The states that ``into`` has written so far: of each order the latest."""
+    return state.latest(spark.read.parquet(path), "pubkey", "d").drop("batch")
+
+
+def follow(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+    """Run a state stream over what there is, giving ``each(batch, number)`` what changed."""
+    writer = rows.writeStream.outputMode("update").trigger(availableNow=True)
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(each).start()
