@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.storage import forget, settle, shared_dir
 
-__all__ = ["arrow_rows", "forget", "held", "likely", "parts", "settle", "shared_dir", "ship", "text_bytes", "words"]
+__all__ = ["arrow_rows", "forget", "held", "likely", "parts", "settle", "shared_dir", "ship", "words"]
 
 #: Bits of a filter for each wanted row, and at most (2^20 words of 64 bits).
 BITS_EACH, FILTER_BITS = 16, 1 << 26
@@ -44,11 +44,6 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
-def text_bytes(df: DataFrame, column: str) -> int:
-    """UTF-8 bytes in a column, over all rows (sizes partitions; 0 for an empty table)."""
-    return int(df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0)
-
-
 def parts(spark: SparkSession, size: int, each: int) -> int:
     """Partitions of about ``each`` bytes, at least those of the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import held, parts, ship, text_bytes
+from ledgerlens.llm.common import held, parts, ship
 
 WINDOW = 13
 #: Text bytes of a block, and windows of a bucket.
 BLOCK, BUCKET = 8 << 20, 2 << 20
-#: Bytes that count as one row where blocks are cut.
-GRAIN = 4096
+#: Bytes that count as one where blocks are cut; a document weighs one grain at least, about what it takes beside its bytes.
+GRAIN = 1024
 
 _RNG = np.random.default_rng(13)
 #: A random 64-bit value a byte; odd multipliers, which have inverses modulo 2^64.
@@ -164,21 +164,23 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _blocks(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` as (block, none, id, raw), partitioned by block; blocks are ranges of ids that have
-    about ``BLOCK`` bytes each, since a document weighs in their cutting by its bytes.
+def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` as (block, none, id, raw), partitioned by block, and the bytes of all texts.
+    Blocks are ranges of ids that have about ``BLOCK`` bytes each, since a document weighs in
+    their cutting by its bytes.
 
     Only the bounds, one number a block, come to the driver.
     """
     spark = docs.sparkSession
-    count = max(1, -(-size // BLOCK))
     # Ids without nulls, which pandas would turn into floats.
     id_ = F.col("doc_id").cast("bigint")
     rows = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    block = F.lit(0).cast("bigint")
+    grains = F.floor(F.octet_length("raw") / GRAIN) + 1
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("size"), F.coalesce(F.sum(grains), F.lit(0)).alias("grains")).first()
+    weight = int(total["grains"]) * GRAIN
+    count, block = max(1, -(-weight // BLOCK)), F.lit(0).cast("bigint")
     if count > 1:
-        grains = F.sequence(F.lit(0), F.floor(F.octet_length("raw") / GRAIN).cast("int"))
-        dealt = rows.filter("not none").select("id", F.explode(grains).alias("g")).select("id")
+        dealt = rows.filter("not none").select("id", F.explode(F.sequence(F.lit(1), grains.cast("int"))).alias("g")).select("id")
         dealt = dealt.repartitionByRange(count, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
         bounds = spark.sparkContext.broadcast(np.array(sorted(r["low"] for r in dealt.collect())[1:], np.int64))
 
@@ -189,15 +191,14 @@ def _blocks(docs: DataFrame, size: int) -> DataFrame:
 
         # Rows without an id come last, in a block of their own.
         block = F.when(F.col("none"), F.lit(count)).otherwise(block_of("id"))
-    return rows.select(block.alias("block"), "none", "id", "raw").repartition(parts(spark, size, BLOCK), "block")
+    return rows.select(block.alias("block"), "none", "id", "raw").repartition(parts(spark, weight, BLOCK), "block"), int(total["size"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """id, n_words, removed intervals (first and end word), and the kept text, for each row."""
     spark = docs.sparkSession
     ship(spark)
-    size = text_bytes(docs, "text")
-    rows = _blocks(docs, size)
+    rows, size = _blocks(docs)
     # A word and its blank have six bytes or so.
     buckets = max(1, -(-size // (6 * BUCKET)))
 

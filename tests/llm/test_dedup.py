@@ -174,7 +174,9 @@ def test_blocks_have_about_equal_bytes(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK", 40_000)
     rows = [(i, "word " * (4000 if i < 20 else 20)) for i in range(4000)] + [(None, "x"), ((1 << 63) - 1, "y")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    blocks = D._blocks(docs, 20 * 20_000 + 3980 * 100).groupBy("block").agg(F.sum(F.octet_length("raw")).alias("b"), F.count("*").alias("n")).collect()
+    rows_, size = D._blocks(docs)
+    assert size == 20 * 20_000 + 3980 * 100 + 2
+    blocks = rows_.groupBy("block").agg(F.sum(F.octet_length("raw")).alias("b"), F.count("*").alias("n")).collect()
     assert max(r.b for r in blocks) <= 4 * 40_000 and len(blocks) > 10
     got = {r.doc_id: r.n_words for r in D.substring_digests(docs).collect()}
     assert got[None] == 1 and got[(1 << 63) - 1] == 1 and len(got) == len(rows)
