@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import bpe, compression_classifier, line_dedup, mixing, simhash
-from ledgerlens.llm.common import settle
+from ledgerlens.llm.common import forget, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,5 +42,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
