@@ -178,13 +178,22 @@ def bond_policy(info: DataFrame) -> DataFrame:
 def fetch_summary(events: DataFrame) -> DataFrame:
     """What backs each section, over distinct event ids and keys, whatever relays sent them."""
     kind = F.col("kind")
-    ids = events.groupBy("pubkey", "kind", "id", "d").agg(F.lit(1).alias("one"))
-    return ids.groupBy("pubkey").agg(
-        F.count_distinct(F.when(kind == DEV_FEE, F.col("id"))).alias("dev_fee_events"),
-        F.count_distinct(F.when(kind == ORDER, F.col("id"))).alias("order_events"),
-        F.count_distinct(F.when(kind == ORDER, F.col("d"))).alias("unique_orders"),
-        F.count_distinct(F.when(kind == DISPUTE, F.col("d"))).alias("unique_disputes"),
-        F.coalesce(F.bool_or((kind == INFO) & (F.col("d") == F.col("pubkey"))), F.lit(False)).alias("info_found"),
+    part = lambda name, value: F.struct(F.lit(name).alias("part"), value.alias("value"))
+    # What is counted of each kind, as one kind of row, so that one shuffle makes all of it distinct.
+    counted = (
+        F.when(kind == ORDER, F.array(part("id", F.col("id")), part("d", F.col("d"))))
+        .when(kind == DEV_FEE, F.array(part("id", F.col("id"))))
+        .when(kind == DISPUTE, F.array(part("d", F.col("d"))))
+        .otherwise(F.array(part("own", F.when((kind == INFO) & (F.col("d") == F.col("pubkey")), F.lit("yes")))))
+    )
+    rows = events.select("pubkey", "kind", F.explode(counted).alias("c")).select("pubkey", "kind", "c.*").distinct()
+    number = lambda k, name: F.count_if((kind == k) & (F.col("part") == name) & F.col("value").isNotNull())
+    return rows.groupBy("pubkey").agg(
+        number(DEV_FEE, "id").alias("dev_fee_events"),
+        number(ORDER, "id").alias("order_events"),
+        number(ORDER, "d").alias("unique_orders"),
+        number(DISPUTE, "d").alias("unique_disputes"),
+        F.coalesce(F.bool_or((F.col("part") == "own") & F.col("value").isNotNull()), F.lit(False)).alias("info_found"),
     )
 
 

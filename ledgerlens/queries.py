@@ -466,7 +466,12 @@ def _json_group(names) -> str:
     return "{" + ", ".join(f"'{n}': {n}" for n in names) + "}"
 
 
-REPORT_JSON_SQL = f"""{REPORT_SQL}, {NOTES_CTES}, {grid_ctes("yearly")}, rep AS ({NODE_SELECT}), fet AS ({FETCH_SELECT}), fi AS ({FIAT_SELECT}), {PAYMENT_CTES}, pay AS ({PAYMENT_SELECT}),
+def finely(sql: str) -> str:
+    """Shares with nine places, so that they still sum to one."""
+    return sql.replace(", 6) AS share", ", 9) AS share")
+
+
+REPORT_JSON_SQL = f"""{REPORT_SQL}, {NOTES_CTES}, {grid_ctes("yearly")}, rep AS ({NODE_SELECT}), fet AS ({FETCH_SELECT}), fi AS ({finely(FIAT_SELECT)}), {PAYMENT_CTES}, pay AS ({finely(PAYMENT_SELECT)}),
   act_list AS (SELECT pubkey, list({{'bucket': bucket, 'trades': trades, 'volume_sats': volume_sats, 'median_trade_sats': median_trade_sats}} ORDER BY bucket) AS activity FROM filled GROUP BY pubkey),
   fi_list AS (SELECT pubkey, list({{'f': f, 'mentions': mentions, 'share': share}} ORDER BY f) AS fiat FROM fi GROUP BY pubkey),
   pay_list AS (SELECT pubkey, list({{'rank': rank, 'method': method, 'mentions': mentions, 'share': share}} ORDER BY rank) AS payment_methods FROM pay GROUP BY pubkey)
@@ -483,5 +488,5 @@ def report_json(spark, sf_dir):
     t = state.successes(state.order_states(facts))
     fetch = metrics.fetch_summary(scoped(A.all_events(spark, sf_dir)))
     buckets = longs(grid.activity_grid(state.dev_fees(facts), t, AS_OF, "yearly"), "volume_sats", "median_trade_sats")
-    shares = [rounded(f(t), "share") for f in (metrics.fiat_shares, metrics.payment_shares)]
+    shares = [f(t).withColumn("share", F.round("share", 9)) for f in (metrics.fiat_shares, metrics.payment_shares)]
     return report.as_json(report.nested(shown(report.metrics_of(facts, AS_OF)), fetch, *shares, buckets))
