@@ -243,3 +243,20 @@ def test_components_of_chains_and_stars(spark):
 
 def test_schema_of_cases(spark):
     assert len(documents(spark).columns) == len(SCHEMA.split(","))
+
+
+def test_texts_and_lines_above_a_megabyte(spark):
+    rnd = random.Random(6)
+    line = " ".join(f"{rnd.randrange(60_000):055d}" for _ in range(20_000))
+    near = line.replace(" ", " extra ", 1)
+    many = "\n".join([f"line {i % 7} of some words that come again" + " and again" * 3 for i in range(20_000)])
+    rows = [(1, line), (2, line), (3, "x" * 1_200_000), (4, many), (5, near)]
+    assert all(len(t) > 1 << 20 for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_equal_removed, r.n_near_removed) for r in L.line_digests(docs).collect()}
+    # Of the seven lines, each but the first differs from it in one token.
+    assert got == {1: (1, 0, 0), 2: (1, 1, 0), 3: (1, 0, 0), 4: (20_000, 19_993, 6), 5: (1, 0, 1)}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in D.substring_digests(docs).collect()}
+    assert cut[1] == (20_000, 0) and cut[2] == (20_000, 20_000) and cut[3] == (1, 0) and cut[4] == (280_000, 0) and cut[5] == (20_001, 19_999)
+    fp = {r.doc_id: (r.fingerprint, r.component_id) for r in S.near_duplicates(docs).collect()}
+    assert fp[1] == fp[2] and all(fp[i][0] == f"{brute_fingerprint(t):016x}" for i, t in rows)
