@@ -45,7 +45,7 @@ def pieces(raw: bytes | memoryview) -> list:
 
 def dictionary(found: list[bytes]) -> bytes:
     """A dictionary's bytes; small samples, which the trainer refuses, serve as they are."""
-    size = min(DICT_BYTES, sum(map(len, found)) // 8)
+    size = min(DICT_BYTES, sum(map(len, found)) // 3)
     try:
         return zstandard.train_dictionary(max(size, 512), found).as_bytes()
     except zstandard.ZstdError:
@@ -112,11 +112,13 @@ def samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sampled_pieces(sample: DataFrame, q: int) -> list[bytes]:
-    """Pieces of a class's sampled texts, ``DICT_PIECES`` at most, in the order of a hash."""
+    """Pieces of a class's sampled texts, ``DICT_PIECES`` at most, in the order of a hash: the
+    trainer learns from the first three quarters and tunes itself by the rest, so both must be
+    of one kind."""
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("raw") / PIECE).cast("int") - 1, F.lit(0))), lambda i: F.substring("raw", i * PIECE + 1, F.lit(PIECE)))
     rows = sample.filter((F.col("part") == "dict") & (F.col("q") == q)).select("doc_id", F.posexplode(cut).alias("at", "piece"))
     rows = rows.withColumn("h", F.xxhash64("doc_id", "at")).orderBy("h", "doc_id", "at", "piece").limit(DICT_PIECES)
-    return [bytes(r["piece"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["at"], bytes(r["piece"])))]
+    return [bytes(r["piece"]) for r in sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"], r["at"], bytes(r["piece"])))]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
