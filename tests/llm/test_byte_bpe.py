@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from ledgerlens.llm import byte_bpe as B
+from tests.llm.cases import documents, ids_and_texts
+
+PATH = public_tokenizers.path(B.NAME)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=B.read_ranks(PATH), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def code():
+    return B.ByteEncoder(B.vocabulary(PATH))
+
+
+def ids(code, text):
+    return B.np.frombuffer(code.packed(text), "<u4").tolist()
+
+
+def test_digests_equal_the_library(spark, library):
+    docs = documents(spark)
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    want = []
+    for i, t in ids_and_texts(docs):
+        found = library.encode_ordinary(t or "")
+        want.append((i, len(found), sha(b"".join(n.to_bytes(4, "little") for n in found)), sha(library.decode_bytes(found))))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in B.byte_bpe_digests(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert B.byte_bpe_digests(docs.limit(0)).count() == 0
+    for r in B.byte_encode_documents(documents(spark, False)).collect():
+        assert library.decode_bytes(list(r.ids)) == bytes(r.decoded)
+    whole = {r.doc_id: (list(r.ids), bytes(r.decoded).decode()) for r in B.byte_encode_documents(documents(spark, False)).collect()}
+    assert whole == {i: (library.encode_ordinary(t or ""), t or "") for i, t in ids_and_texts(documents(spark, False))}
+
+
+def test_every_character_and_random_texts(library, code):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 997):
+        for text in ("".join(every[at : at + 997]), "a 1".join(every[at : at + 997])):
+            assert ids(code, text) == library.encode_ordinary(text)
+    rnd = random.Random(4)
+    low = [chr(c) for c in range(0x180)] + list("abcdefghrstlmv' \n\t ") * 20
+    wide = low + [chr(c) for c in (0x300, 0x3A3, 0x130, 0x1100, 0x200B, 0x2003, 0x3000, 0x1F600, 0xFEFF, 0x2028, 0xAC00, 0x18DA7, 0x1263E)] * 6
+    for n in range(3000):
+        text = "".join(rnd.choice(wide if n % 2 else low) for _ in range(rnd.randrange(60)))
+        assert ids(code, text) == library.encode_ordinary(text), text
+        assert code.decoded(code.packed(text)) == text.encode()
+
+
+def test_long_pre_tokens(library, code):
+    rnd = random.Random(5)
+    for text in ("ab" * 100_000, "".join(rnd.choice("etaoin") for _ in range(100_000)), " " * 50_000 + "x", "é" * 30_000):
+        assert ids(code, text) == library.encode_ordinary(text)
+    assert max(map(len, code.cache), default=0) < B.CACHE_BYTES >> 4
+
+
+def test_vocabulary_that_the_merges_do_not_reach(tmp_path):
+    """A string without a chain of merges is one token as a whole pre-token, and only then."""
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"abcd", b"\xc3\xa9\xc3\xa9"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(B.base64.b64encode(t) + b" %d\n" % (3 * i) for i, t in enumerate(tokens)))
+    known = B.vocabulary(str(path))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=B.read_ranks(str(path)), special_tokens={})
+    code = B.ByteEncoder(known)
+    assert set(known.unreached) == {b"abcd", b"\xc3\xa9\xc3\xa9"}
+    for text in ("abcd", " abcd", "abcde", "éé", "ééé", "ab cd", ""):
+        assert ids(code, text) == library.encode_ordinary(text)
+    path.write_bytes(b"YQ== 0\n")
+    with pytest.raises(ValueError, match="single bytes"):
+        B.vocabulary.__wrapped__(str(path))
