@@ -70,4 +70,49 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM q"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": RULES_SQL, "op3_line_dedup": LINES_SQL, "op4_substring_dedup": SUBSTRINGS_SQL, "op9_warc": WARC_SQL}
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by dynamic programming, row after row: b0 to b3 are the best ways to
+    the pattern's states (nothing yet, after s, after u, after a), each a struct of cost, letters
+    and repaired text, which compare in this order."""
+    def step(way: str, cost: str, letter: str, line: str | None = None) -> str:
+        text = f"{way}.t || CASE WHEN {way}.t = '' THEN '' ELSE chr(10) END || {line}" if line else f"{way}.t"
+        return f"{{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 't': {text}}}"
+
+    def kept(way: str, initial: str) -> str:
+        return step(way, f"CASE WHEN gone OR left(role, 1) <> '{initial}' THEN 1000000000 ELSE 3 * cut END", "K", "role || ':' || text")
+
+    def given(way: str, role: str) -> str:
+        return step(way, "CASE WHEN gone THEN 1000000000 ELSE 3 + 3 * cut END", "R", f"'{role}:' || text")
+
+    def new(way: str, role: str) -> str:
+        return step(way, "3", "I", f"'{role}:'")
+
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    gone = [step(f"b{q}", "4", "D") for q in range(4)]
+    to_user = [f for q in (0, 1, 3) for f in (kept(f"b{q}", "u"), given(f"b{q}", "user"))]
+    never = "{'c': 1000000000, 'a': '', 't': ''}"
+    inserted = f"""SELECT conv_id, i, n0 AS b0, n1 AS b1, m2 AS b2, {least("n3", new("m2", "assistant"))} AS b3
+        FROM (SELECT *, {least("n2", new("n0", "user"), new("n1", "user"), new("n3", "user"))} AS m2 FROM"""
+    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"
+    return f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM (SELECT *, {crc} % 20 AS h FROM raw)),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i,
+    rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS shown, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM hurt),
+r AS (SELECT *, shown = '' AS blank, shown = '' OR again AS gone, CASE WHEN shown <> '' AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM told),
+sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+ways AS (
+  {inserted} (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} AS n0, {never} AS n1, {never} AS n2, {never} AS n3 FROM sums))
+  UNION ALL
+  {inserted} (SELECT w.conv_id, r.i, {gone[0]} AS n0, {least(gone[1], kept("b0", "s"))} AS n1, {least(gone[2], *to_user)} AS n2, {least(gone[3], kept("b2", "a"), given("b2", "assistant"))} AS n3
+    FROM ways w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1))),
+best AS (SELECT s.*, {least("b0", "b3")} AS way FROM sums s JOIN ways w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(way.c, 0) AS BIGINT) AS cost,
+  coalesce(way.a, '') AS audit, sha256(coalesce(way.t, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": RULES_SQL, "op3_line_dedup": LINES_SQL, "op4_substring_dedup": SUBSTRINGS_SQL, "op9_warc": WARC_SQL, "op13_conversation_repair": _repair_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, byte_bpe, compression_classifier, line_dedup, media_matroska, mixing, quality_rules, simhash, substring_dedup, token_counts, warc
+from ledgerlens.llm import bpe, byte_bpe, compression_classifier, conversation_repair, line_dedup, media_matroska, mixing, quality_rules, simhash, substring_dedup, token_counts, warc
 from ledgerlens.llm.oracles import ORACLES
 
 
@@ -58,8 +58,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_matroska, op3_line_dedup, op4_substring_dedup, op5_quality_classifier, op6_token_counts, op7_simhash, op8_mixing, op9_warc, op10_bpe, op12_byte_bpe)
+    found = (op1_quality_rules, op2_matroska, op3_line_dedup, op4_substring_dedup, op5_quality_classifier, op6_token_counts, op7_simhash, op8_mixing, op9_warc, op10_bpe, op12_byte_bpe, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 

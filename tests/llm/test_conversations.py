@@ -1,0 +1,178 @@
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import conversation_repair as C
+
+ROLES = re.compile("(s?(ua)+)?")
+BLANK = re.compile(r"[^\x20\x09-\x0D]")
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, digest string, part int, seq int, audit string"
+
+
+def faulty(rows):
+    """(initial, fault) of ordered (turn, role, text) rows."""
+    seen, out = set(), []
+    for _, role, text in rows:
+        found = BLANK.findall(text)
+        out.append((role[:1], "blank" if not found else "duplicate" if (role, text) in seen else "truncated" if found[-1] not in ".!?" else ""))
+        seen.add((role, text))
+    return out
+
+
+def enumerated(rows):
+    """The answer by trying every sequence of edits with up to two inserts in one place."""
+    choices = [[("D", 4, "")] + ([] if f in ("blank", "duplicate") else [("K", 3 * (f == "truncated"), i), ("R", 3 + 3 * (f == "truncated"), "u"), ("R", 3 + 3 * (f == "truncated"), "a")]) for i, f in rows]
+    gaps = [[("I" * k, 3 * k, "".join(x)) for k in range(3) for x in itertools.product("ua", repeat=k)]] * (len(rows) + 1)
+    slots = [x for pair in itertools.zip_longest(gaps, choices) for x in pair if x is not None]
+    best = None
+    for picked in itertools.product(*slots):
+        if any(r == "" and e == "K" for e, _, r in picked) or not ROLES.fullmatch("".join(r for _, _, r in picked)):
+            continue
+        way = sum(c for _, c, _ in picked), "".join(e for e, _, _ in picked)
+        best = way if best is None or way < best else best
+    return best
+
+
+def by_suffixes(rows):
+    """The answer by dynamic programming from the end."""
+    step, keep = {0: 2, 1: 2, 2: 3, 3: 2}, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    ways = {0: [(0, "")], 1: [], 2: [], 3: [(0, "")]}
+    for row in [None, *reversed(rows)]:
+        if row is not None:
+            initial, fault = row
+            extra, after, ways = 3 * (fault == "truncated"), ways, {}
+            for state in range(4):
+                found = [(4 + c, "D" + a) for c, a in after[state]]
+                if fault not in ("blank", "duplicate"):
+                    found += [(3 + extra + c, "R" + a) for c, a in after[step[state]]]
+                    found += [(extra + c, "K" + a) for c, a in after.get(keep.get((state, initial)), [])]
+                ways[state] = found
+        plain = {q: sorted(w)[:1] for q, w in ways.items()}
+        once = {q: plain[q] + [(3 + c, "I" + a) for c, a in plain[step[q]]] for q in range(4)}
+        ways = {q: sorted(plain[q] + [(3 + c, "I" + a) for c, a in once[step[q]]])[:1] for q in range(4)}
+    return ways[0][0]
+
+
+def applied(rows, audit):
+    out, state, at = [], 0, 0
+    for edit in audit:
+        given = "assistant" if state == 2 else "user"
+        if edit == "I":
+            out.append((given, ""))
+        else:
+            _, role, text = rows[at]
+            at += 1
+            if edit == "D":
+                continue
+            out.append((role if edit == "K" else given, text))
+        state = {"s": 1, "u": 2, "a": 3}[out[-1][0][:1]]
+    assert at == len(rows) and ROLES.fullmatch("".join(r[:1] for r, _ in out))
+    return out
+
+
+def expected(rows):
+    """Everything of one conversation's rows, in any order and as they are after damage."""
+    space = lambda x: " " if x is None else x
+    rows = [(t, space(r), space(x)) for t, r, x in rows]
+    key = lambda r: hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).digest()
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), key(r)))
+    told = faulty(rows)
+    cost, audit = by_suffixes(told)
+    turns = {t for t, _, _ in rows if t is not None}
+    count = [sum(f == kind for _, f in told) for kind in ("blank", "duplicate", "truncated")]
+    illegal = sum(a + b not in ("su", "ua", "au") for (a, _), (b, _) in itertools.pairwise(told))
+    made = applied(rows, audit)
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *count, illegal, cost, audit, hashlib.sha256("\n".join(f"{r}:{x}" for r, x in made).encode()).hexdigest())
+
+
+def some_rows(rnd, n):
+    texts = ["Yes.", "No!", "cut off", "", " \t\n", "Yes.", None, "ends with blanks. \n", "é?", "半"]
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", "", None]
+    return [(rnd.choice([*range(n), None]), rnd.choice(roles), rnd.choice([*texts, f"text {rnd.random()}.", f"open {rnd.random()}"])) for _ in range(n)]
+
+
+def test_search_equals_every_sequence_of_edits():
+    rnd = random.Random(1)
+    code = {"": C.FINE, "truncated": C.CUT, "blank": C.GONE, "duplicate": C.GONE}
+    for n in range(250):
+        rows = [(rnd.choice("suat"), rnd.choice(["", "", "truncated", "blank"])) for _ in range(n % 4)]
+        found = C.least_edits([(i, code[f]) for i, f in rows], {0: (0, "")}, True)
+        assert [*found.values()] == [enumerated(rows)] == [by_suffixes(rows)]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 512])
+def test_blocks_do_not_change_the_answer(monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rnd = random.Random(block)
+    for n in range(120):
+        rows = [(rnd.choice("ssuuaat "), rnd.choice([C.FINE, C.FINE, C.CUT, C.GONE])) for _ in range(n % 40)]
+        search = C.Search(7)
+        for at, (i, fault) in enumerate(rows):
+            search.add(at, i, False, fault == C.CUT, fault == C.GONE, 1)
+        told = [(i, ("", "truncated", "blank")[f]) for i, f in rows]
+        assert search.result()[-2:] == by_suffixes(told)
+
+
+def table(spark):
+    rnd = random.Random(3)
+    rows = [(c, *r) for c in range(40) for r in some_rows(rnd, rnd.randrange(1, 14))]
+    rows += [(None, *r) for r in some_rows(rnd, 9)] + [(50, 1, "user", "a. " * 40_000), (50, 2, "assistant", "b" * 100_000), *[(51, 3, "user", "Same.")] * 9, (52, None, None, None)]
+    rows += [(60, t, ("user", "assistant")[t % 2], f"{t}!") for t in range(1400) if t % 97]
+    rows += [(c, 1, "user", "Alone.") for c in range(100, 140)]
+    return spark.createDataFrame([(*r, "x", 1, 2, "y") for r in rows], SCHEMA), rows
+
+
+def grouped(rows):
+    out = {}
+    for c, *r in rows:
+        out.setdefault(c, []).append(tuple(r))
+    return out
+
+
+def test_repair_by_brute_force(spark):
+    df, rows = table(spark)
+    found = C.edits(df)
+    got = {r.conv_id: r for r in found.collect()}
+    want = {c: expected(r) for c, r in grouped(rows).items()}
+    assert len(got) == found.count() == len(want)
+    for c, w in want.items():
+        r = got[c]
+        assert (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit) == w[:-1], c
+        assert r.n_rows == len(grouped(rows)[c])
+    shas = {r.conv_id: r.repaired_sha256 for r in C.digests(C.repaired(df, found)).collect()}
+    nothing = hashlib.sha256().hexdigest()
+    assert {c: shas.get(c, nothing) for c in want} == {c: w[-1] for c, w in want.items()}
+    again = C.repaired(df, found).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role"))).alias("rows"))
+    assert all([x.seq for x in r["rows"]] == [*range(len(r["rows"]))] for r in again.collect())
+    assert C.edits(df.limit(0)).count() == 0 and C.repaired(df.limit(0), found.limit(0)).count() == 0
+
+
+def hurt(rows):
+    for c, t, role, text in rows:
+        show = lambda x: " " if x is None else x
+        kind = zlib.crc32(f"{show(c)}:{show(t)}".encode()) % 20
+        role, text = "user" if kind == 4 else show(role), "" if kind == 1 else re.sub("[.!?]", "", show(text)) if kind == 2 else show(text)
+        yield from [(c, t, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+
+
+def check_digests(df, rows):
+    got = {r.conv_id: tuple(r)[1:] for r in C.repair_digests(df).collect()}
+    left = grouped(hurt(rows))
+    want = {c: expected(left[c]) if c in left else (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest()) for c in grouped(rows)}
+    assert got == want
+    return want
+
+
+def test_damaged_conversations_by_brute_force(spark, sf_dir):
+    want = check_digests(*table(spark))
+    assert any(w[6] == "" for w in want.values())
+    df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    check_digests(df, [tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
+    assert C.repair_digests(df.limit(0)).count() == 0
