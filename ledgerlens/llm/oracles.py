@@ -115,4 +115,12 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
   coalesce(way.a, '') AS audit, sha256(coalesce(way.t, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id"""
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": RULES_SQL, "op3_line_dedup": LINES_SQL, "op4_substring_dedup": SUBSTRINGS_SQL, "op9_warc": WARC_SQL, "op13_conversation_repair": _repair_sql()}
+NEGATIVES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.uid <> b.uid),
+p AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS w FROM s WHERE same QUALIFY w <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, w ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor, anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score QUALIFY rank <= 5"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": RULES_SQL, "op3_line_dedup": LINES_SQL, "op4_substring_dedup": SUBSTRINGS_SQL, "op9_warc": WARC_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op13_conversation_repair": _repair_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bpe, byte_bpe, compression_classifier, conversation_repair, line_dedup, media_matroska, mixing, quality_rules, simhash, substring_dedup, token_counts, warc
+from ledgerlens.llm import bpe, byte_bpe, compression_classifier, conversation_repair, hard_negatives, line_dedup, media_matroska, mixing, quality_rules, simhash, substring_dedup, token_counts, warc
 from ledgerlens.llm.oracles import ORACLES
 
 
@@ -54,6 +54,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_matroska, op3_line_dedup, op4_substring_dedup, op5_quality_classifier, op6_token_counts, op7_simhash, op8_mixing, op9_warc, op10_bpe, op12_byte_bpe, op13_conversation_repair)
+    found = (op1_quality_rules, op2_matroska, op3_line_dedup, op4_substring_dedup, op5_quality_classifier, op6_token_counts, op7_simhash, op8_mixing, op9_warc, op10_bpe, op11_hard_negatives, op12_byte_bpe, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
