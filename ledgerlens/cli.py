@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--as-of", type=int, help="the report's instant in epoch seconds (now)")
     p.add_argument("--legacy", action="store_true", help="add the older score, its band, activity label and age in words")
     p.add_argument("--samples", type=int, default=0, metavar="N", help="add the node's first N events with their tags")
+    p.add_argument("--verify", action="store_true", help="check ids and signatures of dumped events as well (they need content and sig)")
     p.add_argument("-V", "--version", action="version", version=VERSION)
     return p
 
@@ -106,7 +107,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     if os.environ.get(ENV_LOG):
         spark.sparkContext.setLogLevel(os.environ[ENV_LOG].upper())
     with progress.stage(f"Reading events from {len(relays)} source(s)"):
-        events, said = read_relays(spark, relays, args.input_format, pubkey, marker)
+        events, said = read_relays(spark, relays, args.input_format, pubkey, marker, args.verify)
     statuses = [vars(s) for s in said]
     for s in said:
         if s.message:

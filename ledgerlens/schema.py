@@ -26,6 +26,8 @@ EVENT = T.StructType(
         T.StructField("relay", T.StringType()),
     ]
 )
+#: Events with what proves them: their id and signature cover the content as well.
+RAW = T.StructType([*EVENT.fields, T.StructField("content", T.StringType()), T.StructField("sig", T.StringType())])
 #: Typed events: tags extracted once, so that later filters reach the Parquet scan.
 TYPED = T.StructType(
     [

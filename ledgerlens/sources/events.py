@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.tags import parse_amount, parse_premium, tag, tag_values
-from ledgerlens.schema import EVENT, SUBTYPE, TYPED
+from ledgerlens.schema import EVENT, RAW, SUBTYPE, TYPED
 from ledgerlens.sources.relay import read_live
+from ledgerlens.sources.verify import authentic
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,7 @@ class RelayStatus:
     message: str = ""
 
 
-def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json", author: str | None = None, marker: str | None = None) -> tuple[DataFrame | None, list[RelayStatus]]:
+def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json", author: str | None = None, marker: str | None = None, verify: bool = False) -> tuple[DataFrame | None, list[RelayStatus]]:
     """The events of every readable source (a path, or a ws:// or wss:// address), and each
     source's status.
 
@@ -33,23 +34,32 @@ def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json",
     relays are asked for one author's events and one marker's, if given; what they send is
     kept.  With an author, paths are read here and now, each by itself, and that author's
     events are kept, so that a file that cannot be read to its end is a failed source too;
-    without one, only missing paths are found here.
+    without one, only missing paths are found here.  Live events are proven by their ids and
+    signatures, with ``verify`` dumped ones as well; what is not proven is left out and told.
     """
     frames, said = [], []
     live = [r for r in relays if r.startswith(("ws://", "wss://"))]
     if live:
         tags = {"z": ",".join(SUBTYPE.values()), **({"y": marker} if marker else {})}
-        got = read_live(spark, live, [author] if author else None, list(SUBTYPE), **tags).persist()
-        failed = {r["relay"]: r["tags"][0][1] for r in got.filter("id is null").collect()}
-        said += [RelayStatus(r, r not in failed, failed.get(r, "")) for r in live]
+        # Relays are asked once, before anything is proven: their deadlines are for the network.
+        got = read_live(spark, live, [author] if author else None, list(SUBTYPE), verify=False, **tags).persist()
+        failed = {r["relay"]: r["first"] for r in got.filter("id is null").groupBy("relay").agg(F.min(F.col("tags")[0][1]).alias("first")).collect()}
+        real = authentic(got).persist()
+        forged = _lost(got, real)
+        said += [RelayStatus(r, r not in failed, failed.get(r) or _told(forged.get(r, 0))) for r in live]
         if len(failed) < len(live):
-            frames.append(got)
+            frames.append(real.select(*EVENT.fieldNames()))
     for relay in [r for r in relays if r not in live]:
         try:
-            frame, message = spark.read.schema(EVENT).format(form).load(relay), ""
+            frame, message = spark.read.schema(RAW if verify else EVENT).format(form).load(relay), ""
             if author:
                 frame, message = _kept(frame, author)
-            frames.append(frame.withColumn("relay", F.lit(relay)))
+            frame = frame.withColumn("relay", F.lit(relay))
+            if verify:
+                real = authentic(frame).persist()
+                message = "; ".join(m for m in (message, _told(_lost(frame, real).get(relay, 0))) if m)
+                frame = real
+            frames.append(frame.select(*EVENT.fieldNames()))
             said.append(RelayStatus(relay, True, message))
         except (PySparkException, Py4JJavaError) as e:
             java = getattr(e, "java_exception", None)
@@ -64,6 +74,16 @@ def read_relays(spark: SparkSession, relays: Sequence[str], form: str = "json",
     return out.filter("id is not null"), said
 
 
+def _lost(before: DataFrame, after: DataFrame) -> dict[str, int]:
+    """By source, how many events ``after`` lacks."""
+    rows = before.select("relay", "id", F.lit(1).alias("n")).unionByName(after.select("relay", "id", F.lit(-1).alias("n"))).filter("id is not null")
+    return {r["relay"]: r["n"] for r in rows.groupBy("relay").agg(F.sum("n").alias("n")).collect()}
+
+
+def _told(forged: int) -> str:
+    return f"{forged} events without a valid id and signature are left out" if forged else ""
+
+
 def _kept(frame: DataFrame, author: str) -> tuple[DataFrame, str]:
     """One author's events, read to the end in one scan, and what to say of malformed lines."""
     seen = Observation()
