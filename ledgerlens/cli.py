@@ -115,14 +115,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     if events is None:
         return fail(params.NO_RELAY, "no source could be read", statuses)
     # One node's events are few against the sources: they are kept while the report is made.
-    mine = state.unique_events(state.in_scope(typed(events), marker, pubkey)).persist()
+    sent = state.in_scope(typed(events), marker, pubkey).persist()
+    mine = state.unique_events(sent).persist()
     try:
+        for r in metrics.source_coverage(sent).collect():
+            next(s for s in statuses if s["relay"] == r["relay"]).update(delivered=r["delivered"], only_here=r["only_here"], missing_here=r["missing_here"])
         with progress.stage("Computing the report"):
             made, warning = node_report(mine, as_of, wanted, today, args.legacy)
             if made and args.samples > 0:
                 made["samples"] = sample_events(events.filter(F.col("pubkey") == pubkey), args.samples)
     finally:
         mine.unpersist()
+        sent.unpersist()
     if made is None:
         return fail(params.NO_EVENTS, f"no usable event of {pubkey} in {len([s for s in said if s.ok])} source(s)", statuses)
     if warning:

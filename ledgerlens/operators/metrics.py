@@ -6,15 +6,18 @@ A node is a ``pubkey``; one node's report is the same plan behind a filter on it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.median import exact_medians
 from ledgerlens.functions.scalars import utc_day, whole
 from ledgerlens.functions.tags import parse_bond
 from ledgerlens.schema import ACTIVE, DAY, DEV_FEE, DISPUTE, INFO, ORDER, RESOLVED, SUBTYPE
+from ledgerlens.sources.storage import settle
 
 WINDOW_DAYS = 30
+#: Sources in one word of a bit set.
+SOURCE_BITS = 62
 
 
 def longevity(fees: DataFrame, trades: DataFrame, as_of: int) -> DataFrame:
@@ -45,7 +48,9 @@ def trade_summary(trades: DataFrame, as_of: int) -> DataFrame:
         *rolling,
         F.count("premium").alias("n_premiums"),
         F.stddev_pop("premium").alias("premium_spread"),
+        days_mask(as_of).alias("days_mask"),
     )
+    out = out.withColumns(activity_of(F.col("days_mask"))).drop("days_mask")
     return out.withColumn("days_since_last_trade", whole(F.lit(as_of) - F.col("last_successful_trade_at"), DAY))
 
 
@@ -81,20 +86,46 @@ def rolling_counts(trades: DataFrame, as_of: int) -> DataFrame:
     return trades.groupBy("pubkey").agg(*[F.count_if(at.between(as_of - n * DAY, as_of)).alias(f"trades_last_{n}d") for n in (7, 30, 90)])
 
 
+def days_mask(as_of: int) -> Column:
+    """An aggregate: the last 30 UTC days with a row as the bits of one number, today the highest;
+    null without any.  It is one partial aggregate, however many rows a node has."""
+    start = F.date_sub(_today(as_of), WINDOW_DAYS - 1)
+    at = F.date_diff(utc_day(F.col("created_at")), start)
+    return F.bit_or(F.when(at.between(0, WINDOW_DAYS - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), at)))
+
+
+def longest_run(mask: Column) -> Column:
+    """The longest run of ones in a number of 31 bits at most.
+
+    Bit i of ``runs[k]`` tells that 2^k ones begin there (by and-ing with a shifted self); the
+    length is then found by doubling steps, the longest first.
+    """
+    runs = [mask]
+    for k in range(4):
+        runs.append(runs[-1].bitwiseAND(F.shiftright(runs[-1], 1 << k)))
+    steps = F.array(*[F.struct(F.lit(1 << k).alias("step"), runs[k].alias("runs")) for k in reversed(range(5))])
+
+    def longer(known: Column, s: Column) -> Column:
+        here = known["at"].bitwiseAND(F.call_function("shiftright", s["runs"], known["length"]))
+        return F.when(here != 0, F.struct((known["length"] + s["step"]).alias("length"), here.alias("at"))).otherwise(known)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("length"), F.lit(-1).cast("bigint").alias("at")), longer)["length"]
+
+
+def activity_of(mask: Column) -> dict[str, Column]:
+    """Active days and the longest idle run, of a ``days_mask``."""
+    mask = F.coalesce(mask, F.lit(0).cast("bigint"))
+    idle = mask.bitwiseXOR(F.lit((1 << WINDOW_DAYS) - 1).cast("bigint"))
+    return {"active_days_last_30d": F.bit_count(mask).cast("bigint"), "max_consecutive_inactive_days_last_30d": longest_run(idle).cast("bigint")}
+
+
 def activity_days(trades: DataFrame, as_of: int) -> DataFrame:
     """Active UTC days and the longest run of idle ones within the last 30, today included.
 
-    Days are made distinct first, so a window holds at most 30 rows.  Nodes without a trade
-    in the window have no row here; ``filled_activity`` gives them 0 and 30.
+    Nodes without a trade in the window have no row here; ``filled_activity`` gives them 0 and 30.
     """
-    today = _today(as_of)
-    start = F.date_sub(today, WINDOW_DAYS - 1)
-    days = trades.select("pubkey", utc_day(F.col("created_at")).alias("day")).filter(F.col("day").between(start, today)).distinct()
-    before = F.coalesce(F.lag("day").over(Window.partitionBy("pubkey").orderBy("day")), F.date_sub(start, 1))
-    gaps = days.withColumn("gap", F.date_diff("day", before) - 1)
-    out = gaps.groupBy("pubkey").agg(F.count("*").alias("active_days_last_30d"), F.max("gap").alias("gap"), F.max("day").alias("last"))
-    longest = F.greatest("gap", F.date_diff(today, F.col("last")))
-    return out.select("pubkey", "active_days_last_30d", longest.cast("bigint").alias("max_consecutive_inactive_days_last_30d"))
+    masks = trades.groupBy("pubkey").agg(days_mask(as_of).alias("mask")).filter("mask is not null")
+    return masks.select("pubkey", *[c.alias(name) for name, c in activity_of(F.col("mask")).items()])
 
 
 def filled_activity(nodes: DataFrame, trades: DataFrame, as_of: int) -> DataFrame:
@@ -142,10 +173,11 @@ def ratio_100(disputes: str, trades: str):
 
 
 def shares(rows: DataFrame, label: str) -> DataFrame:
-    """Counts of a label per node and their share of the node's counts; the window runs over
-    labels, not rows."""
+    """Counts of a label per node and their share of the node's counts.  Labels are whatever an
+    event says, so a node may have any number: the sums are joined, which Spark can split."""
     counts = rows.groupBy("pubkey", label).agg(F.count("*").alias("mentions"))
-    return counts.withColumn("share", F.col("mentions") / F.sum("mentions").over(Window.partitionBy("pubkey")))
+    sums = counts.groupBy("pubkey").agg(F.sum("mentions").alias("of"))
+    return counts.join(sums, "pubkey").select("pubkey", label, "mentions", (F.col("mentions") / F.col("of")).alias("share"))
 
 
 def fiat_shares(trades: DataFrame) -> DataFrame:
@@ -155,7 +187,25 @@ def fiat_shares(trades: DataFrame) -> DataFrame:
 def payment_shares(trades: DataFrame) -> DataFrame:
     """Payment methods by mentions, with their rank (ties by label)."""
     out = shares(trades.select("pubkey", F.explode("pm").alias("method")), "method")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("pubkey").orderBy(F.col("mentions").desc(), "method")))
+    return ranked(out, "pubkey", F.col("mentions").desc(), F.col("method"))
+
+
+def ranked(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``rows`` with their rank in their group, whatever its size: ``row_number`` without a task
+    that holds a group.  ``group`` and ``order`` must tell rows apart.
+
+    Rows are sorted by ranges, so a large group spans several partitions; a rank is the place
+    among the group's rows in its partition and the number of those in partitions before.  Only
+    those numbers, one a group and partition, meet in a window.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33).alias("__part")
+    runs = rows.groupBy(group, part).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(group, "__part", (before - F.col("__first") + 1).alias("__shift"))
+    out = rows.withColumn("__part", part).join(runs, [group, "__part"])
+    return out.withColumn("rank", (F.col("__at") + F.col("__shift")).cast("int")).drop("__at", "__part", "__shift")
 
 
 def premium_medians(trades: DataFrame, out: str) -> DataFrame:
@@ -197,6 +247,27 @@ def fetch_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def source_coverage(events: DataFrame) -> DataFrame:
+    """What each source (``relay``) of a node's events brought: distinct ids it delivered, those
+    that no other source has, and those that others have and it lacks.
+
+    Sources are numbered by name, and each id's sources are the bits of a few words of 62; so a
+    shuffle carries ids and words, and an id that every source has is one row.
+    """
+    names = [r["relay"] for r in events.select("relay").filter("relay is not null").distinct().orderBy("relay").collect()]  # sources that a user has named
+    words = range(0, max(len(names), 1), SOURCE_BITS)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("relay")) - 1 if names else F.lit(None)
+    bit = lambda w: F.when(number.between(w, w + SOURCE_BITS - 1), F.call_function("shiftleft", F.lit(1).cast("bigint"), (number - w).cast("int")))
+    ids = events.groupBy("pubkey", "id").agg(*[F.coalesce(F.bit_or(bit(w)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in words])
+    sets = ids.groupBy("pubkey", *[f"w{w}" for w in words]).agg(F.count("*").alias("n"))
+    has = lambda i: F.getbit(f"w{i - i % SOURCE_BITS}", F.lit(i % SOURCE_BITS)) == 1
+    alone = sum((F.bit_count(f"w{w}") for w in words), F.lit(0)) == 1
+    each = [F.struct(F.lit(name).alias("relay"), *[F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(c) for c, test in (("delivered", has(i)), ("only_here", has(i) & alone), ("missing_here", ~has(i)))]) for i, name in enumerate(names)]
+    if not each:
+        return events.sparkSession.createDataFrame([], "pubkey string, relay string, delivered bigint, only_here bigint, missing_here bigint")
+    return sets.groupBy("pubkey").agg(F.array(*each).alias("each")).select("pubkey", F.inline("each"))
+
+
 def usable_events(events: DataFrame) -> DataFrame:
     """Per node, how many events the report can use."""
     return events.groupBy("pubkey").agg(F.count_if(F.col("kind").isin(*SUBTYPE)).alias("usable_events"))

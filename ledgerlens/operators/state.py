@@ -68,6 +68,12 @@ def latest_info(events: DataFrame) -> DataFrame:
     return latest(own_info(events), "pubkey")
 
 
+def fact_key() -> Column:
+    """What tells an event's states apart from others of its node and kind: an order's, dispute's
+    or info event's d (without one it stands alone), a dev-fee's id."""
+    return F.when(F.col("kind") == DEV_FEE, F.col("id")).otherwise(F.coalesce("d", F.concat(F.lit("id:"), "id")))
+
+
 def facts(events: DataFrame, as_of: int | Column) -> DataFrame:
     """The latest state of every key of every kind, by one scan and one shuffle.
 
@@ -77,8 +83,7 @@ def facts(events: DataFrame, as_of: int | Column) -> DataFrame:
     ``dispute_states``, ``own_info`` and ``dev_fees`` of this table are what the ``latest_``
     functions give on distinct events, without another window.
     """
-    key = F.when(F.col("kind") == DEV_FEE, F.col("id")).otherwise(F.coalesce("d", F.concat(F.lit("id:"), "id")))
-    return latest(not_future(events, as_of).withColumn("__key", key), "pubkey", "kind", "__key").drop("__key", "relay", "z", "y")
+    return latest(not_future(events, as_of).withColumn("__key", fact_key()), "pubkey", "kind", "__key").drop("__key", "relay", "z", "y")
 
 
 def dev_fees(events: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def _lines(report: dict, relays: Sequence[dict], sections: Sequence[str]) -> lis
     text.  A colour only repeats what the text says."""
     out = [("identity", "Node", to_npub(report["pubkey"]), False), ("identity", "Key", report["pubkey"], False)]
     if "fetch" in sections:
-        out += [("fetch", f"Source {r['relay']}", ("ok" if r["ok"] else "failed") + (f": {r['message']}" if r["message"] else ""), not r["ok"]) for r in relays]
+        out += [("fetch", f"Source {r['relay']}", ("ok" if r["ok"] else "failed") + (f": {r['message']}" if r["message"] else "") + (f"; {r['delivered']:,} events, {r['only_here']:,} only here, {r['missing_here']:,} missing here" if "delivered" in r else ""), not r["ok"]) for r in relays]
         out += [("fetch", k.replace("_", " "), shown(k, v), False) for k, v in (report["fetch"] or {}).items()]
     if "activity" in sections:
         for row in report["activity"]:

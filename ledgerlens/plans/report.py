@@ -11,6 +11,8 @@ from ledgerlens.operators import metrics, state
 from ledgerlens.sources.storage import settle
 
 SCHEMA_VERSION = 1
+#: Labels of a kind that one document lists.
+LABELS = 1000
 
 #: Metric -> (label, meaning, direction), shown beside each value.
 MEANING = {
@@ -67,7 +69,6 @@ def metrics_of(events: DataFrame, as_of: int) -> DataFrame:
     out = out.join(metrics.trade_summary(trades, as_of), "pubkey", "left")
     out = out.join(exact_medians(trades, ["pubkey"], "amt", "median_trade_sats"), "pubkey", "left")
     out = out.join(metrics.premium_medians(trades, "premium_middle"), "pubkey", "left")
-    out = out.join(metrics.activity_days(trades, as_of), "pubkey", "left")
     out = out.join(disputes, "pubkey", "left")
     out = out.join(metrics.bond_policy(state.own_info(events)), "pubkey", "left")
     out = metrics.with_variation(out)
@@ -128,7 +129,8 @@ SECTIONS = {
 def nested(report: DataFrame, fetch: DataFrame, fiat: DataFrame, methods: DataFrame, grid: DataFrame) -> DataFrame:
     """The report as one nested row a node: fetch, activity, stats, recommendations.
 
-    The lists (labels, buckets) are bounded by a node's labels and by the grid's range.
+    A document lists ``LABELS`` labels of a kind at most, those of most mentions; whole lists are
+    the tables ``fiat`` and ``methods`` themselves.  Buckets are bounded by the grid's range.
     """
     def listed(rows: DataFrame, name: str, *cols: str) -> DataFrame:
         return rows.groupBy("pubkey").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
@@ -136,6 +138,9 @@ def nested(report: DataFrame, fetch: DataFrame, fiat: DataFrame, methods: DataFr
     fetched = fetch.select("pubkey", F.struct(*[c for c in fetch.columns if c != "pubkey"]).alias("fetch"))
     stats = F.struct(*[F.struct(*cols).alias(name) for name, cols in SECTIONS.items()], F.struct("bond_enabled").alias("bond_policy"), F.coalesce("fiat", F.array()).alias("fiat"), F.coalesce("payment_methods", F.array()).alias("payment_methods"))
     out = report.join(fetched, "pubkey", "left")
+    if "rank" not in fiat.columns:
+        fiat = metrics.ranked(fiat, "pubkey", F.col("mentions").desc(), F.col("f"))
+    fiat, methods = fiat.filter(F.col("rank") <= LABELS), methods.filter(F.col("rank") <= LABELS)
     out = out.join(listed(fiat, "fiat", "f", "mentions", "share"), "pubkey", "left")
     out = out.join(listed(methods, "payment_methods", "rank", "method", "mentions", "share"), "pubkey", "left")
     out = out.join(listed(grid, "activity", "bucket", "trades", "volume_sats", "median_trade_sats"), "pubkey", "left")

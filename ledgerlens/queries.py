@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars
+from ledgerlens.functions.median import histogram, medians_of
 from ledgerlens.functions.tags import parse_amount, parse_bond, parse_premium
-from ledgerlens.operators import grid, metrics, state
+from ledgerlens.operators import grid, history, metrics, state
 from ledgerlens.plans import report
 from ledgerlens.sources import adapters as A
 from ledgerlens.sources.events import typed
-from ledgerlens.sources.storage import settle
+from ledgerlens.sources.storage import settle, shared_dir
+from ledgerlens.streaming import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,6 +356,71 @@ for _name, _view, _since, _until in (("daily", "daily", "2000-01-01", "2000-03-3
     query(f"activity_grid_{_name}", _sql)(_run)
 
 
+# ---------------------------------------------------------------- kept and summed up
+
+
+@query("kept_latest_states", f"WITH {EVENTS_PLAIN} SELECT pubkey, d, id, created_at, s FROM state_events WHERE created_at <= {AS_OF_EVENTS} QUALIFY row_number() OVER (PARTITION BY pubkey, d ORDER BY created_at DESC, id DESC) = 1")
+def kept_latest_states(spark, sf_dir):
+    """All events, merged in three batches of any order into the kept table, and read from it; the
+    first two merges happen ten days before the last."""
+    events = state.in_scope(typed(A.state_events(spark, sf_dir)), A.MARKER)
+    path = shared_dir(spark, "kept-states")
+    for n, as_of in enumerate((AS_OF_EVENTS - 864_000, AS_OF_EVENTS - 864_000, AS_OF_EVENTS)):
+        kept.merge(path, events.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == n), as_of, buckets=8)
+    return state.order_states(kept.kept(spark, path)).select("pubkey", "d", "id", "created_at", "s")
+
+
+def history_sql(schedule: history.Schedule) -> str:
+    return f"instants AS (SELECT CAST({schedule.first} + {schedule.step} * unnest(range({schedule.count})) AS BIGINT) AS as_of)"
+
+
+ROLLED_SQL = ", ".join(f"count(*) FILTER (s = 'success' AND created_at >= as_of - {n * 86400}) AS trades_last_{n}d" for n in (7, 30, 90))
+ORDER_COUNTS_SQL = f"count(*) FILTER (s = 'success') AS total_successful_trades, CAST(coalesce(sum(amt) FILTER (s = 'success'), 0) AS BIGINT) AS total_volume_sats, {ROLLED_SQL}"
+SIX_HOURS = history.Schedule(AS_OF_EVENTS - 99 * 21_600, 21_600, 100)
+DAYS_100 = history.Schedule(AS_OF - 24 * 100 * 86_400, 100 * 86_400, 25)
+
+
+@query("state_history", f"WITH {EVENTS_PLAIN}, {history_sql(SIX_HOURS)}, latest AS (SELECT as_of, e.* FROM instants JOIN state_events e ON created_at <= as_of QUALIFY row_number() OVER (PARTITION BY as_of, pubkey, d ORDER BY created_at DESC, id DESC) = 1) SELECT pubkey, as_of, {ORDER_COUNTS_SQL} FROM latest GROUP BY pubkey, as_of")
+def state_history(spark, sf_dir):
+    """Trades, volume and rolling counts at a hundred instants, of orders that change their state."""
+    events = state.in_scope(typed(A.state_events(spark, sf_dir)), A.MARKER)
+    return longs(history.history(events, SIX_HOURS).select("pubkey", "as_of", *history.MEASURES[:5]), "total_volume_sats")
+
+
+@query("report_history", f"""WITH {ORDERS_SQL}, {DISPUTES_SQL}, {FEES_SQL}, {INFO_SQL}, {history_sql(DAYS_100)},
+  born AS (SELECT pubkey, min(created_at) AS since FROM (SELECT pubkey, created_at FROM raw_orders UNION ALL SELECT pubkey, created_at FROM raw_disputes UNION ALL SELECT pubkey, created_at FROM raw_fees UNION ALL SELECT pubkey, created_at FROM raw_info) GROUP BY pubkey),
+  o AS (SELECT pubkey, as_of, {ORDER_COUNTS_SQL} FROM instants JOIN raw_orders ON created_at <= as_of GROUP BY pubkey, as_of),
+  ld AS (SELECT as_of, e.* FROM instants JOIN raw_disputes e ON created_at <= as_of QUALIFY row_number() OVER (PARTITION BY as_of, pubkey, d ORDER BY created_at DESC, id DESC, s) = 1),
+  x AS (SELECT pubkey, as_of, count(*) AS n, count(*) FILTER (s IN ('settled', 'seller-refunded', 'released')) AS r, count(*) FILTER (s IN ('initiated', 'in-progress')) AS a FROM ld GROUP BY pubkey, as_of)
+  SELECT pubkey, as_of, {", ".join(f"coalesce({m}, 0) AS {m}" for m in history.MEASURES[:5])}, coalesce(n, 0) AS total_disputes, coalesce(r, 0) AS resolved_disputes, coalesce(a, 0) AS active_disputes, coalesce(n - r - a, 0) AS unknown_disputes,
+    round(100.0 * coalesce(n, 0) / nullif(total_successful_trades, 0), 6) AS disputes_per_100_trades FROM instants JOIN born ON since <= as_of LEFT JOIN o USING (pubkey, as_of) LEFT JOIN x USING (pubkey, as_of)""")
+def report_history(spark, sf_dir):
+    """The report's figures that add up, every hundred days."""
+    events = state.in_scope(typed(A.all_events(spark, sf_dir)), A.MARKER)
+    return rounded(longs(history.history(events, DAYS_100), "total_volume_sats"), "disputes_per_100_trades")
+
+
+@query("median_of_days", f"WITH {ORDERS_SQL} SELECT pubkey, {MEDIAN} AS median_trade_sats FROM trades WHERE dayno >= {TODAY - 720} AND dayno < {TODAY - 20} AND amt IS NOT NULL GROUP BY pubkey")
+def median_of_days(spark, sf_dir):
+    """Medians over 700 days, from histograms that are stored by day."""
+    t = kept_trades(spark, sf_dir, "created_at", "amt").withColumn("day", F.floor(F.col("created_at") / 86_400))
+    bins = settle(histogram(t, ["pubkey", "day"], "amt"), "bins-by-day")
+    inside = F.col("day").between(TODAY - 720, TODAY - 21)
+    return longs(medians_of(bins.filter(inside), t.filter(inside), ["pubkey"], "amt", "median_trade_sats"), "median_trade_sats")
+
+
+SOURCES_SQL = "seen AS (SELECT pubkey, id, 'alpha' AS relay FROM state_events WHERE CAST(id AS BIGINT) % 3 <> 0 UNION SELECT pubkey, id, 'beta' FROM state_events WHERE CAST(id AS BIGINT) % 5 <> 1 UNION SELECT pubkey, id, 'gamma' FROM state_events WHERE s = 'success')"
+
+
+@query("source_coverage", f"WITH {EVENTS_PLAIN}, {SOURCES_SQL}, m AS (SELECT pubkey, id, count(*) AS n FROM seen GROUP BY pubkey, id), r AS (SELECT DISTINCT relay FROM seen) SELECT pubkey, relay, count(relay_) AS delivered, count(relay_) FILTER (n = 1) AS only_here, count(*) FILTER (relay_ IS NULL) AS missing_here FROM m CROSS JOIN r LEFT JOIN (SELECT pubkey, id, relay, relay AS relay_ FROM seen) USING (pubkey, id, relay) GROUP BY pubkey, relay")
+def source_coverage(spark, sf_dir):
+    """Three sources that deliver different parts of the events, with repetitions."""
+    events, number = typed(A.state_events(spark, sf_dir)), F.col("id").cast("bigint")
+    parts = {"alpha": number % 3 != 0, "beta": number % 5 != 1, "gamma": F.col("s") == "success"}
+    sent = [events.filter(test).withColumn("relay", F.lit(name)) for name, test in parts.items()]
+    return metrics.source_coverage(sent[0].union(sent[1]).union(sent[2]).union(sent[2]))
+
+
 # ---------------------------------------------------------------- scalars
 
 AGE = "(1700000000 - (p_partkey * 7919) % 80000000 + CASE WHEN p_partkey % 11 = 0 THEN 90000000 ELSE 0 END)"

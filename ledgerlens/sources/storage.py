@@ -50,10 +50,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def forget(spark: SparkSession, df: DataFrame | None) -> None:
     """Delete the files of a table that ``settle`` gave and no later step reads."""
     at = getattr(df, "_settled_at", None)
-    if at is None:
-        return
+    if at is not None:
+        remove(spark, at)
+
+
+def _located(spark: SparkSession, at: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    fs, path = _located(spark, at)
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    fs, path = _located(spark, at)
+    fs.delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

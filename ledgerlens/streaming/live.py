@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators import state
-from ledgerlens.schema import EVENT, ORDER
+from ledgerlens.schema import EVENT, ORDER, SUBTYPE
 from ledgerlens.sources.events import typed
+from ledgerlens.sources.relay import stream_live
 
 
 def event_stream(spark: SparkSession, path: str, form: str = "json", marker: str = "", delay: str | None = None) -> DataFrame:
@@ -27,6 +28,12 @@ def event_stream(spark: SparkSession, path: str, form: str = "json", marker: str
     return events.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["id"]).drop("at")
 
 
+def relay_events(spark: SparkSession, relays: list[str], authors: list[str] | None = None, marker: str = "") -> DataFrame:
+    """Typed events in scope of live relays, as they come; ids and signatures are proven."""
+    live = stream_live(spark, relays, authors, list(SUBTYPE), z=",".join(SUBTYPE.values()), y=marker)
+    return state.in_scope(typed(live), marker)
+
+
 NEWEST = ("id", "created_at", "s", "amt", "f", "pm", "premium")
 
 

@@ -39,6 +39,21 @@ def test_json_report(run):
     assert doc["stats"]["premium"] == {"premium_baseline": None, "premium_dispersion": None}
 
 
+def test_what_each_source_brought(run, tmp_path):
+    lines = open(run.path).read().splitlines()
+    second = tmp_path / "second.json"
+    second.write_text("\n".join([*lines[:2], json.dumps({**json.loads(lines[0]), "id": "only-here"})]))
+    code, out, _ = run("--format", "json", relays=f"{run.path},{second},/no/such")
+    told = [{k: r.get(k) for k in ("ok", "delivered", "only_here", "missing_here")} for r in json.loads(out)["relays"]]
+    assert code == 0 and told == [{"ok": True, "delivered": 4, "only_here": 2, "missing_here": 1}, {"ok": True, "delivered": 3, "only_here": 1, "missing_here": 2}, {"ok": False, "delivered": None, "only_here": None, "missing_here": None}]
+    assert "3 events, 1 only here, 2 missing here" in run("--format", "plain", relays=f"{run.path},{second}")[1]
+
+
+def test_verified_dumps(run):
+    code, _, err = run("--verify")
+    assert code == P.NO_EVENTS and "4 events without a valid id" in err
+
+
 def test_plain_and_console(run):
     code, out, _ = run("--format", "plain", "--view", "monthly")
     assert code == 0 and "Total volume (sats): 4,000,000" in out and "[!]" in out and "\x1b" not in out and "2023-10-01: trades 2" in out

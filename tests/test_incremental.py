@@ -1,0 +1,261 @@
+"""Kept tables, figures at many instants, histograms that add up, sources, and nodes of any size."""
+
+from __future__ import annotations
+
+import json
+import random
+from collections import Counter, defaultdict
+from itertools import groupby
+from pathlib import Path
+from statistics import median_high, median_low
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.functions.median import exact_medians, histogram, medians_of
+from ledgerlens.operators import grid, history, metrics, state
+from ledgerlens.plans import report
+from ledgerlens.schema import DAY, EVENT
+from ledgerlens.sources.events import typed
+from ledgerlens.streaming import kept
+from ledgerlens.streaming.live import follow
+from tests.test_goldens import AS_OF, M, event, order
+
+NODES = ("aa" * 32, "bb" * 32, "cc" * 32)
+
+
+def some_events(rnd, n, span=200 * DAY):
+    out = []
+    for i in range(n):
+        at, node, id_ = AS_OF - rnd.randrange(-20 * DAY, span), rnd.choice(NODES), f"{i:05d}"
+        if rnd.random() < 0.2:
+            at -= at % DAY  # ties
+        kind = rnd.choice((38383,) * 6 + (38386, 38386, 8383, 38385))
+        if kind == 38383:
+            out.append(order(id_, at, rnd.choice(("success", "success", "pending", None)), d=f"o{rnd.randrange(60)}", amt=rnd.choice((str(rnd.randrange(10**6)), "x")), pubkey=node))
+        elif kind == 38386:
+            out.append(event(id_, kind, at, ("d", f"x{rnd.randrange(12)}"), ("s", rnd.choice(("settled", "initiated", "other"))), pubkey=node))
+        else:
+            out.append(event(id_, kind, at, ("d", node), ("bond_enabled", "true"), pubkey=node))
+    return out
+
+
+def frame(spark, rows):
+    return state.in_scope(typed(spark.createDataFrame(rows, EVENT)), M)
+
+
+def as_rows(df):
+    columns = [c for c in kept.STATE.names if c not in ("key", "bucket")]
+    return sorted(map(repr, df.select(*columns).collect()))
+
+
+# ---------------------------------------------------------------- the kept table
+
+
+def test_the_kept_table_equals_the_latest_of_everything(spark, tmp_path):
+    rnd, path = random.Random(1), str(tmp_path / "table")
+    rows = some_events(rnd, 300)
+    rnd.shuffle(rows)
+    seen = []
+    for n, at in enumerate((AS_OF - 100 * DAY, AS_OF - 100 * DAY, AS_OF - DAY, AS_OF, AS_OF + 30 * DAY)):
+        batch = rows[n * 60 : n * 60 + 60] + rnd.sample(seen, min(len(seen), 20))  # late, repeated, in any order
+        seen += batch
+        kept.merge(path, frame(spark, batch), at, buckets=5)
+        assert as_rows(kept.kept(spark, path)) == as_rows(state.facts(frame(spark, seen), at)), n
+    assert as_rows(state.order_states(kept.kept(spark, path))) == as_rows(state.latest_orders(frame(spark, rows)))
+    plan = kept.kept(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+    def figures(facts):
+        rows = report.metrics_of(facts, AS_OF + 30 * DAY).collect()
+        return sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
+
+    assert figures(kept.kept(spark, path)) == figures(state.facts(frame(spark, rows), AS_OF + 30 * DAY))
+
+
+def files(path):
+    return {p.relative_to(path) for p in Path(path, "states").rglob("*.parquet")}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "table")
+    kept.merge(path, frame(spark, some_events(random.Random(2), 200)), AS_OF, buckets=7)
+    before = files(path)
+    touched = kept.merge(path, frame(spark, [order("zz", AS_OF, d="o7")]), AS_OF, buckets=99)
+    after = files(path)
+    same = {p for p in before if int(p.parts[1].removeprefix("bucket=")) not in touched}
+    assert 1 <= len([t for t in touched if t >= 0]) < 7 and same <= after and {p for p in after - before if int(p.parts[1].removeprefix("bucket=")) not in touched} == set()
+    assert kept.merge(path, frame(spark, [order("zz")]).limit(0), AS_OF) in ([], [kept.WAITING])
+    assert kept.kept(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_merge_that_was_cut_off_is_finished(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "table"), some_events(random.Random(3), 120)
+    kept.merge(path, frame(spark, rows[:60]), AS_OF, buckets=3)
+    before = as_rows(kept.kept(spark, path))
+
+    def fail(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(kept, "_replace", fail)
+        with pytest.raises(RuntimeError):
+            kept.merge(path, frame(spark, rows[60:]), AS_OF)
+    want = as_rows(state.facts(frame(spark, rows), AS_OF))
+    assert as_rows(kept._table(spark, path).filter("bucket >= 0")) == before != want
+    assert as_rows(kept.kept(spark, path)) == want
+    kept.merge(path, frame(spark, rows[60:]), AS_OF)  # the batch comes again
+    assert as_rows(kept.kept(spark, path)) == want and not Path(path, "pending").exists()
+
+
+def test_a_stream_fills_the_kept_table(spark, tmp_path):
+    rows, source, path = some_events(random.Random(4), 90), tmp_path / "in", str(tmp_path / "table")
+    source.mkdir()
+    for n in range(2):
+        (source / f"{n}.json").write_text("".join(json.dumps(dict(zip(EVENT.names, r))) + "\n" for r in rows[n * 40 : n * 40 + 50]))
+        events = state.in_scope(typed(spark.readStream.schema(EVENT).json(str(source))), M)
+        follow(events, kept.into_kept(path, lambda: AS_OF, 4), str(tmp_path / "check")).awaitTermination(90)
+    assert as_rows(kept.kept(spark, path)) == as_rows(state.facts(frame(spark, rows), AS_OF))
+
+
+# ---------------------------------------------------------------- thirty days as one number
+
+
+def by_lists(mask):
+    days = [mask >> i & 1 for i in range(30)]
+    return sum(days), max((len([*g]) for bit, g in groupby(days) if not bit), default=0)
+
+
+def test_thirty_days_as_one_number(spark):
+    rnd = random.Random(5)
+    masks = [*range(1 << 16), *[m << 14 for m in range(1 << 16)], *[rnd.randrange(1 << 30) for _ in range(20_000)], (1 << 30) - 1, *[((1 << 30) - 1) ^ (1 << i) for i in range(30)]]
+    df = spark.createDataFrame([(m,) for m in masks], "mask bigint")
+    got = df.select("mask", *[c.alias(n) for n, c in metrics.activity_of(F.col("mask")).items()]).collect()
+    assert len(got) == len(masks) and all((r[1], r[2]) == by_lists(r[0]) for r in got)
+
+
+def test_activity_is_one_partial_aggregate(spark):
+    rnd = random.Random(6)
+    rows = [order(f"{n}{i}", AS_OF - rnd.randrange(40 * DAY), pubkey=node) for n, node in enumerate(NODES) for i in range(5 + 20 * n)]
+    t = state.successes(frame(spark, rows))
+    got = {r.pubkey: (r[1], r[2]) for r in metrics.activity_days(t, AS_OF).collect()}
+    today, want = AS_OF // DAY, defaultdict(int)
+    for r in rows:
+        if 0 <= (k := r[3] // DAY - today + 29) < 30:
+            want[r[1]] |= 1 << k
+    want[NODES[0]] |= 0
+    assert got == {k: by_lists(m) for k, m in want.items() if m}
+    plan = metrics.activity_days(t, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+# ---------------------------------------------------------------- many instants
+
+
+def at_instant(rows, t):
+    """{node: measures} by looking at everything again."""
+    rows, out = [r for r in rows if r[3] <= t], {}
+    for node in {r[1] for r in rows}:
+        latest, shown = {}, [r for r in rows if r[1] == node]
+        for r in sorted(shown, key=lambda r: (r[3], r[0])):
+            d = next((x[1] for x in r[4] if x[0] == "d"), None)
+            latest[r[2], d] = r
+        value = lambda r, name: next((x[1] for x in r[4] if x[0] == name), None)
+        won = [r for (k, _), r in latest.items() if k == 38383 and value(r, "s") == "success"]
+        amounts = [int(a) for r in won if (a := value(r, "amt")) and a.isdigit()]
+        disputes = Counter(value(r, "s") for (k, _), r in latest.items() if k == 38386)
+        rolled = [sum(t - n * DAY <= r[3] for r in won) for n in (7, 30, 90)]
+        out[node] = (len(won), sum(amounts), *rolled, disputes.total(), disputes["settled"], disputes["initiated"], disputes["other"], 100 * disputes.total() / len(won) if won else None)
+    return out
+
+
+@pytest.mark.parametrize("step", [DAY, 3 * DAY + 7])
+def test_a_hundred_instants_by_brute_force(spark, step):
+    rows = some_events(random.Random(step), 500, span=90 * DAY)
+    schedule = history.Schedule(AS_OF - 99 * step, step, 100)
+    df = history.history(frame(spark, rows), schedule)
+    got = defaultdict(dict)
+    for r in df.collect():
+        got[r.as_of][r.pubkey] = (*map(int, r[2:11]), r.disputes_per_100_trades)
+    for k in range(100):
+        t = schedule.first + k * step
+        want = at_instant(rows, t)
+        assert got[t].keys() == want.keys() and all(got[t][n][:-1] == w[:-1] and (w[-1] is None) == (got[t][n][-1] is None) and (w[-1] is None or abs(w[-1] - got[t][n][-1]) < 1e-9) for n, w in want.items()), k
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    # the per-instant report says the same
+    for t in (schedule.first + 40 * step, AS_OF):
+        flat = {r.pubkey: r for r in report.node_metrics(frame(spark, rows), t).collect()}
+        assert all((flat[n].total_successful_trades, int(flat[n].total_volume_sats), flat[n].trades_last_7d, flat[n].trades_last_30d, flat[n].trades_last_90d, flat[n].total_disputes) == w[:6] for n, w in got[t].items()) and flat.keys() == got[t].keys()
+
+
+# ---------------------------------------------------------------- histograms
+
+
+def test_medians_of_any_range_of_days(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice("ab"), rnd.randrange(40), rnd.choice((rnd.randrange(10), rnd.randrange(10**9), -rnd.randrange(10**4), None))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, day int, v bigint")
+    old, new = df.filter("day < 30"), df.filter("day >= 30")
+    bins = histogram(old, ["k", "day"], "v").unionByName(histogram(new, ["k", "day"], "v"))  # days are appended
+    for a, b in ((0, 39), (5, 5), (17, 33), (50, 60)):
+        inside = F.col("day").between(a, b)
+        got = {r.k: r.m for r in medians_of(bins.filter(inside), df.filter(inside), ["k"], "v", "m").collect()}
+        values = {k: [v for x, d, v in rows if x == k and a <= d <= b and v is not None] for k in "ab"}
+        assert got == {k: (median_low(v) + median_high(v)) // 2 for k, v in values.items() if v}
+        assert got == {r.k: r.m for r in exact_medians(df.filter(inside), ["k"], "v", "m").collect()}
+
+
+# ---------------------------------------------------------------- sources
+
+
+def test_which_source_brought_what(spark):
+    rnd = random.Random(8)
+    names = [f"wss://relay{n:03d}" for n in range(130)]  # more than one word, and than two
+    sent = {(rnd.choice(NODES), f"{i:04d}", rnd.choice(names)) for i in range(400) for _ in range(rnd.choice((1, 1, 2, 90)))}
+    ids = defaultdict(lambda: defaultdict(set))
+    owner = {i: n for n, i, _ in sorted(sent)}
+    for _, i, relay in sent:
+        ids[owner[i]][i].add(relay)
+    rows = [(owner[i], i, relay) for _, i, relay in sent] * 2
+    got = {(r.pubkey, r.relay): tuple(r[2:]) for r in metrics.source_coverage(spark.createDataFrame(rows, "pubkey string, id string, relay string")).collect()}
+    used = {r for _, _, r in sent}
+    want = {(n, r): (sum(r in s for s in x.values()), sum(s == {r} for s in x.values()), sum(r not in s for s in x.values())) for n, x in ids.items() for r in used}
+    assert got == want
+    assert metrics.source_coverage(spark.createDataFrame([], "pubkey string, id string, relay string")).count() == 0
+
+
+# ---------------------------------------------------------------- nodes with any number of labels
+
+
+def test_ranks_equal_row_numbers_in_groups_of_any_size(spark):
+    rnd = random.Random(9)
+    rows = [(node, f"m{rnd.randrange(500)}") for node in ("big",) * 3000 + ("small",) * 9 + ("mid",) * 200 for _ in range(1)]
+    t = spark.createDataFrame(rows, "pubkey string, method string").groupBy("pubkey").agg(F.collect_list("method").alias("pm"))
+    got = {(r.pubkey, r["rank"]): (r.method, r.mentions, r.share) for r in metrics.payment_shares(t).collect()}
+    want = {}
+    for node in ("big", "mid", "small"):
+        counts = Counter(m for n, m in rows if n == node)
+        for n, (m, k) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])), 1):
+            want[node, n] = (m, k, k / counts.total())
+    assert got == want
+
+
+def test_a_node_with_a_million_labels(spark):
+    """Its labels lie in several partitions, and its document lists the first of them."""
+    n = 1_000_000
+    labels = spark.range(n, numPartitions=8).select(F.lit("node").alias("pubkey"), F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("method"))
+    labels = labels.union(labels.filter(F.col("method").endswith("9")))
+    out = metrics.ranked(metrics.shares(labels, "method"), "pubkey", F.col("mentions").desc(), F.col("method")).cache()
+    assert out.selectExpr("count(*)", "count(distinct rank)", "min(rank)", "max(rank)").first() == (n, n, 1, n)
+    first = {r["rank"]: (r.method, r.mentions) for r in out.filter("rank in (1, 100000, 100001, 1000000)").collect()}
+    assert first == {1: ("l0000009", 2), 100_000: ("l0999999", 2), 100_001: ("l0000000", 1), n: ("l0999998", 1)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    rows = [order("a", amt="5", tags=[("f", "EUR"), ("pm", "x")], pubkey="node")]
+    facts = state.facts(frame(spark, rows), AS_OF)
+    t = state.successes(state.order_states(facts))
+    buckets = grid.activity_grid(state.dev_fees(facts), t, AS_OF, "yearly")
+    row = report.as_json(report.nested(report.metrics_of(facts, AS_OF), metrics.fetch_summary(frame(spark, rows)), metrics.fiat_shares(t), out, buckets)).first()
+    listed = json.loads(row["json"])["stats"]["payment_methods"]
+    assert [x["rank"] for x in listed] == [*range(1, report.LABELS + 1)] and listed[0]["method"] == "l0000009"
+    out.unpersist()
