@@ -9,8 +9,9 @@ bytes or so each, so Spark's own commit protocol writes them to the shared folde
 task is simply run again; files on any store that Spark reads come in through
 ``spark.read.format("binaryFile")``, whose files of 2 GB at most bound an archive.
 
-Cases: a null html or url is an empty one; payloads of any length up to ``LIMIT`` are kept
-whole, longer records are errors; a null page_id is never a revisit's target unless all pages
+Cases: a null html or url is an empty one; payloads, urls and headers of any length are kept
+whole (``LIMIT`` is what a cell of bytes can hold, so no longer record is written, and written
+archives tell their longest header; headers of other archives end within ``HEADER``); a null page_id is never a revisit's target unless all pages
 of that payload lack one; rows that repeat the least page_id of a payload are all responses;
 an empty table gives an empty result; a null or empty archive has no records; a damaged member
 gives one row with an error; other columns, whatever their names, are never read.
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import arrow_rows, likely, settle
 
 ARCHIVE, CHUNK, LEVEL = 8 << 20, 1 << 16, 6
-#: Bytes of the longest header, of the longest record, and of payloads in one Arrow batch.
-HEADER, LIMIT, BATCH = 1 << 20, 1 << 30, 4 << 20
+#: Bytes of the longest header that is looked for in archives that do not tell theirs, of the
+#: longest record, and of payloads in one Arrow batch.
+HEADER, LIMIT, BATCH = 1 << 20, (1 << 31) - 1, 4 << 20
 MAGIC = b"\x1f\x8b\x08"
 #: Repeated payloads up to this many (some 60 bytes each) are sent to every task; more are joined by shuffle.
 SMALL_REPEATS = 50_000
@@ -61,9 +63,9 @@ class Reader:
     """(offset, compressed length, headers, block) of each record of a stream of chunks, or
     (offset, bytes skipped, None, message) for what is damaged."""
 
-    def __init__(self, chunks: Iterable[bytes], limit: int = LIMIT) -> None:
+    def __init__(self, chunks: Iterable[bytes], limit: int = LIMIT, header: int = HEADER) -> None:
         # raw begins where a member does, at offset ``at`` of the stream
-        self.chunks, self.raw, self.at, self.limit = iter(chunks), bytearray(), 0, limit
+        self.chunks, self.raw, self.at, self.limit, self.header = iter(chunks), bytearray(), 0, limit, header
 
     def _fill(self, n: int) -> bool:
         """Have ``n`` bytes from the member's start on, if the stream goes so far."""
@@ -101,7 +103,7 @@ class Reader:
         seen = 0
         while (end := plain.find(BREAK, max(seen - 3, 0))) < 0:
             seen = len(plain)
-            if seen >= HEADER or not inflate(seen + 512) and len(plain) == seen:
+            if seen >= self.header or not inflate(min(2 * seen + 512, max(self.header, HEADER))) and len(plain) == seen:
                 raise ValueError("record has no header end")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in plain[:end].decode("utf-8", "replace").split("\r\n")[1:])}
         if not (size := headers.get("content-length", "")).isdigit():
@@ -186,7 +188,7 @@ NAMED = ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "content
 
 def read_archives(archives: DataFrame, content: str = "content", payloads: bool = True, limit: int = LIMIT) -> DataFrame:
     """A row (``RECORDS``) for each record of archives in a binary column, and one with an
-    error for each damaged part.  Without ``payloads`` their bytes are verified, but not kept.
+    error for each damaged part.  A column ``header`` tells an archive's longest header, if any.  Without ``payloads`` their bytes are verified, but not kept.
     The digest is the SHA-1 in base32, for a revisit the one that its header tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +200,9 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
 
         rows, held = [], 0
         for batch in batches:
-            for x in batch.column(0):
+            for x, header in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 data = memoryview(x.as_buffer()) if x.is_valid else b""
-                for at, size, headers, block in Reader((bytes(data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)), limit):
+                for at, size, headers, block in Reader((bytes(data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)), limit, max(header or 0, HEADER)):
                     if headers is None:
                         rows.append((at, size, *[None] * 10, block))
                     else:
@@ -213,29 +215,34 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
         if rows:
             yield table(rows)
 
-    return arrow_rows(archives.select(content), run, RECORDS)
+    header = F.col("header").cast("bigint") if "header" in archives.columns else F.lit(HEADER).cast("bigint")
+    return arrow_rows(archives.select(content, header.alias("header")), run, RECORDS)
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """Archives (name, content) of pages (page_id, url, payload, target, revisit)."""
+    """Archives (name, content, header) of pages (page_id, url, payload, target, revisit);
+    ``header`` bounds the bytes of the longest header in an archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, n, held, size, header = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def archive() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{n:06d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{n:06d}.warc.gz"]), pa.array([b"".join(held)], pa.binary()), pa.array([header], pa.int64())], ["name", "content", "header"])
 
         for batch in batches:
             for row in zip(*batch.columns):
-                held.append(record(*[x.as_py() for x in row]))
+                page_id, url, *rest = [x.as_py() for x in row]
+                held.append(record(page_id, url, *rest))
                 size += len(held[-1])
+                # A quoted byte takes three; all other fields together are below a kilobyte.
+                header = max(header, 3 * len(url.encode()) + 1024)
                 if size >= ARCHIVE:
                     yield archive()
-                    n, held, size = n + 1, [], 0
+                    n, held, size, header = n + 1, [], 0, 0
         if held:
             yield archive()
 
-    return arrow_rows(pages.select("page_id", "url", "payload", "target", "revisit"), run, "name string, content binary")
+    return arrow_rows(pages.select("page_id", "url", "payload", "target", "revisit"), run, "name string, content binary, header bigint")
 
 
 def with_targets(pages: DataFrame, least: int = 0) -> DataFrame:

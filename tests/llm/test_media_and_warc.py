@@ -198,3 +198,19 @@ def test_damaged_archives_tell_so(spark):
     a, b = (W.record(i, "u", b"p", None, False) for i in (1, 2))
     got = W.read_archives(spark.createDataFrame([(a + b[:-9],), (b,), (None,), (b"",)], "content binary")).collect()
     assert sorted(r.record_id for r in got if r.record_id) == ["<urn:page:1>", "<urn:page:2>"] and sum(r.error is not None for r in got) == 1
+
+
+def test_headers_of_any_length(spark):
+    """Urls whose quoted form is far beyond a megabyte come back whole."""
+    url = "http://a/" + "é" * 350_000
+    rows = [(1, url, "<p>one</p>"), (2, "http://b/", "<p>one</p>"), (3, "u" * 3_000_000, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    archives = W.write_archives(W.with_targets(pages))
+    got = {r.record_id: r for r in W.read_archives(archives).collect()}
+    assert all(r.error is None and r.verified for r in got.values()) and len(got) == 3
+    assert len(got["<urn:page:1>"].target_uri) == 9 + 6 * 350_000 and got["<urn:page:3>"].target_uri == "u" * 3_000_000
+    assert {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.roundtrip(pages).collect()} == {(1, "response", None, 10), (2, "revisit", 1, 10), (3, "response", None, 0)}
+    assert all("longer than 1000 bytes" in r.error for r in W.read_archives(archives, limit=1000).filter("error is not null").collect())
+    no_end = zlib.compress(b"WARC/1.1\r\n" + b"x" * 2_000_000, wbits=31)
+    (r,) = W.read_archives(spark.createDataFrame([(no_end,)], "content binary")).collect()
+    assert r.error == "record has no header end" and r.length == len(no_end)
