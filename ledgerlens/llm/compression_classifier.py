@@ -8,9 +8,11 @@ turns it into the probability of label 1.
 
 Learning uses labelled rows only where crc32(doc_id as text) mod 4 is not 2: remainders 0
 and 1 build the dictionaries, remainder 3 fits the curve.  Samples are bounded by numbers of
-labelled rows, whatever their length: ``DICT_ROWS`` texts of each class, of whose pieces
-``DICT_PIECES`` are trained on, and ``FIT_ROWS`` texts for the curve, all taken in the order
-of a hash.  Scores never see labels, lang, source or doc_id.
+labelled rows, whatever their length: ``DICT_ROWS`` texts of each class, of which every piece
+is trained on, and ``FIT_ROWS`` texts for the curve, all taken in the order of a hash.  Where a
+class's pieces are more than ``GROUP_BYTES``, they train in groups of so many, on the
+executors, and the groups' dictionaries are the texts that the next one is trained on.  Scores
+never see labels, lang, source or doc_id.
 
 Cases: null and empty texts are scored as texts of no bytes (difference 0); texts of any
 length are measured whole, and take part in samples like any other; a document with several
@@ -26,6 +28,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import arrow_rows, forget, held, settle, ship
 
 PIECE, LEVEL, DICT_BYTES = 2048, 3, 112_640
-#: Bounds of the samples, in labelled rows and in pieces of them.
-DICT_ROWS, DICT_PIECES, FIT_ROWS = 1_500, 5_000, 5_000
+#: Bounds of the samples, in labelled rows; bytes that one dictionary is trained on.
+DICT_ROWS, FIT_ROWS, GROUP_BYTES = 1_500, 5_000, 16 << 20
 CUT = 0.7
 
 
@@ -49,7 +52,7 @@ def dictionary(found: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(max(size, 512), found).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(found)[:DICT_BYTES]
+        return b"".join(found)
 
 
 def measurer(good: bytes, bad: bytes) -> Callable[[bytes], float]:
@@ -94,16 +97,16 @@ def remainder(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def samples(docs: DataFrame, labels: DataFrame, dict_rows: int = DICT_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(part, doc_id, q, raw): labelled texts whose part is "dict" or "fit", by one scan of the
     texts.  The table of ids is bounded by the samples' sizes, so it is broadcast."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("r", remainder()).filter("r <> 2")
     known = settle(known, "labelled-ids")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    taken = known.filter("r = 3").orderBy(*order).limit(FIT_ROWS).withColumn("part", F.lit("fit"))
+    taken = known.filter("r = 3").orderBy(*order).limit(fit_rows).withColumn("part", F.lit("fit"))
     for q in (1, 0):
-        taken = taken.union(known.filter((F.col("r") < 2) & (F.col("q") == q)).orderBy(*order).limit(DICT_ROWS).withColumn("part", F.lit("dict")))
+        taken = taken.union(known.filter((F.col("r") < 2) & (F.col("q") == q)).orderBy(*order).limit(dict_rows).withColumn("part", F.lit("dict")))
     ids = taken.select(F.col("doc_id").alias("__id"), "q", "part")
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
     out = settle(texts.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("part", "doc_id", "q", "raw"), "labelled-texts")
@@ -111,23 +114,49 @@ def samples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def sampled_pieces(sample: DataFrame, q: int) -> list[bytes]:
-    """Pieces of a class's sampled texts, ``DICT_PIECES`` at most, in the order of a hash: the
-    trainer learns from the first three quarters and tunes itself by the rest, so both must be
-    of one kind."""
+def sampled_pieces(sample: DataFrame, q: int) -> DataFrame:
+    """(h, doc_id, at, piece): all pieces of a class's sampled texts, with the hash whose order
+    they are trained in: the trainer learns from the first three quarters and tunes itself by the
+    rest, so both must be of one kind."""
     cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("raw") / PIECE).cast("int") - 1, F.lit(0))), lambda i: F.substring("raw", i * PIECE + 1, F.lit(PIECE)))
     rows = sample.filter((F.col("part") == "dict") & (F.col("q") == q)).select("doc_id", F.posexplode(cut).alias("at", "piece"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "at")).orderBy("h", "doc_id", "at", "piece").limit(DICT_PIECES)
-    return [bytes(r["piece"]) for r in sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"], r["at"], bytes(r["piece"])))]
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Dictionaries and curve as plain values; None without both classes in both samples."""
-    sample = samples(docs, labels)
-    good, bad = (sampled_pieces(sample, q) for q in (1, 0))
+    return rows.withColumn("h", F.xxhash64("doc_id", "at")).select("h", "doc_id", "at", "piece")
+
+
+def trained(found: DataFrame) -> bytes | None:
+    """The dictionary of all pieces (``sampled_pieces``), whatever their number; None without any
+    byte of text."""
+    ship(found.sparkSession)
+
+    def group(rows):
+        rows = rows.sort_values(["h", "doc_id", "at"])
+        made = dictionary([bytes(x) for x in rows["piece"]])
+        return pd.DataFrame([(int(rows["h"].iloc[0]), int(rows["n"].iloc[0]), at, piece) for at, piece in enumerate(pieces(made))], columns=["h", "doc_id", "at", "piece"])
+
+    passing = None
+    while True:
+        size = found.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+        if size <= GROUP_BYTES:
+            rows = found.collect()
+            break
+        # By a hash, so groups are of like size; each is GROUP_BYTES or a little more.
+        n = -(-size // GROUP_BYTES)
+        dealt = found.withColumn("n", F.pmod(F.xxhash64("h", "at"), F.lit(n)))
+        made = settle(dealt.repartition(n, "n").groupBy("n").applyInPandas(group, "h bigint, doc_id bigint, at bigint, piece binary"), "dictionaries")
+        forget(found.sparkSession, passing)
+        found = passing = made
+    forget(found.sparkSession, passing)
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["at"], bytes(r["piece"])))
+    return dictionary([bytes(r["piece"]) for r in rows]) if size else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, dict_rows: int = DICT_ROWS, fit_rows: int = FIT_ROWS) -> dict | None:
+    """Dictionaries and curve as plain values; None without both classes in both samples.
+    ``dict_rows`` and ``fit_rows`` bound the samples' labelled rows."""
+    sample = samples(docs, labels, dict_rows, fit_rows)
+    good, bad = (trained(sampled_pieces(sample, q)) for q in (1, 0))
     model = None
-    if any(good) and any(bad):
-        good, bad = dictionary(good), dictionary(bad)
+    if good and bad:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             measure = kept_measurer(good, bad)

@@ -143,6 +143,35 @@ def test_samples_leave_no_text_out_for_its_length(spark):
     assert model and all(p.predicted == p.doc_id % 2 for p in C.classify(docs, known).collect())
 
 
+def test_every_piece_of_long_texts_is_trained_on(spark, monkeypatch):
+    """Megabyte texts: all pieces reach a dictionary, in groups of bounded size, and what only
+    the last piece of the longest text says is known afterwards."""
+    seen, made = [], C.dictionary
+    rnd = random.Random(1)
+    text = lambda n, words: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [(i, text(150_000 if i < 6 else 60, ["good", "words", "stand", "here", "always"] if i % 2 else ["b#d", "w*rds", "st$nd", "th%re"])) for i in range(300)]
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), labels(spark, [(i, i % 2, 0) for i in range(300)])
+    sample = C.samples(docs, known)
+    sizes = {r.doc_id: r.n for r in sample.filter("part = 'dict'").selectExpr("doc_id", "octet_length(raw) as n").collect()}
+    assert max(sizes.values()) > 700_000
+    for q in (0, 1):
+        found = C.sampled_pieces(sample, q)
+        assert found.agg(F.sum(F.octet_length("piece"))).first()[0] == sum(n for i, n in sizes.items() if i % 2 == q)
+        assert found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id < 6").agg(F.min("n")).first()[0] in (None, *range(300, 600))
+    whole = C.trained(C.sampled_pieces(sample, 1))
+    monkeypatch.setattr(C, "GROUP_BYTES", 200_000)
+    monkeypatch.setattr(C, "dictionary", lambda f: seen.append(sum(map(len, f))) or made(f))
+    grouped = C.trained(C.sampled_pieces(sample, 1))
+    assert whole and grouped and seen[-1] <= 200_000
+    monkeypatch.undo()
+    model = C.fit(docs, known)
+    assert all(p.predicted == p.doc_id % 2 for p in C.classify(docs, known).collect()) and model
+    monkeypatch.setattr(C, "GROUP_BYTES", 200_000)
+    assert all(p.predicted == p.doc_id % 2 for p in C.classify(docs, known).collect())
+    assert C.samples(docs, known, 10, 7).groupBy("part", "q").count().orderBy("part", "q").collect()[0]["count"] == 10
+    assert C.dictionary([b"x"] * 3) == b"xxx" and C.dictionary([b"ab" * 1000] * 200) and C.trained(C.sampled_pieces(sample.limit(0), 1)) is None
+
+
 def test_classifier_is_accurate_on_held_out_rows(real):
     docs, known = real
     out = C.classify(docs, known)
