@@ -7,10 +7,13 @@ out of SQL's reach.  Tests hold those against brute force, the libraries or roun
 from __future__ import annotations
 
 from ledgerlens.llm.line_dedup import MIN_TOKENS
-from ledgerlens.llm.quality_rules import DELTA, RISK, RULES, STEPS
+from ledgerlens.llm.quality_rules import DELTA, FACTORS, MARGIN, RISK, RULES, STEPS
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+#: The CRC-32 of the text ``k``, bit by bit.
+CRC32 = "xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"
+
 RULES_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
@@ -22,17 +25,19 @@ c AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN repeats USING (r)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-held AS (SELECT f.*, good FROM f JOIN known USING (doc_id) WHERE NOT base_failed),
-strata AS (SELECT lang, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad FROM held GROUP BY lang HAVING count(*) FILTER (good) > 0),
+held AS (SELECT f.*, good, {CRC32.replace("k,", "CAST(doc_id AS VARCHAR),")} % 2 AS half, {", ".join(f"CASE WHEN {b} = 0 THEN 0 ELSE ({a} * 1000 + {b} - 1) // {b} END AS r_{r}" for r, (a, b) in RULES.items())} FROM f JOIN known USING (doc_id) WHERE NOT base_failed),
+paths AS (SELECT lang AS of, {", ".join(f"max(r_{r}) AS m_{r}" for r in RULES)} FROM held WHERE good AND half = 0 GROUP BY lang),
+tests AS (SELECT * FROM held JOIN paths ON lang IS NOT DISTINCT FROM of WHERE half = 1),
+strata AS (SELECT lang, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS n_bad FROM tests GROUP BY lang HAVING count(*) FILTER (good) > 0),
 steps AS (SELECT unnest(range(0, {STEPS})) AS step),
 lost AS (SELECT lang, step, count(*) FILTER (good AND bad_now) AS k, count(*) FILTER (NOT good AND bad_now) AS k_bad FROM (
-    SELECT lang, step, good, {" OR ".join(f"{a} * 1000 > {b} * {list(path)}[step + 1]" for a, b, path in RULES.values())} AS bad_now FROM held, steps) GROUP BY ALL),
+    SELECT lang, step, good, {" OR ".join(f"r_{r} > (m_{r} + {MARGIN}) * {list(FACTORS)}[step + 1] // 100" for r in RULES)} AS bad_now FROM tests, steps) GROUP BY ALL),
 tested AS (SELECT lost.lang, step, k_bad * n - k * n_bad AS gain, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln({1 - RISK})))) AS p FROM lost JOIN strata ON lost.lang IS NOT DISTINCT FROM strata.lang),
 safe AS (SELECT * FROM tested WHERE gain > 0 AND p <= {DELTA} / (SELECT count(*) FROM strata)),
 best AS (SELECT lang, arg_max(step, (gain, -step)) AS step FROM safe GROUP BY lang),
-cuts AS (SELECT lang, {", ".join(f"{list(path)}[step + 1] AS cut_{r}" for r, (_, _, path) in RULES.items())} FROM best)
+cuts AS (SELECT lang, {", ".join(f"CAST((m_{r} + {MARGIN}) * {list(FACTORS)}[step + 1] // 100 AS INTEGER) AS cut_{r}" for r in RULES)} FROM best JOIN paths ON lang IS NOT DISTINCT FROM of)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ({" OR ".join(f"coalesce({a} * 1000 > {b} * cut_{r}, false)" for r, (a, b, _) in RULES.items())}) AS kept, {", ".join(f"cut_{r}" for r in RULES)}
+  NOT base_failed AND NOT ({" OR ".join(f"coalesce({a} * 1000 > {b} * cut_{r}, false)" for r, (a, b) in RULES.items())}) AS kept, {", ".join(f"cut_{r}" for r in RULES)}
 FROM f LEFT JOIN cuts ON f.lang IS NOT DISTINCT FROM cuts.lang"""
 
 LINES_SQL = f"""
@@ -95,11 +100,10 @@ def _repair_sql() -> str:
     never = "{'c': 1000000000, 'a': '', 't': ''}"
     inserted = f"""SELECT conv_id, i, n0 AS b0, n1 AS b1, m2 AS b2, {least("n3", new("m2", "assistant"))} AS b3
         FROM (SELECT *, {least("n2", new("n0", "user"), new("n1", "user"), new("n3", "user"))} AS m2 FROM"""
-    crc = "xor(list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"
     return f"""
 WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
 hurt AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
-  FROM (SELECT *, {crc} % 20 AS h FROM raw)),
+  FROM (SELECT *, {CRC32} % 20 AS h FROM raw)),
 told AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i,
     rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS shown, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM hurt),
 r AS (SELECT *, shown = '' AS blank, shown = '' OR again AS gone, CASE WHEN shown <> '' AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,

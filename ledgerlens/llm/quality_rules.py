@@ -1,9 +1,12 @@
 """Quality rules with risk-controlled thresholds (native: DataFrame functions only).
 
 Every rule is a ratio of two counts of a text, compared with a cutoff: the text is rejected
-where a ratio lies above its cutoff.  All rules move together along one path of ``STEPS``
-steps, from the mildest cutoffs to the strictest, so that a step is one decision about all
-rules.  The step is chosen per stratum (language) from labelled rows.  A step is safe when the
+where a ratio lies above its cutoff.  All rules move together along one path of steps, from the
+mildest cutoffs to the strictest, so that a step is one decision about all rules.
+
+Labelled rows are cut in two by the CRC-32 of their doc_id.  From the first half a stratum
+(language) learns its path: a rule's cutoffs are ``FACTORS`` times the highest ratio of a good
+text there.  The second half is held out from that and tests the steps.  A step is safe when the
 hypothesis "its rules together reject more than ``risk`` of the stratum's good texts" falls
 to the exact binomial test at level ``delta / strata`` (Bonferroni over strata).  Within a
 stratum the steps are tested along the path up to the first failure (fixed sequence testing),
@@ -12,7 +15,8 @@ rejections, neither risk nor level is divided among rules.  So with probability
 stratum loses more than ``risk`` of its good texts, whichever safe step is then chosen: the
 one with the largest difference between the shares of bad and of good texts that it rejects,
 of equal ones the mildest.  A stratum can be tested from log(delta / strata) / log(1 - risk)
-good texts on (86 for four strata); one with fewer gets no cutoffs and rejects nothing.
+good texts in the second half on (86 for four strata); one with fewer, or without a good text in
+the first half, gets no cutoffs and rejects nothing.
 
 Cases: a null text has no words and fails the base rules; texts of any length are counted
 whole; a null language is a stratum of its own; a document with several labels counts as good
@@ -31,14 +35,12 @@ from ledgerlens.llm.common import settle, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
-STEPS = 20
-#: rule -> (numerator, denominator, cutoffs of the steps in thousandths, mildest first).
-RULES = {
-    "symbols": ("n_symbols", "word_chars", (900, 800, 700, 600, 500, 400, 350, 300, 250, 200, 150, 120, 100, 80, 60, 50, 40, 30, 20, 10)),
-    "upper": ("n_upper", "word_chars", (900, 800, 700, 600, 500, 450, 400, 350, 300, 280, 260, 240, 220, 200, 180, 160, 150, 140, 120, 100)),
-    "dup_lines": ("n_dup_lines", "n_lines", (950, 900, 850, 800, 750, 700, 650, 600, 560, 530, 500, 470, 440, 420, 400, 380, 360, 340, 320, 300)),
-    "repeats": ("n_repeat_words", "n_words", tuple(range(300, 200, -5))),
-}
+#: rule -> (numerator, denominator) of its ratio.
+RULES = {"symbols": ("n_symbols", "word_chars"), "upper": ("n_upper", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+#: Steps of a path, mildest first: percent of the highest ratio that the learning half's good
+#: texts have, after ``MARGIN`` thousandths were added to it, so that no cutoff begins at zero.
+FACTORS = (400, 300, 250, 200, 170, 150, 135, 125, 115, 108, 100, 95, 90, 85, 80, 75, 70, 65, 60, 55, 50, 40, 30, 20)
+STEPS, MARGIN = len(FACTORS), 10
 RISK, DELTA = 0.05, 0.05
 #: Strata up to this many are sent to every task (some 100 bytes each); more are joined by shuffle.
 SMALL_STRATA = 20_000
@@ -109,41 +111,53 @@ def critical(n: Column, p: float, alpha: Column) -> Column:
 
 
 def over(rule: str, cutoff: Column | int) -> Column:
-    top, below, _ = RULES[rule]
+    top, below = RULES[rule]
     return F.col(top) * 1000 > F.col(below) * cutoff
 
 
-def first_step(rule: str) -> Column:
-    """The first step, from 0 on, at which the rule rejects a text; ``STEPS`` if none does."""
-    out = F.lit(STEPS)
-    for k, c in reversed([*enumerate(RULES[rule][2])]):
-        out = F.when(over(rule, c), k).otherwise(out)
-    return out
+def ratio(rule: str) -> Column:
+    """The least cutoff, in thousandths, that lets a text pass."""
+    top, below = map(F.col, RULES[rule])
+    return F.when(below == 0, F.lit(0).cast("long")).otherwise(F.floor((top * 1000 + below - 1) / below))
+
+
+def cutoff(highest: Column, factor: Column) -> Column:
+    return F.floor((highest + MARGIN) * factor / 100)
+
+
+def passed(rule: str) -> Column:
+    """How many steps of its stratum's path a text passes by a rule: as cutoffs fall, the number
+    of the first step that rejects it."""
+    return F.size(F.filter(F.array(*map(F.lit, FACTORS)), lambda f: F.col(f"r_{rule}") <= cutoff(F.col(f"m_{rule}"), f)))
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with good labels: the best safe step's cutoffs, or nulls.
+    """One row per stratum that can be tested: the best safe step's cutoffs, or nulls.
 
     What a step rejects are the texts whose first rejecting step is not later, so counts of a
-    stratum's texts by that step, and running sums over its 20 steps, tell all.  A step that
+    stratum's texts by that step, and running sums over its steps, tell all.  A step that
     rejects no other texts than the one before is never better, so it needs no row.
     """
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good")).select(F.col("doc_id").alias("__id"), "good")
     held = counted.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("__id"))
-    good = F.col("good") == 1
-    step = F.least(*[first_step(r) for r in RULES])
-    found = held.groupBy(F.col(stratum).alias("__stratum"), step.alias("step")).agg(F.count_if(good).alias("g"), F.count_if(~good).alias("b"))
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    held = settle(held.select(F.col(stratum).alias("__stratum"), (F.col("good") == 1).alias("good"), half.alias("half"), *[ratio(r).alias(f"r_{r}") for r in RULES]), "quality-labelled")
+    paths = settle(held.filter("half = 0 and good").groupBy(F.col("__stratum").alias("__of")).agg(*[F.max(f"r_{r}").alias(f"m_{r}") for r in RULES]), "quality-paths")
+    small = paths.count() <= SMALL_STRATA
+    tests = held.filter("half = 1").join(F.broadcast(paths) if small else paths, F.col("__stratum").eqNullSafe(F.col("__of")))
+    step = F.least(*[passed(r) for r in RULES])
+    found = tests.groupBy("__stratum", *[f"m_{r}" for r in RULES], step.alias("step")).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     found = settle(found, "quality-steps")
     whole = Window.partitionBy("__stratum")
     upto = whole.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    lost = found.select("__stratum", "step", F.sum("g").over(upto).alias("k"), F.sum("b").over(upto).alias("kb"), F.sum("g").over(whole).alias("n"), F.sum("b").over(whole).alias("nb")).filter("n > 0")
+    lost = found.select("__stratum", *[f"m_{r}" for r in RULES], "step", F.sum("g").over(upto).alias("k"), F.sum("b").over(upto).alias("kb"), F.sum("g").over(whole).alias("n"), F.sum("b").over(whole).alias("nb")).filter("n > 0")
     strata = lost.select("__stratum").distinct().count()
     # k never falls along the path, so all steps up to a safe one are safe.
     most = critical(F.col("n"), risk, F.lit(delta / max(strata, 1)))
     gain = F.col("kb") * F.col("n") - F.col("k") * F.col("nb")  # times n * nb
     best = F.max(F.when((F.col("step") < STEPS) & (F.col("k") <= most) & (gain > 0), F.struct(gain.alias("gain"), (-F.col("step")).alias("mild"))))
-    chosen = lost.groupBy("__stratum").agg((-best["mild"]).alias("step"))
-    return chosen.select("__stratum", *[F.get(F.array(*map(F.lit, path)), F.col("step")).alias(f"cut_{r}") for r, (_, _, path) in RULES.items()])
+    chosen = lost.groupBy("__stratum", *[f"m_{r}" for r in RULES]).agg((-best["mild"]).alias("step"))
+    return chosen.select("__stratum", *[cutoff(F.col(f"m_{r}"), F.get(F.array(*map(F.lit, FACTORS)), F.col("step"))).cast("int").alias(f"cut_{r}") for r in RULES])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
