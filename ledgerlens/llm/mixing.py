@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import SPACE, forget, settle, words
+from ledgerlens.llm.common import SPACE, forget, likely, settle, words
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Documents of a bucket, about, and the least number of buckets, so that a hot source is always dealt out.
@@ -158,11 +158,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The training sequence: a row for each copy taken, in the order of positions, with the
     columns of ``docs``; a copy taken in part has its first words only."""
     plan = settle(planned(docs), "mix-plan")
-    rows = keyed(docs, F.struct("*").alias("row"))
-    # Rows of one key differ in other columns at most; a hash of these tells their order.
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.xxhash64("row"))) - 1
-    rows = rows.select(*KEY, "row", nth.alias("nth"))
-    rows = shared(rows.join(plan, [*KEY]))
+    rows = keyed(docs, F.struct("*").alias("row")).select(*KEY, "row", F.lit(False).alias("repeated"))
+    rows = likely(rows, plan.filter("many > 1").select(*KEY), *KEY, flag="repeated")
+    # Rows of one key differ in other columns at most; a hash of these tells their order, and
+    # equal rows are one, with their number, until they have met their plan.
+    equal = rows.filter("repeated").groupBy(*KEY, F.xxhash64("row").alias("other")).agg(F.first("row").alias("row"), F.count("*").alias("times"))
+    ahead = F.coalesce(F.sum("times").over(Window.partitionBy(*KEY).orderBy("other").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    single = rows.filter("not repeated").select(*KEY, "row", F.lit(0).cast("bigint").alias("first"), F.lit(1).cast("bigint").alias("times"))
+    rows = single.unionByName(equal.select(*KEY, "row", ahead.alias("first"), "times")).join(plan, [*KEY])
+    rows = shared(rows.withColumn("nth", F.explode(F.sequence("first", F.col("first") + F.col("times") - 1))))
     whole = F.when((F.col("rounds") > 0) & (F.col("size") > 0), F.sequence(F.lit(0), F.col("rounds") - 1)).otherwise(F.array().cast("array<int>"))
     copies = F.concat(F.transform(whole, lambda c: F.struct(c.alias("n"), F.col("size").alias("words"))), F.when(F.col("extra") > 0, F.array(F.struct(F.col("rounds").alias("n"), F.col("extra").alias("words")))).otherwise(F.array().cast("array<struct<n:int,words:bigint>>")))
     rows = rows.withColumn("copy", F.explode(copies))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import arrow_rows, settle
+from ledgerlens.llm.common import arrow_rows, likely, settle
 from ledgerlens.llm.graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -98,11 +98,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of least doc_id (null
-    last), then of least text hash; of repeated rows, any one."""
+    last), then of least text hash; of repeated rows, any one.
+
+    What is decided is which keys go or are repeated; only rows that a filter takes for such
+    ones are shuffled, and repeated rows are one before they are.
+    """
     fps, roots = grouped(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    key, order = ["i", "none", "t"], F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     best = fps.groupBy("fp").agg(F.min(order).alias("o")).join(roots, "fp").groupBy("root").agg(F.min("o").alias("o"))
-    chosen = best.select(F.coalesce("o.doc_id", F.lit(0)).alias("i"), F.col("o.none").alias("none"), F.col("o.t").alias("t"))
+    chosen = best.select(F.coalesce("o.doc_id", F.lit(0)).alias("i"), F.col("o.none").alias("none"), F.col("o.t").alias("t"), F.lit(True).alias("keep"))
+    keys = fps.groupBy(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), "t").agg(F.count("*").alias("n"))
+    marked = keys.join(chosen, key, "left").select(*key, F.coalesce("keep", F.lit(False)).alias("keep"), "n").filter("not keep or n > 1").drop("n")
+    marked = settle(marked, "going")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-    kept = rows.join(chosen, ["i", "none", "t"]).groupBy("i", "none", "t").agg(F.first("row").alias("row"))
-    return kept.select("row.*")
+    rows = likely(rows.withColumn("maybe", F.lit(False)), marked, *key, flag="maybe")
+    # Rows that the filter takes wrongly have no mark and keys of their own, so they stay as well.
+    kept = rows.filter("maybe").groupBy(*key).agg(F.first("row").alias("row")).join(marked, key, "left").filter("keep is null or keep")
+    return rows.filter("not maybe").select("row.*").unionByName(kept.select("row.*"))

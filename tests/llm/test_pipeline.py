@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from ledgerlens.llm import compression_classifier, line_dedup, simhash
+from ledgerlens.llm import compression_classifier, line_dedup, mixing, simhash
 from ledgerlens.llm.queries import oracle_sql, queries
 from tests.compare import duck_rows, spark_rows
 from tests.llm.cases import documents, words
@@ -47,3 +49,31 @@ def test_queries_equal_their_sql(spark, sf_dir):
         names, want = duck_rows(sql, sf_dir)
         got = spark_rows(found[name](spark, sf_dir).select(*names))
         assert got == (names, want), name
+
+
+def test_very_many_equal_rows_without_an_id(spark):
+    """A hundred thousand rows that are equal in all but a few: each stage takes them whole."""
+    n = 100_000
+    rows = spark.range(n, numPartitions=8).selectExpr("cast(null as bigint) as doc_id", "'the same few words of one text' as text", "'en' as lang", "cast(null as string) as source", "id % 3 as n_chars")
+    rows = rows.unionByName(spark.range(200).selectExpr("id as doc_id", "concat('text ', id, ' of ', id * 7919, ' and ', sha2(cast(id as string), 256)) as text", "'en' as lang", "'s' as source", "1L as n_chars"))
+    mixed = mixing.mixed_documents(rows).persist()
+    plan = {(r.doc_id, r.size): r for r in mixing.mixture(rows).groupBy("doc_id", "size").agg(F.sum("taken").alias("taken")).collect()}
+    assert mixed.filter("doc_id is null").select(F.sum(F.size(F.split("text", " ")))).first()[0] == plan[None, 7].taken
+    assert mixed.columns == rows.columns and mixed.filter("doc_id is null").select("n_chars").distinct().count() >= 1
+    assert {r.doc_id for r in mixed.filter("doc_id is not null").select("doc_id").distinct().collect()} == {i for i, size in plan if i is not None and plan[i, size].taken}
+    mixed.unpersist()
+    one = simhash.keep_one(rows)
+    assert one.filter("doc_id is null").count() == 1 and one.columns == rows.columns
+    groups = simhash.near_duplicates(rows).select("component_id").distinct().count()
+    assert one.count() == groups
+    assert line_dedup.without_repeats(rows).count() == n + 200
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Beyond the few that go, texts pass the near-duplicate stage without an exchange."""
+    rows = spark.range(400).selectExpr("id as doc_id", "concat(sha2(cast(id as string), 256), ' ', sha2(cast(id + 1e6 as string), 256), ' x ', id) as text", "1 as rank")
+    rows = rows.union(rows.filter("doc_id % 50 = 0").selectExpr("doc_id + 1000", "text", "rank")).union(rows.filter("doc_id = 7"))
+    one = simhash.keep_one(rows)
+    assert sorted(r.doc_id for r in one.collect()) == [*range(400)] and one.filter("doc_id = 7").count() == 1
+    simple = simhash.keep_one(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in simple and "Window" not in simple
