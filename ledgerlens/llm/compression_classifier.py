@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -129,6 +128,8 @@ def trained(found: DataFrame) -> bytes | None:
     ship(found.sparkSession)
 
     def group(rows):
+        import pandas as pd  # where a sample is that large; other workers do without its memory
+
         rows = rows.sort_values(["h", "doc_id", "at"])
         made = dictionary([bytes(x) for x in rows["piece"]])
         return pd.DataFrame([(int(rows["h"].iloc[0]), int(rows["n"].iloc[0]), at, piece) for at, piece in enumerate(pieces(made))], columns=["h", "doc_id", "at", "piece"])
