@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import grid, metrics, state
 from ledgerlens.plans import params, render, report
 from ledgerlens.sources.events import read_relays, typed
+from ledgerlens.sources.storage import scratch
 
 VERSION = "0.1.0"
 ENV_KEY, ENV_RELAYS, ENV_MARKER = "LEDGERLENS_PUBKEY", "LEDGERLENS_RELAYS", "LEDGERLENS_MARKER"
@@ -120,7 +121,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
     try:
         for r in metrics.source_coverage(sent).collect():
             next(s for s in statuses if s["relay"] == r["relay"]).update(delivered=r["delivered"], only_here=r["only_here"], missing_here=r["missing_here"])
-        with progress.stage("Computing the report"):
+        with progress.stage("Computing the report"), scratch(spark):
             made, warning = node_report(mine, as_of, wanted, today, args.legacy)
             if made and args.samples > 0:
                 made["samples"] = sample_events(events.filter(F.col("pubkey") == pubkey), args.samples)

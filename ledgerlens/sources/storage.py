@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +35,56 @@ def shared_dir(spark: SparkSession, name: str, base: str | None = None) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_switch, _writing = threading.Lock(), weakref.WeakKeyDictionary()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The session's switch on while at least one thread writes; then it is as it was before the
+    first of them."""
+    with _switch:
+        n, before = _writing.get(spark, (0, None))
+        if not n:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writing[spark] = n + 1, before
+    try:
+        yield
+    finally:
+        with _switch:
+            n, before = _writing[spark]
+            _writing[spark] = n - 1, before
+            if n == 1:
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+_kept: ContextVar[list[str] | None] = ContextVar("settled", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``settle`` writes inside are deleted at the end; so whatever is computed from
+    them must have been collected or written by then."""
+    made: list[str] = []
+    token = _kept.set(made)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later steps neither
     recompute it nor depend on the executors that made it.  The write's shuffle files, which
-    nothing reads after it, go at once."""
+    nothing reads after it, go at once; the table stays, unless this is within ``scratch``."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    if (made := _kept.get()) is not None:
+        made.append(path)
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out
