@@ -14,15 +14,19 @@ window: does an earlier block have it?  Back at the block the same order is rebu
 are laid on it, and the words are removed.  A passage shared by any number of documents
 appears once a block, so hot passages make no hot bucket.  Blocks and buckets are fixed by
 the memory of a task; their numbers follow the input.  The driver holds one number a block.
+Blocks are cut from a sample that takes a document in proportion to its bytes, some ``POINTS``
+points a block; it decides where blocks end, nothing else.
 
 Hashes have 96 bits: a rolling one of 64, and a second one of 32 with another multiplier, so
 that 10^13 windows meet by accident less than once.
 
 Cases: a null text has no words, and keeps the digest of the empty string; texts shorter than
-a window keep everything; texts of any length are one document of one block; rows without
-doc_id count as larger than all others, and rows that share a doc_id are one document's
-parts, which never remove words from each other; an empty table stays empty; columns other
-than doc_id and text are never read, whatever their names.
+a window keep everything; texts of any length are one document of one block, hashed and
+joined again ``CHUNK`` bytes at a time; rows without doc_id count as larger than all others and
+never remove words from each other, so they are dealt into blocks of their own by their text,
+equal ones as one; rows that share a doc_id are one document's parts, which never remove words
+from each other either; an empty table stays empty; columns other than doc_id and text are
+never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ from ledgerlens.llm.common import held, parts, ship
 WINDOW = 13
 #: Text bytes of a block, and windows of a bucket.
 BLOCK, BUCKET = 8 << 20, 2 << 20
-#: Bytes that count as one where blocks are cut; a document weighs one grain at least, about what it takes beside its bytes.
-GRAIN = 1024
+#: What a document weighs where blocks are cut beside its bytes, about what it takes in memory; sample points a block.
+BESIDE, POINTS = 1024, 64
+#: Bytes of a text that are hashed at a time; the first block of rows without an id.
+CHUNK, UNKNOWN = 1 << 20, 1 << 40
 
 _RNG = np.random.default_rng(13)
 #: A random 64-bit value a byte; odd multipliers, which have inverses modulo 2^64.
@@ -66,20 +72,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word of a text, from prefix sums over its bytes."""
-    data = np.frombuffer(raw, np.uint8)
+def chunk_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial value of every word of some bytes, from prefix sums over them."""
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~BLANK[data]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTE[data] * powers(MULTIPLIER, len(data)), out=sums[1:])
-    back = powers(INVERSE, len(data) + 1)
-    value = (sums[end] - sums[start]) * back[start]
+    return start, end, (sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of a text, chunk by chunk.  A word's value does not
+    depend on its place, and a word that a chunk's edge cuts is put together again."""
+    data, found = np.frombuffer(raw, np.uint8), []
+    for at in range(0, len(data), CHUNK):
+        start, end, value = chunk_words(data[at : at + CHUNK])
+        start, end = (start + at).astype(np.int32), (end + at).astype(np.int32)
+        if found and len(start) and len(found[-1][1]) and found[-1][1][-1] == start[0] == at:
+            before = found[-1]
+            shift = np.uint64(pow(int(MULTIPLIER), int(before[1][-1] - before[0][-1]), 1 << 64))
+            before[2][-1:] += value[:1] * shift
+            before[1][-1] = end[0]
+            start, end, value = start[1:], end[1:], value[1:]
+            if not len(start):  # the word may go on
+                continue
+        found.append((start, end, value))
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    start, end, value = (np.concatenate(x) for x in zip(*found))
     return start, end, mixed(value + (end - start).astype(np.uint64))
 
 
+def joined(raw: bytes, start: np.ndarray, end: np.ndarray) -> bytes:
+    """The words at these places with one space between, some thousand of them at a time."""
+    each = CHUNK // 16
+    return b" ".join(b" ".join([raw[a:b] for a, b in zip(start[i : i + each].tolist(), end[i : i + each].tolist())]) for i in range(0, len(start), each))
+
+
 def window_hashes(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Rolling hashes of each run of ``window`` words, of 64 and of 32 bits: a multiplication
     and an addition a step each."""
@@ -122,11 +153,13 @@ def prepared(ids: list, raws: list[bytes], window: int) -> tuple:
         first.append(h)
         second.append(x)
         owner.append(np.full(len(h), rank, np.int32))
-    h, x = np.concatenate(first), np.concatenate(second)
+    h, x, owner = np.concatenate(first), np.concatenate(second), np.concatenate(owner)
+    del first, second
     by, new = in_order(h, x)
-    index = np.empty(len(h), np.int64)
-    index[by] = np.cumsum(new) - 1
-    return order, spans, np.concatenate(owner), h[by][new], x[by][new], index
+    index = np.empty(len(h), np.int32)
+    index[by] = np.cumsum(new, dtype=np.int32) - 1
+    by = by[new]
+    return order, spans, owner, h[by], x[by], index
 
 
 def pack(h: np.ndarray, x: np.ndarray) -> bytes:
@@ -158,40 +191,53 @@ def runs(h: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Words inside any of the windows that begin at ``starts``: maximal intervals, as a mask."""
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + window, -1)
-    return np.cumsum(step[:-1]) > 0
+    step = np.zeros(n_words + 1, np.int8)
+    step[starts] += 1  # no window begins twice
+    step[starts + window] -= 1
+    return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
 def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """``docs`` as (block, none, id, raw), partitioned by block, and the bytes of all texts.
-    Blocks are ranges of ids that have about ``BLOCK`` bytes each, since a document weighs in
-    their cutting by its bytes.
+    """``docs`` as (block, none, id, raw, copies), partitioned by block, and the bytes of all texts.
 
-    Only the bounds, one number a block, come to the driver.
+    Blocks are ranges of ids that have about ``BLOCK`` bytes each, since a document has points
+    in the sample that cuts them by its weight.  Only the bounds, one number a block, come to the
+    driver.  Rows without an id never remove words from each other, so their blocks need no
+    order: equal texts are one row with a number of copies, dealt by the text's hash.
     """
     spark = docs.sparkSession
     # Ids without nulls, which pandas would turn into floats.
     id_ = F.col("doc_id").cast("bigint")
     rows = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
-    grains = F.floor(F.octet_length("raw") / GRAIN) + 1
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("size"), F.coalesce(F.sum(grains), F.lit(0)).alias("grains")).first()
-    weight = int(total["grains"]) * GRAIN
-    count, block = max(1, -(-weight // BLOCK)), F.lit(0).cast("bigint")
+    weighs = F.octet_length("raw") + BESIDE
+    sums = {r["none"]: r for r in rows.groupBy("none").agg(F.sum(F.octet_length("raw")).alias("size"), F.sum(weighs).alias("weight")).collect()}
+    size = sum(int(r["size"]) for r in sums.values())
+    known, unknown = (int(sums[k]["weight"]) if k in sums else 0 for k in (False, True))
+    if known + unknown <= BLOCK:
+        placed = rows.select(F.lit(0).cast("bigint").alias("block"), "*", F.lit(1).cast("bigint").alias("copies"))
+        return placed.repartition(parts(spark, known + unknown, BLOCK), "block"), size
+    count = max(1, -(-known // BLOCK))
+    block = F.lit(0).cast("bigint")
     if count > 1:
-        dealt = rows.filter("not none").select("id", F.explode(F.sequence(F.lit(1), grains.cast("int"))).alias("g")).select("id")
-        dealt = dealt.repartitionByRange(count, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
-        bounds = spark.sparkContext.broadcast(np.array(sorted(r["low"] for r in dealt.collect())[1:], np.int64))
+        # A point for each full share of a block, and one by chance (of the id's hash) for the rest.
+        share = weighs / F.lit(BLOCK / POINTS)
+        points = (F.floor(share) + (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (share - F.floor(share)) * (1 << 20)).cast("bigint")).cast("int")
+        drawn = rows.filter("not none").select("id", points.alias("n")).filter("n > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("g")).select("id")
+        drawn = drawn.repartitionByRange(count, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
+        bounds = spark.sparkContext.broadcast(np.sort(drawn.select("low").toArrow()["low"].to_numpy())[1:])
 
         @F.arrow_udf("bigint")
         def block_of(ids: pa.Array) -> pa.Array:
             held(None, lambda: None)
             return pa.array(np.searchsorted(bounds.value, ids.to_numpy(zero_copy_only=False), side="right").astype(np.int64))
 
-        # Rows without an id come last, in a block of their own.
-        block = F.when(F.col("none"), F.lit(count)).otherwise(block_of("id"))
-    return rows.select(block.alias("block"), "none", "id", "raw").repartition(parts(spark, weight, BLOCK), "block"), int(total["size"])
+        block = block_of("id")
+    placed = rows.filter("not none") if unknown else rows
+    placed = placed.select(block.alias("block"), "*", F.lit(1).cast("bigint").alias("copies"))
+    if unknown:
+        bare = rows.filter("none").groupBy("none", "id", "raw").agg(F.count("*").alias("copies"))
+        placed = placed.union(bare.select((F.pmod(F.xxhash64("raw"), F.lit(-(-unknown // BLOCK))) + UNKNOWN).alias("block"), "none", "id", "raw", "copies"))
+    return placed.repartition(parts(spark, known + unknown, BLOCK), "block"), size
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -214,14 +260,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         pieces = [unpack(p) for p in pdf["piece"]]
         ends = np.cumsum([len(h) for h, _ in pieces])
         order, new = in_order(np.concatenate([h for h, _ in pieces]), np.concatenate([x for _, x in pieces]))
+        # Equal hashes stand in the order of blocks, each block's once; the first must have an id.
+        block = np.repeat(pdf["block"].to_numpy(np.int64), [len(h) for h, _ in pieces])
+        leads = block[order[new]] < UNKNOWN
         seen = np.zeros(len(order), bool)
-        seen[order] = ~new  # equal hashes stand in the order of blocks, each block's once
+        seen[order] = ~new & leads[np.cumsum(new) - 1]
         bits = [np.packbits(s).tobytes() if s.any() else None for s in np.split(seen, ends[:-1])]
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits}).dropna()
 
     def cut(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         held(None, lambda: None)
-        ids, raws = _ids(pdf), pdf["raw"].tolist()
+        ids, raws, copies = _ids(pdf), pdf["raw"].tolist(), pdf["copies"].tolist()
         order, spans, owner, h, _, index = prepared(ids, raws, window)
         seen, at = np.zeros(len(h), bool), {b: (i, j) for b, i, j in runs(h, buckets)}
         for b, bits in zip(answers["bucket"], answers["bits"]):
@@ -237,16 +286,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             mask = covered(len(start), starts, window)
             edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
             raw = raws[i]
-            kept = [raw[a:b] for a, b in zip(start[~mask].tolist(), end[~mask].tolist())] if len(starts) else raw.split()
+            kept = joined(raw, start[~mask], end[~mask])
             spots = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
-            out.append((ids[i] is None, ids[i] or 0, len(start), int(mask.sum()), spots, b" ".join(kept).decode("utf-8")))
-        return pd.DataFrame(out, columns=["none", "id", "n_words", "n_removed", "spans", "kept"])
+            out.append((ids[i] is None, ids[i] or 0, len(start), int(mask.sum()), spots, kept, copies[i]))
+        return pd.DataFrame(out, columns=["none", "id", "n_words", "n_removed", "spans", "kept", "copies"])
 
     pieces = rows.groupBy("block").applyInPandas(send, "block bigint, bucket bigint, piece binary")
     pieces = pieces.repartition(parts(spark, buckets, 1), "bucket")
     answers = pieces.groupBy("bucket").applyInPandas(judge, "block bigint, bucket bigint, bits binary")
-    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, "none boolean, id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept string")
-    return out.select(F.when(~F.col("none"), F.col("id")).alias("id"), "n_words", "n_removed", "spans", "kept")
+    out = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(cut, "none boolean, id bigint, n_words bigint, n_removed bigint, spans array<bigint>, kept binary, copies bigint")
+    out = out.select(F.when(~F.col("none"), F.col("id")).alias("id"), "n_words", "n_removed", "spans", F.col("kept").cast("string").alias("kept"), "copies")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copies", "copy")
 
 
 def _ids(pdf: pd.DataFrame) -> list:

@@ -182,6 +182,56 @@ def test_blocks_have_about_equal_bytes(spark, monkeypatch):
     assert got[None] == 1 and got[(1 << 63) - 1] == 1 and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 7, 64, 1 << 20])
+def test_words_hashed_in_chunks(monkeypatch, chunk):
+    rnd = random.Random(chunk)
+    texts = ["", " ", "a", " a ", "abcdefghij" * 9, "\n\tx  y\x0b", "é" * 20 + " ü"]
+    texts += ["".join(rnd.choice("ab \n\u00e9") for _ in range(200)) for _ in range(20)]
+    want = []
+    for text in texts:
+        start, end, value = D.chunk_words(np.frombuffer(text.encode(), np.uint8))
+        want.append((start.tolist(), end.tolist(), D.mixed(value + (end - start).astype(np.uint64)).tolist()))
+    monkeypatch.setattr(D, "CHUNK", chunk)
+    assert [tuple(x.tolist() for x in D.word_hashes(t.encode())) for t in texts] == want
+    assert [[t.encode()[a:b].decode() for a, b in zip(s, e)] for t, (s, e, _) in zip(texts, want)] == [words(t) for t in texts]
+    monkeypatch.setattr(D, "CHUNK", 16 * chunk)
+    for t, (s, e, _) in zip(texts, want):
+        assert D.joined(t.encode(), np.array(s, np.int32), np.array(e, np.int32)).decode() == " ".join(words(t))
+
+
+def test_rows_without_id_need_no_common_block(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 4000)
+    monkeypatch.setattr(D, "BUCKET", 500)
+    rnd = random.Random(8)
+    passages = [" ".join(f"p{rnd.randrange(40)}" for _ in range(40)) for _ in range(6)]
+    rows = [(i, f"a{i} {passages[i % 4]} b{i}") for i in range(60)]
+    # Without id: passages that ids have, passages that none has, equal texts, empty and null ones.
+    rows += [(None, f"c{i} {passages[i % 6]} d{i}") for i in range(60)] + [(None, passages[5])] * 50 + [(None, ""), (None, None)] * 40
+    for table in (rows, [r for r in rows if r[0] is None]):
+        docs = spark.createDataFrame(table, "doc_id bigint, text string")
+        blocks = {r.block for r in D._blocks(docs)[0].filter("none").select("block").distinct().collect()}
+        assert len(blocks) > 5 and min(blocks) >= D.UNKNOWN
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in D.substring_digests(docs).collect()), key=repr)
+        assert got == substrings_by_brute_force(table)
+
+
+def test_a_long_text_in_bounded_memory():
+    """50 MB of text as a block of its own, its windows found and its words joined again."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    raw = b" ".join(b"w%d" % x for x in rnd.integers(0, 100_000, 7_600_000).tolist())
+    assert len(raw) > 50_000_000
+    tracemalloc.start()
+    order, spans, owner, h, x, index = D.prepared([1], [raw], 13)
+    start, end, n = spans[0]
+    assert n == 7_600_000 - 12 == len(index) and len(h) == n and (np.diff(h) > 0).all()
+    assert D.joined(raw, start, end) == raw
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000_000, peak
+
+
 def brute_fingerprint(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     k = min(3, len(w))
