@@ -101,14 +101,20 @@ def _kept(frame: DataFrame, author: str) -> tuple[DataFrame, str]:
 
 
 def typed(events: DataFrame) -> DataFrame:
-    """Events with their tags as flat columns, strictly parsed."""
-    flat = events.select(
-        "id", "pubkey", F.col("kind").cast("int"), F.col("created_at").cast("bigint"), "relay",
+    """Events with their tags as flat columns, strictly parsed.
+
+    ``inline`` of one struct gives the row itself; what it differs in from a plain select is that
+    filters on z, y or d stay above it.  Else each of them is copied below, together with all that
+    makes the tags, and an event's tags are made and searched once more for every filter.  Filters
+    on the other columns still reach the scan.
+    """
+    parsed = F.struct(
         *[tag("tags", c).alias(c) for c in ("z", "y", "d", "s", "f", "bond_enabled")],
         parse_amount(tag("tags", "amt")).alias("amt"),
         parse_premium(tag("tags", "premium")).alias("premium"),
         tag_values("tags", "pm").alias("pm"),
     )
+    flat = events.select("id", "pubkey", F.col("kind").cast("int").alias("kind"), F.col("created_at").cast("bigint").alias("created_at"), "relay", F.inline(F.array(parsed)))
     return flat.select(*TYPED.fieldNames())
 
 

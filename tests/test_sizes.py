@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
-from ledgerlens.queries import QUERIES, SQL
+from ledgerlens.operators import metrics, state
+from ledgerlens.plans import report
+from ledgerlens.queries import QUERIES, SQL, scoped
+from ledgerlens.sources import adapters as A
+from ledgerlens.streaming import kept
 from tests.compare import duck_rows, spark_rows
+from tests.test_goldens import AS_OF, event
+from tests.test_incremental import NODES, as_rows, frame, some_events
 
 
 def busy_tables(spark, path):
@@ -23,3 +31,8 @@ def busy_tables(spark, path):
 def test_a_node_without_an_idle_day(spark, tmp_path, name):
     path = busy_tables(spark, tmp_path)
     assert spark_rows(QUERIES[name](spark, path)) == duck_rows(SQL[name], path)
+
+
+def test_tags_are_made_once_whatever_filters_follow(spark, sf_dir):
+    plan = state.latest_orders(scoped(A.order_events(spark, sf_dir)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[z,order]") == 1
