@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.median import exact_medians
 from ledgerlens.functions.scalars import gap_warning, legacy_trust_score, relative_time, score_band, status_label, to_btc
 from ledgerlens.operators import metrics, state
+from ledgerlens.schema import DEV_FEE
 from ledgerlens.sources.storage import settle
 
 SCHEMA_VERSION = 1
@@ -45,10 +46,18 @@ MEANING = {
 COUNTS = ("total_successful_trades", "total_volume_sats", "trades_last_7d", "trades_last_30d", "trades_last_90d", "active_days_last_30d", "total_disputes", "resolved_disputes", "active_disputes", "unknown_disputes")
 
 
-def latest_states(events: DataFrame, as_of: int) -> DataFrame:
+def latest_states(events: DataFrame, as_of: int, every_fee: bool = False) -> DataFrame:
     """The latest states of typed events in scope, written once and then read by columns, so
-    that events are scanned and shuffled once, however many groups of metrics follow."""
-    return settle(state.facts(events, as_of), "latest-states")
+    that an event is scanned and shuffled once, however many groups of metrics follow.
+
+    Of dev-fees a report reads the time of a node's first alone, which one partial aggregate finds;
+    so they are one row a node here or, with ``every_fee`` (to count them), one short row an id.
+    """
+    past = state.not_future(events, as_of)
+    by = ["pubkey", "kind", "id"] if every_fee else ["pubkey", "kind"]
+    fees = state.dev_fees(past).groupBy(*by).agg(F.min("created_at").alias("created_at"))
+    rest = state.facts(past.filter(F.col("kind") != DEV_FEE), as_of)
+    return settle(rest.unionByName(fees, allowMissingColumns=True), "latest-states")
 
 
 def node_metrics(events: DataFrame, as_of: int) -> DataFrame:

@@ -36,3 +36,9 @@ def test_a_node_without_an_idle_day(spark, tmp_path, name):
 def test_tags_are_made_once_whatever_filters_follow(spark, sf_dir):
     plan = state.latest_orders(scoped(A.order_events(spark, sf_dir)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[z,order]") == 1
+
+
+def test_reports_keep_a_node_s_first_dev_fee(spark):
+    rows = [event(f"f{i}", 8383, AS_OF - i % 7, pubkey=node) for i, node in enumerate(NODES * 10)] + [event("late", 8383, AS_OF + 5)]
+    fees = [sorted((r.pubkey, r.created_at) for r in state.dev_fees(report.latest_states(frame(spark, rows * 2), AS_OF, every)).collect()) for every in (False, True)]
+    assert fees[0] == [(n, min(r[3] for r in rows if r[1] == n)) for n in sorted(NODES)] and len(fees[1]) == 30
