@@ -49,7 +49,9 @@ def _whole(a: Column, b: int) -> Column:
 def history(events: DataFrame, schedule: Schedule) -> DataFrame:
     """pubkey, as_of and ``MEASURES`` for each instant from a node's first event on, with the
     disputes of other statuses and the ratio to trades.  ``events`` are typed and in scope."""
-    rows = state.not_future(events, schedule.last).withColumn("key", state.fact_key()).withColumn("slot", schedule.reached(F.col("created_at")))
+    # Other events show that the node is there, no more; so they have no key, and one a step is left.
+    key = F.when(F.col("kind").isin(ORDER, DISPUTE), state.fact_key())
+    rows = state.not_future(events, schedule.last).withColumn("key", key).withColumn("slot", schedule.reached(F.col("created_at")))
     newest = F.max_by(F.struct("created_at", "s", "amt", "d"), F.struct("created_at", "id"))
     rows = rows.groupBy("pubkey", "kind", "key", "slot").agg(newest.alias("e")).select("pubkey", "kind", "slot", "key", "e.*")
     by = Window.partitionBy("pubkey", "kind", "key").orderBy("slot")
