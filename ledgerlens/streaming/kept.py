@@ -26,6 +26,8 @@ from ledgerlens.sources.storage import exists, forget, remove, settle
 
 BUCKETS, WAITING = 64, -1
 KEY = ("pubkey", "kind", "key")
+#: Rows that a task of a merge gets, about, however large a bucket is.
+TASK_ROWS = 200_000
 STATE = T.StructType([*[f for f in TYPED.fields if f.name not in ("relay", "z", "y")], T.StructField("key", T.StringType()), T.StructField("bucket", T.IntegerType())])
 
 
@@ -43,8 +45,23 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STATE).parquet(f"{path}/states")
 
 
+def _counts(rows: DataFrame) -> dict[int, int]:
+    """Rows by bucket: BUCKETS numbers and one at most."""
+    return {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+
+
+def _dealt(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows`` dealt out by bucket and, within it, by slices of its keys (of the ids of what waits),
+    as many as the largest bucket needs for ``TASK_ROWS`` rows a task."""
+    slices = max(1, -(-max(counts.values()) // TASK_ROWS))
+    rows = rows.withColumn("waiting", F.when(F.col("bucket") == WAITING, F.col("id")))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(F.lit("slice"), *KEY, "waiting"), F.lit(slices)))
+    return rows.repartition(len(counts) * slices, "bucket", "slice")
+
+
 def _replace(spark: SparkSession, path: str) -> None:
     made = spark.read.schema(STATE).parquet(f"{path}/pending")
+    made = _dealt(made, _counts(made)).select(*STATE.names).sortWithinPartitions("bucket", *KEY)
     made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/states")
     remove(spark, f"{path}/pending")
 
@@ -66,13 +83,15 @@ def merge(path: str, batch: DataFrame, as_of: int, buckets: int = BUCKETS) -> li
     rows = rows.unionByName(before.filter(F.col("bucket") == WAITING).drop("bucket"))
     bucket = F.when(F.col("created_at") > as_of, WAITING).otherwise(F.pmod(F.xxhash64(*KEY), F.lit(n))).cast("int")
     rows = settle(rows.withColumn("bucket", bucket), "batch")
-    touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # BUCKETS numbers at most
+    counts = _counts(rows)
+    touched = sorted(counts)
     if touched:
-        rows = before.filter(F.col("bucket").isin(touched) & (F.col("bucket") != WAITING)).unionByName(rows)
-        # One shuffle: rows dealt by bucket are dealt by bucket and key as well.
-        waiting = F.when(F.col("bucket") == WAITING, F.col("id"))
-        newest = Window.partitionBy("bucket", *KEY, "waiting").orderBy(F.col("created_at").desc(), F.col("id").desc())
-        rows = rows.repartition(len(touched), "bucket").withColumn("waiting", waiting).withColumn("rank", F.row_number().over(newest)).filter("rank = 1").select(*STATE.names)
+        old = before.filter(F.col("bucket").isin(touched) & (F.col("bucket") != WAITING))
+        for b, n in _counts(old).items():
+            counts[b] += n
+        # One shuffle: rows dealt by bucket and slice are dealt by bucket, slice and key as well.
+        newest = Window.partitionBy("bucket", "slice", *KEY, "waiting").orderBy(F.col("created_at").desc(), F.col("id").desc())
+        rows = _dealt(old.unionByName(rows), counts).withColumn("rank", F.row_number().over(newest)).filter("rank = 1").select(*STATE.names)
         rows.sortWithinPartitions("bucket", *KEY).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pending")
         _replace(spark, path)
     forget(spark, rows)

@@ -33,6 +33,16 @@ def test_a_node_without_an_idle_day(spark, tmp_path, name):
     assert spark_rows(QUERIES[name](spark, path)) == duck_rows(SQL[name], path)
 
 
+def test_a_large_bucket_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kept, "TASK_ROWS", 10, raising=False)
+    path, rows = str(tmp_path / "table"), some_events(random.Random(5), 200)
+    for part in (rows[::2], rows[1::2]):
+        kept.merge(path, frame(spark, part), AS_OF, buckets=2)
+    assert as_rows(kept.kept(spark, path)) == as_rows(state.facts(frame(spark, rows), AS_OF))
+    parts = [len(list(d.glob("*.parquet"))) for d in Path(path, "states").glob("bucket=[01]")]
+    assert len(parts) == 2 and min(parts) > 1
+
+
 def test_tags_are_made_once_whatever_filters_follow(spark, sf_dir):
     plan = state.latest_orders(scoped(A.order_events(spark, sf_dir)))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[z,order]") == 1
