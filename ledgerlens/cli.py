@@ -187,7 +187,7 @@ def node_report(events, as_of: int, wanted: params.Range, today: date, legacy: b
     view, since, until = resolved or ("daily", date(1970, 1, 2), date(1970, 1, 1))
     buckets = grid.activity_grid(fees, trades, as_of, view, since, until)
     figures = report.metrics_of(facts, as_of)
-    whole = report.nested(figures, metrics.fetch_summary(past), metrics.fiat_shares(trades), metrics.payment_shares(trades), buckets)
+    whole = report.whole(figures, metrics.fetch_summary(past), metrics.fiat_shares(trades), metrics.payment_shares(trades), buckets)
     row = report.as_json(whole).first()
     made = json.loads(row["json"]) if row else None
     if made and legacy:

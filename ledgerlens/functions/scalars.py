@@ -91,3 +91,19 @@ def bucket(epoch: Column, view: str) -> Column:
     """First day of the UTC day, month or year that holds an instant."""
     unit = {"daily": "day", "monthly": "month", "yearly": "year"}[view]
     return F.trunc(utc_day(epoch), unit) if unit != "day" else utc_day(epoch)
+
+
+def json_text(c: Column) -> Column:
+    """A value that is neither a struct nor a list, as JSON."""
+    made = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(made, F.lit(6), F.length(made) - 6)
+
+
+def json_number(c: Column) -> Column:
+    """A double as JSON, in plain digits from 1e-6 to 1e21, as DuckDB (and JavaScript) write it;
+    ``to_json`` has exponents below 1e-3 and from 1e7 on."""
+    plain = lambda places: F.regexp_replace(c.cast(f"decimal(38,{places})").cast("string"), r"(\.\d+?)0*$", "$1")
+    size = F.abs(c)
+    short = (size >= 1e-3) & (size < 1e7) | (c == 0)
+    exponent = F.regexp_replace(F.regexp_replace(json_text(c), r"\.0E", "E"), r"E(-?\d+)$", "e$1")
+    return F.when(short, c.cast("string")).when((size >= 1e-6) & (size < 1e15), plain(22)).when((size >= 1e15) & (size < 1e21), plain(1)).otherwise(exponent)

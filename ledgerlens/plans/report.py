@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StructType
 
 from ledgerlens.functions.median import exact_medians
-from ledgerlens.functions.scalars import gap_warning, legacy_trust_score, relative_time, score_band, status_label, to_btc
+from ledgerlens.functions.scalars import gap_warning, json_number, json_text, legacy_trust_score, relative_time, score_band, status_label, to_btc
 from ledgerlens.operators import metrics, state
 from ledgerlens.schema import DEV_FEE
 from ledgerlens.sources.storage import settle
 
 SCHEMA_VERSION = 1
-#: Labels of a kind that one document lists.
+#: Labels of a kind that one abridged document lists.
 LABELS = 1000
 
 #: Metric -> (label, meaning, direction), shown beside each value.
@@ -135,11 +136,11 @@ SECTIONS = {
 }
 
 
-def nested(report: DataFrame, fetch: DataFrame, fiat: DataFrame, methods: DataFrame, grid: DataFrame) -> DataFrame:
+def whole(report: DataFrame, fetch: DataFrame, fiat: DataFrame, methods: DataFrame, grid: DataFrame) -> DataFrame:
     """The report as one nested row a node: fetch, activity, stats, recommendations.
 
-    A document lists ``LABELS`` labels of a kind at most, those of most mentions; whole lists are
-    the tables ``fiat`` and ``methods`` themselves.  Buckets are bounded by the grid's range.
+    Lists are whole: every label of ``fiat`` (by label) and of ``methods`` (by rank), every bucket
+    of ``grid``.  So a node's row, and the task that makes it, are as large as its lists.
     """
     def listed(rows: DataFrame, name: str, *cols: str) -> DataFrame:
         return rows.groupBy("pubkey").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
@@ -147,15 +148,40 @@ def nested(report: DataFrame, fetch: DataFrame, fiat: DataFrame, methods: DataFr
     fetched = fetch.select("pubkey", F.struct(*[c for c in fetch.columns if c != "pubkey"]).alias("fetch"))
     stats = F.struct(*[F.struct(*cols).alias(name) for name, cols in SECTIONS.items()], F.struct("bond_enabled").alias("bond_policy"), F.coalesce("fiat", F.array()).alias("fiat"), F.coalesce("payment_methods", F.array()).alias("payment_methods"))
     out = report.join(fetched, "pubkey", "left")
-    if "rank" not in fiat.columns:
-        fiat = metrics.ranked(fiat, "pubkey", F.col("mentions").desc(), F.col("f"))
-    fiat, methods = fiat.filter(F.col("rank") <= LABELS), methods.filter(F.col("rank") <= LABELS)
     out = out.join(listed(fiat, "fiat", "f", "mentions", "share"), "pubkey", "left")
     out = out.join(listed(methods, "payment_methods", "rank", "method", "mentions", "share"), "pubkey", "left")
     out = out.join(listed(grid, "activity", "bucket", "trades", "volume_sats", "median_trade_sats"), "pubkey", "left")
     return out.select("pubkey", F.lit(SCHEMA_VERSION).alias("schema_version"), "fetch", F.coalesce("activity", F.array()).alias("activity"), stats.alias("stats"), recommendations().alias("recommendations"))
 
 
+def nested(report: DataFrame, fetch: DataFrame, fiat: DataFrame, methods: DataFrame, grid: DataFrame) -> DataFrame:
+    """``whole``, abridged to the ``LABELS`` labels of a kind with most mentions.  No query and no
+    command makes abridged documents."""
+    if "rank" not in fiat.columns:
+        fiat = metrics.ranked(fiat, "pubkey", F.col("mentions").desc(), F.col("f"))
+    return whole(report, fetch, fiat.filter(F.col("rank") <= LABELS), methods.filter(F.col("rank") <= LABELS), grid)
+
+
+def _json(c: Column, kind: DataType) -> Column:
+    """A column as JSON text, null where it is null."""
+    if isinstance(kind, StructType):
+        parts = [F.concat(F.lit(f'"{f.name}":'), F.coalesce(_json(c[f.name], f.dataType), F.lit("null"))) for f in kind]
+        made = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        texts = F.transform(c, lambda x: F.coalesce(_json(x, kind.elementType), F.lit("null")))
+        made = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    elif isinstance(kind, DoubleType):
+        made = json_number(c)
+    elif isinstance(kind, (IntegerType, LongType)):
+        made = c.cast("string")
+    else:
+        made = json_text(c)
+    return F.when(c.isNotNull(), made)
+
+
 def as_json(report: DataFrame) -> DataFrame:
-    """Complete JSON documents: every key always there, null where a number is not known."""
-    return report.select("pubkey", F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("json"))
+    """Complete JSON documents: every key always there, null where a number is not known.
+
+    Text is put together here, not by ``to_json``, which writes small and large numbers otherwise.
+    """
+    return report.select("pubkey", _json(F.struct(*report.columns), report.schema).alias("json"))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from pathlib import Path
 
+import duckdb
 import pytest
 
+from ledgerlens import cli
 from ledgerlens.operators import metrics, state
-from ledgerlens.plans import report
+from ledgerlens.plans import params, report
 from ledgerlens.queries import QUERIES, SQL, scoped
 from ledgerlens.sources import adapters as A
 from ledgerlens.streaming import kept
 from tests.compare import duck_rows, spark_rows
-from tests.test_goldens import AS_OF, event
+from tests.test_goldens import AS_OF, event, order
 from tests.test_incremental import NODES, as_rows, frame, some_events
 
 
@@ -59,3 +62,35 @@ def test_what_was_fetched_by_latest_states(spark):
     past = state.not_future(frame(spark, rows * 2), AS_OF)
     want = {r.pubkey: r.asDict() for r in metrics.fetch_summary(past).collect()}
     assert {r.pubkey: r.asDict() for r in metrics.fetch_of_facts(report.latest_states(past, AS_OF, True), past).collect()} == want
+
+
+def test_documents_list_every_label_as_their_sql_does(spark, sf_dir, tmp_path):
+    """Node 1 has 1,500 currencies, 3,001 payment methods and ties among both; node 2 has few."""
+    day = datetime(2000, 6, 1)
+    orders = [(i, 1 + 50 * i, "F", 1000.5 + i, day - timedelta(days=i % 40), f"p{i}-q{i}-both") for i in range(1500)] + [(2000, 2, "F", 10.0, day, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    customers = [(o[1], f"cur{o[0]}", float(o[0])) for o in orders]
+    spark.createDataFrame(customers, "c_custkey bigint, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("lineitem", "supplier"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    rows = QUERIES["report_json"](spark, str(tmp_path))
+    stats = {int(r.pubkey): json.loads(r.json)["stats"] for r in rows.collect()}
+    assert [x["rank"] for x in stats[1]["payment_methods"]] == [*range(1, 3002)] and stats[1]["payment_methods"][0]["method"] == "both"
+    assert [x["f"] for x in stats[1]["fiat"]] == sorted(f"cur{i}" for i in range(1500)) and len(stats[2]["fiat"]) == 1
+    assert spark_rows(rows) == duck_rows(SQL["report_json"], str(tmp_path))
+
+
+def test_the_command_s_report_lists_every_label(spark):
+    rows = [order(f"o{i}", AS_OF - i, amt="5", tags=[("f", f"c{i}"), ("pm", f"m{i}")]) for i in range(1100)]
+    made, _ = cli.node_report(frame(spark, rows), AS_OF, params.Range(None, None, "yearly"), date(2024, 1, 1))
+    assert len(made["stats"]["fiat"]) == len(made["stats"]["payment_methods"]) == 1100
+    assert sum(x["share"] for x in made["stats"]["payment_methods"]) == pytest.approx(1)
+
+
+def test_documents_write_numbers_as_their_sql_does(spark):
+    values = [0.0, 1.0, -0.5, 0.1, 1 / 3, 1e-3, 6.66667e-4, 5e-4, -2.5e-5, 1e-6, 9.99e-7, 1e-9, 1e7, 12345678.25, -1e10, 2.1e15, 1e16, 1.2345678901234567e19, 1e20, 1e21, 1.5e22, None]
+    rows = spark.createDataFrame([(str(i), v, [v], f'a"b\\{i}/\n') for i, v in enumerate(values)], "pubkey string, x double, xs array<double>, t string")
+    got = {int(r.pubkey): r.json for r in report.as_json(rows).collect()}
+    with duckdb.connect() as c:
+        want = [c.execute("SELECT CAST(to_json({'pubkey': ?::VARCHAR, 'x': ?::DOUBLE, 'xs': [?::DOUBLE], 't': ?::VARCHAR}) AS VARCHAR)", [str(i), v, v, f'a"b\\{i}/\n']).fetchall()[0][0] for i, v in enumerate(values)]
+    assert [got[i] for i in range(len(values))] == want and [json.loads(x)["x"] for x in want] == values
